@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import decontaminate as _dec
+from . import fingerprint as _print
 from . import neardup as _near
-from .shared import table
+from . import pieces as _pieces
+from . import tokencount as _count
+from . import toxicity as _tox
+from .shared import crc, table
 
 QUERIES = {}
 ORACLES = {}
@@ -26,3 +32,26 @@ def op1(spark, sf_dir):
 @query("op7_minhash_neardup")
 def op7(spark, sf_dir):
     return _near.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@query("op4_piecewise_fingerprint")
+def op4(spark, sf_dir):
+    return _print.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = (crc(F.col("doc_id")) % 4 == 2) & F.col("doc_id").isNotNull()
+    machine = _tox.learn(docs, table(spark, sf_dir, "labels"), may_learn=~held_out)
+    return _tox.score(docs.select("doc_id", held_out.alias("held_out"), "text"), machine, ["doc_id", "held_out"])
+
+
+@query("op8_sentencepiece")
+def op8(spark, sf_dir):
+    return _pieces.encode(table(spark, sf_dir, "documents"), ["doc_id"], digests=True)
+
+
+@query("op10_token_counts")
+def op10(spark, sf_dir):
+    return _count.count_tokens(table(spark, sf_dir, "documents"), ["doc_id"])
