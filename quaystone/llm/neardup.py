@@ -10,9 +10,13 @@ similarity s share a table with probability (1 - (1 - s**t)**m)**2, 0.998 at
 Equal sets are one class (compared by 128 bits and size) that its smallest
 doc_id stands for, so copies are never expanded.  Candidates are compared in
 rounds: first each class with one pivot of its tables, then, only in tables
-that still hold several components, with other pivots, and last all remaining
-pairs of different components.  A pair is a link only if the full shingle sets
-of both texts have 100 * intersection >= 100 * threshold * union.
+that still hold several components, with other pivots.  What is still open
+after these rounds is finished by an exact prefix filter: of each class's
+shingles, rarest first, only as many are joined as one of them must be shared,
+with bounds from sizes and positions, and only across components; so families
+that share a passage, or copies that differ too much, need no all-pairs step.
+A pair is a link only if the full shingle sets of both texts have
+100 * intersection >= 100 * threshold * union.
 
 Edge cases: texts of fewer words than a shingle are their whole word sequence;
 null or empty texts have no shingles and link with nothing; a null doc_id gets
@@ -24,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -33,7 +37,7 @@ from .text import NONSPACE, Words, grams, mix, slices
 
 TABLES_SIDE = 10
 PER_KEY = 3
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 #: Bits of the filter that keeps texts without candidates out of the shuffle; beyond its use, only speed suffers.
 FILTER_BITS = 1 << 26
 
@@ -145,6 +149,32 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(right, "y").join(left, "x").select("x", "y", "tx", "ty").mapInArrow(check, "x long, y long")
 
 
+def _prefix_pairs(open_rows: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of open classes of different components that may be similar enough: none that is can be missing."""
+    nodes = open_rows.select("rep", "n", "comp").distinct()
+
+    def explode(batches):
+        for batch in batches:
+            sets = list(_sets(batch.column(3), shingle))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            row = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            h = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(row) for i in range(3)] + [pa.array(h)], ["rep", "n", "comp", "h"])
+
+    own = nodes.join(texts, nodes["rep"] == texts["doc_id"]).select("rep", "n", "comp", "text")
+    tokens = written(own.mapInArrow(explode, "rep long, n long, comp long, h long"), "tokens")
+    # A shingle of one class only can't make a pair, but it takes a place in the prefix.
+    shared = tokens.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
+    rarest = Window.partitionBy("rep").orderBy("c", "h")
+    ranked = tokens.join(shared, "h").withColumn("rank", F.row_number().over(rarest) + F.col("n") - F.count("*").over(Window.partitionBy("rep")))
+    prefix = written(ranked.filter(F.col("rank") * 100 <= F.col("n") * (100 - percent) + 100).select("h", "rep", "n", "comp", "rank"), "prefix")
+    other = prefix.select("h", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("to"), F.col("rank").alias("at"))
+    left = F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("at")) + 1
+    fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent) & (left * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    pairs = prefix.alias("p").join(other.alias("o"), (prefix["h"] == other["h"]) & (F.col("comp") < F.col("to")) & fits)
+    return pairs.select(F.least("rep", "y").alias("x"), F.greatest("rep", "y").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, side: int = TABLES_SIDE, per_key: int = PER_KEY) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document row."""
     percent = round(100 * threshold)
@@ -175,9 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, s
             pairs = open_rows.join(pivots, "key").filter((F.col("comp") != F.col("pc")) & near)
             pairs = pairs.groupBy("rep").agg(F.min("pivot").alias("pivot")).select(F.least("rep", "pivot").alias("x"), F.greatest("rep", "pivot").alias("y")).distinct()
         else:
-            other = open_rows.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            pairs = open_rows.join(other, "key").filter((F.col("comp") < F.col("pc")) & near)
-            pairs = pairs.select(F.least("rep", "pivot").alias("x"), F.greatest("rep", "pivot").alias("y")).distinct()
+            pairs = _prefix_pairs(open_rows, texts, shingle, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = written(pairs, "pairs")
