@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _dec
 from . import fingerprint as _print
+from . import lm as _lm
 from . import neardup as _near
 from . import pieces as _pieces
 from . import tokencount as _count
@@ -55,3 +56,9 @@ def op8(spark, sf_dir):
 @query("op10_token_counts")
 def op10(spark, sf_dir):
     return _count.count_tokens(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("op5_lm_scores")
+def op5(spark, sf_dir):
+    held_out = (crc(F.col("doc_id")) % 7 == 2) & F.col("doc_id").isNotNull()
+    return _lm.score_texts(table(spark, sf_dir, "documents"), held_out, ~held_out & F.col("doc_id").isNotNull())
