@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .text import _BYTE, Words, byte_class, mix, powers, slices
 
 LETTERS = byte_class(lambda b: b >= 128 or 97 <= b <= 122 or 65 <= b <= 90)
-COLUMNS = 1 << 22
+COLUMNS = 1 << 20
 BEGINNINGS = (4, 5, 6)
 FACTORS = 6
 MAX_TOXIC = 8000
@@ -102,19 +102,20 @@ def _columns(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.
     seen = np.zeros((2, COLUMNS), np.int32)
     for r, y in zip(rows, label):
         seen[int(y), np.unique(r)] += 1
-    texts, toxic = seen.sum(axis=0), float(label.sum())
+    some = np.flatnonzero(seen.sum(axis=0) >= LEAST_TEXTS)
+    hits, texts, toxic = seen[1, some], seen[:, some].sum(axis=0), float(label.sum())
     due = texts * (toxic / max(n, 1))
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (seen[1] - due) ** 2 / due * n / max(n - toxic, 1) * n / np.maximum(n - texts, 1)
-    alone = (texts >= LEAST_TEXTS) & (chi >= CHI_SQUARE) & (seen[1] > due)
-    used = np.flatnonzero(alone | (texts >= max(LEAST_TEXTS, COMMON * n)))
-    return used, alone[used]
+        chi = (hits - due) ** 2 / due * n / max(n - toxic, 1) * n / np.maximum(n - texts, 1)
+    alone = (chi >= CHI_SQUARE) & (hits > due)
+    kept = alone | (texts >= COMMON * n)
+    return some[kept], alone[kept]
 
 
 def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, pair_rate: float = 0.002, l2: float = 1.0, seed: int = 3) -> Machine:
     """Fit by AdaGrad on the logistic loss.  ``rows``: each text's term columns, with repeats."""
     used, alone = _columns(rows, label)
-    index = np.full(COLUMNS, -1)
+    index = np.full(COLUMNS, -1, np.int32)
     index[used] = np.arange(len(used))
     rows = [index[r][index[r] >= 0] for r in rows]
     rng = np.random.default_rng(seed)
@@ -163,17 +164,19 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn=None, max_toxic: int = M
             cols = []
             for _, data, offsets in slices(batch.column(1)):
                 own, doc, word = distinct(Words(data, offsets, LETTERS))
-                cols += [own[w].ravel().astype(np.int32) for w in np.split(word, np.searchsorted(doc, np.arange(1, len(offsets) - 1)))]
+                own = own.astype(np.int32)
+                cols += [own[w].ravel() for w in np.split(word, np.searchsorted(doc, np.arange(1, len(offsets) - 1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in cols], pa.binary())], ["y", "cols"])
 
     # The sample is at most max_toxic + max_clean pairs of numbers, so it is broadcast; a repeated document adds its rows.
     got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(featurize, "y int, cols binary").toArrow()
     y = got.column("y").to_numpy().astype(float)
-    rows = [np.frombuffer(b.as_py(), np.int32).astype(np.int64) for b in got.column("cols")]
+    rows = [np.frombuffer(b.as_py(), np.int32) for b in got.column("cols")]
+    del got
     weight = np.array([n.get(int(c), 0) / max(1, min(n.get(int(c), 0), most[int(c)])) for c in y])
     if len(weight):
         weight *= len(weight) / weight.sum()
-    order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i][:8].tolist()))
+    order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i][:8].tolist()))  # whatever order they came in
     return fit([rows[i] for i in order], y[order], weight[order])
 
 
