@@ -9,6 +9,7 @@ from . import fingerprint as _print
 from . import lm as _lm
 from . import neardup as _near
 from . import pieces as _pieces
+from . import pii as _pii
 from . import tokencount as _count
 from . import toxicity as _tox
 from .shared import crc, table
@@ -62,3 +63,9 @@ def op10(spark, sf_dir):
 def op5(spark, sf_dir):
     held_out = (crc(F.col("doc_id")) % 7 == 2) & F.col("doc_id").isNotNull()
     return _lm.score_texts(table(spark, sf_dir, "documents"), held_out, ~held_out & F.col("doc_id").isNotNull())
+
+
+@query("op6_pii")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _pii.digests(_pii.find(docs, _pii.train(docs), ["doc_id"]), ["doc_id"])
