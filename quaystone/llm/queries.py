@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from . import decontaminate as _dec
 from . import fingerprint as _print
 from . import lm as _lm
+from . import mainhtml as _html
 from . import neardup as _near
 from . import pieces as _pieces
 from . import pii as _pii
 from . import tokencount as _count
 from . import toxicity as _tox
+from . import warc as _warc
 from .shared import crc, table
 
 QUERIES = {}
@@ -69,3 +71,65 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _pii.digests(_pii.find(docs, _pii.train(docs), ["doc_id"]), ["doc_id"])
+
+
+@query("op2_warc_index")
+def op2(spark, sf_dir):
+    return _warc.read_back(*_warc.archive(spark, table(spark, sf_dir, "pages")))
+
+
+@query("op3_html_main_text")
+def op3(spark, sf_dir):
+    return _html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+ORACLES["op1_decontamination"] = """
+with words as (
+  select doc_id, row_number() over () as r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents),
+item_words as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from benchmark where item_id is not null),
+item_windows as (
+  select distinct item_id, least(13, len(w)) as n, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') as s
+  from item_words, unnest(range(1, greatest(1, len(w) - 12) + 1)) as t(k) where len(w) > 0),
+sizes as (select distinct n from item_windows),
+doc_windows as (
+  select r, k, sizes.n, array_to_string(w[k : k + sizes.n - 1], ' ') as s
+  from words, sizes, unnest(range(1, len(w) - sizes.n + 2)) as t(k) where len(w) >= sizes.n),
+hits as (select d.r, d.k, d.n, i.item_id from doc_windows d join item_windows i on d.n = i.n and d.s = i.s),
+hit_words as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + n)) as p from hits) group by r),
+hit_items as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct r, cast(item_id as varchar) as item from hits) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from words left join hit_words using (r) left join hit_items using (r)
+"""
+
+ORACLES["op2_warc_index"] = """
+with p as (select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as d, octet_length(encode(coalesce(html, ''))) as n from pages),
+g as (select *, case when n >= 100 then min(page_id) over (partition by d) end as head from p)
+select page_id, n as payload_bytes, d as payload_digest,
+  case when head is null or page_id = head then 'response' else 'revisit' end as record_type,
+  case when head is null or page_id = head then null else head end as refers_to
+from g
+"""
+
+ORACLES["op7_minhash_neardup"] = """
+with recursive words as (
+  select doc_id, string_split_regex(trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 1 then (case when w[1] = '' then [] else [w[1]] end)
+    else list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) end as s from words),
+rows_ as (select doc_id, len(s) as n, unnest(s) as x from sets),
+pairs as (
+  select a.doc_id as i, b.doc_id as j from rows_ a join rows_ b on a.x = b.x and a.doc_id < b.doc_id and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges as (select i, j from pairs union all select j, i from pairs),
+reach(i, j) as (select i, j from edges union select r.i, e.j from reach r join edges e on r.j = e.i),
+low as (select i, min(j) as m from reach group by i)
+select s.doc_id, len(s.s) as n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) as component_id, s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) as kept
+from sets s left join low on low.i = s.doc_id
+"""
