@@ -1,7 +1,72 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline of five stages, each one operator of ``quaystone.llm``.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read again as the next
+one's ``docs``.  All but the last return the columns of ``documents``.
+
+1. toxicity: rejects documents scored 0.3 or more.
+2. near duplicates: keeps one document of each group (five words, 0.8).
+3. decontamination: rejects documents of which a twentieth or more is benchmark text.
+4. personal data: replaces spans in ``text`` and sets ``n_chars`` anew.
+5. encoding: token ids, checked by decoding them.
+
+Rows with a null doc_id pass stage 2 (they are in no group).  Documents whose
+text is null or empty are kept by every stage.  Columns that are not those of
+``documents`` pass through the first four stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaystone.llm import decontaminate as dec
+from quaystone.llm import neardup, pieces, pii, toxicity
+from quaystone.llm.shared import table, written
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    names = docs.columns
+    return toxicity.score(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], "text"), machine, [f"c{i}" for i in range(len(names))]).filter("predicted = 0").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(docs).filter("doc_id is not null")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("any_kept")).filter("not any_kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = docs.columns
+    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], "text")
+    judged = dec.decontaminate(own, table(spark, sf_dir, "benchmark"), keep=[f"c{i}" for i in range(len(names))])
+    return judged.filter("not contaminated").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.redact(docs, pii.train(docs))
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def _encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, ["doc_id"], digests=True, ids=True)
+
+
+STAGES = [
+    ("toxicity", _toxicity),
+    ("near_duplicates", _near_duplicates),
+    ("decontamination", _decontamination),
+    ("personal_data", _personal_data),
+    ("sentencepiece", _encoding),
+]
+
+#: The models and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

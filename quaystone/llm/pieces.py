@@ -218,16 +218,17 @@ def _encoder(shared, name: str) -> Encoder:
     return _ENCODERS[name]
 
 
-def encode(docs: DataFrame, keep: list[str], path: str = MODEL, digests: bool = False) -> DataFrame:
-    """The ``keep`` columns and, for every row, ``ids``; with ``digests`` their number and hash, and what they decode to.
+def encode(docs: DataFrame, keep: list[str], path: str = MODEL, digests: bool = False, ids: bool | None = None) -> DataFrame:
+    """The ``keep`` columns and, for every row, ``ids`` (unless only ``digests``: their number and hash, and what they decode to).
 
     Digests: ``n_tokens``, ``ids_sha256`` (of the ids as little-endian 32-bit
     numbers), ``decoded_sha256`` (of the decoded text in UTF-8) and
     ``round_trip`` (whether that is the text).
     """
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    named = ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"] if digests else ["ids"]
-    schema = ", ".join([*fields, "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" if digests else "ids array<int>"])
+    with_ids = not digests if ids is None else ids
+    more = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "round_trip boolean"] * digests + ["ids array<int>"] * with_ids
+    named, schema = [m.split()[0] for m in more], ", ".join([*fields, *more])
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches):
@@ -236,15 +237,15 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL, digests: bool =
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                ids = own.encode(texts)
+                ids, out = own.encode(texts), []
                 if digests:
                     back = [own.decode(np.frombuffer(i, np.int32).tolist()) for i in ids]
                     sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs])
                     out = [pa.array([len(i) // 4 for i in ids], pa.int64()), sha(ids), sha(back), pa.array([b == (t or "").encode() for b, t in zip(back, texts)], pa.bool_())]
-                else:
+                if with_ids:
                     flat = np.frombuffer(b"".join(ids), np.int32)
                     ends = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
-                    out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                    out += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *out], [*keep, *named])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
