@@ -1,4 +1,441 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the trade engine, each with the SQL that checks it.
+
+A query takes (spark, sf_dir) and applies one operator to whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import aggregates as A
+from ..operators import coverage as C
+from ..operators import filters as P
+from ..operators import finder as X
+from ..operators import parts as M
+from ..operators import traffic as T
+from ..operators import windows as D
+from ..sources import trade as R
+from ..streaming import rate
+from . import search
 
 QUERIES = {}
 ORACLES = {}
+
+
+def add(name: str, query, sql: str | None = None, *tables: str) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLES[name] = R.oracle(sql, *tables)
+
+
+def table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+ROUND = "floor(100.0 * n / total + 0.5)"
+TEXT = lambda *c: "coalesce(" + ", ".join(f"nullif(trim({x}), '')" for x in c) + ")"
+MPN = lambda c: f"nullif(case when regexp_matches(upper(regexp_replace({c}, '\\s+', '', 'g')), '^\\d{{1,3}}([,.]\\d{{3}})+$') then regexp_replace(upper(regexp_replace({c}, '\\s+', '', 'g')), '[,.]', '', 'g') else upper(regexp_replace({c}, '\\s+', '', 'g')) end, '')"
+PART = MPN(TEXT("mpn", "mpn_quoted"))
+CUSTOMER, SUPPLIER, MAKER = TEXT("customer", "client"), TEXT("supplier_name", "supplier"), TEXT("manufacturer", "clean_mfg")
+
+# ---- cleaning and parsing
+
+FOLD = f"translate(x, '{S.ACCENTED}', '{S.PLAIN}')"
+add(
+    "i_normalize_header",
+    lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.lit("  Ñº_"), "p_name", F.lit("-É "), "p_brand", F.lit(" (Qty)")).alias("x")).select("p_partkey", S.normalize_header(F.col("x")).alias("header"), S.snake_case(F.col("x")).alias("snake")),
+    f"""with t as (select p_partkey, concat('  Ñº_', p_name, '-É ', p_brand, ' (Qty)') as x from part),
+    h as (select p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace({FOLD}, '[_-]+', ' ', 'g'), '[^A-Za-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))) as header from t)
+    select p_partkey, header, replace(header, ' ', '_') as snake from h""",
+)
+RAW_NUMBER = "case l_linenumber % 6 when 0 then concat('$', cast(cast(floor(l_extendedprice) as bigint) as string)) when 1 then concat(cast(cast(l_quantity as bigint) as string), ' %') when 2 then concat('1,', lpad(cast(cast(l_quantity as bigint) as string), 3, '0')) when 3 then 'n/a' when 4 then concat('-', cast(cast(floor(l_quantity) as bigint) as string)) else '1e3' end"
+add(
+    "i_parse_number",
+    lambda s, d: R.frame(s, d, f"select l_orderkey, l_linenumber, l_partkey, {RAW_NUMBER} as raw from lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.parse_number(F.col("raw")).alias("number"), S.sanitize_scalar(F.col("raw")).alias("stored")),
+    f"""with t as (select l_orderkey, l_linenumber, l_partkey, {RAW_NUMBER} as raw from lineitem), b as (select *, try_cast(regexp_replace(raw, '[%,$\\s]', '', 'g') as double) as v from t)
+    select l_orderkey, l_linenumber, l_partkey, case when raw like '%\\%%' escape '\\' and v > 1 then v / 100 else v end as number, case when regexp_matches(trim(raw), '^[=+\\-@]') then concat('''', trim(raw)) else trim(raw) end as stored from b""",
+)
+add(
+    "i_gp_rate",
+    lambda s, d: table(s, d, "customer").select("c_custkey", S.gp_rate(F.col("c_acctbal") / 50).alias("rate"), S.gp_rate_warns(F.col("c_acctbal") / 50).alias("warns")),
+    "select c_custkey, case when abs(c_acctbal / 50) <= 1 then c_acctbal / 50 when abs(c_acctbal / 50) <= 100 then c_acctbal / 50 / 100 end as rate, abs(c_acctbal / 50) > 100 as warns from customer",
+)
+RAW_DATE = "case o_orderkey % 4 when 0 then concat('200', cast(o_orderkey % 10 as string), '-03-', lpad(cast(o_orderkey % 28 + 1 as string), 2, '0')) when 1 then concat(lpad(cast(o_orderkey % 28 + 1 as string), 2, '0'), '/11/2012') when 2 then cast(40000 + o_orderkey % 5000 as string) else 'soon' end"
+add(
+    "i_parse_date",
+    lambda s, d: R.frame(s, d, f"select o_orderkey, {RAW_DATE} as raw from orders").select("o_orderkey", S.parse_date(F.col("raw")).cast("string").alias("day")),
+    f"""with t as (select o_orderkey, {RAW_DATE} as raw from orders)
+    select o_orderkey, cast(case when regexp_matches(raw, '^\\d{{5}}$') then date '1970-01-01' + cast(cast(raw as int) - 25569 as int) else coalesce(cast(try_strptime(raw, '%Y-%m-%d') as date), cast(try_strptime(raw, '%d/%m/%Y') as date)) end as varchar) as day from t""",
+)
+add(
+    "i_redact_text",
+    lambda s, d: table(s, d, "customer").select("c_custkey", S.redact_diagnostic(F.concat(F.lit("row of "), "c_name", F.lit(" <a"), "c_custkey", F.lit("@mail.com> owes $1,250.50, call +1 (918) 555-0001"))).alias("safe"), S.mask_email(F.concat(F.lit("a"), "c_custkey", F.lit("@mail.com"))).alias("masked")),
+    "select c_custkey, concat('row of ', regexp_replace(regexp_replace(c_name, '\\+?\\d[\\d ()-]{7,}\\d', '[phone]', 'g'), '\\d{8,}', '[number]', 'g'), ' <[email]> owes [amount], call [phone]') as safe, 'a***@mail.com' as masked from customer",
+)
+add(
+    "i_issue_rollup",
+    lambda s, d: A.issue_rollup(A.issues(R.records(s, d))),
+    f"""with i as (
+      select row_index, id, 'missing_mpn' as type, 'high' as severity from records where {TEXT("mpn", "mpn_quoted")} is null union all
+      select row_index, id, 'missing_quantity', 'medium' from records where qty is null and req_qty is null union all
+      select row_index, id, 'missing_price', 'medium' from records where price is null union all
+      select row_index, id, 'missing_margin', 'low' from records where gp_rate is null union all
+      select row_index, id, 'technical_error', 'critical' from records where has_errors)
+    select type, severity, count(*) as n, min(row_index) as first_row, count(distinct id) as records from i group by type, severity""",
+    "records",
+)
+PENALTY = f"least(60, (case when {TEXT('mpn', 'mpn_quoted')} is null then 20 else 0 end) + (case when qty is null and req_qty is null then 10 else 0 end) + (case when price is null then 10 else 0 end) + (case when gp_rate is null then 3 else 0 end) + (case when has_errors then 30 else 0 end))"
+add(
+    "a_quality_scores",
+    lambda s, d: A.quality_scores(A.issues(R.records(s, d)), "upload_batch_id"),
+    f"""with p as (select upload_batch_id, {PENALTY} as p from records)
+    select upload_batch_id, count(*) as records, cast(floor(100 - 100.0 * sum(p) / (60 * count(*)) + 0.5) as bigint) as workbook_score, floor(1000.0 * count(*) filter (p = 0) / count(*) + 0.5) / 10 as worker_score from p group by upload_batch_id""",
+    "records",
+)
+
+# ---- filters and search
+
+FILTERS = {"supplier": "supplier#00000000", "mpn": "p-1", "price": (1000.0, 3000.0), "qty": (5.0, 40.0), "created": ("1996-01-01", "1999-06-30"), "has_errors": False}
+add(
+    "f_records_filter",
+    lambda s, d: P.filter_records(R.active_records(s, d), FILTERS).select("id", "category", "mpn", "price", "qty", "created_at"),
+    """select id, category, mpn, price, qty, created_at from active where (lower(supplier) like '%supplier#00000000%' or lower(supplier_name) like '%supplier#00000000%') and (lower(mpn) like '%p-1%' or lower(mpn_quoted) like '%p-1%')
+    and price between 1000 and 3000 and coalesce(qty, req_qty) between 5 and 40 and created_at >= timestamp '1996-01-01' and created_at < timestamp '1999-07-01' and not has_errors""",
+    "records",
+)
+add(
+    "f_records_filter_by_role",
+    lambda s, d: P.filter_records(R.active_records(s, d), FILTERS | {"gp_rate": (0.0, 0.02)}, role="employee").groupBy("category").agg(F.count("*").alias("n")),
+    """select category, count(*) as n from active where (lower(mpn) like '%p-1%' or lower(mpn_quoted) like '%p-1%') and coalesce(qty, req_qty) between 5 and 40 and created_at >= timestamp '1996-01-01' and created_at < timestamp '1999-07-01' and not has_errors group by category""",
+    "records",
+)
+add("f_low_margin", lambda s, d: P.low_margin(R.active_records(s, d), 0.03).select("id", "gp_rate", "mpn"), "select id, gp_rate, mpn from active where gp_rate < 0.03", "records")
+add("f_compare", lambda s, d: R.active_records(s, d).filter(P.both([P.compare("price", "gte", 1200.0), P.compare("lead_time_weeks", "lt", 3.0)])).select("id", "price", "lead_time_weeks"), "select id, price, lead_time_weeks from active where price >= 1200 and lead_time_weeks < 3", "records")
+add(
+    "f_missing_mpn_newest",
+    lambda s, d: R.active_records(s, d).filter(S.first_text(F.col("mpn"), F.col("mpn_quoted")).isNull()).orderBy(F.desc("created_at"), "id").limit(50).select("id", "created_at"),
+    f"select id, created_at from active where {TEXT('mpn', 'mpn_quoted')} is null order by created_at desc, id limit 50",
+    "records",
+)
+add(
+    "f_any_column_search",
+    lambda s, d: R.active_records(s, d).filter(P.either([S.contains_text(F.col(c), "blue") for c in ("description", "customer", "supplier")] + [S.contains_text(F.col("po"), "PO12")])).select("id", "description", "po"),
+    "select id, description, po from active where description ilike '%blue%' or customer ilike '%blue%' or supplier ilike '%blue%' or po ilike '%po12%'",
+    "records",
+)
+add(
+    "f_text_search",
+    lambda s, d: P.text_search(table(s, d, "part"), '"red widget" or bolt -small', F.concat_ws(" ", "p_name", "p_brand", "p_type")).select("p_partkey", "p_name"),
+    "select p_partkey, p_name from part where ((p_name || ' ') like '%red widget %' or regexp_matches(lower(concat_ws(' ', p_name, p_brand, p_type)), '\\bbolt\\b')) and not regexp_matches(lower(concat_ws(' ', p_name, p_brand, p_type)), '\\bsmall\\b')",
+)
+for me in (0, 1, 2):
+    add(
+        f"f_visible_uploads_{('admin', 'manager', 'employee')[me]}",
+        lambda s, d, me=me: P.visible(R.uploads(s, d), "uploaded_by", R.profiles(s, d), me).select("id", "uploaded_by", "status"),
+        f"""select id, uploaded_by, status from uploads where exists (select 1 from profiles o, profiles m where o.id = uploads.uploaded_by and m.id = {me}
+        and (m.role = 'admin' or o.id = m.id or (m.role = 'manager' and (o.department = m.department or o.region = m.region))))""",
+        "uploads", "profiles",
+    )
+add("f_redacted_records", lambda s, d: P.redact(R.active_records(s, d), "sales").select("id", "price", "cost", "gp", "supplier", "customer"), "select id, price, cast(null as double) as cost, cast(null as double) as gp, cast(null as varchar) as supplier, customer from active", "records")
+add(
+    "f_logs",
+    lambda s, d: P.filter_logs(R.logs(s, d), level="error", route="/7", since="2024-01-10", until="2024-01-20").select("id", "route", "created_at"),
+    "select id, route, created_at from logs where level = 'error' and route like '%/7%' and created_at >= timestamp '2024-01-10' and created_at < timestamp '2024-01-20'",
+    "logs",
+)
+QUESTION = "rfq with qty over 30 and price under 1500 in 1998"
+add(
+    "p_executive_search",
+    lambda s, d: search.find(QUESTION, R.active_records(s, d)).select("id", "category", "qty", "price", "created_at"),
+    "select id, category, qty, price, created_at from active where category = 'RFQ' and qty > 30 and price < 1500 and created_at >= timestamp '1998-01-01' and created_at < timestamp '1999-01-01'",
+    "records",
+)
+add(
+    "p_suggestions",
+    lambda s, d: search.suggestions(R.active_records(s, d), "p1", {"mpn": "mpn", "customer": "customer", "supplier": "supplier", "po": "po"}, 6),
+    """with a as (select 'mpn' as kind, mpn as v from active union all select 'customer', customer from active union all select 'supplier', supplier from active union all select 'po', po from active),
+    g as (select kind, min(trim(v)) as suggestion, lower(trim(v)) as k from a where lower(v) like '%p1%' group by kind, lower(trim(v)))
+    select kind, suggestion, position from (select kind, suggestion, row_number() over (partition by kind order by k) as position from g) where position <= 6""",
+    "records",
+)
+
+# ---- aggregations
+
+for name, column, label in (("category", "category", "category"), ("supplier", "supplier_name", SUPPLIER), ("customer", "customer", CUSTOMER)):
+    expr = {"category": lambda: F.col("category"), "supplier": lambda: S.first_text(F.col("supplier_name"), F.col("supplier")), "customer": lambda: S.first_text(F.col("customer"), F.col("client"))}[name]
+    add(
+        f"a_group_count_{name}",
+        lambda s, d, expr=expr: A.group_count(R.active_records(s, d), expr()),
+        f"with c as (select coalesce(nullif(trim({label}), ''), 'Unspecified') as label, count(*) as n from active group by 1), t as (select sum(n) as total from c) select label, n, cast({ROUND} as bigint) as percent from c, t",
+        "records",
+    )
+add(
+    "a_mpn_groups",
+    lambda s, d: A.mpn_groups(R.active_records(s, d), 25),
+    f"""with m as (select {TEXT("mpn", "mpn_quoted")} as label from active), c as (select label, count(*) as n from m where label is not null group by label), t as (select sum(n) as total from c),
+    top as (select label, n, cast({ROUND} as bigint) as percent from c, t order by n desc, label limit 25)
+    select * from top union all select 'Missing MPN', count(*), null from m where label is null having count(*) > 0""",
+    "records",
+)
+MONEY = lambda c, n: f"round(sum(coalesce({c}, 0)), 2) as {n}"
+add(
+    "a_platform_totals",
+    lambda s, d: A.platform_totals(R.active_records(s, d), R.uploads(s, d), R.profiles(s, d)).withColumns({c: F.round(F.col(c) / 1e5, 1) for c in ("total_qty", "total_potential_usd", "total_price", "gross_profit", "commission_total")}),
+    f"""select count(*) as total_records, count(distinct coalesce(category, 'Generic')) as categories_detected, round(sum(qty) / 1e5, 1) as total_qty, round(sum(potential_amount_usd) / 1e5, 1) as total_potential_usd, round(sum(total_price) / 1e5, 1) as total_price,
+    round(sum(gp) / 1e5, 1) as gross_profit, round(coalesce(avg(nullif(gp_rate, 0)), 0), 4) as average_gp_rate, round(sum(commission) / 1e5, 1) as commission_total, count(*) filter (has_errors) as records_with_errors,
+    count(*) filter ({CUSTOMER} is null or {SUPPLIER} is null or {TEXT("mpn", "mpn_quoted")} is null or coalesce(qty, req_qty) is null or coalesce(price, total_price) is null) as incomplete_records, count(*) filter ({TEXT("mpn", "mpn_quoted")} is null) as records_missing_mpn,
+    (select count(*) from uploads where archived_at is null) as total_uploads, (select max(created_at) from uploads) as last_upload, (select count(*) from profiles where is_active) as active_employees from active""",
+    "records", "uploads", "profiles",
+)
+add(
+    "a_breakdowns",
+    lambda s, d: A.breakdowns(R.active_records(s, d), R.profiles(s, d)),
+    f"""with own as (select category, full_name as uploader, department, region, {CUSTOMER} as customer, {TEXT("supplier", "supplier_name")} as supplier, strftime(created_at, '%Y-%m-%d') as day from active left join profiles on uploaded_by = profiles.id),
+    e as (select unnest(['category', 'uploader', 'department', 'region', 'customer', 'supplier', 'day']) as dimension, unnest([category, uploader, department, region, customer, supplier, day]) as label from own),
+    c as (select dimension, coalesce(nullif(trim(label), ''), 'Unspecified') as label, count(*) as n from e group by 1, 2), r as (select *, sum(n) over (partition by dimension) as total, row_number() over (partition by dimension order by n desc, label) as position from c)
+    select dimension, label, n, cast({ROUND} as bigint) as percent, position from r where position <= 10""",
+    "records", "profiles",
+)
+add(
+    "a_category_modules",
+    lambda s, d: A.category_modules(R.active_records(s, d)).select("module", "records", F.round(F.col("total_price") / 1e4, 1).alias("total_price"), F.round(F.col("gp") / 1e4, 1).alias("gp"), "qty", "gp_rate", "lead_time", "with_errors", "quoted_labels", "suppliers", "customers"),
+    f"""select coalesce(category, 'Generic') as module, count(*) as records, round(sum(total_price) / 1e4, 1) as total_price, round(sum(gp) / 1e4, 1) as gp, {MONEY("qty", "qty")}, round(coalesce(avg(nullif(gp_rate, 0)), 0), 4) as gp_rate,
+    round(coalesce(avg(nullif(lead_time_weeks, 0)), 0), 2) as lead_time, count(*) filter (has_errors) as with_errors, count(distinct coalesce(nullif(trim(mpn_quoted), ''), 'Unspecified')) as quoted_labels, count(distinct {SUPPLIER}) as suppliers, count(distinct {CUSTOMER}) as customers from active group by 1""",
+    "records",
+)
+add(
+    "a_activity_directory",
+    lambda s, d: A.activity_directory(R.profiles(s, d), R.uploads(s, d), R.active_records(s, d)),
+    """select p.id, full_name, role, department, (select count(*) from uploads u where u.uploaded_by = p.id) as uploads, (select count(*) from active a where a.uploaded_by = p.id) as records, (select max(created_at) from uploads u where u.uploaded_by = p.id) as last_upload from profiles p""",
+    "records", "uploads", "profiles",
+)
+add(
+    "a_client_metrics",
+    lambda s, d: A.client_metrics(R.active_records(s, d)),
+    f"select {CUSTOMER} as client, count(distinct upload_batch_id) as files, count(distinct {PART}) as part_numbers, count(*) filter (coalesce(req_qty, qty) > 0) as demand_lines, count(*) filter (on_hand > 0) as stock_lines from active where {CUSTOMER} is not null group by 1",
+    "records",
+)
+add(
+    "a_upload_status",
+    lambda s, d: R.uploads(s, d).groupBy("status").agg(F.count("*").alias("n"), F.sum("orders").alias("orders"), F.count_if(F.col("archived_at").isNotNull()).alias("archived"), F.count_if(F.col("orders") == 0).alias("never_used")),
+    "select status, count(*) as n, sum(orders) as orders, count(archived_at) as archived, count(*) filter (orders = 0) as never_used from uploads group by status",
+    "uploads",
+)
+
+# ---- duplicates, latest rows, order and pages
+
+KEYS = ["upload_batch_id", "row_index", "category", "mpn"]
+ORDER = lambda: [F.desc("created_at"), F.desc("id")]
+DUPS = """with g as (select id, upload_batch_id, row_index, category, mpn, count(*) over w as copies, first_value(id) over o as keeper, row_number() over o as position from active
+    window w as (partition by upload_batch_id, row_index, category, mpn), o as (partition by upload_batch_id, row_index, category, mpn order by created_at desc, id desc))"""
+add("d_duplicates", lambda s, d: D.duplicates(R.active_records(s, d), KEYS, ORDER()).select("id", *KEYS, "copies", "keeper", "position"), f"{DUPS} select * from g where copies > 1", "records")
+add(
+    "d_cleanup_plan",
+    lambda s, d: D.cleanup_plan(D.duplicates(R.active_records(s, d), KEYS, ORDER()), KEYS),
+    f"{DUPS} select upload_batch_id, row_index, category, mpn, max(copies) - 1 as removable, max(keeper) as keeper, case when max(copies) > 10 then 'low' when max(copies) > 3 then 'medium' else 'high' end as confidence from g where copies > 1 group by all",
+    "records",
+)
+add(
+    "d_soft_archive",
+    lambda s, d: D.archive(R.records(s, d), D.duplicates(R.active_records(s, d), KEYS, ORDER()).filter("position > 1"), "id", F.lit("2024-01-01").cast("timestamp")).groupBy("category").agg(F.count("*").alias("n"), F.count("archived_at").alias("archived"), F.max("archived_at").alias("last")),
+    f"{DUPS} select category, count(*) as n, count(case when archived_at is not null or id in (select id from g where copies > 1 and position > 1) then 1 end) as archived, max(case when archived_at is not null then archived_at when id in (select id from g where copies > 1 and position > 1) then timestamp '2024-01-01' end) as last from records group by category",
+    "records",
+)
+add(
+    "d_business_key",
+    lambda s, d: D.business_key_duplicates(R.active_records(s, d)),
+    """with k as (select id, created_at, list_filter(list_transform([customer, supplier, mpn, po, cast(cast(qty as bigint) as varchar)], lambda x: lower(trim(x))), lambda x: x is not null and x <> '') as parts from active),
+    j as (select *, array_to_string(parts, '|') as key from k where len(parts) >= 3), g as (select key, count(*) as copies, min(row(created_at, id)) as head from j group by key having count(*) > 1)
+    select id, key, copies, case when row(created_at, id) = head then copies - 1 else 1 end as issues from j join g using (key)""",
+    "records",
+)
+add(
+    "d_latest_turn",
+    lambda s, d: D.latest_per_group(table(s, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n_chars")), ["conv_id"], ["turn", "role"]),
+    "select conv_id, turn, role, length(text) as n_chars from conversations qualify row_number() over (partition by conv_id order by turn desc, role desc, length(text) desc nulls last) = 1",
+)
+add(
+    "d_latest_upload",
+    lambda s, d: D.latest_per_group(R.uploads(s, d).select("uploaded_by", "created_at", "id", "status"), ["uploaded_by"], ["created_at", "id"]),
+    "select uploaded_by, created_at, id, status from uploads qualify row_number() over (partition by uploaded_by order by created_at desc nulls last, id desc) = 1",
+    "uploads",
+)
+add(
+    "d_first_by_key",
+    lambda s, d: D.first_by_key(R.active_records(s, d).filter("mpn is not null").select("created_at", "id", "mpn"), F.lower(F.trim("mpn")), ["created_at", "id"]),
+    "select created_at, id, mpn from active where mpn is not null qualify row_number() over (partition by lower(trim(mpn)) order by created_at, id, mpn) = 1",
+    "records",
+)
+add("d_page", lambda s, d: D.page(R.active_records(s, d), [F.desc("created_at"), F.col("id"), F.col("potential_amount_usd")], 3, 40).select("id", "created_at"), "select id, created_at from active order by created_at desc, id, potential_amount_usd limit 40 offset 80", "records")
+add(
+    "d_timeline",
+    lambda s, d: D.timeline({"log": R.logs(s, d).filter("level = 'error'").select("created_at", "id", "action"), "upload": R.uploads(s, d).select("created_at", "id", "status")}),
+    "select 'log' as source, created_at, id, action, null as status from logs where level = 'error' union all select 'upload', created_at, id, null, status from uploads",
+    "logs", "uploads",
+)
+
+# ---- joins and sets
+
+add(
+    "j_records_with_people",
+    lambda s, d: R.active_records(s, d).join(F.broadcast(R.profiles(s, d).select(F.col("id").alias("uploaded_by"), "full_name", "region")), "uploaded_by", "left").select("id", "full_name", "region", "category"),
+    "select active.id, full_name, region, category from active left join profiles on uploaded_by = profiles.id",
+    "records", "profiles",
+)
+add("j_uploads_of_people", lambda s, d: R.uploads(s, d).join(R.profiles(s, d).filter(S.contains_text(F.col("full_name"), "nation_1")).select(F.col("id").alias("uploaded_by")), "uploaded_by", "left_semi").select("id", "uploaded_by"), "select id, uploaded_by from uploads where uploaded_by in (select id from profiles where full_name ilike '%nation_1%')", "uploads", "profiles")
+add("j_uploads_without_orders", lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name"), "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+add(
+    "j_shared_suppliers",
+    lambda s, d: (lambda li: li.alias("a").join(li.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey"))).groupBy(F.col("a.l_suppkey").alias("one"), F.col("b.l_suppkey").alias("two")).agg(F.countDistinct("a.l_orderkey").alias("orders")).filter("orders >= 4"))(table(s, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()),
+    "select a.l_suppkey as one, b.l_suppkey as two, count(distinct a.l_orderkey) as orders from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by 1, 2 having count(distinct a.l_orderkey) >= 4",
+)
+add(
+    "j_recipients",
+    lambda s, d: D.first_by_key(R.profiles(s, d).filter("is_active").select(F.lit(1).alias("rank"), "email").unionByName(R.uploads(s, d).filter("status = 'failed'").select(F.lit(0).alias("rank"), F.concat(F.lit("NATION_"), "uploaded_by", F.lit("@EXAMPLE.com")).alias("email")).distinct()), F.lower("email"), ["rank", "email"]),
+    "select rank, email from (select 1 as rank, email from profiles where is_active union select 0, concat('NATION_', uploaded_by, '@EXAMPLE.com') from uploads where status = 'failed') qualify row_number() over (partition by lower(email) order by rank, email) = 1",
+    "profiles", "uploads",
+)
+add("s_part_sets", lambda s, d: (lambda a, b: a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.exceptAll(b).distinct().withColumn("side", F.lit("first"))).unionByName(b.subtract(a).withColumn("side", F.lit("second"))))(table(s, d, "lineitem").filter("l_returnflag = 'A' and l_linenumber = 1").select("l_partkey").distinct(), table(s, d, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 2").select("l_partkey").distinct()),
+    "with a as (select distinct l_partkey from lineitem where l_returnflag = 'A' and l_linenumber = 1), b as (select distinct l_partkey from lineitem where l_returnflag = 'R' and l_linenumber = 2) select l_partkey, case when l_partkey in (from a) and l_partkey in (from b) then 'both' when l_partkey in (from a) then 'first' else 'second' end as side from (from a union from b)")
+
+# ---- part numbers
+
+add("m_normalize", lambda s, d: R.records(s, d).select("id", S.normalize_mpn(F.col("mpn")).alias("part"), S.review_key(F.col("mpn")).alias("review")), f"select id, {MPN('mpn')} as part, nullif(regexp_replace({MPN('mpn')}, '[^A-Z0-9]', '', 'g'), '') as review from records", "records")
+add(
+    "m_lookup",
+    lambda s, d: M.lookup(R.active_records(s, d), table(s, d, "part").filter("p_size < 5").select(F.concat(F.when(F.col("p_partkey") % 17 == 0, F.lit("q-")).otherwise(F.lit("p-")), "p_partkey").alias("mpn"))).select("id", "part", "matched"),
+    f"""with want as (select distinct upper(concat(case when p_partkey % 17 = 0 then 'q-' else 'p-' end, p_partkey)) as part from part where p_size < 5), e as (select id, part, 'mpn' as matched from (select id, {MPN("mpn")} as part from active) join want using (part))
+    select * from e union all select id, part, 'mpn_quoted' from (select id, {MPN("mpn_quoted")} as part from active) join want using (part) where part not in (select part from e)""",
+    "records",
+)
+add("m_suggest", lambda s, d: M.suggest(R.active_records(s, d), "p-10"), f"select part, count(*) as records from (select {MPN('mpn')} as part from active) where part like 'P-10%' group by part order by part <> 'P-10', part limit 12", "records")
+RANKED = f"""with own as (select {PART} as part, coalesce({SUPPLIER}, 'Unknown') as supplier, price, lead_time_weeks as l, coalesce(on_hand, qty, 0) as q, gp_rate, has_errors from active where {PART} is not null),
+    s as (select part, supplier, count(*) as offers, min(price) as price, min(l) as lead, sum(q) as quantity, avg(gp_rate) as gp, bool_or(has_errors) as dirty from own group by all),
+    w as (select *, min(price) over (partition by part) as best, min(lead) over (partition by part) as fast, max(quantity) over (partition by part) as most from s),
+    c as (select part, supplier, offers, price, lead, quantity, floor(100 * ((case when price is null then 0 when price <= best then 45 else greatest(0, 35 - 35 * (price - best) / greatest(best, 1)) end) + (case when lead is null then 0 when lead <= fast then 20 else greatest(0, 15 - (lead - fast)) end)
+      + (case when most > 0 then least(20, 20 * quantity / most) else 0 end) + least(10, greatest(0, 20 * coalesce(gp, 0))) + (case when dirty then 0 else 5 end)) + 0.5) / 100 as score from w),
+    r as (select *, row_number() over (partition by part order by score desc, price asc nulls last, supplier) as position from c)"""
+add("m_supplier_ranking", lambda s, d: M.supplier_ranking(R.active_records(s, d)), f"{RANKED} select * from r", "records")
+add("m_offer_summary", lambda s, d: M.offer_summary(R.active_records(s, d)), f"{RANKED}, o as (select part, count(*) as offers, min(price) as best_price, max(price) as worst_price, min(l) as fastest_lead, max(q) as most_quantity from own group by part) select o.*, supplier as recommended, score from o left join r on o.part = r.part and position = 1", "records")
+add(
+    "m_price_history",
+    lambda s, d: M.price_history(R.active_records(s, d), R.uploads(s, d)),
+    f"select {PART} as part, strftime(coalesce(u.created_at, a.created_at), '%Y-%m-%d') as day, min(price) as low, max(price) as high, count(*) as n from active a left join uploads u on u.id = upload_batch_id where price is not null and {PART} is not null group by all",
+    "records", "uploads",
+)
+
+# ---- coverage and opportunities
+
+COVER = f"""with own as (select {PART} as part, {CUSTOMER} as customer, {SUPPLIER} as supplier, {MAKER} as maker, coalesce(req_qty, qty) as need, on_hand, created_at, id, upload_batch_id from active where {PART} is not null),
+    g as (select part, sum(case when customer is not null and need is not null then greatest(need, 0) end) as required, sum(case when on_hand is not null then greatest(on_hand, 0) end) as stock,
+      (max(row(created_at, id, customer)) filter (customer is not null))[3] as customer, (max(row(created_at, id, supplier)) filter (supplier is not null))[3] as supplier, (max(row(created_at, id, maker)) filter (maker is not null))[3] as maker,
+      count(distinct upload_batch_id) as sources, count(distinct maker) as makers, count(*) as rows from own group by part),
+    c as (select *, case when coalesce(required, 0) <= 0 then (case when coalesce(stock, 0) > 0 then 'overstock' else 'unknown' end) when coalesce(stock, 0) <= 0 then 'no_stock' when stock < required then 'partial_stock' when stock > required then 'overstock' else 'in_stock' end as status,
+      case when required is not null then greatest(required - coalesce(stock, 0), 0) end as shortage from g)"""
+add("c_coverage", lambda s, d: C.coverage(R.active_records(s, d)), f"{COVER} select * from c", "records")
+add("c_coverage_totals", lambda s, d: C.coverage_totals(C.coverage(R.active_records(s, d))), f"{COVER} select count(*) as parts, " + ", ".join(f"count(*) filter (status = '{k}') as {k}" for k in ("in_stock", "partial_stock", "no_stock", "overstock", "unknown")) + ", sum(required) as required, sum(stock) as stock, sum(shortage) as shortage from c", "records")
+add("c_coverage_filter", lambda s, d: C.coverage_filter(C.coverage(R.active_records(s, d)), text="p-1", statuses=["partial_stock", "overstock"], party="brand#3").select("part", "status", "maker"), f"{COVER} select part, status, maker from c where part like '%P-1%' and status in ('partial_stock', 'overstock') and (lower(supplier) = 'brand#3' or lower(maker) = 'brand#3')", "records")
+OPP = f"""with own as (select {PART} as part, {CUSTOMER} as customer, {SUPPLIER} as supplier, {MAKER} as maker, upload_batch_id, coalesce(category = 'Generic' and return_flag = 'R', false) as ex, on_hand, line_status = 'F' as approved, category = 'Logistics' and return_flag = 'N' as received,
+      case when coalesce(req_qty, qty) > 0 and category <> 'Generic' and on_hand is null then coalesce(req_qty, qty) end as demand from active where {PART} is not null),
+    o as (select *, case when on_hand > 0 and not ex then on_hand end as stock, case when ex then on_hand end as excess from own),
+    g as (select part, coalesce(sum(demand), 0) as d, coalesce(sum(stock), 0) as s, coalesce(sum(excess), 0) as e, bool_or(approved) as approved, bool_or(received) as received, min(customer) as customer, min(supplier) as supplier, min(maker) as maker, count(distinct maker) > 1 as mixed_makers, count(distinct upload_batch_id) as sources,
+      max(case when demand is not null and customer is null then 1 else 0 end) + max(case when (stock is not null or ex) and supplier is null and maker is null then 1 else 0 end) as flags from o group by part),
+    k as (select *, case when s >= d then 'immediate_sale' when s > 0 then 'partial_sale' when e <= 0 then 'sourcing_needed' end as kind from g where d > 0 union all select *, 'excess_resale' from g where d > 0 and e > 0 union all select *, 'stock_without_demand' from g where d <= 0 and (s > 0 or e > 0)),
+    h as (select *, case when d > 0 then nullif(greatest(d - s - case when kind = 'excess_resale' then e else 0 end, 0), 0) end as shortage from k where kind is not null),
+    f as (select part, kind, nullif(d, 0) as demand, nullif(s, 0) as stock, nullif(e, 0) as excess, shortage, customer, supplier, maker, mixed_makers, sources, flags,
+      greatest(0, least(100, 40 + (case when d > 0 then 10 else 0 end) + (case when s > 0 or e > 0 then 10 else 0 end) + (case when shortage > 0 then 5 else 0 end) + (case when customer is not null then 10 else 0 end) + (case when supplier is not null or maker is not null then 5 else 0 end)
+      + (case when approved then 10 else 0 end) + (case when received then 5 else 0 end) + (case when sources > 1 then 5 else 0 end) - least(flags * 5, 20))) as score from h),
+    z as (select *, case when score >= 75 then 'high' when score >= 50 then 'medium' else 'low' end as confidence from f)"""
+add("o_opportunities", lambda s, d: C.opportunities(R.active_records(s, d)), f"{OPP} select * from z", "records")
+add("o_opportunity_totals", lambda s, d: C.opportunity_totals(C.opportunities(R.active_records(s, d))), f"{OPP} select kind, count(*) as n, sum(demand) as demand, sum(shortage) as shortage, count(*) filter (confidence = 'high') as high from z group by kind", "records")
+add(
+    "o_top_opportunities",
+    lambda s, d: C.top_opportunities(C.opportunities(R.active_records(s, d))).select("part", "kind", "demand"),
+    f"{OPP} select part, kind, demand from z order by list_position(['immediate_sale', 'partial_sale', 'excess_resale', 'sourcing_needed', 'stock_without_demand'], kind), demand desc nulls last, part limit 50",
+    "records",
+)
+add(
+    "o_account_clients",
+    lambda s, d: C.account_clients(R.active_records(s, d).select(S.normalize_mpn(F.col("mpn")).alias("part"), "upload_batch_id").filter("part is not null").distinct(), table(s, d, "customer").select(F.col("c_custkey").alias("upload_batch_id"), F.concat(F.lit("account "), F.col("c_custkey") % 12).alias("client"))).select("part", F.array_join("clients", ",").alias("clients")),
+    f"select part, string_agg(client, ',' order by client) as clients from (select distinct {MPN('mpn')} as part, concat('account ', upload_batch_id % 12) as client from active) where part is not null group by part",
+    "records",
+)
+PROFILED = ["mpn", "customer", "supplier", "price", "gp_rate", "req_qty", "on_hand"]
+PROFILE = "with e as (" + " union all ".join(f"select category, '{c}' as \"column\", nullif(trim(cast({c} as varchar)), '') as v from active" for c in PROFILED) + ") "
+add(
+    "o_structure_profile",
+    lambda s, d: C.structure_profile(R.active_records(s, d), PROFILED, "category").drop("distinct_values"),
+    PROFILE + """select category, "column", count(*) as rows, count(v) as filled, case when count(v) = 0 then 'empty' when count(*) filter (try_cast(v as double) is not null) = count(v) then 'number' else 'text' end as kind, round(count(v) / count(*), 4) as presence from e group by all""",
+    "records",
+)
+add(
+    "o_templates",
+    lambda s, d: C.template(C.structure_profile(R.active_records(s, d), PROFILED, "upload_batch_id"), "upload_batch_id"),
+    """with p as (select upload_batch_id, round(count(on_hand) / count(*), 4) as o, round(count(price) / count(*), 4) as p, round(count(gp_rate) / count(*), 4) as g, round(count(req_qty) / count(*), 4) as r, round(count(supplier) / count(*), 4) as s from active group by 1)
+    select upload_batch_id, case when o > 0.5 then 'inventory' when p > 0.5 and g > 0.5 then 'sales_margin' when r > 0.4 then 'rfq' when s > 0.5 then 'supplier_offer' else 'generic' end as template from p""",
+    "records",
+)
+
+# ---- two-file finder
+
+DEMAND_SQL = "select concat(case when l_partkey % 9 = 0 then 'x ' else 'X-' end, cast(l_partkey as string)) as mpn, case when l_linenumber < 6 then l_quantity * 3 end as q, case when l_partkey % 4 <> 0 then p_brand end as mfg, c_name as who, l_shipdate as due, case when l_linenumber <> 4 then 'ea' end as uom, l_orderkey * 10 + l_linenumber as source_row from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey where l_linestatus = 'O' and l_returnflag = 'N'"
+SUPPLY_SQL = "select concat('X-', cast(l_partkey as string)) as mpn, case when l_linenumber = 7 then - l_quantity else l_quantity * 8 end as q, case when l_suppkey % 10 = 3 then 'Other Maker' else upper(p_brand) end as mfg, case when l_suppkey % 25 = 4 then 'BOX' else 'EA' end as uom, l_orderkey * 10 + l_linenumber as source_row from lineitem join part on l_partkey = p_partkey where l_linestatus = 'F' and l_returnflag = 'A' and l_linenumber >= 3 and l_partkey % 6 <> 0"
+
+
+def sides(s, d):
+    demand = X.canonical(R.frame(s, d, DEMAND_SQL), "mpn", F.col("q"), "mfg", customer="who", date="due", unit="uom")
+    supply = X.canonical(R.frame(s, d, SUPPLY_SQL), "mpn", F.col("q"), "mfg", unit="uom")
+    return demand, supply
+
+
+CLEAN = lambda c: f"nullif(trim(regexp_replace(lower(regexp_replace({c}, '[^A-Za-z0-9\\s]', ' ', 'g')), '\\s+', ' ', 'g')), '')"
+FIND = f"""with dr as ({DEMAND_SQL}), sr as ({SUPPLY_SQL}),
+    dd as (select {MPN("mpn")} as part, trim(who) as customer, strftime(due, '%Y-%m-%d') as date, upper(uom) as unit, sum(case when q > 0 then q else 0 end) as required, min(source_row) as first_row, min(mfg) as maker, count(*) as demand_rows from dr group by 1, 2, 3, 4),
+    ss as (select {MPN("mpn")} as part, sum(case when q > 0 then q else 0 end) as supply, list(distinct {CLEAN("mfg")}) filter (mfg is not null) as makers, list(distinct upper(uom)) as units, bool_or(q <= 0) as invalid, bool_or(q < 0) as negative from sr group by 1),
+    j as (select dd.*, supply, makers, units, invalid, negative, case when {CLEAN("maker")} is not null and len(makers) > 0 and len(list_filter(makers, lambda m: contains(m, {CLEAN("maker")}) or contains({CLEAN("maker")}, m))) = 0 then 'manufacturer' when unit is not null and len(units) > 0 and not list_contains(units, unit) then 'unit' when required <= 0 then 'quantity' end as review from dd left join ss using (part)),
+    e as (select *, case when review is null then required else 0 end as eligible from j),
+    b as (select *, greatest(coalesce(supply, 0) - coalesce(sum(eligible) over (partition by part order by date asc nulls last, first_row, customer asc nulls last, unit asc nulls last rows between unbounded preceding and 1 preceding), 0), 0) as before from e),
+    r as (select *, least(eligible, before) as allocated from b),
+    res as (select part, customer, date, unit, first_row, required, coalesce(supply, 0) as supply, before, allocated, required - allocated as shortage, case when required > 0 then round(100 * allocated / required, 2) end as coverage,
+      case when review is not null then 'review_required' when allocated <= 0 then 'sourcing_needed' when allocated >= required then 'full_sale' else 'partial_sale' end as kind,
+      case when review = 'manufacturer' then 'review_manufacturer' when review is not null then 'review_quantity' when allocated <= 0 then 'contact_supplier' when allocated >= required then 'offer_full_quantity' else 'offer_available_quantity' end as action,
+      supply is not null as exact_part, review is null and before > 0 and required > 0 as usable, review is null and before = required and required > 0 as exact_quantity,
+      concat_ws(',', case when review = 'manufacturer' then 'manufacturer_conflict' end, case when review = 'unit' then 'incompatible_unit' end, case when negative then 'negative_available_quantity' end, case when invalid then 'invalid_available_quantity' end,
+        case when unit is null or supply is null then 'missing_unit' end, case when len(makers) > 1 then 'multiple_manufacturers' end) as warnings from r)"""
+add("x_opportunity_results", lambda s, d: X.match(*sides(s, d)).withColumn("warnings", F.array_join("warnings", ",")), f"{FIND} select * from res")
+add("x_summary", lambda s, d: X.summary(X.match(*sides(s, d))), f"{FIND} select count(*) as results, " + ", ".join(f"count(*) filter (kind = '{k}') as {k}" for k in ("full_sale", "partial_sale", "sourcing_needed", "review_required")) + ", sum(allocated) as allocated, sum(shortage) as shortage, count(distinct part) filter (usable) as usable_parts, count(*) filter (exact_quantity) as exact_quantity from res")
+add("x_excess", lambda s, d: X.match(*sides(s, d), role="excess").groupBy("kind", "action").agg(F.count("*").alias("n"), F.sum("allocated").alias("allocated")), f"{FIND}, t as (select *, case when kind in ('full_sale', 'partial_sale') then 'excess_resale' else kind end as k, case when kind = 'partial_sale' then 'source_remaining_quantity' else action end as a from res) select k as kind, a as action, count(*) as n, sum(allocated) as allocated from t group by 1, 2")
+add("x_history", lambda s, d: X.match(*sides(s, d), role="received_history").groupBy("kind").agg(F.count("*").alias("n"), F.count("allocated").alias("allocated")), f"{FIND} select case when review is null then 'historical_signal' else 'review_required' end as kind, count(*) as n, 0 as allocated from j where supply is not null group by 1")
+add("x_supply_only", lambda s, d: X.supply_only(*sides(s, d)), f"{FIND} select part, supply, len(makers) as makers from ss where supply > 0 and part not in (select part from dd)")
+add(
+    "x_possible_matches",
+    lambda s, d: X.possible_matches(*sides(s, d)),
+    f"{FIND} select distinct dd.part, ss.part as supply_part, regexp_replace(dd.part, '[^A-Z0-9]', '', 'g') as review from dd join ss on regexp_replace(dd.part, '[^A-Z0-9]', '', 'g') = regexp_replace(ss.part, '[^A-Z0-9]', '', 'g') and dd.part <> ss.part where dd.part not in (select part from ss)",
+)
+
+# ---- traffic, alerts, limits
+
+ERR = "coalesce(status_code >= 400 or level in ('error', 'fatal', 'security'), false)"
+add("t_per_user", lambda s, d: T.per_user(R.logs(s, d), R.uploads(s, d)), f"select user_id, count(*) as events, count(distinct route) as routes, count(*) filter ({ERR}) as errors, max(created_at) as last_activity, (select count(*) from uploads u where u.uploaded_by = l.user_id) as uploads from logs l where user_id is not null group by user_id", "logs", "uploads")
+add("t_per_route", lambda s, d: T.per_route(R.logs(s, d)), f"select route, count(*) as visits, count(distinct user_id) as users, coalesce(cast(floor(avg(duration_ms) filter (duration_ms > 0) + 0.5) as bigint), 0) as mean_ms, count(*) filter ({ERR}) as errors from logs group by route", "logs")
+add("t_per_ip", lambda s, d: T.per_ip(R.logs(s, d)), "select ip as address, count(*) as events, min(created_at) as first_seen, max(created_at) as last_seen, count(distinct route) as routes, arg_max_null(user_agent, row(created_at, id)) as agent from logs group by ip", "logs")
+for unit in ("hour", "day"):
+    add(f"t_{unit}_buckets", lambda s, d, unit=unit: T.buckets(R.logs(s, d), unit), f"select cast(date_trunc('{unit}', created_at) as timestamp) as bucket, count(*) as views, count(distinct coalesce(cast(user_id as varchar), ip)) as visitors from logs where is_page_view group by 1", "logs")
+add(
+    "t_totals",
+    lambda s, d: T.totals(R.logs(s, d)),
+    f"""select count(*) as events, count(*) filter (is_page_view) as page_views, count(distinct coalesce(cast(user_id as varchar), ip)) as visitors, count(*) filter ({ERR}) as errors, count(*) filter (status_code between 400 and 499) as client_errors, count(*) filter (status_code >= 500) as server_errors,
+    count(*) filter (status_code < 400) as successes, coalesce(round(avg(duration_ms) filter (duration_ms > 0), 2), 0) as mean_ms, count(*) filter (duration_ms > 1500) as slow from logs""",
+    "logs",
+)
+add("t_recent_errors", lambda s, d: T.recent_errors(R.logs(s, d)).select("id", "created_at", "route"), f"select id, created_at, route from logs where {ERR} order by created_at desc, id desc limit 20", "logs")
+add("t_error_rollup", lambda s, d: T.error_rollup(R.logs(s, d)), "select level, count(*) as n, count(distinct route) as routes, count(*) filter (duration_ms > 1500) as slow, min(created_at) as first_seen from logs group by level", "logs")
+add("t_retention", lambda s, d: T.retained(R.logs(s, d), "2024-01-15", ["purchase"]).groupBy("action").agg(F.count("*").alias("n")), "select action, count(*) as n from logs where created_at >= timestamp '2024-01-15' or action = 'purchase' group by action", "logs")
+RULES = "select p_partkey as rule_id, case p_partkey % 3 when 0 then 'error' when 1 then 'purchase' else 'signup' end as event_type, p_partkey % 4 <> 3 as enabled, case p_partkey % 5 when 0 then null when 1 then 'value_lt' else 'value_gt' end as condition, cast(p_size * 2 as double) as threshold from part where p_partkey < 12"
+add(
+    "e_alerts",
+    lambda s, d: T.alerts(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), "value"), R.frame(s, d, RULES).withColumn("recipients", F.when(F.col("rule_id") % 2 == 0, F.array(F.lit("a@x.com"), F.lit("b@x.com"))).otherwise(F.array().cast("array<string>")))),
+    f"with r as ({RULES}), h as (select event_id as id, rule_id from events e join r on e.event_type = r.event_type where enabled and (condition is null or (condition = 'value_gt' and value > threshold) or (condition = 'value_lt' and value < threshold))) select id, rule_id, unnest(case when rule_id % 2 = 0 then ['a@x.com', 'b@x.com'] else ['no-recipient'] end) as recipient from h",
+)
+add("e_rate_limit", lambda s, d: rate.batch_limit(table(s, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id")), 600, 1))
