@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
+TASK_EDGES = 400_000
+
+
 def _print_of(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return r.n, r.x
@@ -27,10 +30,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        k = 6 + now[0] // TASK_EDGES  # a task for so many edges is enough; tiny tasks cost more than their work
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(k)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(k)
+        large = written(large.distinct().coalesce(k), "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(k)
+        e = written(small.unionByName(low.select("a", F.col("m").alias("b"))).coalesce(k).distinct().coalesce(k), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

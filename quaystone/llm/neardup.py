@@ -37,7 +37,7 @@ from .text import NONSPACE, Words, grams, mix, slices
 
 TABLES_SIDE = 10
 PER_KEY = 3
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Bits of the filter that keeps texts without candidates out of the shuffle; beyond its use, only speed suffers.
 FILTER_BITS = 1 << 26
 
@@ -155,11 +155,11 @@ def _prefix_pairs(open_rows: DataFrame, texts: DataFrame, shingle: int, percent:
 
     def explode(batches):
         for batch in batches:
-            sets = list(_sets(batch.column(3), shingle))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            row = pa.array(np.repeat(np.arange(len(sets)), sizes))
-            h = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(row) for i in range(3)] + [pa.array(h)], ["rep", "n", "comp", "h"])
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = list(_sets(part.column(3), shingle))
+                row = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([part.column(i).take(row) for i in range(3)] + [pa.array(np.concatenate(sets).view(np.int64))], ["rep", "n", "comp", "h"])
 
     own = nodes.join(texts, nodes["rep"] == texts["doc_id"]).select("rep", "n", "comp", "text")
     tokens = written(own.mapInArrow(explode, "rep long, n long, comp long, h long"), "tokens")
