@@ -27,7 +27,7 @@ def batch_limit(events: DataFrame, seconds: float, most: int) -> DataFrame:
     with in order of time; its rows stream through in batches with the small
     state carried over, and are never gathered.
     """
-    own = events.filter("key is not null and ts is not null").select("key", "id", "ts")
+    own = events.filter("key is not null and ts is not null").select("key", "id", F.col("ts").cast("timestamp").alias("ts"))
 
     def run(batches):
         key, state = None, None
@@ -65,4 +65,4 @@ def stream_limit(events: DataFrame, seconds: float, most: int) -> DataFrame:
 
 def tumbling(stream: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts by type in tumbling windows, with late rows dropped after the watermark; batch frames work as well."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
