@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quaystone.llm import decontaminate as dec
 from quaystone.llm import neardup, pieces, pii, toxicity
-from quaystone.llm.shared import table, written
+from quaystone.llm.shared import small_batches, table, written
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +53,20 @@ def _encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, ["doc_id"], digests=True, ids=True)
 
 
+def _stage(function):
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return function(spark, docs, sf_dir)
+
+    return stage
+
+
 STAGES = [
-    ("toxicity", _toxicity),
-    ("near_duplicates", _near_duplicates),
-    ("decontamination", _decontamination),
-    ("personal_data", _personal_data),
-    ("sentencepiece", _encoding),
+    ("toxicity", _stage(_toxicity)),
+    ("near_duplicates", _stage(_near_duplicates)),
+    ("decontamination", _stage(_decontamination)),
+    ("personal_data", _stage(_personal_data)),
+    ("sentencepiece", _stage(_encoding)),
 ]
 
 #: The models and the tokenizer are beyond SQL; tests hold the stages against brute force.

@@ -14,7 +14,7 @@ from . import pii as _pii
 from . import tokencount as _count
 from . import toxicity as _tox
 from . import warc as _warc
-from .shared import crc, table
+from .shared import crc, small_batches, table
 
 QUERIES = {}
 ORACLES = {}
@@ -22,8 +22,12 @@ ORACLES = {}
 
 def query(name):
     def add(f):
-        QUERIES[name] = f
-        return f
+        def run(spark, sf_dir):
+            small_batches(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
+        return run
 
     return add
 

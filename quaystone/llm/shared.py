@@ -46,3 +46,9 @@ def partitions(spark: SparkSession) -> int:
 def crc(column) -> F.Column:
     """crc32 of a column's text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand long texts to Python workers in small Arrow batches, which bounds memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
