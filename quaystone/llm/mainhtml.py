@@ -7,9 +7,12 @@ headers and footers of the page, sidebars, forms, adverts, notices, reader
 comments; told by tag, role, class and id) are set aside.  Each paragraph of
 the rest gives points for its length and its commas: all of them to its
 parent, half to the grandparent, and less above.  An element's points count
-less the more of its text is in links.  The best element is kept with those
-siblings that score near it or read like prose; if the best element is inside
-an article, main or body that scores nearly as much, that one is taken.
+less the more of its text is in links.  If the best element is inside an
+article or main with few links, the outermost of those is taken; otherwise it
+is kept with all its siblings that are not mostly links, and with what reads
+like prose beside the elements around it, as far as it holds most of their
+text.  Names of class and id set no element aside that holds the page's
+heading or nearly all its text: such a name is one of the layout.
 
 Every block of what is kept is a line: white space inside a block is one
 space, ends are trimmed, empty blocks go, and nothing is cut off.
@@ -48,18 +51,21 @@ _ENDS_P = BLOCKS - {"body", "html"}
 #: An open element of the first kind ends where one of the second begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _STOPS = frozenset("ul ol dl table".split())
+#: A page with fewer unlinked letters has its text where only names set it aside.
+LITTLE = 140
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "points", "letters", "linked", "aside")
+    __slots__ = ("tag", "names", "parent", "children", "points", "letters", "linked", "aside", "named")
 
     def __init__(self, tag: str, names: str, parent: Node | None, aside: bool):
-        self.tag, self.names, self.parent, self.aside = tag, names, parent, aside
+        self.tag, self.names, self.parent, self.aside, self.named = tag, names, parent, aside, False
         self.children: list[Node | str] = []
         self.points, self.letters, self.linked = 0.0, 0, 0
 
 
-def _is_aside(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
+def _is_aside(tag: str, attributes: str, parent: Node) -> tuple[bool, str, bool]:
+    """Whether an element is set aside for certain, its names, and whether it is set aside by them."""
     names, hidden, role = "", False, ""
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
@@ -71,10 +77,10 @@ def _is_aside(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
     if tag in ASIDE or hidden or role in ROLES:
-        return True, names
+        return True, names, False
     if tag == "header" and not _within(parent, ("article", "main")):
-        return True, names
-    return bool(names and tag not in ("html", "body", "article", "main") and _ASIDE_NAMES.search(names)), names
+        return True, names, False
+    return False, names, bool(names and tag not in ("html", "body", "article", "main") and _ASIDE_NAMES.search(names))
 
 
 def _within(node: Node | None, tags) -> bool:
@@ -132,8 +138,9 @@ def tree(page: str) -> Node:
                 up = up.parent
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", here.tag) and here.parent is not None:
             here = here.parent
-        aside, names = _is_aside(tag, m[3], here)
-        node = Node(tag, names, here, aside)
+        node = Node(tag, "", here, False)
+        aside, node.names, node.named = _is_aside(tag, m[3], here)
+        node.aside = aside or node.named
         here.children.append(node)
         if tag not in VOID and not m[0].endswith("/>") or tag in BLOCKS and m[0].endswith("/>"):
             here = node
@@ -219,45 +226,128 @@ def _end(out: list[str], line: list[str]) -> None:
         line.clear()
 
 
+def _links(node: Node) -> float:
+    return node.linked / node.letters if node.letters else 0.0
+
+
+def _held(top: Node) -> tuple[int, bool]:
+    """The unlinked letters of an element, and whether it holds the page's heading or main part."""
+    letters, heading, stack = 0, False, [top]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str):
+                letters += len(_SPACE.sub(" ", c).strip())
+            elif not c.aside and c.tag != "a":
+                heading = heading or c.tag in ("h1", "main")
+                stack.append(c)
+    return letters, heading
+
+
+def _named(root: Node) -> list[Node]:
+    """The elements that are set aside by their names, without those inside others."""
+    out, stack = [], [root]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, Node):
+                if c.aside:
+                    out += [c] * c.named
+                else:
+                    stack.append(c)
+    return out
+
+
+def _measured(root: Node) -> list[Node]:
+    """Measure a page, taking back what was set aside by name though it holds the page's text."""
+    while True:
+        order = _measure(root)
+        left = root.letters - root.linked
+        found = [(*_held(n), n) for n in _named(root)]
+        held, heading, node = max(found, key=lambda x: x[:2], default=(0, False, root))
+        if not (held > left and heading or left < LITTLE and held > 4 * left):
+            return order
+        node.aside = False
+        for n in order:
+            n.points, n.letters, n.linked = 0.0, 0, 0
+
+
+def _beside(best: Node, near: bool) -> list[list[Node | str]]:
+    """An element with what is kept of its siblings: all that isn't mostly links, or (not ``near``) only prose.
+
+    Text and inline elements that follow each other are one part.
+    """
+    parts: list[list[Node | str]] = []
+    inline = False
+    for c in best.parent.children:
+        flows = isinstance(c, str) or c.tag not in BLOCKS and c is not best
+        if flows and inline:
+            parts[-1].append(c)
+        elif not (isinstance(c, Node) and c.aside):
+            parts.append([c])
+        else:
+            continue
+        inline = flows
+    return [p for p in parts if p[0] is best or _kept(p, near)]
+
+
+def _kept(part: list[Node | str], near: bool) -> bool:
+    letters = linked = 0
+    for c in part:
+        if isinstance(c, str):
+            letters += len(_SPACE.sub(" ", c).strip())
+        elif not c.aside:
+            letters += c.letters
+            linked += c.letters if c.tag == "a" else c.linked
+    if not letters or linked >= (0.5 if near else 0.25) * letters:
+        return False
+    return near or letters > 80 or isinstance(part[0], Node) and re.fullmatch("h[1-6]", part[0].tag) is not None or "." in _plain(part)
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = tree(page)
-    order = _measure(root)
+    order = _measured(root)
     best = max(order, key=_score, default=root)
     if _score(best) <= 0:
         best = root
     up = best.parent
     while up is not None:
-        if up.tag in ("article", "main") and _score(up) >= 0.5 * _score(best):
+        if up.tag in ("article", "main") and _links(up) < 0.5:
             best = up
         up = up.parent
+    before: list[list[Node | str]] = []
+    after: list[list[Node | str]] = []
+    near = best.tag not in ("article", "main")
+    here = best
+    while near and here.parent is not None:
+        parts = _beside(here, here is best)
+        at = next(i for i, p in enumerate(parts) if p[0] is here)
+        before, after = parts[:at] + before, after + parts[at + 1 :]
+        up = here.parent
+        if up.parent is None or 2 * (here.letters - here.linked) < up.letters - up.linked:
+            break
+        here = up
     out: list[str] = []
-    kept = [best]
-    if best.parent is not None and best.tag not in ("article", "main"):
-        limit = max(3.0, 0.2 * _score(best))
-        kept = []
-        for s in best.parent.children:
-            if s is best:
-                kept.append(s)
-            elif isinstance(s, str) or s.aside:
-                continue
-            else:
-                links = s.linked / s.letters if s.letters else 0
-                prose = s.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol") and s.letters and links < 0.25 and (s.letters > 80 or s.tag[0] == "h" or "." in _plain(s))
-                if _score(s) >= limit or prose:
-                    kept.append(s)
-    for s in kept:
-        line: list[str] = []
-        _lines(s, out, line)
-        _end(out, line)
+    for part in [*before, [best], *after]:
+        _read(part, out)
     return "\n".join(out)
 
 
-def _plain(node: Node) -> str:
-    out: list[str] = []
-    _lines(node, out, line := [])
+def _read(part: list[Node | str], out: list[str]) -> None:
+    line: list[str] = []
+    for c in part:
+        if isinstance(c, str):
+            line.append(c)
+        elif c.tag == "br":
+            line.append(" ")
+        elif not c.aside:
+            _lines(c, out, line)
     _end(out, line)
+
+
+def _plain(part: list[Node | str]) -> str:
+    out: list[str] = []
+    _read(part, out)
     return " ".join(out)
 
 

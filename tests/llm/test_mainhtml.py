@@ -55,3 +55,26 @@ def test_edges(spark):
     assert got[1] == got[2] == got[5] == "" and got[3] == "just text é é &bogus;" and got[4] == "ab cd" and got[None] == "x"
     assert got[6] == LONG.strip() and got[7].count("\n") == 2999
     assert mainhtml.extract(df.limit(0), ["page_id"]).count() == 0
+
+
+INNER = f"<p>{LONG}</p>" * 6
+BODY = "\n".join([LONG.strip()] * 6)
+NOTE = "A short note"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><h1>Title</h1><div class=entry><div class=inner>{INNER}</div></div></article>", f"Title\n{BODY}"),
+        (f"<article><h1>Title</h1><p>Intro.</p><div><div><div>{INNER}</div></div></div></article>", f"Title\nIntro.\n{BODY}"),
+        (f"<main><section><h2>One</h2>{INNER}</section><section><h2>Two</h2><div>{NOTE}</div></section></main>", f"One\n{BODY}\nTwo\n{NOTE}"),
+        (f"<body><div>{MENU}</div><section>{INNER * 3}</section><section>{NOTE}</section><dl><dt>Term</dt><dd>Sense</dd></dl>", f"{BODY}\n{BODY}\n{BODY}\n{NOTE}\nTerm\nSense"),
+        (f"<div>{MENU}</div><div class=post><h1>Title</h1><div class=entry><div class=inner>{INNER}</div></div></div>", f"Title\n{BODY}"),
+        (f"<div><div class=inner>{INNER}</div>Bare <b>words</b> <a href=x>here</a> at the end<aside>x</aside></div>", f"{BODY}\nBare words here at the end"),
+        (f"<div class='page has-sidebar'><div class=sidebar><p>{LONG}</p></div><h1>Title</h1>{INNER}</div><p>Copyright.</p>", f"Title\n{BODY}\nCopyright."),
+        (f"<div class='layout widget'>{INNER}</div>", BODY),
+        (f"<div id=wrap class='content sidebar-left'><main>{INNER}</main></div><p>{LONG * 2}</p>", BODY),
+    ],
+)
+def test_whole_text_of_other_layouts(page, want):
+    assert mainhtml.main_text(page) == want
