@@ -3,10 +3,10 @@
 The patterns find e-mail addresses, IPv4 addresses, card and phone numbers.
 The tagger (a character-level BiLSTM with CRF transitions) is trained from
 windows around a bounded sample of the spans that patterns label, with their
-written forms varied (``name [at] host dot tld``, numbers without the plus or
-with other separators), and from windows of other digits, which are no data.
-It reads every part of every text that could hold such a form: around digits,
-``@``, ``(at)`` and ``dot``.  Overlapping windows are scored, their scores
+written forms varied (``name [at] host dot tld``, numbers without the plus, with
+other separators or grouped as in other countries), and from windows of other
+digits, which are no data.  It reads the parts of every text around digits,
+``@``, ``(at)``, ``dot`` and an ``at`` before a host with a dot.  Overlapping windows are scored, their scores
 averaged where they overlap, and each whole stretch is decoded at once.  What
 it adds must not overlap a pattern's span and must pass a check of its kind
 (digits, octets, Luhn, an at and a dot).
@@ -41,7 +41,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _ANCHOR = re.compile(r"[0-9]+|@")
-_WORDS = re.compile(r"[\[({<]\s?at\s?[\])}>]|\bdot\b", re.IGNORECASE)
+_WORDS = re.compile(r"[\[({<]\s?at\s?[\])}>]|\bdot\b|\bat\s+[a-z0-9-]+\.[a-z0-9]", re.IGNORECASE)
 
 
 def _emails(t: str):
@@ -82,7 +82,7 @@ def stretches(t: str) -> list[tuple[int, int]]:
     """Where written forms of the kinds could be: the parts of a text around anchors, joined where they meet."""
     marks = [m.span() for m in _ANCHOR.finditer(t)] if _ANCHOR.search(t) else []
     low = t.lower() if len(t.lower()) == len(t) else t
-    if "dot" in low or "at" in low and any(b in low for b in "[({<"):
+    if "dot" in low or "at" in low and ("." in low or any(b in low for b in "[({<")):
         marks += [m.span() for m in _WORDS.finditer(t)]
         marks.sort()
     out: list[list[int]] = []
@@ -95,6 +95,10 @@ def stretches(t: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: An address as it may be written out.
+_WRITTEN = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({<]\s?(?:at|@)\s?[\])}>]|\sat\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({<]\s?(?:dot|\.)\s?[\])}>]|\sdot\s)\s*[A-Za-z0-9-]+)+", re.IGNORECASE)
+
+
 # ---- training from labelled spans
 
 
@@ -106,7 +110,7 @@ def _varied(kind: str, s: str, r: random.Random) -> str:
         if r.random() < 0.7:
             name = r.choice([name, word(), word() + "." + word(), word() + str(r.randrange(100)), word() + "_" + word(), word() + "-" + word()])
             host = r.choice(["", "", "mail.", "mx" + str(r.randrange(9)) + "."]) + r.choice([word(), host.split(".")[-2]]) + "." + r.choice(["com", "org", "net", "de", "fr", "es", "io", "edu", "info", "co.uk"])
-        at, dot = r.choice([(" [at] ", "."), (" (at) ", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("[at]", "."), (" AT ", " DOT "), ("(at)", "(dot)"), (" @ ", ".")])
+        at, dot = r.choice([(" [at] ", "."), (" (at) ", "."), (" at ", " dot "), *[(" at ", ".")] * 3, (" [at] ", " [dot] "), ("[at]", "."), (" AT ", " DOT "), ("(at)", "(dot)"), (" @ ", ".")])
         return name + at + host.replace(".", dot)
     d = [str(r.randrange(10)) if kind == "phone" else c for c in _digits(s)]
     if kind == "ip":
@@ -117,9 +121,21 @@ def _varied(kind: str, s: str, r: random.Random) -> str:
         return r.choice([".", "/", "  ", " - ", "_"]).join(groups)
     d = (["5"] * 10 + d)[-10:]
     a, b, c = "".join(d[:3]), "".join(d[3:6]), "".join(d[6:])
+    if r.random() < 0.6:
+        return _grouped("".join(d), r)
     return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"001 {a} {b} {c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}"])
 
 
+def _grouped(d: str, r: random.Random) -> str:
+    """Ten digits as a phone number of other countries."""
+    pairs = lambda s, by: by.join(s[i : i + 2] for i in range(0, len(s), 2))
+    short = d[3 : 10 - r.randrange(2)]
+    return r.choice([
+        d, d, f"0{d[1]} {pairs(d[2:], ' ')}", f"0{d[1]}-{pairs(d[2:], '-')}", f"0{d[1]}.{pairs(d[2:], '.')}", f"0033 {d[1]} {pairs(d[2:], ' ')}", f"02{d[2]} {d[2:6]} {d[6:]}", f"0{d[1:5]} {d[4:]}", f"07{d[1:4]} {d[4:]}",
+        f"0{d[1:3]} {short}", f"0{d[1:3]}/{short}", f"(0{d[1:3]}) {short}", f"0{d[1:4]}-{short}", f"0049 {d[1:3]} {short}", f"6{d[1:3]} {d[3:6]} {d[6:9]}", f"9{d[1]} {d[2:5]} {d[5:7]} {d[7:9]}", f"6{d[1:9]}",
+    ])
+
+
 def _decoy(r: random.Random) -> str:
     """Digits that are no personal data."""
     n = lambda k: "".join(str(r.randrange(10)) for _ in range(k))
@@ -130,6 +146,12 @@ def _decoy(r: random.Random) -> str:
     ])
 
 
+def _near_phone(r: random.Random) -> str:
+    """Dates, ranges and numbers of about as many digits as a phone number."""
+    n = lambda k: "".join(str(r.randrange(10)) for _ in range(k))
+    return r.choice([f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", f"{n(2)}/{n(2)}/{n(4)}", f"{n(2)}.{n(2)}.{n(4)}", f"{n(4)}-{n(4)}", f"{n(4)}-{n(4)}", f"no. {n(5)}", f"{r.randrange(1900, 2100)} - {r.randrange(1900, 2100)}", n(8)])
+
+
 def _examples(docs: DataFrame, most: int) -> list[tuple[str, str, str, str]]:
     """(kind, before, span, after) of a bounded sample of the patterns' spans: those of least hash, as many of each kind."""
 
@@ -155,7 +177,7 @@ def train(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> Tagger | Non
     r = random.Random(13)
     texts, tags = [], []
     for kind, before, span, after in _examples(docs, sample_windows):
-        for what, form in (("base", span), ("form", _varied(kind, span, r)), ("form", _varied(kind, span, r)), ("decoy", _decoy(r))):
+        for what, form in (("base", span), ("form", _varied(kind, span, r)), ("form", _varied(kind, span, r)), ("form", _varied(kind, span, r)), ("decoy", _decoy(r)), ("decoy", _decoy(r)), ("decoy", _near_phone(r))):
             lead = r.randrange(5, max(6, WINDOW - len(form)))
             head = before[-lead:]
             own = (len(head), len(head) + len(form))
@@ -183,7 +205,7 @@ def _valid(kind: str, s: str) -> bool:
     """Whether what the tagger found can be such data at all."""
     d = _digits(s)
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s*(?:@|[\[({<]\s?(?:at|@)\s?[\])}>]|\sat\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|[\[({<]\s?(?:dot|\.)\s?[\])}>]|\sdot\s)\s*[A-Za-z0-9-]+)+", s, re.IGNORECASE))
+        return bool(_WRITTEN.fullmatch(s))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"[A-CE-NP-SU-Za-ce-np-su-z]", s)
@@ -191,7 +213,7 @@ def _valid(kind: str, s: str) -> bool:
         return False
     if kind == "card":
         return 16 <= len(d) <= 19 and luhn(d)
-    return 10 <= len(d) <= 13 and bool(re.fullmatch(r"\(?(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}", s))
+    return 8 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]*[0-9][0-9 ()./\t+-]*[0-9]", s))
 
 
 def _tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -232,6 +254,11 @@ def _trimmed(kind: str, t: str, a: int, b: int) -> tuple[int, int]:
         a += 1
     while b > a and t[b - 1] in " \t\n,;:.-":
         b -= 1
+    if kind == "email":  # the whole address that was touched, without words beside it
+        low = max(0, a - REACH)
+        for m in _WRITTEN.finditer(t, low, min(len(t), b + REACH)):
+            if m.start() < b and a < m.end():
+                return m.span()
     return a, b
 
 

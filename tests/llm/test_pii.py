@@ -100,6 +100,30 @@ def test_other_forms_are_found_and_clean_text_is_left_alone(spark, model):
     assert hit / tried > 0.7 and wrong / tried < 0.03
 
 
+PHONES = ["5556986998", "06 12 34 56 78", "020 7946 0958", "030 1234567"]
+#: Forms that the training's generator doesn't make.
+HELD_OUT = ["44 20 7946 0958", "0161 496 0123", "0221 - 4710123", "93 412 3456"]
+
+
+def test_phones_of_other_countries_and_plain_at(spark, model):
+    assert all(pii._valid("phone", p) for p in [*PHONES, *HELD_OUT]) and not pii._valid("phone", "1234567") and not pii._valid("phone", "1234_567890")
+    assert pii.stretches("mail to jo.smith at mail.example.org please") == [(0, 43)] and pii.stretches("we are at home. Then") == []
+    r = random.Random(78)
+    words = [w for x in table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect() for w in (x.text or "").split() if not re.search("[0-9@]", w)]
+
+    def share(kind, forms):
+        hit = 0
+        for form in forms:
+            before, after = (" ".join(r.choice(words) for _ in range(12)) for _ in range(2))
+            ((*found,),) = pii.spans_of([f"{before} {form} {after}"], model, {})
+            hit += any(k == kind and a <= len(before) + 1 and b >= len(before) + 1 + len(form) for k, a, b, _ in found)
+        return hit / len(forms)
+
+    got = {p: share("phone", ["".join(str(r.randrange(10)) if c.isdigit() and i > 1 else c for i, c in enumerate(p)) for _ in range(40)]) for p in [*PHONES, *HELD_OUT]}
+    got["at"] = share("email", [f"{r.choice(['jo.smith', 'eva.lang', 'tom.meyer'])} at {r.choice(['mail.', ''])}{r.choice(['example', 'firma', 'correo'])}.{r.choice(['org', 'de', 'es'])}" for _ in range(40)])
+    assert all(got[p] > 0.7 for p in PHONES) and got["at"] > 0.5 and sum(got[k] for k in HELD_OUT) / len(HELD_OUT) > 0.5, str(got)
+
+
 def test_query_keeps_base_spans(spark, sf):
     docs = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
     got = QUERIES["op6_pii"](spark, sf).collect()
