@@ -42,6 +42,17 @@ def test_csv(spark, tmp_path):
     assert again.count() == 4 and again.first().header[:2] == ["Customer", "MPN"]
 
 
+def test_csv_of_any_width(spark, tmp_path):
+    wide = [f"v{i}" for i in range(150)]
+    wide[3], wide[149] = "a, b\nc", 'last "q", end'
+    quoted = ",".join('"' + c.replace('"', '""') + '"' if set(c) & set('",\n') else c for c in wide)
+    (tmp_path / "w.csv").write_text(f'Customer,MPN\n{quoted}\nx"y,z"' + ",k" * 170 + "\nshort\n")
+    (tmp_path / "one.csv").write_text("a\nb\n")
+    got = {r.row_index: r.cells for r in sheets.read_csv(spark, f"file://{tmp_path}/w.csv").collect()}
+    assert got[2] == wide and len(got[3]) == 172 and got[4] == ["short"] and got[1] == ["Customer", "MPN"]
+    assert [r.cells for r in sheets.read_csv(spark, f"file://{tmp_path}/one.csv").collect()] == [["a"], ["b"]]
+
+
 def workbook(path):
     rows = [["Customer", "MPN", "Qty", "GP rate", "Earliest shipping date"], ["Acme, Inc", "ab-1", "1,200", "45%", "2024-03-01"], ["=cmd()", "x 2", "abc", "250", "soon"], ["Short", "#REF!"], [], ["Long", "zz", "-5", "0.5", "45352"]]
     cell = lambda r, c, v: f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t>{v}</t></is></c>' if not v.lstrip("-").isdigit() else f'<c r="{chr(65 + c)}{r}"><f>1+1</f><v>{v}</v></c>'
