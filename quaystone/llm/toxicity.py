@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .text import _BYTE, Words, byte_class, mix, powers, slices
 
 LETTERS = byte_class(lambda b: b >= 128 or 97 <= b <= 122 or 65 <= b <= 90)
-COLUMNS = 1 << 20
+COLUMNS = 1 << 22
 BEGINNINGS = (4, 5, 6)
 FACTORS = 6
 MAX_TOXIC = 8000

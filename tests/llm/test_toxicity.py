@@ -71,3 +71,12 @@ def test_no_labels_and_empty(spark):
     m = tox.learn(df, labels)
     assert {round(r.score, 4) for r in tox.score(df, m, ["doc_id"]).collect()} == {tox.DEFAULT_RATE}
     assert tox.score(df.limit(0), m, ["doc_id"]).count() == 0
+
+
+def test_few_unseen_words_share_a_used_column():
+    def columns(prefix):
+        data = " ".join(prefix + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(10000)).encode()
+        return tox.distinct(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), tox.LETTERS))[0][:, 0]
+
+    used, other = (np.unique(columns(p)) for p in ("seenqq", "freshzz"))
+    assert np.isin(other, used).mean() < 0.005
