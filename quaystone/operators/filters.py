@@ -3,23 +3,37 @@
 from __future__ import annotations
 
 import operator
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import contains_text
+from ..functions.scalars import ACCENTED, PLAIN, contains_text, fold_accents
 
 OPERATORS = {"eq": operator.eq, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 
-#: Columns of each sensitive group, and the roles that may see it.
+#: Names of each sensitive group, without case and signs, and what further names belong to it (fixed values).
 SENSITIVE = {
-    "cost": (("cost", "best_price_offered", "target_to_vendor"), ("admin", "manager")),
-    "margin": (("gp", "gp_rate", "commission"), ("admin",)),
-    "price": (("price", "total_price", "potential_amount_usd"), ("admin", "manager", "sales")),
-    "supplier": (("supplier", "supplier_name"), ("admin", "manager", "purchasing")),
-    "customer": (("customer", "client"), ("admin", "manager", "sales")),
+    "pricing": (
+        "price unitprice sellingprice saleprice quotedprice targetprice totalprice bestprice bestpriceoffered pricebook globalprice contractglobalprice usdextendedprice usdextendedprice2 potentialamountusd amount revenue",
+        "(price|pricebook|globalprice|contractglobalprice|usdextendedprice|revenue|amount)$",
+    ),
+    "cost": ("cost unitcost productcost suppliercost buycost buyprice targettovendor cogs", "(cost|cogs|buyprice|targettovendor)$"),
+    "gp": ("gp gprate grossprofit grossprofitrate grossmargin margin marginrate commission comision netprofit", "^(gp|gprate)$|grossprofit|grossmargin|marginrate|commission|comision|netprofit"),
+    "supplier": (
+        "supplier suppliername globalsuppliername vendor vendorname manufacturer manufacturername globalmanufacturername mfg mfr manuname manucode cleanmfg",
+        "supplier|vendor|manufacturer|manuname|manucode|cleanmfg|^mfg$|^mfr$",
+    ),
+    "customer": ("customer customername globalcustomername client clientname endcustomer bpname businesspartnerid", "customer|client|endcustomer|bpname|businesspartnerid"),
+    "po": ("po purchaseorder purchaseordernumber", "^(po|purchaseorder|purchaseordernumber)$"),
+    "notes": ("notes note internalnotes internalnote comments comment remarks memo", "internalnote|internalnotes|^notes?$|^comments?$|remarks|memo"),
 }
+#: Names that are no secret though a pattern says so (fixed values).
+SAFE_NAMES = ("accountclients", "accountclientid", "accountclientname")
+#: The groups that each role may see; an admin sees all.
+VISIBLE = {"admin": tuple(SENSITIVE), "manager": ("supplier", "customer")}
 
 
 def both(conditions: list[Column]) -> Column:
@@ -34,8 +48,30 @@ def compare(column: str, op: str, value: float) -> Column:
     return OPERATORS[op](F.col(column), value)
 
 
-def hidden_columns(role: str) -> set[str]:
-    return {c for columns, roles in SENSITIVE.values() if role not in roles for c in columns}
+def sensitive_group(name: str) -> str | None:
+    """The group that a field's name belongs to, or None."""
+    key = re.sub("[^a-zA-Z0-9]", "", name.translate(str.maketrans(ACCENTED, PLAIN))).lower()
+    if key in SAFE_NAMES:
+        return None
+    exact = (g for g, (names, _) in SENSITIVE.items() if key in names.split())
+    return next(exact, None) or next((g for g, (_, pattern) in SENSITIVE.items() if re.search(pattern, key)), None)
+
+
+def hidden(name: str, role: str) -> bool:
+    """Whether a role may not see a field of this name."""
+    group = sensitive_group(name)
+    return group is not None and group not in VISIBLE.get(role, ())
+
+
+def hidden_key(key: Column, role: str) -> Column:
+    """The same for names that are data."""
+    key = F.lower(F.regexp_replace(fold_accents(key), "[^a-zA-Z0-9]", ""))
+    group = F.when(key.isin(*SAFE_NAMES), "")
+    for g, (names, _) in SENSITIVE.items():
+        group = group.when(key.isin(*names.split()), g)
+    for g, (_, pattern) in SENSITIVE.items():
+        group = group.when(key.rlike(pattern), g)
+    return ~group.otherwise("").isin("", *VISIBLE.get(role, ()))
 
 
 def record_conditions(filters: dict, role: str = "admin") -> list[Column]:
@@ -45,9 +81,9 @@ def record_conditions(filters: dict, role: str = "admin") -> list[Column]:
     high)`` with None for open, dates are an inclusive range of days.
     """
     pairs = {"supplier": ("supplier", "supplier_name"), "mpn": ("mpn", "mpn_quoted"), "manufacturer": ("manufacturer", "clean_mfg"), "customer": ("customer",), "po": ("po",), "description": ("description",)}
-    hidden, out = hidden_columns(role), []
+    out = []
     for name, value in filters.items():
-        if value is None or set(pairs.get(name, (name,))) <= hidden:
+        if value is None or all(hidden(c, role) for c in pairs.get(name, (name,))):
             continue
         if name in pairs:
             out.append(either([contains_text(F.col(c), value) for c in pairs[name]]))
@@ -73,8 +109,6 @@ def low_margin(df: DataFrame, threshold: float = 0.15) -> DataFrame:
 
 def text_search(df: DataFrame, query: str, text: Column) -> DataFrame:
     """Words that must all occur; ``"a b"`` is a phrase, ``or`` an alternative and ``-w`` must not occur."""
-    import re
-
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     groups: list[Column] = []
@@ -108,17 +142,22 @@ def visible(df: DataFrame, owner: str, profiles: DataFrame, me) -> DataFrame:
 
 
 def redact(df: DataFrame, role: str) -> DataFrame:
-    """Columns that a role can't see become null; maps lose the values of such keys."""
-    hidden = hidden_columns(role)
-    out = []
-    for f in df.schema:
-        if f.name in hidden:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
-        elif f.dataType.typeName() == "map":
-            out.append(F.transform_values(f.name, lambda k, v: F.when(~F.lower(k).isin(sorted(hidden)), v)).alias(f.name))
-        else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+    """Fields that a role can't see become null: columns, fields of structs and values of maps, at any depth.
+
+    Names are compared without case, signs and accents (``Unit Price`` is ``unitprice``).
+    """
+
+    def clean(c: Column, kind) -> Column:
+        if isinstance(kind, T.StructType):
+            fields = [(F.lit(None).cast(f.dataType) if hidden(f.name, role) else clean(c[f.name], f.dataType)).alias(f.name) for f in kind]
+            return F.when(c.isNotNull(), F.struct(*fields))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda k, v: F.when(~hidden_key(k.cast("string"), role), clean(v, kind.valueType)))
+        return c
+
+    return df.select(*[(F.lit(None).cast(f.dataType) if hidden(f.name, role) else clean(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema])
 
 
 def forbidden_columns(df: DataFrame) -> list[str]:

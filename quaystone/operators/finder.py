@@ -13,19 +13,23 @@ from ..functions.scalars import normalize_mpn, review_key
 
 SUPPLY_ROLES = ("stock", "excess", "supplier_offer", "received_history", "sales_history")
 HISTORY_ROLES = ("received_history", "sales_history")
-#: Names under which manufacturers are also known.
-MAKER_ALIASES = {"ti": "texas instruments", "st": "stmicroelectronics", "adi": "analog devices", "on semi": "onsemi", "maxim": "maxim integrated"}
+#: Names under which manufacturers are also known (fixed values).
+MAKER_ALIASES = {
+    "TI": "TEXASINSTRUMENTS", "TEXAS INSTRUMENTS": "TEXASINSTRUMENTS", "ST": "STMICROELECTRONICS", "STM": "STMICROELECTRONICS", "ST MICRO": "STMICROELECTRONICS",
+    "SAMSUNG": "SAMSUNG", "MICRON": "MICRON", "KINGSTON": "KINGSTON",
+}
 
 
 def clean_maker(c: Column) -> Column:
-    c = F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, r"[^A-Za-z0-9\s]", " ")), r"\s+", " "))
-    names = F.create_map(*[F.lit(x) for kv in MAKER_ALIASES.items() for x in kv])
-    return F.nullif(F.coalesce(names[c], c), F.lit(""))
+    """A manufacturer's name for comparison: a known alias, else letters and digits only; null if nothing is left."""
+    text = F.upper(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    known = F.create_map(*[F.lit(x) for kv in MAKER_ALIASES.items() for x in kv])
+    return F.nullif(F.coalesce(known[text], F.regexp_replace(text, "[^A-Z0-9]", "")), F.lit(""))
 
 
 def canonical(df: DataFrame, mpn: str, qty: Column, maker: str, customer: str | None = None, date: str | None = None, unit: str | None = None, row: str = "source_row") -> DataFrame:
     """Rows of a file with part identity, quantity and flags."""
-    text = lambda c: F.lit(None).cast("string") if c is None else F.substring(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")), 1, 160)
+    text = lambda c: F.lit(None).cast("string") if c is None else F.trim(F.regexp_replace(F.col(c), r"\s+", " "))
     out = df.select(
         normalize_mpn(F.col(mpn)).alias("part"), review_key(F.col(mpn)).alias("review"), F.col(mpn).alias("display"), text(maker).alias("maker"), text(customer).alias("customer"),
         (F.lit(None).cast("string") if date is None else F.date_format(date, "yyyy-MM-dd")).alias("date"), (F.lit(None).cast("string") if unit is None else F.nullif(F.upper(F.trim(F.col(unit))), F.lit(""))).alias("unit"), qty.cast("double").alias("qty"), F.col(row).alias("source_row"),

@@ -72,12 +72,16 @@ def retained(logs: DataFrame, cutoff: str, always: list[str]) -> DataFrame:
 def alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
     """(event, rule, recipient) for each rule that fires: enabled, of the event's type, its condition met.
 
-    ``rules``: rule_id, event_type, enabled, condition (``value_gt``,
-    ``value_lt`` or null), threshold, recipients.  The rules are few and set by
+    ``rules``: rule_id, event_type, enabled, condition, threshold, recipients.
+    A condition that ends in ``_gt`` or ``_lt`` compares so, any other asks for
+    equality; without condition or threshold a rule always fires.  A threshold
+    of ``gp_rate_lt`` over 1 is a percentage.  The rules are few and set by
     hand; the join is by type, so what it makes is bounded by rules per type.
     An event without the value that a condition asks for doesn't fire.
     """
-    met = F.when(F.col("condition").isNull(), True).when(F.col("condition") == "value_gt", F.col("value") > F.col("threshold")).when(F.col("condition") == "value_lt", F.col("value") < F.col("threshold")).otherwise(False)
+    c, value = F.col("condition"), F.col("value")
+    limit = F.when((c == "gp_rate_lt") & (F.col("threshold") > 1), F.col("threshold") / 100).otherwise(F.col("threshold"))
+    met = F.when(c.isNull() | limit.isNull(), True).when(c.endswith("_gt"), value > limit).when(c.endswith("_lt"), value < limit).otherwise(value == limit)
     hit = events.join(rules.filter("enabled"), events["action"] == rules["event_type"]).filter(met)
     to = F.when(F.size("recipients") > 0, F.col("recipients")).otherwise(F.array(F.lit("no-recipient")))
     return hit.select("id", "rule_id", F.explode(to).alias("recipient"))

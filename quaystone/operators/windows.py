@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def content_hash(*cols: str) -> Column:
-    """md5 over columns that doesn't depend on their order."""
-    return F.md5(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}))
-
-
 def duplicates(df: DataFrame, keys: list[str], order: list[Column], id_: str = "id") -> DataFrame:
     """(``keys``, id, copies, keeper, position): rows with an equal key, the first by ``order`` being kept.
 
@@ -34,13 +29,22 @@ def cleanup_plan(dups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def business_key_duplicates(df: DataFrame, id_: str = "id") -> DataFrame:
-    """Rows whose customer, supplier, part, order and quantity agree (three parts at least): issues each gains."""
-    parts = F.filter(F.transform(F.array("customer", "supplier", "mpn", "po", F.col("qty").cast("long").cast("string")), lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != ""))
-    keyed = df.withColumn("key", F.when(F.size(parts) >= 3, F.array_join(parts, "|"))).filter("key is not null")
-    again = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("created_at", id_)).alias("head")).filter("copies > 1")
-    out = keyed.join(again, "key")
-    first = (F.col("created_at") == F.col("head.created_at")) & (F.col(id_) == F.col(f"head.{id_}"))
-    return out.select(id_, "key", "copies", F.when(first, F.col("copies") - 1).otherwise(F.lit(1)).alias("issues"))
+    """Rows whose customer, supplier, part, order and quantity agree (three parts at least): issues each gains.
+
+    Supplier, part and quantity fall back to the supplier's name, the quoted
+    part and the requested quantity; blanks and a quantity of zero are no part.
+    Rows are counted by a 64-bit hash of the key before any is shuffled, and
+    only those with a repeated hash meet by their key.
+    """
+    qty = F.coalesce("qty", "req_qty")
+    number = F.when(qty == F.floor(qty), F.floor(qty).cast("string")).otherwise(qty.cast("string"))
+    parts = F.filter(F.array("customer", F.coalesce("supplier", "supplier_name"), F.coalesce("mpn", "mpn_quoted"), "po", F.when(qty != 0, number)), lambda x: x.isNotNull() & (x != ""))
+    keyed = df.select(id_, "created_at", F.lower(F.array_join(parts, "|")).alias("key")).withColumn("hash", F.when(F.size(F.split("key", r"\|")) >= 3, F.xxhash64("key")))
+    again = keyed.groupBy("hash").agg(F.count("hash").alias("n")).filter("n > 1").select("hash")
+    rows = keyed.join(again, "hash")
+    w = Window.partitionBy("key")
+    out = rows.withColumn("copies", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("created_at", id_))).filter("copies > 1")
+    return out.select(id_, "key", "copies", F.when(F.col("place") == 1, F.col("copies") - 1).otherwise(F.lit(1)).alias("issues"))
 
 
 def archive(df: DataFrame, doomed: DataFrame, id_: str, at: Column) -> DataFrame:

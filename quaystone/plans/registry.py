@@ -137,7 +137,15 @@ for me in (0, 1, 2):
         and (m.role = 'admin' or o.id = m.id or (m.role = 'manager' and (o.department = m.department or o.region = m.region))))""",
         "uploads", "profiles",
     )
-add("f_redacted_records", lambda s, d: P.redact(R.active_records(s, d), "sales").select("id", "price", "cost", "gp", "supplier", "customer"), "select id, price, cast(null as double) as cost, cast(null as double) as gp, cast(null as varchar) as supplier, customer from active", "records")
+add("f_redacted_records", lambda s, d: P.redact(R.active_records(s, d), "manager").select("id", "price", "cost", "gp", "po", "supplier", "customer", "mpn"), "select id, cast(null as double) as price, cast(null as double) as cost, cast(null as double) as gp, cast(null as varchar) as po, supplier, customer, mpn from active", "records")
+BAG = {"Unit Price": "price", "Proveedor": "category", "Supplier Name": "supplier", "PO #": "po", "MPN": "mpn", "Comisión": "commission", "account_client_name": "category", "Buyer Remarks": "description", "qty": "qty"}
+add(
+    "f_redacted_bags",
+    lambda s, d: P.redact(R.active_records(s, d).select("id", F.create_map(*[x for k, c in BAG.items() for x in (F.lit(k), F.col(c).cast("string"))]).alias("raw")), "manager").select("id", F.explode("raw").alias("name", "value")),
+    f"""with e as (select id, unnest([{", ".join(f"'{k}'" for k in BAG)}]) as name, unnest([{", ".join(f"cast({c} as varchar)" for c in BAG.values())}]) as value from active)
+    select id, name, case when name not in ('Unit Price', 'PO #', 'Comisión', 'Buyer Remarks') then value end as value from e""",
+    "records",
+)
 add(
     "f_logs",
     lambda s, d: P.filter_logs(R.logs(s, d), level="error", route="/7", since="2024-01-10", until="2024-01-20").select("id", "route", "created_at"),
@@ -242,12 +250,14 @@ add(
     f"{DUPS} select category, count(*) as n, count(case when archived_at is not null or id in (select id from g where copies > 1 and position > 1) then 1 end) as archived, max(case when archived_at is not null then archived_at when id in (select id from g where copies > 1 and position > 1) then timestamp '2024-01-01' end) as last from records group by category",
     "records",
 )
+KEYED = "select concat(id, '-', cast(row_index as string)) as id, created_at, concat('Office ', cast(uploaded_by as string)) as customer, supplier, supplier_name, mpn, mpn_quoted, case when row_index % 2 = 0 then '' end as po, case when row_index % 3 = 0 then 0.0 when row_index % 3 = 1 then floor(qty / 10) end as qty, floor(req_qty / 10) + 0.5 as req_qty from active"
+NUMBER = "case when coalesce(qty, req_qty) = 0 then null when coalesce(qty, req_qty) = floor(coalesce(qty, req_qty)) then cast(cast(coalesce(qty, req_qty) as bigint) as varchar) else cast(coalesce(qty, req_qty) as varchar) end"
 add(
     "d_business_key",
-    lambda s, d: D.business_key_duplicates(R.active_records(s, d)),
-    """with k as (select id, created_at, list_filter(list_transform([customer, supplier, mpn, po, cast(cast(qty as bigint) as varchar)], lambda x: lower(trim(x))), lambda x: x is not null and x <> '') as parts from active),
-    j as (select *, array_to_string(parts, '|') as key from k where len(parts) >= 3), g as (select key, count(*) as copies, min(row(created_at, id)) as head from j group by key having count(*) > 1)
-    select id, key, copies, case when row(created_at, id) = head then copies - 1 else 1 end as issues from j join g using (key)""",
+    lambda s, d: D.business_key_duplicates((lambda df: s.sql(KEYED.replace("from active", "from {active}"), active=df))(R.active_records(s, d))),
+    f"""with t as ({KEYED}), k as (select id, created_at, list_filter([customer, coalesce(supplier, supplier_name), coalesce(mpn, mpn_quoted), po, {NUMBER}], lambda x: x is not null and x <> '') as parts from t),
+    j as (select *, lower(array_to_string(parts, '|')) as key from k where len(parts) >= 3), w as (select *, count(*) over (partition by key) as copies, row_number() over (partition by key order by created_at, id) as place from j)
+    select id, key, copies, case when place = 1 then copies - 1 else 1 end as issues from w where copies > 1""",
     "records",
 )
 add(
@@ -284,11 +294,11 @@ add(
     "records", "profiles",
 )
 add("j_uploads_of_people", lambda s, d: R.uploads(s, d).join(R.profiles(s, d).filter(S.contains_text(F.col("full_name"), "nation_1")).select(F.col("id").alias("uploaded_by")), "uploaded_by", "left_semi").select("id", "uploaded_by"), "select id, uploaded_by from uploads where uploaded_by in (select id from profiles where full_name ilike '%nation_1%')", "uploads", "profiles")
-add("j_uploads_without_orders", lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name"), "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+add("j_uploads_without_orders", lambda s, d: table(s, d, "customer").join(table(s, d, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name"), "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 add(
-    "j_shared_suppliers",
-    lambda s, d: (lambda li: li.alias("a").join(li.alias("b"), (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_suppkey") < F.col("b.l_suppkey"))).groupBy(F.col("a.l_suppkey").alias("one"), F.col("b.l_suppkey").alias("two")).agg(F.countDistinct("a.l_orderkey").alias("orders")).filter("orders >= 4"))(table(s, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()),
-    "select a.l_suppkey as one, b.l_suppkey as two, count(distinct a.l_orderkey) as orders from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_suppkey < b.l_suppkey group by 1, 2 having count(distinct a.l_orderkey) >= 4",
+    "j_conversation_replies",
+    lambda s, d: (lambda c: c.filter("role = 'user'").alias("q").join(c.filter("role <> 'user'").alias("a"), (F.col("q.conv_id") == F.col("a.conv_id")) & (F.col("a.turn") == F.col("q.turn") + 1), "left").select(F.col("q.conv_id").alias("conv_id"), F.col("q.turn").alias("turn"), F.col("a.role").alias("answered_by"), F.length("a.text").alias("answer_chars")))(table(s, d, "conversations")),
+    "select q.conv_id, q.turn, a.role as answered_by, length(a.text) as answer_chars from conversations q left join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 and a.role <> 'user' where q.role = 'user'",
 )
 add(
     "j_recipients",
@@ -310,14 +320,38 @@ add(
     "records",
 )
 add("m_suggest", lambda s, d: M.suggest(R.active_records(s, d), "p-10"), f"select part, count(*) as records from (select {MPN('mpn')} as part from active) where part like 'P-10%' group by part order by part <> 'P-10', part limit 12", "records")
-RANKED = f"""with own as (select {PART} as part, coalesce({SUPPLIER}, 'Unknown') as supplier, price, lead_time_weeks as l, coalesce(on_hand, qty, 0) as q, gp_rate, has_errors from active where {PART} is not null),
-    s as (select part, supplier, count(*) as offers, min(price) as price, min(l) as lead, sum(q) as quantity, avg(gp_rate) as gp, bool_or(has_errors) as dirty from own group by all),
+RANKED = f"""with own as (select {PART} as part, coalesce({SUPPLIER}, 'Unknown supplier') as supplier, price, lead_time_weeks as l, coalesce(on_hand, qty, 0) as q, gp_rate, has_errors from active where {PART} is not null),
+    s as (select part, supplier, count(*) as offers, min(price) as price, min(l) as lead, max(q) as quantity, avg(gp_rate) as gp, count(*) filter (not coalesce(has_errors, false)) as clean from own group by all),
     w as (select *, min(price) over (partition by part) as best, min(lead) over (partition by part) as fast, max(quantity) over (partition by part) as most from s),
-    c as (select part, supplier, offers, price, lead, quantity, floor(100 * ((case when price is null then 0 when price <= best then 45 else greatest(0, 35 - 35 * (price - best) / greatest(best, 1)) end) + (case when lead is null then 0 when lead <= fast then 20 else greatest(0, 15 - (lead - fast)) end)
-      + (case when most > 0 then least(20, 20 * quantity / most) else 0 end) + least(10, greatest(0, 20 * coalesce(gp, 0))) + (case when dirty then 0 else 5 end)) + 0.5) / 100 as score from w),
+    c as (select part, supplier, offers, price, lead, quantity, round(gp, 4) as average_gp, floor(100 * ((case when price is null then 0 when price <= best then 45 else greatest(0, 35 - 35 * (price - best) / greatest(best, 1)) end) + (case when lead is null then 0 when lead <= fast then 20 else greatest(0, 15 - (lead - fast)) end)
+      + (case when most > 0 then least(20, 20 * quantity / most) else 0 end) + least(10, greatest(0, 20 * coalesce(gp, 0))) + (case when clean = 0 then 0 else 5 end)) + 0.5) / 100 as score,
+      concat_ws(',', case when price <= best then 'price' end, case when lead <= fast then 'lead' end, case when quantity >= most and most > 0 then 'quantity' end) as best_at from w),
     r as (select *, row_number() over (partition by part order by score desc, price asc nulls last, supplier) as position from c)"""
-add("m_supplier_ranking", lambda s, d: M.supplier_ranking(R.active_records(s, d)), f"{RANKED} select * from r", "records")
-add("m_offer_summary", lambda s, d: M.offer_summary(R.active_records(s, d)), f"{RANKED}, o as (select part, count(*) as offers, min(price) as best_price, max(price) as worst_price, min(l) as fastest_lead, max(q) as most_quantity from own group by part) select o.*, supplier as recommended, score from o left join r on o.part = r.part and position = 1", "records")
+OFFERS = f"{RANKED}, o as (select part, count(*) as offers, min(price) as best_price, max(price) as worst_price, min(l) as fastest_lead, max(q) as most_quantity from own group by part)"
+add("m_supplier_ranking", lambda s, d: M.supplier_ranking(R.active_records(s, d)), f"{RANKED} select * exclude (best_at) from r", "records")
+add("m_offer_summary", lambda s, d: M.offer_summary(R.active_records(s, d)), f"{OFFERS} select o.*, supplier as recommended, score, best_at from o left join r on o.part = r.part and position = 1", "records")
+add(
+    "m_plain_ranking",
+    lambda s, d: M.ranking_for(R.active_records(s, d), "manager"),
+    f"with g as (select {PART} as part, coalesce({SUPPLIER}, 'Unknown supplier') as supplier, count(*) as offers, max(coalesce(on_hand, qty)) as quantity, min(lead_time_weeks) as lead from active where {PART} is not null group by 1, 2) select *, row_number() over (partition by part order by lower(supplier), supplier) as position from g",
+    "records",
+)
+add(
+    "m_summary_for_role",
+    lambda s, d: M.summary_for(R.active_records(s, d), "employee"),
+    f"{OFFERS} select part, offers, cast(null as double) as best_price, cast(null as double) as worst_price, fastest_lead, most_quantity, cast(null as varchar) as recommended, cast(null as double) as score, cast(null as varchar) as best_at from o",
+    "records",
+)
+TYPED = "select case l_partkey % 3 when 0 then concat(' ', cast(l_partkey * 1000 + l_linenumber as string)) when 1 then concat('ab ', cast(l_partkey as string)) else concat('1,', lpad(cast(l_partkey % 1000 as string), 3, '0'), ',456') end as mpn from lineitem"
+add(
+    "m_lookup_candidates",
+    lambda s, d: M.lookup_candidates(R.frame(s, d, TYPED)),
+    f"""with a as (select distinct mpn from ({TYPED})), n as (select mpn, {MPN("mpn")} as part from a),
+    g as (select *, case when regexp_matches(part, '^[0-9]{{4,}}$') then format('{{:,}}', cast(part as bigint)) end as c from n),
+    w as (select mpn, list_filter([trim(mpn), part, c, replace(c, ',', '.')], lambda x: x is not null) as ways from g),
+    d as (select mpn, list_filter(ways, lambda x, i: list_position(ways, x) = i) as ways from w)
+    select mpn, unnest(ways) as candidate, cast(unnest(range(len(ways))) as int) as place from d""",
+)
 add(
     "m_price_history",
     lambda s, d: M.price_history(R.active_records(s, d), R.uploads(s, d)),
@@ -379,8 +413,8 @@ add(
 
 # ---- two-file finder
 
-DEMAND_SQL = "select concat(case when l_partkey % 9 = 0 then 'x ' else 'X-' end, cast(l_partkey as string)) as mpn, case when l_linenumber < 6 then l_quantity * 3 end as q, case when l_partkey % 4 <> 0 then p_brand end as mfg, c_name as who, l_shipdate as due, case when l_linenumber <> 4 then 'ea' end as uom, l_orderkey * 10 + l_linenumber as source_row from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey where l_linestatus = 'O' and l_returnflag = 'N'"
-SUPPLY_SQL = "select concat('X-', cast(l_partkey as string)) as mpn, case when l_linenumber = 7 then - l_quantity else l_quantity * 8 end as q, case when l_suppkey % 10 = 3 then 'Other Maker' else upper(p_brand) end as mfg, case when l_suppkey % 25 = 4 then 'BOX' else 'EA' end as uom, l_orderkey * 10 + l_linenumber as source_row from lineitem join part on l_partkey = p_partkey where l_linestatus = 'F' and l_returnflag = 'A' and l_linenumber >= 3 and l_partkey % 6 <> 0"
+DEMAND_SQL = "select concat(case when l_partkey % 9 = 0 then 'x ' else 'X-' end, cast(l_partkey as string)) as mpn, case when l_linenumber < 6 then l_quantity * 3 end as q, case when l_partkey % 7 = 1 then 'st  micro' when l_partkey % 7 = 2 then 'TI' when l_partkey % 4 <> 0 then p_brand end as mfg, c_name as who, l_shipdate as due, case when l_linenumber <> 4 then 'ea' end as uom, l_orderkey * 10 + l_linenumber as source_row from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey where l_linestatus = 'O' and l_returnflag = 'N'"
+SUPPLY_SQL = "select concat(case when l_partkey % 6 = 0 then 'Y-' else 'X-' end, cast(l_partkey as string)) as mpn, case when l_linenumber = 7 then - l_quantity else l_quantity * 8 end as q, case when l_suppkey % 10 = 3 then 'Other Maker' when l_partkey % 7 = 1 then 'STMicroelectronics' when l_partkey % 7 = 2 then 'Texas Instruments' else upper(p_brand) end as mfg, case when l_suppkey % 25 = 4 then 'BOX' else 'EA' end as uom, l_orderkey * 10 + l_linenumber as source_row from lineitem join part on l_partkey = p_partkey where l_linestatus = 'F' and l_returnflag = 'A'"
 
 
 def sides(s, d):
@@ -389,7 +423,8 @@ def sides(s, d):
     return demand, supply
 
 
-CLEAN = lambda c: f"nullif(trim(regexp_replace(lower(regexp_replace({c}, '[^A-Za-z0-9\\s]', ' ', 'g')), '\\s+', ' ', 'g')), '')"
+UPPER = lambda c: f"upper(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+CLEAN = lambda c: f"nullif(case when {UPPER(c)} in ('TI', 'TEXAS INSTRUMENTS') then 'TEXASINSTRUMENTS' when {UPPER(c)} in ('ST', 'STM', 'ST MICRO') then 'STMICROELECTRONICS' else regexp_replace({UPPER(c)}, '[^A-Z0-9]', '', 'g') end, '')"
 FIND = f"""with dr as ({DEMAND_SQL}), sr as ({SUPPLY_SQL}),
     dd as (select {MPN("mpn")} as part, trim(who) as customer, strftime(due, '%Y-%m-%d') as date, upper(uom) as unit, sum(case when q > 0 then q else 0 end) as required, min(source_row) as first_row, min(mfg) as maker, count(*) as demand_rows from dr group by 1, 2, 3, 4),
     ss as (select {MPN("mpn")} as part, sum(case when q > 0 then q else 0 end) as supply, list(distinct {CLEAN("mfg")}) filter (mfg is not null) as makers, list(distinct upper(uom)) as units, bool_or(q <= 0) as invalid, bool_or(q < 0) as negative from sr group by 1),
@@ -432,10 +467,19 @@ add(
 add("t_recent_errors", lambda s, d: T.recent_errors(R.logs(s, d)).select("id", "created_at", "route"), f"select id, created_at, route from logs where {ERR} order by created_at desc, id desc limit 20", "logs")
 add("t_error_rollup", lambda s, d: T.error_rollup(R.logs(s, d)), "select level, count(*) as n, count(distinct route) as routes, count(*) filter (duration_ms > 1500) as slow, min(created_at) as first_seen from logs group by level", "logs")
 add("t_retention", lambda s, d: T.retained(R.logs(s, d), "2024-01-15", ["purchase"]).groupBy("action").agg(F.count("*").alias("n")), "select action, count(*) as n from logs where created_at >= timestamp '2024-01-15' or action = 'purchase' group by action", "logs")
-RULES = "select p_partkey as rule_id, case p_partkey % 3 when 0 then 'error' when 1 then 'purchase' else 'signup' end as event_type, p_partkey % 4 <> 3 as enabled, case p_partkey % 5 when 0 then null when 1 then 'value_lt' else 'value_gt' end as condition, cast(p_size * 2 as double) as threshold from part where p_partkey < 12"
+RULES = "select n_nationkey as rule_id, case n_nationkey % 4 when 0 then 'error' when 1 then 'purchase' when 2 then 'signup' else 'view' end as event_type, n_nationkey % 6 <> 5 as enabled, case n_nationkey % 5 when 0 then null when 1 then 'value_lt' when 2 then 'value_eq' when 3 then 'gp_rate_lt' else 'value_gt' end as condition, cast(case n_nationkey % 5 when 2 then 50 else n_nationkey * 20 end as double) as threshold from nation"
 add(
     "e_alerts",
-    lambda s, d: T.alerts(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), "value"), R.frame(s, d, RULES).withColumn("recipients", F.when(F.col("rule_id") % 2 == 0, F.array(F.lit("a@x.com"), F.lit("b@x.com"))).otherwise(F.array().cast("array<string>")))),
-    f"with r as ({RULES}), h as (select event_id as id, rule_id from events e join r on e.event_type = r.event_type where enabled and (condition is null or (condition = 'value_gt' and value > threshold) or (condition = 'value_lt' and value < threshold))) select id, rule_id, unnest(case when rule_id % 2 = 0 then ['a@x.com', 'b@x.com'] else ['no-recipient'] end) as recipient from h",
+    lambda s, d: T.alerts(table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), F.round("value").alias("value")), R.frame(s, d, RULES).withColumn("recipients", F.when(F.col("rule_id") % 2 == 0, F.array(F.lit("a@x.com"), F.lit("b@x.com"))).otherwise(F.array().cast("array<string>")))),
+    f"with r as ({RULES}), h as (select event_id as id, rule_id from events e join r on e.event_type = r.event_type where enabled and (condition is null or (condition = 'value_gt' and round(value) > threshold) or (condition = 'value_lt' and round(value) < threshold) or (condition = 'value_eq' and round(value) = threshold) or (condition = 'gp_rate_lt' and round(value) < case when threshold > 1 then threshold / 100 else threshold end))) select id, rule_id, unnest(case when rule_id % 2 = 0 then ['a@x.com', 'b@x.com'] else ['no-recipient'] end) as recipient from h",
+)
+REQUESTS = lambda s, d: table(s, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+add(
+    "e_rate_limit",
+    lambda s, d: rate.batch_limit(REQUESTS(s, d), 600, 1),
+    """with recursive ev as (select user_id as key, event_id as id, cast(ts as timestamp) as ts from events where user_id is not null and ts is not null),
+    n as (select key, id, ts, (select min(f.ts) from ev f where f.key = e.key and f.ts >= e.ts + interval 600 seconds) as following from (select key, ts, min(id) as id from ev group by key, ts) e),
+    w as (select key, ts, following from n where (key, ts) in (select (key, min(ts)) from ev group by key) union all select n.key, n.ts, n.following from w join n on n.key = w.key and n.ts = w.following),
+    p as (select ev.key, ev.id, ev.ts, row_number() over (partition by ev.key, w.ts order by ev.ts, ev.id) as place from ev asof join w on ev.key = w.key and ev.ts >= w.ts)
+    select key, id, ts, place <= 1 as allowed from p""",
 )
-add("e_rate_limit", lambda s, d: rate.batch_limit(table(s, d, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id")), 600, 1))

@@ -2,65 +2,107 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def decide(times: list[float], state: tuple[float, int] | None, seconds: float, most: int) -> tuple[list[bool], tuple[float, int]]:
-    """Which requests (in order of time) are let through, and the state after them: (end of the window, count)."""
-    ends, count = state or (float("-inf"), 0)
-    out = []
-    for t in times:
-        if t >= ends:
-            ends, count = t + seconds, 0
-        count += 1
-        out.append(count <= most)
+def decide(times: np.ndarray, state: tuple[int, int] | None, window: int, most: int) -> tuple[np.ndarray, tuple[int, int]]:
+    """Which requests (sorted, whole microseconds) are let through, and the state after them: (end of the window, count).
+
+    One step a window, whatever number of requests it has.
+    """
+    ends, count = state or (np.iinfo(np.int64).min, 0)
+    out, at = np.zeros(len(times), bool), 0
+    while at < len(times):
+        if times[at] >= ends:
+            ends, count = int(times[at]) + window, 0
+        to = int(np.searchsorted(times, ends, side="left"))
+        out[at : at + max(0, most - count)] = True
+        out[to:] = False
+        count, at = count + to - at, to
     return out, (ends, count)
 
 
-def batch_limit(events: DataFrame, seconds: float, most: int) -> DataFrame:
-    """(key, id, ts, allowed) for a table of requests (key, ts, id).
+def decide_blocking(times: np.ndarray, state: tuple[int, int, int] | None, window: int, most: int, block: int) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """The same with a block: the request over the limit starts ``block`` in which nothing is let through.
+
+    State: (start of the window, count, end of the block).  A window is over
+    when a request comes ``window`` or more after its start.
+    """
+    start, count, blocked = state or (np.iinfo(np.int64).min // 2, 0, np.iinfo(np.int64).min)
+    out, at = np.zeros(len(times), bool), 0
+    while at < len(times):
+        if times[at] < blocked:  # nothing counts until the block is over
+            at = int(np.searchsorted(times, blocked, side="left"))
+            continue
+        if times[at] - start >= window:
+            start, count = int(times[at]), 0
+        to = int(np.searchsorted(times, start + window, side="left"))
+        free = min(to - at, max(0, most - count))
+        out[at : at + free] = True
+        count, at = count + free, at + free
+        if at < to:
+            count, blocked = count + 1, int(times[at]) + block
+            at += 1
+    return out, (start, count, blocked)
+
+
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.astype("datetime64[us]").astype("int64").to_numpy()
+
+
+def batch_limit(events: DataFrame, seconds: float, most: int, block: float | None = None) -> DataFrame:
+    """(key, id, ts, allowed) for a table of requests (key, ts, id); with ``block`` seconds, a limiter that blocks.
 
     Windows of one key depend on all its earlier requests, so a key is dealt
     with in order of time; its rows stream through in batches with the small
-    state carried over, and are never gathered.
+    state carried over, and are never gathered.  Rows without key or time are
+    left out.
     """
     own = events.filter("key is not null and ts is not null").select("key", "id", F.col("ts").cast("timestamp").alias("ts"))
+    window, pause = round(seconds * 1e6), None if block is None else round(block * 1e6)
 
     def run(batches):
         key, state = None, None
         for pdf in batches:
-            allowed = [False] * len(pdf)
-            for i, (k, t) in enumerate(zip(pdf["key"], pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6)):
-                if k != key:
-                    key, state = k, None
-                (allowed[i],), state = decide([t], state, seconds, most)
+            allowed, times = np.zeros(len(pdf), bool), _micros(pdf["ts"])
+            keys = pdf["key"].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if keys[a] != key:
+                    key, state = keys[a], None
+                allowed[a:b], state = decide(times[a:b], state, window, most) if pause is None else decide_blocking(times[a:b], state, window, most, pause)
             yield pdf.assign(allowed=allowed)
 
     kind = dict(own.dtypes)
     return own.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, f"key {kind['key']}, id {kind['id']}, ts timestamp, allowed boolean")
 
 
-def stream_limit(events: DataFrame, seconds: float, most: int) -> DataFrame:
-    """The same over a stream: state per key, kept until its window has long ended."""
+def stream_limit(events: DataFrame, seconds: float, most: int, late: str = "1 minute") -> DataFrame:
+    """The same over a stream: state per key, dropped when event time has passed the end of its window.
+
+    A trigger's requests of a key are put in order of time before any is
+    decided; requests later than ``late`` are dropped, as the watermark says,
+    and one that comes in a later trigger counts in the window that is open.
+    """
+    window = round(seconds * 1e6)
 
     def run(key, frames, state: GroupState):
-        held = state.get if state.exists else None
         if state.hasTimedOut:
             state.remove()
             return
-        for pdf in frames:
-            pdf = pdf.sort_values(["ts", "id"])
-            allowed, held = decide((pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6).tolist(), held, seconds, most)
-            yield pd.DataFrame({"key": key[0], "id": pdf["id"], "ts": pdf["ts"], "allowed": allowed})
-        if held is not None:
-            state.update(held)
-            state.setTimeoutDuration(int(2000 * seconds))
+        pdf = pd.concat(list(frames)).sort_values(["ts", "id"], ignore_index=True)
+        allowed, held = decide(_micros(pdf["ts"]), state.get if state.exists else None, window, most)
+        state.update(held)
+        state.setTimeoutTimestamp(max(held[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({"key": key[0], "id": pdf["id"], "ts": pdf["ts"], "allowed": allowed})
 
     kind = dict(events.dtypes)
-    return events.filter("key is not null and ts is not null").groupBy("key").applyInPandasWithState(run, f"key {kind['key']}, id {kind['id']}, ts timestamp, allowed boolean", "ends double, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = events.filter("key is not null and ts is not null").select("key", "id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return own.groupBy("key").applyInPandasWithState(run, f"key {kind['key']}, id {kind['id']}, ts timestamp, allowed boolean", "ends long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling(stream: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

@@ -3,7 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from quaystone.functions import scalars as S
-from quaystone.operators import filters, traffic
+from quaystone.operators import filters, finder, parts, traffic, windows
 from quaystone.operators.coverage import alias_value, status
 from quaystone.plans import search
 
@@ -40,7 +40,38 @@ def test_questions():
 
 
 def test_redaction(spark):
-    df = spark.sql("select 1.0 as price, 2.0 as cost, map('cost', 'x', 'note', 'y') as raw")
-    r = filters.redact(df, "sales").first()
-    assert r.price is not None and r.cost is None and r.raw == {"cost": None, "note": "y"}
+    df = spark.sql("""select 1.0 as price, 2.0 as cost, 'S' as supplier, map('Unit Price', '9', 'Total Price', '8', 'Supplier Name', 'S', 'PO Number', 'P', 'Purchase-Order', 'Q', 'Internal Notes', 'n', 'MPN', 'm', 'Account Client Name', 'a') as raw,
+      array(named_struct('gross_margin', 1, 'qty', 2, 'more', map('manufacturer', 'x', 'k', 'y'))) as deep""")
+    r = filters.redact(df, "employee").first()
+    assert r.price is None and r.cost is None and r.supplier is None
+    assert {k for k, v in r.raw.items() if v is not None} == {"MPN", "PO Number", "Account Client Name"}
+    assert (r.deep[0].gross_margin, r.deep[0].qty, r.deep[0].more) == (None, 2, {"manufacturer": None, "k": "y"})
+    r = filters.redact(df, "manager").first()
+    assert r.price is None and r.supplier == "S" and {k for k, v in r.raw.items() if v is not None} == {"Supplier Name", "PO Number", "MPN", "Account Client Name"}
+    assert filters.redact(df, "admin").first() == df.first()
     assert filters.forbidden_columns(df) == ["price", "cost"]
+
+
+def test_supplier_ranking(spark):
+    """Best offers count: A has the price and the lead, B the quantity; two of A's offers don't add up."""
+    rows = [("A", 10.0, 1.0, 30.0, 0.2, True), ("A", 12.0, 5.0, 40.0, None, False), ("B", 12.0, 3.0, 80.0, 0.9, True), (None, None, None, None, None, None)]
+    df = spark.createDataFrame([("p-1", None, s, None, p, t, None, q, g, e) for s, p, t, q, g, e in rows], "mpn string, mpn_quoted string, supplier string, supplier_name string, price double, lead_time_weeks double, on_hand double, qty double, gp_rate double, has_errors boolean")
+    got = {r.supplier: r for r in parts.supplier_ranking(df).collect()}
+    assert (got["A"].score, got["A"].quantity, got["A"].position) == (45 + 20 + 10 + 4 + 5, 40, 1)
+    assert (got["B"].score, got["B"].quantity) == (35 - 2 / 10 * 35 + 13 + 20 + 10, 80)
+    assert (got["Unknown supplier"].score, got["Unknown supplier"].price, got["Unknown supplier"].position) == (5, None, 3)
+    s = parts.offer_summary(df).first()
+    assert (s.offers, s.best_price, s.worst_price, s.fastest_lead, s.most_quantity, s.recommended, s.best_at) == (4, 10, 12, 1, 80, "A", "price,lead")
+    assert [r.supplier for r in parts.plain_ranking(df).orderBy("position").collect()] == ["A", "B", "Unknown supplier"]
+    assert parts.ranking_for(df, "employee").count() == 0 and parts.summary_for(df, "employee").first().best_price is None
+
+
+def test_manufacturers(spark):
+    names = ["ST  micro", "STM", "STMicroelectronics", "TI", "Texas Instruments", "Samsung", "on-semi", " ", None]
+    assert values(spark, names, finder.clean_maker) == ["STMICROELECTRONICS"] * 3 + ["TEXASINSTRUMENTS"] * 2 + ["SAMSUNG", "ONSEMI", None, None]
+
+
+def test_business_keys(spark):
+    rows = [(1, "Ann", "S", None, "M", None, None, 5.0, None), (2, "ann", None, "s", None, "m", "", None, 5.0), (3, "ANN", "S", None, "M", None, None, 5.0, None), (4, "Ann", "S", None, None, None, None, 0.0, None), (5, "Ann", "S", None, None, None, None, 0.0, None)]
+    df = spark.createDataFrame(rows, "id int, customer string, supplier string, supplier_name string, mpn string, mpn_quoted string, po string, qty double, req_qty double").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    assert [(r.id, r.key, r.copies, r.issues) for r in windows.business_key_duplicates(df).orderBy("id").collect()] == [(1, "ann|s|m|5", 3, 2), (2, "ann|s|m|5", 3, 1), (3, "ann|s|m|5", 3, 1)]

@@ -100,20 +100,45 @@ def test_folder_stream(spark, tmp_path):
     assert sorted(seen) == [1, 2, 3]
 
 
+#: Seconds of one key's requests and what a limit of two in ten seconds lets through.
+TIMES = [0, 1, 2, 9, 10, 11, 12, 25]
+LET = [True, True, False, False, True, True, False, True]
+
+
 def test_rate_limits(spark, tmp_path):
-    times = [0, 1, 2, 9, 10, 11, 12, 25]
-    assert rate.decide(times, None, 10, 2)[0] == [True, True, False, False, True, True, False, True]
-    rows = [(k, i, t) for k in ("a", "b") for i, t in enumerate(times)] + [(None, 9, 1)]
-    df = spark.createDataFrame(rows, "key string, id int, t int").select("key", "id", F.timestamp_seconds("t").alias("ts"))
-    want = {(k, i): a for k in ("a", "b") for i, a in enumerate(rate.decide(times, None, 10, 2)[0])}
+    rows = [(k, i, t) for k in ("a", "b") for i, t in enumerate(TIMES)] + [(None, 9, 1), ("c", 5, None)]
+    df = spark.createDataFrame(rows, "key string, id int, t int").select("key", "id", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("ts"))
+    want = {(k, i): a for k in ("a", "b") for i, a in enumerate(LET)}
     assert {(r.key, r.id): r.allowed for r in rate.batch_limit(df, 10, 2).collect()} == want
     df.write.parquet(f"file://{tmp_path}/ev")
     stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/ev")
     q = rate.stream_limit(stream, 10, 2).writeStream.format("memory").queryName("limited").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp").start()
-    q.awaitTermination()
+    assert q.awaitTermination(60)
     assert {(r.key, r.id): r.allowed for r in spark.table("limited").collect()} == want
 
 
+def test_stream_limit_carries_state_and_orders_frames(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # a key's rows come in several frames
+    try:
+        part = lambda ids: spark.createDataFrame([("a", i, TIMES[i]) for i in ids], "key string, id int, t int").select("key", "id", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("ts")).coalesce(1)
+        for n, ids in enumerate(([4, 3, 2, 1, 0], [7, 6, 5])):
+            part(ids).write.mode("append").parquet(f"file://{tmp_path}/ev")
+            stream = spark.readStream.schema(part([0]).schema).parquet(f"file://{tmp_path}/ev")
+            q = rate.stream_limit(stream, 10, 2).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp").start()
+            assert q.awaitTermination(60)
+        got = {r.id: r.allowed for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+        assert [got[i] for i in range(8)] == LET
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_limit_with_block(spark):
+    times = [0, 1, 2, 3, 14, 21, 22, 23, 24, 50]  # two in ten seconds, then twenty seconds of nothing
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)], "key string, id int, t int").select("key", "id", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("ts"))
+    got = {r.id: r.allowed for r in rate.batch_limit(df, 10, 2, block=20).collect()}
+    assert [got[i] for i in range(10)] == [True, True, False, False, False, False, True, True, False, True]
+
+
 def test_tumbling_batch_equals_stream(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     batch = {tuple(r) for r in rate.tumbling(events).selectExpr("start", "event_type", "n").collect()}
