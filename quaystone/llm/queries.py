@@ -14,7 +14,7 @@ from . import pii as _pii
 from . import tokencount as _count
 from . import toxicity as _tox
 from . import warc as _warc
-from .shared import crc, small_batches, table
+from .shared import crc, table
 
 QUERIES = {}
 ORACLES = {}
@@ -22,12 +22,8 @@ ORACLES = {}
 
 def query(name):
     def add(f):
-        def run(spark, sf_dir):
-            small_batches(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[name] = run
-        return run
+        QUERIES[name] = f
+        return f
 
     return add
 
@@ -79,7 +75,8 @@ def op6(spark, sf_dir):
 
 @query("op2_warc_index")
 def op2(spark, sf_dir):
-    return _warc.read_back(*_warc.archive(spark, table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    return _warc.look_up_all(pages, *_warc.archive(spark, pages))
 
 
 @query("op3_html_main_text")

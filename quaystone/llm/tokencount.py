@@ -17,11 +17,10 @@ from __future__ import annotations
 import math
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .shared import applied, released
 from .vocabulary import MODEL, Vocabulary, chunks, load, trim
 
 PENALTY = 10.0
@@ -87,14 +86,13 @@ def _counter(shared, name: str) -> Counter:
 
 
 def count_tokens(docs: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
-    """The ``keep`` columns and ``n_tokens`` for every row of ``docs``."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    """The ``keep`` columns and ``n_tokens`` for every row of ``docs``; a kept column of that name gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches):
         counter = _counter(shared, path)
-        for batch in batches:
-            n = np.array([counter.count(t.as_py()) for t in batch.column(batch.num_columns - 1)], np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(n)], [*keep, "n_tokens"])
+        for texts in batches:
+            yield [pa.array([counter.count(t.as_py()) for t in texts], pa.int64())]
+        released()
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ", ".join([*fields, "n_tokens long"]))
+    return applied(docs, keep, run, "n_tokens long")
