@@ -17,7 +17,7 @@ from functools import cached_property
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Most chunks a cache holds before its later half goes; this bounds memory and changes no result.
-CACHE = 200_000
+CACHE = 150_000
 
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n+")
 

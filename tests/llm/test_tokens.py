@@ -37,7 +37,7 @@ def test_suffix_array():
     r = np.random.default_rng(1)
     for n in (1, 2, 50, 400):
         codes = r.integers(1, 4, n).astype(np.uint32)
-        order = pieces.suffix_array(codes, 16)
+        order = pieces.suffix_array(pieces.packed(codes), 16)
         keys = [tuple(codes[i : i + 16]) for i in order]
         assert keys == sorted(keys) and sorted(order.tolist()) == list(range(n))
 
