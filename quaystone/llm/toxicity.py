@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import applied, released, written
 from .text import _BYTE, Words, byte_class, mix, powers, slices
 
 LETTERS = byte_class(lambda b: b >= 128 or 97 <= b <= 122 or 65 <= b <= 90)
@@ -35,6 +36,8 @@ LEAST_TEXTS = 4
 COMMON = 0.005
 CHI_SQUARE = 6.6
 DEFAULT_RATE = 0.05
+#: Bytes of text scored at once.
+SLICE = 1 << 20
 
 
 def terms(words: Words, hashes: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -77,12 +80,17 @@ class Machine:
         z = np.full(n, self.bias)
         if len(doc) and len(self.columns):
             at = np.minimum(np.searchsorted(self.columns, cols), len(self.columns) - 1)
-            used = (self.columns[at] == cols).astype(np.float64)
+            used = self.columns[at] == cols
+            some = np.flatnonzero(used.any(axis=1))  # few words have a column in use
+            number = np.full(len(cols), -1, np.int64)
+            number[some] = np.arange(len(some))
+            at, used = at[some], used[some]
             lin = (self.weights[at] * used).sum(axis=1)
             vec = self.factors[at] * used[:, :, None]
             own = (vec**2).sum(axis=(1, 2))
             vec = vec.sum(axis=1)
-            live = used.any(axis=1)[word]
+            word = number[word]
+            live = word >= 0
             doc, word = doc[live], word[live]
             first = np.searchsorted(doc, np.arange(n))
             some = np.flatnonzero(np.diff(np.concatenate((first, [len(doc)]))))
@@ -92,32 +100,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _columns(rows: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The columns to use, and which of them speak for the label by themselves.
+def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, used: np.ndarray, alone: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, pair_rate: float = 0.002, l2: float = 1.0, seed: int = 3) -> Machine:
+    """Fit by AdaGrad on the logistic loss.
 
-    Common columns take part in pairs only: their small weights would add up
-    over a long text and outweigh a single insult.
+    ``rows``: each text's columns as places in ``used``, with repeats;
+    ``alone``: which of those have a weight of their own.
     """
-    n = len(rows)
-    seen = np.zeros((2, COLUMNS), np.int32)
-    for r, y in zip(rows, label):
-        seen[int(y), np.unique(r)] += 1
-    some = np.flatnonzero(seen.sum(axis=0) >= LEAST_TEXTS)
-    hits, texts, toxic = seen[1, some], seen[:, some].sum(axis=0), float(label.sum())
-    due = texts * (toxic / max(n, 1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (hits - due) ** 2 / due * n / max(n - toxic, 1) * n / np.maximum(n - texts, 1)
-    alone = (chi >= CHI_SQUARE) & (hits > due)
-    kept = alone | (texts >= COMMON * n)
-    return some[kept], alone[kept]
-
-
-def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, pair_rate: float = 0.002, l2: float = 1.0, seed: int = 3) -> Machine:
-    """Fit by AdaGrad on the logistic loss.  ``rows``: each text's term columns, with repeats."""
-    used, alone = _columns(rows, label)
-    index = np.full(COLUMNS, -1, np.int32)
-    index[used] = np.arange(len(used))
-    rows = [index[r][index[r] >= 0] for r in rows]
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS))
     gw, gv = np.full(len(used), 1e-2), np.full((len(used), FACTORS), 1e-2)
@@ -148,6 +136,50 @@ def fit(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs: i
     return Machine(float(bias), used, w, v)
 
 
+def _featurized(texts):
+    """(columns of all texts of a slice, how many each text has), slice by slice."""
+    for _, data, offsets in slices(texts, SLICE):
+        own, doc, word = distinct(Words(data, offsets, LETTERS))
+        yield own[word].ravel(), own.shape[1] * np.bincount(doc, minlength=len(offsets) - 1)
+
+
+def _columns(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The columns to use for the sampled ``texts`` (y, text), sorted, and which of them speak for the label by themselves.
+
+    How many texts of each label have a column is counted by the tasks and
+    summed by Spark.  Common columns take part in pairs only: their small
+    weights would add up over a long text and outweigh a single insult.
+    """
+
+    def count(batches):
+        seen = np.zeros((2, COLUMNS), np.int32)
+        for batch in batches:
+            y, at = batch.column(0).to_numpy(), 0
+            for column, lengths in _featurized(batch.column(1)):
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                pair = np.unique(doc * COLUMNS + column)
+                toxic = y[at + pair // COLUMNS] == 1
+                at += len(lengths)
+                for k, own in ((1, pair[toxic]), (0, pair[~toxic])):
+                    np.add.at(seen[k], own % COLUMNS, 1)
+        some = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0, some]), pa.array(seen[1, some])], ["col", "clean", "toxic"])
+        del seen
+        released()
+
+    size = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n, toxic = sum(size.values()), size.get(1, 0)
+    found = texts.mapInArrow(count, "col long, clean int, toxic int").groupBy("col").agg(F.sum("toxic").alias("hits"), F.sum(F.col("clean") + F.col("toxic")).alias("texts"))
+    got = found.filter(F.col("texts") >= LEAST_TEXTS).toArrow().sort_by("col")  # at most COLUMNS, and the sample's words / LEAST_TEXTS
+    some, hits, has = (got.column(k).to_numpy() for k in ("col", "hits", "texts"))
+    due = has * (toxic / max(n, 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = (hits - due) ** 2 / due * n / max(n - toxic, 1) * n / np.maximum(n - has, 1)
+    alone = (chi >= CHI_SQUARE) & (hits > due)
+    kept = alone | (has >= COMMON * n)
+    return some[kept], alone[kept]
+
+
 def learn(docs: DataFrame, labels: DataFrame, may_learn=None, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Machine:
     """Fit on the labelled rows of ``docs`` (doc_id, text) that ``may_learn`` (a condition on doc_id) admits."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
@@ -158,18 +190,24 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn=None, max_toxic: int = M
     order = F.xxhash64("doc_id")
     most = {1: max_toxic, 0: max_clean}
     sample = known.filter("y = 1").orderBy(order, "doc_id").limit(max_toxic).unionByName(known.filter("y = 0").orderBy(order, "doc_id").limit(max_clean))
+    # The sample is at most max_toxic + max_clean pairs of numbers, so it is broadcast; of rows that repeat a doc_id one teaches.
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    texts = written(texts.select("y", F.coalesce("text", F.lit("")).alias("text")), "sample")
+    used, alone = _columns(texts)
+    shared = docs.sparkSession.sparkContext.broadcast(used)
 
-    def featurize(batches):
+    def places(batches):
         for batch in batches:
-            cols = []
-            for _, data, offsets in slices(batch.column(1)):
-                own, doc, word = distinct(Words(data, offsets, LETTERS))
-                own = own.astype(np.int32)
-                cols += [own[w].ravel() for w in np.split(word, np.searchsorted(doc, np.arange(1, len(offsets) - 1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in cols], pa.binary())], ["y", "cols"])
-
-    # The sample is at most max_toxic + max_clean pairs of numbers, so it is broadcast; a repeated document adds its rows.
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(featurize, "y int, cols binary").toArrow()
+            out = []
+            for column, lengths in _featurized(batch.column(1)):
+                at = np.minimum(np.searchsorted(shared.value, column), max(0, len(shared.value) - 1))
+                hit = shared.value[at] == column if len(shared.value) else np.zeros(len(column), bool)
+                ends = np.concatenate(([0], np.cumsum(hit)))[np.concatenate(([0], np.cumsum(lengths)))].tolist()
+                raw = at[hit].astype(np.int32).tobytes()
+                out += [raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["y", "cols"])
+
+    got = texts.mapInArrow(places, "y int, cols binary").toArrow()
     y = got.column("y").to_numpy().astype(float)
     rows = [np.frombuffer(b.as_py(), np.int32) for b in got.column("cols")]
     del got
@@ -177,19 +215,19 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn=None, max_toxic: int = M
     if len(weight):
         weight *= len(weight) / weight.sum()
     order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i]), rows[i][:8].tolist()))  # whatever order they came in
-    return fit([rows[i] for i in order], y[order], weight[order])
+    return fit([rows[i] for i in order], y[order], weight[order], used, alone)
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str], threshold: float = 0.3) -> DataFrame:
-    """The ``keep`` columns, ``score`` and ``predicted`` for every row of ``docs``."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    """The ``keep`` columns, ``score`` and ``predicted`` for every row of ``docs``; a kept column of these names gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
-        for batch in batches:
-            out = np.zeros(len(batch))
-            for first, data, offsets in slices(batch.column(batch.num_columns - 1)):
+        for texts in batches:
+            out = np.zeros(len(texts))
+            for first, data, offsets in slices(texts, SLICE):
                 out[first : first + len(offsets) - 1] = shared.value.scores(data, offsets)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out), pa.array((out >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
+            yield [pa.array(out), pa.array((out >= threshold).astype(np.int32))]
+        released()
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ", ".join([*fields, "score double, predicted int"]))
+    return applied(docs, keep, run, "score double, predicted int")

@@ -16,6 +16,12 @@ def rows_of(texts):
         return [own[word[doc == d]].ravel() for d in range(len(offsets) - 1)]
 
 
+def fitted(rows, label, **how):
+    """A machine that uses all columns of the rows."""
+    used = np.unique(np.concatenate(rows))
+    return tox.fit([np.searchsorted(used, r) for r in rows], label, np.ones(len(rows)), used, np.ones(len(used), bool), **how)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in QUERIES["op9_toxicity"](spark, sf).collect()}
@@ -39,7 +45,7 @@ def test_pairs_are_learned():
         texts.append(" ".join(w))
         label.append(float(a == b))
     y = np.array(label)
-    m = tox.fit(rows_of(texts[:1000]), y[:1000], np.ones(1000), epochs=40, pair_rate=0.1)
+    m = fitted(rows_of(texts[:1000]), y[:1000], epochs=40, pair_rate=0.1)
     right = lambda m: np.mean([(p >= 0.5) == (t == 1) for _, data, offsets in slices(pa.array(texts[1000:])) for p, t in zip(m.scores(data, offsets), y[1000:])])
     assert right(m) > 0.95
     m.factors[:] = 0
@@ -58,7 +64,7 @@ def brute(machine, text):
 
 def test_scores_equal_pair_formula_and_edges(spark):
     texts = ["bad awful thing", "Nice kind words", None, "", "bad BAD awful", "12 34 !!", "é ünï bad", "nice " * 30000 + "awful"]
-    m = tox.fit(rows_of(["bad awful thing", "nice kind words", "awful bad", "nice words"] * 20), np.array([1.0, 0, 1, 0] * 20), np.ones(80), pair_rate=0.1)
+    m = fitted(rows_of(["bad awful thing", "nice kind words", "awful bad", "nice words"] * 20), np.array([1.0, 0, 1, 0] * 20), pair_rate=0.1)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "bad"), (0, texts[0])], "doc_id long, text string").withColumn("score", F.lit("clash"))
     got = [(r.doc_id, r.score) for r in tox.score(df.drop("score"), m, ["doc_id"]).collect()]
     want = [(i, brute(m, t)) for i, t in enumerate(texts)] + [(None, brute(m, "bad")), (0, brute(m, texts[0]))]
