@@ -18,20 +18,25 @@ no text has a pattern's span the tagger adds nothing; other columns pass through
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import applied, quoted, released
 from .tagger import Tagger, codes
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, REACH = 96, 48, 40
 SAMPLE_WINDOWS = 1200
 CACHE = 50_000
+#: Texts read at once.
+ROWS = 1000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -121,8 +126,8 @@ def _varied(kind: str, s: str, r: random.Random) -> str:
         return r.choice([".", "/", "  ", " - ", "_"]).join(groups)
     d = (["5"] * 10 + d)[-10:]
     a, b, c = "".join(d[:3]), "".join(d[3:6]), "".join(d[6:])
-    if r.random() < 0.6:
-        return _grouped("".join(d), r)
+    if (how := r.random()) < 0.6:
+        return "".join(d) if how < 0.15 else _grouped("".join(d), r)
     return r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"001 {a} {b} {c}", f"1-{a}-{b}-{c}", f"({a}){b}-{c}"])
 
 
@@ -131,7 +136,7 @@ def _grouped(d: str, r: random.Random) -> str:
     pairs = lambda s, by: by.join(s[i : i + 2] for i in range(0, len(s), 2))
     short = d[3 : 10 - r.randrange(2)]
     return r.choice([
-        d, d, f"0{d[1]} {pairs(d[2:], ' ')}", f"0{d[1]}-{pairs(d[2:], '-')}", f"0{d[1]}.{pairs(d[2:], '.')}", f"0033 {d[1]} {pairs(d[2:], ' ')}", f"02{d[2]} {d[2:6]} {d[6:]}", f"0{d[1:5]} {d[4:]}", f"07{d[1:4]} {d[4:]}",
+        d, f"0{d[1]} {pairs(d[2:], ' ')}", f"0{d[1]}-{pairs(d[2:], '-')}", f"0{d[1]}.{pairs(d[2:], '.')}", f"0033 {d[1]} {pairs(d[2:], ' ')}", f"02{d[2]} {d[2:6]} {d[6:]}", f"0{d[1:5]} {d[4:]}", f"07{d[1:4]} {d[4:]}",
         f"0{d[1:3]} {short}", f"0{d[1:3]}/{short}", f"(0{d[1:3]}) {short}", f"0{d[1:4]}-{short}", f"0049 {d[1:3]} {short}", f"6{d[1:3]} {d[3:6]} {d[6:9]}", f"9{d[1]} {d[2:5]} {d[5:7]} {d[7:9]}", f"6{d[1:9]}",
     ])
 
@@ -153,30 +158,41 @@ def _near_phone(r: random.Random) -> str:
 
 
 def _examples(docs: DataFrame, most: int) -> list[tuple[str, str, str, str]]:
-    """(kind, before, span, after) of a bounded sample of the patterns' spans: those of least hash, as many of each kind."""
+    """(kind, before, span, after) of a bounded sample of the patterns' spans: those of least hash, as many of each kind.
+
+    One pass: each task keeps its own least of every kind, and Spark the least
+    of these.  Spans of over ``WINDOW - 20`` characters don't fit a window and
+    are no examples.
+    """
+    each = most // len(KINDS)
 
     def label(batches):
+        least: dict[str, dict] = {k: {} for k in KINDS}
         for batch in batches:
-            rows = []
             for t in batch.column(0).to_pylist():
                 if t and _ANCHOR.search(t):
-                    rows += [(k, t[max(0, a - WINDOW) : a], t[a:b], t[b : b + WINDOW]) for k, a, b in base_spans(t) if b - a <= WINDOW - 20]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["kind", "before", "span", "after"])
-
-    found = docs.select("text").filter("text is not null").mapInArrow(label, "kind string, before string, span string, after string")
-    out: list[tuple[str, str, str, str]] = []
-    order = F.xxhash64("before", "span", "after")
-    ranked = found.withColumn("o", order)
-    for kind in KINDS:
-        out += [(r.kind, r.before, r.span, r.after) for r in ranked.filter(F.col("kind") == kind).orderBy("o", "before", "span", "after").limit(most // len(KINDS)).collect()]
-    return out
+                    for k, a, b in base_spans(t):
+                        if b - a <= WINDOW - 20:
+                            row = (t[max(0, a - WINDOW) : a], t[a:b], t[b : b + WINDOW])
+                            least[k][int.from_bytes(hashlib.blake2b("\0".join(row).encode(), digest_size=7).digest(), "big"), *row] = None
+                for k, rows in least.items():
+                    if len(rows) > 4 * each:
+                        least[k] = dict.fromkeys(sorted(rows)[:each])
+        rows = [(k, *r) for k in KINDS for r in sorted(least[k])[:each]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 1 else pa.string()) for i in range(5)], ["kind", "o", "before", "span", "after"])
+
+    found = docs.select("text").filter("text is not null").mapInArrow(label, "kind string, o long, before string, span string, after string")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("o", "before", "span", "after"))
+    rows = found.distinct().withColumn("place", place).filter(F.col("place") <= each).collect()
+    return [(r.kind, r.before, r.span, r.after) for r in sorted(rows, key=lambda r: (KINDS.index(r.kind), r.place))]
 
 
 def train(docs: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> Tagger | None:
     """A tagger from the patterns' own spans in ``docs`` (text); None if there are none."""
     r = random.Random(13)
     texts, tags = [], []
-    for kind, before, span, after in _examples(docs, sample_windows):
+    examples = _examples(docs, sample_windows)
+    for kind, before, span, after in examples * max(1, round(sample_windows / max(1, len(examples)))):  # fewer spans are varied more often
         for what, form in (("base", span), ("form", _varied(kind, span, r)), ("form", _varied(kind, span, r)), ("form", _varied(kind, span, r)), ("decoy", _decoy(r)), ("decoy", _decoy(r)), ("decoy", _near_phone(r))):
             lead = r.randrange(5, max(6, WINDOW - len(form)))
             head = before[-lead:]
@@ -288,20 +304,21 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 
 def find(docs: DataFrame, model: Tagger | None, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns and ``spans`` for every row of ``docs``."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    """The ``keep`` columns and ``spans`` for every row of ``docs``; a kept column of that name gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches):
         cache: dict = {}
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                found = spans_of(part.column(part.num_columns - 1).to_pylist(), shared.value, cache)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array([[dict(zip(("kind", "start", "end", "base"), s)) for s in x] for x in found], kind)], [*keep, "spans"])
+        for texts in batches:
+            found = []
+            for at in range(0, len(texts), ROWS):
+                found += spans_of(texts.slice(at, ROWS).to_pylist(), shared.value, cache)
+            yield [pa.array([[dict(zip(("kind", "start", "end", "base"), s)) for s in x] for x in found], kind)]
+        cache.clear()
+        released()
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ", ".join([*fields, f"spans {SPANS}"]))
+    return applied(docs, keep, run, f"spans {SPANS}")
 
 
 def digests(found: DataFrame, keep: list[str]) -> DataFrame:
@@ -310,13 +327,12 @@ def digests(found: DataFrame, keep: list[str]) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     count = lambda k: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return found.select(*keep, *counts, F.sha2(F.concat_ws(",", F.transform(base, named)), 256).alias("base_sha256"), F.concat_ws(",", F.transform("spans", named)).alias("spans"))
+    return found.select(*[F.col(quoted(c)) for c in keep if c != "spans"], *counts, F.sha2(F.concat_ws(",", F.transform(base, named)), 256).alias("base_sha256"), F.concat_ws(",", F.transform("spans", named)).alias("spans"))
 
 
 def redact(docs: DataFrame, model: Tagger | None) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; of overlapping spans the whole stretch goes under the first's kind."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
     def clean(t: str | None, spans) -> str | None:
         if not spans:
@@ -330,13 +346,16 @@ def redact(docs: DataFrame, model: Tagger | None) -> DataFrame:
             done = b
         return "".join([*out, t[done:]])
 
-    def run(batches):
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict = {}
-        for batch in batches:
-            for k in range(0, len(batch), 2000):
-                part = batch.slice(k, 2000)
-                texts = part.column(at).to_pylist()
-                done = pa.array([clean(t, s) for t, s in zip(texts, spans_of(texts, shared.value, cache))], part.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays([done if i == at else part.column(i) for i in range(part.num_columns)], schema=part.schema)
+        for column in texts:
+            done = []
+            for at in range(0, len(column), ROWS):
+                part = column.slice(at, ROWS).to_pylist()
+                done += map(clean, part, spans_of(part, shared.value, cache))
+            yield pa.array(done, pa.string())
+        cache.clear()
+        released()
 
-    return docs.mapInArrow(run, docs.schema)
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn("text", F.arrow_udf(run, "string")(F.col("text")))
