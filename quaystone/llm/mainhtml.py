@@ -28,16 +28,20 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+from .shared import applied, released
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: What is left of a tag after its name.  It stops at another ``<``, so tags that never end cost no more than their length.
+_REST = re.compile(r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|aria-label)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title canvas select audio video".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PROSE = frozenset("p pre td blockquote li dd figcaption div section article h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never part of the main text.
 ASIDE = frozenset("nav footer aside form button menu dialog fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
@@ -50,7 +54,11 @@ _MAIN_NAMES = re.compile(r"article|body|content|entry|main|post|story|text", re.
 _ENDS_P = BLOCKS - {"body", "html"}
 #: An open element of the first kind ends where one of the second begins.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_STOPS = frozenset("ul ol dl table".split())
+_CLOSED_BY = {tag: tuple(o for o, by in CLOSES.items() if tag in by) for tag in CLOSES}
+_STOPS = tuple("ul ol dl table div section article".split())
+#: What is open inside a cell stays in it, whatever ends, but for what holds whole tables.
+_CELLS = ("td", "th", "table")
+_ENDS_CELLS = frozenset("table tr tbody thead tfoot div section article body html".split())
 #: A page with fewer unlinked letters has its text where only names set it aside.
 LITTLE = 140
 
@@ -64,7 +72,7 @@ class Node:
         self.points, self.letters, self.linked = 0.0, 0, 0
 
 
-def _is_aside(tag: str, attributes: str, parent: Node) -> tuple[bool, str, bool]:
+def _is_aside(tag: str, attributes: str, in_main: bool) -> tuple[bool, str, bool]:
     """Whether an element is set aside for certain, its names, and whether it is set aside by them."""
     names, hidden, role = "", False, ""
     if attributes and not attributes.isspace():
@@ -78,74 +86,100 @@ def _is_aside(tag: str, attributes: str, parent: Node) -> tuple[bool, str, bool]
                 hidden = True
     if tag in ASIDE or hidden or role in ROLES:
         return True, names, False
-    if tag == "header" and not _within(parent, ("article", "main")):
+    if tag == "header" and not in_main:
         return True, names, False
     return False, names, bool(names and tag not in ("html", "body", "article", "main") and _ASIDE_NAMES.search(names))
 
 
-def _within(node: Node | None, tags) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+def _marks(page: str):
+    """(start, end, tag, whether it ends one, its attributes) of every piece of markup; tag None for comments and the like.
+
+    One pass: no character is read more than a few times, however broken the page is.
+    """
+    at, last = page.find("<"), page.rfind(">")
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, None, False, ""
+        elif page.startswith("<![CDATA[", at) and (end := page.find("]]>", at)) >= 0:
+            end += 3
+            yield at, end, None, False, ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1 or len(page)
+            yield at, end, None, False, ""
+        elif at < last and (name := _NAME.match(page, at)):
+            rest = _REST.match(page, name.end())
+            end = rest.end() if rest else page.find(">", name.end()) + 1
+            yield at, end, name[1].lower(), page[at + 1] == "/", page[name.end() : end - 1]
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
+class _Open:
+    """The elements that are open, and how deep the innermost of each tag lies."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths = [root], {}
+
+    def deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close everything from a depth on."""
+        while len(self.path) > depth:
+            self.depths[self.path.pop().tag].pop()
 
 
 def tree(page: str) -> Node:
-    root = here = Node("html", "", None, False)
+    root = Node("html", "", None, False)
+    now = _Open(root)
     at = 0
-    for m in _MARK.finditer(page):
-        if m.start() < at:
+    for start, stop, tag, ends, attributes in _marks(page):
+        if start < at:
             continue
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        here = now.path[-1]
+        if start > at:
+            here.children.append(page[at:start])
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "br" or (tag == "p" and not _within(here, ("p",))):
+        if ends:
+            if tag == "br" or (tag == "p" and not now.depths.get("p")):
                 here.children.append(Node("br", "", here, False))
                 continue
-            up = here
-            while up is not None and up.tag != tag:
-                if up.tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "div", "section", "article", "body", "html"):
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+            depth = now.deepest((tag,))
+            if depth and (tag in _ENDS_CELLS or depth >= now.deepest(_CELLS)):
+                now.cut(depth)
             continue
+        empty = attributes.endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
-            if not m[0].endswith("/>"):
+            if not empty:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in _ENDS_P and _within(here, ("p",)):
-            up = here
-            while up.tag != "p":
-                up = up.parent
-            here = up.parent
-        if tag in CLOSES:
-            up = here
-            while up is not None and up.tag not in _STOPS and up.tag not in ("div", "section", "article"):
-                if tag in CLOSES.get(up.tag, ()):
-                    here = up.parent
-                    break
-                up = up.parent
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", here.tag) and here.parent is not None:
-            here = here.parent
-        node = Node(tag, "", here, False)
-        aside, node.names, node.named = _is_aside(tag, m[3], here)
-        node.aside = aside or node.named
+        if tag in _ENDS_P and now.depths.get("p"):
+            now.cut(now.depths["p"][-1])
+        if tag in CLOSES and (depth := now.deepest(_CLOSED_BY[tag])) > now.deepest(_STOPS):
+            now.cut(depth)
+        if tag in HEADINGS and now.path[-1].tag in HEADINGS:
+            now.cut(len(now.path) - 1)
+        here = now.path[-1]
+        aside, names, named = _is_aside(tag, attributes, bool(now.depths.get("article") or now.depths.get("main")))
+        node = Node(tag, names, here, aside or named)
+        node.named = named
         here.children.append(node)
-        if tag not in VOID and not m[0].endswith("/>") or tag in BLOCKS and m[0].endswith("/>"):
-            here = node
+        if tag not in VOID and not empty or tag in BLOCKS and empty:
+            now.push(node)
     if at < len(page):
-        here.children.append(page[at:])
+        now.path[-1].children.append(page[at:])
     return root
 
 
@@ -352,12 +386,12 @@ def _plain(part: list[Node | str]) -> str:
 
 
 def extract(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, ``text`` and ``n_chars`` for every row of ``pages`` (html)."""
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema]
+    """The ``keep`` columns, ``text`` and ``n_chars`` for every row of ``pages`` (html); kept columns of these names give way."""
 
     def run(batches):
-        for batch in batches:
-            text = [main_text(h.as_py()) for h in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*keep, "text", "n_chars"])
+        for column in batches:
+            text = [main_text(h.as_py()) for h in column]
+            yield [pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
+        released()
 
-    return pages.select(*keep, F.col("html").alias("__html")).mapInArrow(run, ", ".join([*fields, "text string, n_chars long"]))
+    return applied(pages, keep, run, "text string, n_chars long", text="html")

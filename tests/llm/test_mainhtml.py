@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,26 @@ NOTE = "A short note"
 )
 def test_whole_text_of_other_layouts(page, want):
     assert mainhtml.main_text(page) == want
+
+
+PROSE = " ".join(["This is a sentence of the article, with commas, and enough words to count as prose."] * 3)
+SIDE = "<div class='sidebar'><p>Side text, with things, that are long enough to be prose, maybe, by themselves.</p></div>"
+
+
+@pytest.mark.parametrize("names", ["container has-sidebar", "layout-with-sidebar", "main no-sidebar", "page with-comments", "post social-post", "content tags-page", "article-widget"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_of_the_layout_set_no_article_aside(names, tag):
+    page = f"<nav><a href=x>Home</a></nav><div class='{names}'><{tag}><h1>Title</h1><p>{PROSE}</p><p>{PROSE} More.</p></{tag}>{SIDE}</div><footer>foot</footer>"
+    assert mainhtml.main_text(page) == f"Title\n{PROSE}\n{PROSE} More."
+
+
+def test_formulas_and_figures_stay():
+    page = f"<article><p>We see that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. {PROSE}</p><figure><svg><title>no</title><text>axis</text></svg><figcaption>Fig. 1</figcaption></figure></article>"
+    assert mainhtml.main_text(page) == f"We see that x=2 holds. {PROSE}\naxis\nFig. 1"
+
+
+@pytest.mark.parametrize("piece", ["<a x=1 ", '<a x="', "<a '\" >", "<div>", "<b>", "<p><b>", "<table><td><i>", "</span><b>", "<li><span>", "<!-- ", "<script>", "&amp", "<div class='sidebar'>"])
+def test_a_megabyte_of_broken_markup_takes_seconds(piece):
+    began = time.perf_counter()
+    mainhtml.main_text(f"<article><p>{PROSE}</p>" + piece * (1_000_000 // len(piece)) + "</span>" * 1000)
+    assert time.perf_counter() - began < 20
