@@ -86,10 +86,14 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
     """Write the archives; returns the captures (``INDEX`` columns), themselves a table in ``folder``."""
     html = F.coalesce(F.col("html"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
-    long = F.octet_length("html") >= least
-    # Only digests and ids are shuffled to find groups; counts are summed before the shuffle, whatever a group's size.
-    groups = own.filter(long).groupBy("digest").agg(F.min("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("digest", "head")
-    marked = own.join(groups, "digest", "left")
+    own = own.withColumn("row", F.xxhash64("page_id", "url", "digest"))
+    long = own.filter(F.octet_length("html") >= least).select("row", "page_id", "digest")
+    # Groups are found with digests and ids alone; their counts are summed before the shuffle, whatever a group's size.
+    # The pages meet their group's head by a hash of the row, so no key is hot, not even that of the empty page.
+    groups = long.groupBy("digest").agg(F.min("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1").select("digest", "head")
+    heads = long.join(groups, "digest").select(F.col("row").alias("its_row"), F.col("page_id").alias("its_id"), F.col("digest").alias("its_digest"), "head").distinct()
+    same = (F.col("row") == F.col("its_row")) & F.col("page_id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest"))
+    marked = own.join(heads, same, "left")
 
     def run(batches):
         out, path, at = None, None, 0
@@ -221,14 +225,15 @@ def scan_index(directory: DataFrame, folder: str) -> DataFrame:
     return directory.select("file", "at", "size").repartition(n).mapInArrow(run, INDEX)
 
 
-def lookup(urls: DataFrame, directory: DataFrame, folder: str, archives: str, most_bytes: int = DIRECTORY_BYTES) -> DataFrame:
-    """Records of the asked URLs (``url``): (url, page_id, payload_bytes, payload_digest, record_type, refers_to, payload).
+def search(keys: DataFrame, directory: DataFrame, folder: str, most_bytes: int = DIRECTORY_BYTES) -> DataFrame:
+    """(key, page_id, kind, file, at, size): the captures of distinct ``keys``, by binary search.
 
-    The directory is a few bytes for each ``BLOCK_LINES`` captures.  Up to
-    ``most_bytes`` every task searches it whole; beyond, it is searched in
-    pieces of that size, in turn.
+    The sparse directory (a few bytes for each ``BLOCK_LINES`` captures) tells
+    which blocks can hold a key; only those are read, each once, and searched.
+    Up to ``most_bytes`` of directory every task searches it whole; beyond, it
+    is searched in pieces of that size, in turn.
     """
-    spark = urls.sparkSession
+    spark = keys.sparkSession
     size = directory.agg(F.sum(F.octet_length("first") + F.octet_length("last") + 40)).first()[0] or 0
     pieces = int(size // most_bytes) + 1
     found = None
@@ -237,36 +242,56 @@ def lookup(urls: DataFrame, directory: DataFrame, folder: str, archives: str, mo
         rows = sorted((r["first"], r["last"], r["file"], r["at"], r["size"]) for r in part.collect())
         shared = spark.sparkContext.broadcast(rows)
 
-        def search(batches, shared=shared):
+        def find(batches, shared=shared):
             rows = shared.value
             firsts = [r[0] for r in rows]
             for batch in batches:
                 out = []
-                for url in batch.column(0).to_pylist():
-                    key = url_key(url)
+                for key in batch.column(0).to_pylist():
                     i = bisect_right(firsts, key) - 1
                     while i >= 0 and rows[i][1] >= key:  # a key can fill several blocks
-                        out.append((url, key, *rows[i][2:]))
+                        out.append((key, *rows[i][2:]))
                         i -= 1
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["url", "key", "file", "at", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "at", "size"])
 
-        hits = urls.select("url").filter("url is not null").distinct().mapInArrow(search, "url string, key string, file string, at long, size long")
+        hits = keys.mapInArrow(find, "key string, file string, at long, size long")
         found = hits if found is None else found.unionByName(hits)
 
     def blocks(batches):
-        read, last, lines, keys = _Reader(folder), None, [], []
+        read, last, lines, firsts = _Reader(folder), None, [], []
         for batch in batches:
             out = []
-            for url, key, file, at, size in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, file, at, size in zip(*(c.to_pylist() for c in batch.columns)):
                 if (file, at) != last:
                     last, lines = (file, at), _lines(read(file, at, size))
-                    keys = [r[0] for r in lines]
-                out += [(url, *r[1:]) for r in lines[bisect_left(keys, key) : bisect_right(keys, key)]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["url", "page_id", "kind", "file", "at", "size"])
+                    firsts = [r[0] for r in lines]
+                out += lines[bisect_left(firsts, key) : bisect_right(firsts, key)]
+            yield _captures_of(out)
 
     n = partitions(spark)
-    asked = found.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(blocks, "url string, page_id long, kind string, file string, at long, size long")
-    return _records(asked, archives, payload=True)
+    return found.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(blocks, INDEX)
+
+
+def keys_of(urls: DataFrame) -> DataFrame:
+    """(url, key): each distinct ``url`` (null is one) with its reversed-host key."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], ["url", "key"])
+
+    return urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(run, "url string, key string")
+
+
+def lookup(urls: DataFrame, directory: DataFrame, folder: str, archives: str, most_bytes: int = DIRECTORY_BYTES) -> DataFrame:
+    """Records of the asked URLs (``url``): (url, page_id, payload_bytes, payload_digest, record_type, refers_to, payload)."""
+    asked = keys_of(urls.filter("url is not null"))
+    found = search(asked.select("key").distinct(), directory, folder, most_bytes)
+    return _records(asked.join(found, "key").select("url", "page_id", "kind", "file", "at", "size"), archives, payload=True)
+
+
+def look_up_all(pages: DataFrame, directory: DataFrame, folder: str, archives: str) -> DataFrame:
+    """The records of all ``pages`` (url), found through the index by their keys: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    return _records(search(keys_of(pages).select("key").distinct(), directory, folder), archives)
 
 
 def _parse(member: bytes) -> tuple:
