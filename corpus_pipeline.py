@@ -22,13 +22,12 @@ from pyspark.sql import functions as F
 
 from quaystone.llm import decontaminate as dec
 from quaystone.llm import neardup, pieces, pii, toxicity
-from quaystone.llm.shared import small_batches, table, written
+from quaystone.llm.shared import quoted, table, written
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return toxicity.score(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], "text"), machine, [f"c{i}" for i in range(len(names))]).filter("predicted = 0").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return _kept(docs, lambda own, keep: toxicity.score(own, machine, keep), "predicted = 0")
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +37,14 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], "text")
-    judged = dec.decontaminate(own, table(spark, sf_dir, "benchmark"), keep=[f"c{i}" for i in range(len(names))])
-    return judged.filter("not contaminated").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return _kept(docs, lambda own, keep: dec.decontaminate(own, table(spark, sf_dir, "benchmark"), keep), "not contaminated")
+
+
+def _kept(docs: DataFrame, judge, condition: str) -> DataFrame:
+    """The rows of ``docs`` for whose text an operator's result meets ``condition``; its columns under names that can't clash."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    own = docs.select(*[F.col(quoted(c)).alias(names.get(c, c)) for c in docs.columns])
+    return judge(own, own.columns).filter(condition).select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
 def _personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,20 +56,12 @@ def _encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, ["doc_id"], digests=True, ids=True)
 
 
-def _stage(function):
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        small_batches(spark)
-        return function(spark, docs, sf_dir)
-
-    return stage
-
-
 STAGES = [
-    ("toxicity", _stage(_toxicity)),
-    ("near_duplicates", _stage(_near_duplicates)),
-    ("decontamination", _stage(_decontamination)),
-    ("personal_data", _stage(_personal_data)),
-    ("sentencepiece", _stage(_encoding)),
+    ("toxicity", _toxicity),
+    ("near_duplicates", _near_duplicates),
+    ("decontamination", _decontamination),
+    ("personal_data", _personal_data),
+    ("sentencepiece", _encoding),
 ]
 
 #: The models and the tokenizer are beyond SQL; tests hold the stages against brute force.
