@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Latin letters with marks and what they fold to (fixed values).
@@ -14,6 +14,15 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "MMM d, yyyy", "d MMM yyyy")
 
 
+def settled(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``df.select(*columns)``, each column worked out once a row.
+
+    A one-element generator stands between: conditions on these columns aren't
+    pushed below it, where they would work out costly expressions again.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def fold_accents(c: Column) -> Column:
     return F.translate(c, ACCENTED, PLAIN)
 

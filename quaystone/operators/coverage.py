@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..functions.scalars import first_text, normalize_mpn
+import operator
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-def alias_value(bag: Column, aliases: list[str]) -> Column:
-    """The first non-blank value of a map under any of the aliases, keys compared without case and signs."""
-    keyed = F.map_from_entries(F.transform(F.map_entries(bag), lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").alias("key"), e["value"].alias("value"))))
-    clean = ["".join(c for c in a.lower() if c.isalnum()) for a in aliases]
-    return first_text(*[keyed[a] for a in clean])
+from ..functions.scalars import contains_text, normalize_mpn
 
 
 def status(required: Column, stock: Column) -> Column:
@@ -21,21 +17,17 @@ def status(required: Column, stock: Column) -> Column:
     return F.when(~needs & has, "overstock").when(~needs, "unknown").when(~has, "no_stock").when(stock < required, "partial_stock").when(stock > required, "overstock").otherwise("in_stock")
 
 
-def coverage(df: DataFrame) -> DataFrame:
+def coverage(rows: DataFrame) -> DataFrame:
     """Per part number: what is needed, what is in stock, and how they compare.
 
-    Needs are rows with a required quantity and a customer; stock is what is on
-    hand.  Attributes are the newest row's that has them.
+    ``rows`` are those of ``bags.stock_and_needs``.  Needs and stock are sums
+    of what is not negative, null where no row has a quantity.  Attributes are
+    the newest row's that has them (of equally new ones the greatest name).
     """
-    part = normalize_mpn(first_text(F.col("mpn"), F.col("mpn_quoted")))
-    customer, supplier, maker = first_text(F.col("customer"), F.col("client")), first_text(F.col("supplier_name"), F.col("supplier")), first_text(F.col("manufacturer"), F.col("clean_mfg"))
-    own = df.select(part.alias("part"), customer.alias("customer"), supplier.alias("supplier"), maker.alias("maker"), F.coalesce("req_qty", "qty").alias("need"), "on_hand", "created_at", "id", "upload_batch_id")
-    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", "id", c)))[c].alias(c)
-    need = F.when(F.col("customer").isNotNull() & F.col("need").isNotNull(), F.greatest(F.col("need"), F.lit(0.0)))
-    g = own.filter("part is not null").groupBy("part").agg(
-        F.sum(need).alias("required"), F.sum(F.when(F.col("on_hand").isNotNull(), F.greatest("on_hand", F.lit(0.0)))).alias("stock"), newest("customer"), newest("supplier"), newest("maker"),
-        F.countDistinct("upload_batch_id").alias("sources"), F.countDistinct("maker").alias("makers"), F.count("*").alias("rows"),
-    )
+    amount = lambda when, c: F.sum(F.when(F.col(when) & F.col(c).isNotNull(), F.greatest(c, F.lit(0.0))))
+    # First by part and upload: what is left is summed without a distinct count of uploads, which would copy every row.
+    each = rows.groupBy("part", "upload_batch_id").agg(amount("is_need", "need_qty").alias("required"), amount("is_stock", "stock_qty").alias("stock"), F.count("*").alias("rows"), *[F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c) for c in ("customer", "supplier", "maker")])
+    g = each.groupBy("part").agg(F.sum("required").alias("required"), F.sum("stock").alias("stock"), *[F.max(c)[c].alias(c) for c in ("customer", "supplier", "maker")], F.count("*").alias("sources"), F.sum("rows").alias("rows"))
     shortage = F.when(F.col("required").isNotNull(), F.greatest(F.col("required") - F.coalesce("stock", F.lit(0.0)), F.lit(0.0)))
     return g.withColumn("status", status(F.col("required"), F.col("stock"))).withColumn("shortage", shortage)
 
@@ -56,29 +48,28 @@ def coverage_filter(cov: DataFrame, text: str = "", statuses: list[str] | None =
     return out
 
 
-def opportunity_groups(df: DataFrame) -> DataFrame:
-    """Signals of every record summed by part number: demand, stock, excess, approval, receipts and what data lacks."""
-    part = normalize_mpn(first_text(F.col("mpn"), F.col("mpn_quoted")))
-    customer, supplier, maker = first_text(F.col("customer"), F.col("client")), first_text(F.col("supplier_name"), F.col("supplier")), first_text(F.col("manufacturer"), F.col("clean_mfg"))
-    excess = F.coalesce((F.col("category") == "Generic") & (F.col("return_flag") == "R"), F.lit(False))
-    stock = F.when((F.col("on_hand") > 0) & ~excess, F.col("on_hand"))
-    demand = F.when((F.coalesce("req_qty", "qty") > 0) & (F.col("category") != "Generic") & F.col("on_hand").isNull(), F.coalesce("req_qty", "qty"))
-    own = df.select(
-        part.alias("part"), customer.alias("customer"), supplier.alias("supplier"), maker.alias("maker"), "upload_batch_id", demand.alias("demand"), stock.alias("stock"), F.when(excess, F.col("on_hand")).alias("excess"),
-        (F.col("line_status") == "F").alias("approved"), ((F.col("category") == "Logistics") & (F.col("return_flag") == "N")).alias("received"),
-        F.when(demand.isNotNull() & customer.isNull(), "missing_customer_context").alias("f1"), F.when((stock.isNotNull() | excess) & supplier.isNull() & maker.isNull(), "missing_supplier_or_manufacturer_context").alias("f2"),
-    ).filter("part is not null")
+def opportunity_groups(signals: DataFrame) -> DataFrame:
+    """The signals of every record (``bags.signals``) summed by part number.
+
+    Names are the newest record's that has one.  Flags: missing customer,
+    missing supplier or manufacturer, approved, received, several manufacturers.
+    """
     zero = F.lit(0.0)
-    return own.groupBy("part").agg(
-        F.coalesce(F.sum("demand"), zero).alias("demand"), F.coalesce(F.sum("stock"), zero).alias("stock"), F.coalesce(F.sum("excess"), zero).alias("excess"), F.max("approved").alias("approved"), F.max("received").alias("received"),
-        F.min("customer").alias("customer"), F.min("supplier").alias("supplier"), F.min("maker").alias("maker"), (F.countDistinct("maker") > 1).alias("mixed_makers"), F.countDistinct("upload_batch_id").alias("sources"),
-        (F.max(F.col("f1").isNotNull().cast("int")) + F.max(F.col("f2").isNotNull().cast("int"))).alias("flags"),
+    named = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c)
+    each = signals.groupBy("part", "upload_batch_id").agg(
+        *[F.sum(c).alias(c) for c in ("demand", "stock", "excess")], *[F.max(c).alias(c) for c in ("approved", "received", "no_customer", "no_party")], *[named(c) for c in ("customer", "supplier", "maker")], F.min("maker").alias("least"), F.max("maker").alias("most"),
     )
+    g = each.groupBy("part").agg(
+        *[F.coalesce(F.sum(c), zero).alias(c) for c in ("demand", "stock", "excess")], *[F.max(c).alias(c) for c in ("approved", "received", "no_customer", "no_party")], *[F.max(c)[c].alias(c) for c in ("customer", "supplier", "maker")],
+        F.coalesce(F.min("least") < F.max("most"), F.lit(False)).alias("mixed_makers"), F.count("*").alias("sources"),
+    )
+    flags = sum((F.col(c).cast("int") for c in ("no_customer", "no_party", "approved", "received", "mixed_makers")), F.lit(0))
+    return g.withColumn("flags", flags)
 
 
-def opportunities(df: DataFrame) -> DataFrame:
+def opportunities(signals: DataFrame) -> DataFrame:
     """One row for each kind of opportunity of each part, scored and labelled."""
-    g = opportunity_groups(df)
+    g = opportunity_groups(signals)
     d, s, e = F.col("demand"), F.col("stock"), F.col("excess")
     kinds = F.array(
         F.when((d > 0) & (s >= d), "immediate_sale").when((d > 0) & (s > 0), "partial_sale").when((d > 0) & (e <= 0), "sourcing_needed"),
@@ -104,7 +95,27 @@ def opportunity_totals(opp: DataFrame) -> DataFrame:
 
 def top_opportunities(opp: DataFrame, n: int = 50) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(k) for k in ("immediate_sale", "partial_sale", "excess_resale", "sourcing_needed", "stock_without_demand")]), F.col("kind"))
-    return opp.orderBy(order, F.desc_nulls_last("demand"), "part").limit(n)
+    return opp.orderBy(order, F.desc_nulls_last("demand"), F.desc_nulls_last("shortage"), "part").limit(n)
+
+
+def opportunity_filter(opp: DataFrame, part: str = "", mpn: str = "", customer: str = "", supplier: str = "", maker: str = "", kind: str | None = None) -> DataFrame:
+    """Opportunities that fit a form; the same text as supplier and manufacturer means either."""
+    has = lambda c, text: contains_text(F.col(c), text.strip())
+    fits = [F.col("part").contains(normalize_mpn(F.lit(part)))] * bool(part) + [F.col("part") == normalize_mpn(F.lit(mpn))] * bool(mpn) + [has("customer", customer)] * bool(customer)
+    if supplier and supplier == maker:
+        fits.append(has("supplier", supplier) | has("maker", maker))
+    else:
+        fits += [has("supplier", supplier)] * bool(supplier) + [has("maker", maker)] * bool(maker)
+    fits += [F.col("kind") == kind] * (kind is not None)
+    return opp.filter(reduce(operator.and_, fits, F.lit(True)))
+
+
+def confidence_totals(opp: DataFrame, size: int | None = None) -> DataFrame:
+    """How many opportunities of each confidence; with ``size``, of the first page of that many, and whether there are more."""
+    shown = opp if size is None else top_opportunities(opp, size)
+    count = lambda label: F.count_if(F.col("confidence") == label).alias(label)
+    evaluated = shown.agg(F.count("*").alias("evaluated"), count("high"), count("medium"), count("low"))
+    return evaluated.crossJoin(opp.agg(F.count("*").alias("total"))).withColumn("truncated", F.col("total") > F.col("evaluated"))
 
 
 def account_clients(opp_sources: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -132,4 +143,5 @@ def template(profile: DataFrame, by: str) -> DataFrame:
 
 
 def newest_uploads(uploads: DataFrame, n: int) -> DataFrame:
-    return uploads.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "id"))).filter(F.col("place") <= n)
+    """The ``n`` uploads that a view starts from, newest first."""
+    return uploads.orderBy(F.desc_nulls_last("created_at"), "id").limit(n)

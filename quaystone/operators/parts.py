@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_text, normalize_mpn, round_half_up
+from ..functions.scalars import first_text, normalize_mpn, round_half_up, settled
 
 
 def lookup(df: DataFrame, asked: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def _scored(df: DataFrame) -> DataFrame:
     """Every part's suppliers with their best values and score; one aggregate by part and supplier, then one window by part."""
     part = normalize_mpn(first_text(F.col("mpn"), F.col("mpn_quoted")))
     supplier = F.coalesce(first_text(F.col("supplier_name"), F.col("supplier")), F.lit("Unknown supplier"))
-    own = df.select(part.alias("part"), supplier.alias("supplier"), "price", "lead_time_weeks", F.coalesce("on_hand", "qty", F.lit(0.0)).alias("q"), "gp_rate", "has_errors").filter("part is not null")
+    own = settled(df, part.alias("part"), supplier.alias("supplier"), "price", "lead_time_weeks", F.coalesce("on_hand", "qty", F.lit(0.0)).alias("q"), "gp_rate", "has_errors").filter("part is not null")
     s = own.groupBy("part", "supplier").agg(
         F.min("price").alias("price"), F.max("price").alias("dearest"), F.min("lead_time_weeks").alias("lead"), F.max("q").alias("quantity"), F.avg("gp_rate").alias("gp"),
         F.min(F.coalesce("has_errors", F.lit(False))).alias("dirty"), F.count("*").alias("offers"),
@@ -83,7 +83,7 @@ def plain_ranking(df: DataFrame) -> DataFrame:
     """Every part's suppliers for roles that see no prices: offers, highest quantity and fastest lead, by name."""
     part = normalize_mpn(first_text(F.col("mpn"), F.col("mpn_quoted")))
     supplier = F.coalesce(first_text(F.col("supplier_name"), F.col("supplier")), F.lit("Unknown supplier"))
-    own = df.select(part.alias("part"), supplier.alias("supplier"), F.coalesce("on_hand", "qty").alias("q"), "lead_time_weeks").filter("part is not null")
+    own = settled(df, part.alias("part"), supplier.alias("supplier"), F.coalesce("on_hand", "qty").alias("q"), "lead_time_weeks").filter("part is not null")
     s = own.groupBy("part", "supplier").agg(F.count("*").alias("offers"), F.max("q").alias("quantity"), F.min("lead_time_weeks").alias("lead"))
     return s.withColumn("position", F.row_number().over(Window.partitionBy("part").orderBy(F.lower("supplier"), "supplier")))
 

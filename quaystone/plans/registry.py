@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
+from ..operators import bags as B
 from ..operators import coverage as C
 from ..operators import filters as P
 from ..operators import finder as X
@@ -361,34 +362,62 @@ add(
 
 # ---- coverage and opportunities
 
-COVER = f"""with own as (select {PART} as part, {CUSTOMER} as customer, {SUPPLIER} as supplier, {MAKER} as maker, coalesce(req_qty, qty) as need, on_hand, created_at, id, upload_batch_id from active where {PART} is not null),
-    g as (select part, sum(case when customer is not null and need is not null then greatest(need, 0) end) as required, sum(case when on_hand is not null then greatest(on_hand, 0) end) as stock,
-      (max(row(created_at, id, customer)) filter (customer is not null))[3] as customer, (max(row(created_at, id, supplier)) filter (supplier is not null))[3] as supplier, (max(row(created_at, id, maker)) filter (maker is not null))[3] as maker,
-      count(distinct upload_batch_id) as sources, count(distinct maker) as makers, count(*) as rows from own group by part),
+# What the bags say, worked out by category: see the mapping of ``bags``.
+BAG_PART = MPN("coalesce(mpn, mpn_quoted)")
+NEEDS = f"""with own as (select id, upload_batch_id, created_at, {BAG_PART} as part, coalesce(category = 'Generic' or (category in ('Supplier Offers', 'Sales Margin') and on_hand is not null), false) as is_stock,
+      coalesce(category in ('RFQ', 'Logistics', 'Sales Margin') and (req_qty is not null or (category = 'Logistics' and qty is not null)), false) as is_need, on_hand, case when category = 'Logistics' then coalesce(qty, req_qty) else req_qty end as needed,
+      coalesce(customer, client) as customer, coalesce(supplier, supplier_name) as supplier, coalesce(manufacturer, clean_mfg) as maker from active where {BAG_PART} is not null),
+    n as (select * exclude (on_hand, needed), case when is_stock then on_hand end as stock_qty, case when is_need then needed end as need_qty from own where is_stock or is_need)"""
+COVER = f"""{NEEDS},
+    g as (select part, sum(greatest(need_qty, 0)) filter (need_qty is not null) as required, sum(greatest(stock_qty, 0)) filter (stock_qty is not null) as stock, (max(row(created_at, customer)) filter (customer is not null))[2] as customer, (max(row(created_at, supplier)) filter (supplier is not null))[2] as supplier,
+      (max(row(created_at, maker)) filter (maker is not null))[2] as maker, count(distinct upload_batch_id) as sources, count(*) as rows from n group by part),
     c as (select *, case when coalesce(required, 0) <= 0 then (case when coalesce(stock, 0) > 0 then 'overstock' else 'unknown' end) when coalesce(stock, 0) <= 0 then 'no_stock' when stock < required then 'partial_stock' when stock > required then 'overstock' else 'in_stock' end as status,
       case when required is not null then greatest(required - coalesce(stock, 0), 0) end as shortage from g)"""
-add("c_coverage", lambda s, d: C.coverage(R.active_records(s, d)), f"{COVER} select * from c", "records")
-add("c_coverage_totals", lambda s, d: C.coverage_totals(C.coverage(R.active_records(s, d))), f"{COVER} select count(*) as parts, " + ", ".join(f"count(*) filter (status = '{k}') as {k}" for k in ("in_stock", "partial_stock", "no_stock", "overstock", "unknown")) + ", sum(required) as required, sum(stock) as stock, sum(shortage) as shortage from c", "records")
-add("c_coverage_filter", lambda s, d: C.coverage_filter(C.coverage(R.active_records(s, d)), text="p-1", statuses=["partial_stock", "overstock"], party="brand#3").select("part", "status", "maker"), f"{COVER} select part, status, maker from c where part like '%P-1%' and status in ('partial_stock', 'overstock') and (lower(supplier) = 'brand#3' or lower(maker) = 'brand#3')", "records")
-OPP = f"""with own as (select {PART} as part, {CUSTOMER} as customer, {SUPPLIER} as supplier, {MAKER} as maker, upload_batch_id, coalesce(category = 'Generic' and return_flag = 'R', false) as ex, on_hand, line_status = 'F' as approved, category = 'Logistics' and return_flag = 'N' as received,
-      case when coalesce(req_qty, qty) > 0 and category <> 'Generic' and on_hand is null then coalesce(req_qty, qty) end as demand from active where {PART} is not null),
-    o as (select *, case when on_hand > 0 and not ex then on_hand end as stock, case when ex then on_hand end as excess from own),
-    g as (select part, coalesce(sum(demand), 0) as d, coalesce(sum(stock), 0) as s, coalesce(sum(excess), 0) as e, bool_or(approved) as approved, bool_or(received) as received, min(customer) as customer, min(supplier) as supplier, min(maker) as maker, count(distinct maker) > 1 as mixed_makers, count(distinct upload_batch_id) as sources,
-      max(case when demand is not null and customer is null then 1 else 0 end) + max(case when (stock is not null or ex) and supplier is null and maker is null then 1 else 0 end) as flags from o group by part),
+COVERED = lambda s, d: C.coverage(B.stock_and_needs(R.bags(s, d)))
+add("c_stock_and_needs", lambda s, d: B.stock_and_needs(R.bags(s, d)), f"{NEEDS} select * from n", "records")
+add("c_coverage", COVERED, f"{COVER} select * from c", "records")
+add("c_coverage_totals", lambda s, d: C.coverage_totals(COVERED(s, d)), f"{COVER} select count(*) as parts, " + ", ".join(f"count(*) filter (status = '{k}') as {k}" for k in ("in_stock", "partial_stock", "no_stock", "overstock", "unknown")) + ", sum(required) as required, sum(stock) as stock, sum(shortage) as shortage from c", "records")
+add("c_coverage_filter", lambda s, d: C.coverage_filter(COVERED(s, d), text="p-1", statuses=["partial_stock", "overstock"], party="brand#3").select("part", "status", "maker"), f"{COVER} select part, status, maker from c where part like '%P-1%' and status in ('partial_stock', 'overstock') and (lower(supplier) = 'brand#3' or lower(maker) = 'brand#3')", "records")
+SIGNALS = f"""with own as (select *, {BAG_PART} as part, coalesce(req_qty, qty) as needed, coalesce(category in ('RFQ', 'Logistics', 'Sales Margin'), false) as asked, coalesce(category = 'Supplier Offers' and return_flag = 'R' and on_hand is not null, false) as is_excess,
+      coalesce((category = 'Supplier Offers' and line_status <> 'F') or (category = 'Logistics' and line_status = 'F'), false) as approved, coalesce(category = 'Logistics' and qty > 0, false) as received from active where {BAG_PART} is not null),
+    t as (select id, upload_batch_id, created_at, part, coalesce(needed > 0 and category is distinct from 'Generic' and (req_qty is not null or asked or on_hand is null), false) as is_demand, coalesce(on_hand > 0, false) as is_stock, is_excess, approved, received, needed, on_hand,
+      coalesce(customer, client) as customer, coalesce(supplier, supplier_name) as supplier, coalesce(manufacturer, clean_mfg) as maker from own),
+    sig as (select * exclude (needed, on_hand), case when is_demand then needed end as demand, case when is_stock then on_hand end as stock, case when is_excess then greatest(on_hand, 0) end as excess, is_demand and customer is null as no_customer, (is_stock or is_excess) and supplier is null and maker is null as no_party from t)"""
+add("o_signals", lambda s, d: B.signals(R.bags(s, d)), f"{SIGNALS} select * from sig", "records")
+for name, sql in (("demand", "is_demand"), ("stock", "is_stock"), ("excess", "is_excess and excess > 0"), ("approved", "approved"), ("received", "received")):
+    add(f"o_view_{name}", lambda s, d, name=name: B.view(B.signals(R.bags(s, d)), name).select("id", "part", "demand", "stock", "excess"), f"{SIGNALS} select id, part, demand, stock, excess from sig where {sql}", "records")
+OPP = f"""{SIGNALS},
+    g as (select part, coalesce(sum(demand), 0) as d, coalesce(sum(stock), 0) as s, coalesce(sum(excess), 0) as e, bool_or(approved) as approved, bool_or(received) as received, (max(row(created_at, customer)) filter (customer is not null))[2] as customer, (max(row(created_at, supplier)) filter (supplier is not null))[2] as supplier,
+      (max(row(created_at, maker)) filter (maker is not null))[2] as maker, count(distinct maker) > 1 as mixed_makers, count(distinct upload_batch_id) as sources,
+      max(cast(no_customer as int)) + max(cast(no_party as int)) + max(cast(approved as int)) + max(cast(received as int)) + cast(count(distinct maker) > 1 as int) as flags from sig group by part),
     k as (select *, case when s >= d then 'immediate_sale' when s > 0 then 'partial_sale' when e <= 0 then 'sourcing_needed' end as kind from g where d > 0 union all select *, 'excess_resale' from g where d > 0 and e > 0 union all select *, 'stock_without_demand' from g where d <= 0 and (s > 0 or e > 0)),
     h as (select *, case when d > 0 then nullif(greatest(d - s - case when kind = 'excess_resale' then e else 0 end, 0), 0) end as shortage from k where kind is not null),
     f as (select part, kind, nullif(d, 0) as demand, nullif(s, 0) as stock, nullif(e, 0) as excess, shortage, customer, supplier, maker, mixed_makers, sources, flags,
       greatest(0, least(100, 40 + (case when d > 0 then 10 else 0 end) + (case when s > 0 or e > 0 then 10 else 0 end) + (case when shortage > 0 then 5 else 0 end) + (case when customer is not null then 10 else 0 end) + (case when supplier is not null or maker is not null then 5 else 0 end)
       + (case when approved then 10 else 0 end) + (case when received then 5 else 0 end) + (case when sources > 1 then 5 else 0 end) - least(flags * 5, 20))) as score from h),
     z as (select *, case when score >= 75 then 'high' when score >= 50 then 'medium' else 'low' end as confidence from f)"""
-add("o_opportunities", lambda s, d: C.opportunities(R.active_records(s, d)), f"{OPP} select * from z", "records")
-add("o_opportunity_totals", lambda s, d: C.opportunity_totals(C.opportunities(R.active_records(s, d))), f"{OPP} select kind, count(*) as n, sum(demand) as demand, sum(shortage) as shortage, count(*) filter (confidence = 'high') as high from z group by kind", "records")
+FOUND = lambda s, d: C.opportunities(B.signals(R.bags(s, d)))
+add("o_opportunities", FOUND, f"{OPP} select * from z", "records")
+add("o_opportunity_totals", lambda s, d: C.opportunity_totals(FOUND(s, d)), f"{OPP} select kind, count(*) as n, sum(demand) as demand, sum(shortage) as shortage, count(*) filter (confidence = 'high') as high from z group by kind", "records")
 add(
     "o_top_opportunities",
-    lambda s, d: C.top_opportunities(C.opportunities(R.active_records(s, d))).select("part", "kind", "demand"),
-    f"{OPP} select part, kind, demand from z order by list_position(['immediate_sale', 'partial_sale', 'excess_resale', 'sourcing_needed', 'stock_without_demand'], kind), demand desc nulls last, part limit 50",
+    lambda s, d: C.top_opportunities(FOUND(s, d)).select("part", "kind", "demand"),
+    f"{OPP} select part, kind, demand from z order by list_position(['immediate_sale', 'partial_sale', 'excess_resale', 'sourcing_needed', 'stock_without_demand'], kind), demand desc nulls last, shortage desc nulls last, part limit 50",
     "records",
 )
+add(
+    "o_filtered",
+    lambda s, d: C.opportunity_filter(FOUND(s, d), part="p-1", customer="customer#0", supplier="brand#3", maker="brand#3").select("part", "kind", "supplier", "maker"),
+    f"{OPP} select part, kind, supplier, maker from z where part like '%P-1%' and lower(customer) like '%customer#0%' and (lower(supplier) like '%brand#3%' or lower(maker) like '%brand#3%')",
+    "records",
+)
+add(
+    "o_confidence_page",
+    lambda s, d: C.confidence_totals(FOUND(s, d), 200),
+    f"{OPP}, p as (select * from z order by list_position(['immediate_sale', 'partial_sale', 'excess_resale', 'sourcing_needed', 'stock_without_demand'], kind), demand desc nulls last, shortage desc nulls last, part limit 200) select count(*) as evaluated, count(*) filter (confidence = 'high') as high, count(*) filter (confidence = 'medium') as medium, count(*) filter (confidence = 'low') as low, (select count(*) from z) as total, (select count(*) from z) > count(*) as truncated from p",
+    "records",
+)
+add("c_newest_uploads", lambda s, d: C.newest_uploads(R.uploads(s, d), 30).select("id", "created_at"), "select id, created_at from uploads order by created_at desc nulls last, id limit 30", "uploads")
 add(
     "o_account_clients",
     lambda s, d: C.account_clients(R.active_records(s, d).select(S.normalize_mpn(F.col("mpn")).alias("part"), "upload_batch_id").filter("part is not null").distinct(), table(s, d, "customer").select(F.col("c_custkey").alias("upload_batch_id"), F.concat(F.lit("account "), F.col("c_custkey") % 12).alias("client"))).select("part", F.array_join("clients", ",").alias("clients")),

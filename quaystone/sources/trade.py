@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CATEGORY = """case c_mktsegment when 'AUTOMOBILE' then 'Sales Margin' when 'BUILDING' then 'RFQ' when 'FURNITURE' then 'Supplier Offers'
   when 'HOUSEHOLD' then 'Logistics' when 'MACHINERY' then 'Generic' end"""
@@ -31,6 +32,15 @@ select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-'
   l_returnflag = 'R' as has_errors, l_shipdate as created_at, case when l_returnflag = 'A' and l_linestatus = 'F' and l_linenumber = 1 then l_shipdate end as archived_at,
   l_returnflag as return_flag, l_linestatus as line_status
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey join part on l_partkey = p_partkey""",
+    "bags": """
+select *, case category
+    when 'Generic' then map('Mfg Partno', mpn, 'STOCK QTY', cast(on_hand as string), 'Vendor', supplier, 'Mfg', manufacturer)
+    when 'RFQ' then map('Part Number', mpn, 'Required Qty', concat(cast(cast(req_qty as bigint) as string), ',000'), 'Cliente', customer, 'required_date', cast(cast(created_at as date) as string), 'REQUIRED QTY', cast(req_qty as string))
+    when 'Logistics' then map('Item', mpn, 'RCPT Qty', cast(qty as string), 'estado', case when line_status = 'F' then 'Source Controlled' else 'open' end, 'BPName', client)
+    when 'Supplier Offers' then map('MPN', mpn, 'Excess Qty', case when return_flag = 'R' then cast(on_hand as string) end, 'Approved', case when line_status = 'F' then 'no' else 'Yes' end, 'Available Qty', cast(on_hand as string))
+    else map('Description', description) end as raw_data,
+  map('req_qty', cast(req_qty as string), 'On Hand', case when category = 'Sales Margin' then cast(on_hand as string) end, 'supplier', ' ') as normalized_data
+from active""",
     "uploads": f"""
 select c_custkey as id, c_nationkey as uploaded_by, concat(c_name, '.csv') as original_file_name, {CATEGORY} as detected_category,
   case when c_acctbal < 0 then 'failed' when c_custkey % 10 = 0 then 'completed_with_warnings' else 'completed' end as status,
@@ -66,6 +76,13 @@ def active_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).filter("archived_at is null")
 
 
+def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active records with the cells they came with, ``raw_data`` and ``normalized_data``, and their file's template."""
+    out = spark.sql(SQL["bags"].replace("from active", "from {active}"), active=active_records(spark, sf_dir))
+    kind = F.when(F.col("category") == "Generic", "Inventario").when(F.col("category") == "Sales Margin", "Cotizacion")
+    return out.withColumn("template", F.lower(F.coalesce(kind, "category", F.lit(""))))
+
+
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, SQL["uploads"])
 

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import scalars as S
 from quaystone.operators import filters, finder, parts, traffic, windows
-from quaystone.operators.coverage import alias_value, status
+from quaystone.operators import bags as bags_of
+from quaystone.operators.bags import says_yes
+from quaystone.operators.coverage import status
 from quaystone.plans import search
 
 
@@ -25,8 +27,10 @@ def test_coverage_status(spark):
     rows = [(5.0, 5.0, "in_stock"), (5.0, 2.0, "partial_stock"), (5.0, None, "no_stock"), (None, 3.0, "overstock"), (None, None, "unknown"), (1.0, 9.0, "overstock")]
     df = spark.createDataFrame(rows, "r double, s double, want string")
     assert df.filter(status(F.col("r"), F.col("s")) != F.col("want")).count() == 0
-    bag = spark.sql("select map('Stock QTY', ' ', 'On-Hand', '7') as m")
-    assert bag.select(alias_value(F.col("m"), ["stock qty", "on hand"]).alias("v")).first().v == "7"
+    bags = spark.sql("select map('Stock QTY', ' ', 'On-Hand', '1,007.5', 'ON HAND', '7', 'Código', 'x') as m, cast(null as map<string,string>) as n")
+    r = bags_of.with_cells(bags, "n", "m").select(bags_of.first_value(["stock qty", "on hand"]).alias("v"), bags_of.first_number(["On Hand"]).alias("q"), bags_of.first_value(["codigo"]).alias("c"), bags_of.first_value(["nothing"]).alias("none"), bags_of.has(["on hand"], 0).alias("in_n")).first()
+    assert (r.v, r.q, r.c, r.none, r.in_n) == ("7", 7.0, "x", None, False)
+    assert values(spark, ["Yes", "not approved", "0", "-1", "2", " N ", "", None], says_yes) == [True, False, False, False, True, False, False, False]
 
 
 def test_questions():
