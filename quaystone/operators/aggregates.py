@@ -138,3 +138,33 @@ def quality_scores(with_issues: DataFrame, by: str) -> DataFrame:
         round_half_up(100 - 100.0 * F.sum(penalty) / (60 * n)).cast("long").alias("workbook_score"),
         (round_half_up(1000.0 * (n - F.count_if(F.size("issues") > 0)) / n) / 10).alias("worker_score"),
     )
+
+
+def created_on(df: DataFrame, day: str) -> DataFrame:
+    """How many records were created on a day (UTC)."""
+    return df.agg(F.count_if(F.to_date("created_at") == F.lit(day).cast("date")).alias("records_uploaded_today"))
+
+
+def assistant_usage(logs: DataFrame, action: str, since: str) -> DataFrame:
+    """Calls of a module since a time: all, failed, and the mean of positive durations, rounded."""
+    own = logs.filter((F.col("action") == action) & (F.col("created_at") >= F.lit(since).cast("timestamp")))
+    took = F.avg(F.when(F.col("duration_ms") > 0, F.col("duration_ms")))
+    return own.agg(F.count("*").alias("total"), F.count_if(F.col("level").isin("error", "fatal")).alias("failures"), F.coalesce(round_half_up(took), F.lit(0.0)).cast("long").alias("mean_ms"))
+
+
+def top_labels(df: DataFrame, by: str, columns: dict[str, Column], top: int = 5) -> DataFrame:
+    """(by, list, label, n, percent, position): for every module, the most frequent labels of each of its lists, in one pass."""
+    each = df.select(by, F.explode(F.array(*[F.struct(F.lit(k).alias("list"), F.coalesce(first_text(c.cast("string")), F.lit(UNSPECIFIED)).alias("label")) for k, c in columns.items()])).alias("x"))
+    counts = each.groupBy(by, "x.list", "x.label").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(by, "list")
+    ranked = counts.withColumn("total", F.sum("n").over(w)).withColumn("position", F.row_number().over(w.orderBy(F.desc("n"), "label"))).filter(F.col("position") <= top)
+    return ranked.select(by, "list", "label", "n", round_half_up(100.0 * F.col("n") / F.col("total")).cast("long").alias("percent"), "position")
+
+
+def legacy_modules(df: DataFrame, by: str) -> DataFrame:
+    """One row of figures a module of the older analytics: counts, sums, means without zeros, and counts by words."""
+    says = lambda c, words: F.count_if(F.coalesce(F.lower(F.col(c)).rlike(words), F.lit(False)))
+    return df.groupBy(by).agg(
+        F.count("*").alias("records"), money_sum(F.col("quantity")).alias("quantity"), mean_nonzero(F.col("unit_cost"), 2).alias("average_unit_cost"), mean_nonzero(F.col("margin"), 2).alias("average_margin"),
+        money_sum(F.col("total_sale")).alias("total_sale"), money_sum(F.col("commission")).alias("commission"), says("customs", "pending").alias("customs_pending"), says("authenticity", "suspicious|fail|counterfeit").alias("suspicious"),
+    )

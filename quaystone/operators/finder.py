@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_mpn, review_key
+from ..functions.scalars import contains_text, normalize_mpn, review_key
 
 SUPPLY_ROLES = ("stock", "excess", "supplier_offer", "received_history", "sales_history")
 HISTORY_ROLES = ("received_history", "sales_history")
@@ -90,7 +90,7 @@ def match(demand_rows: DataFrame, supply_rows: DataFrame, role: str = "stock") -
     ), lambda x: x.isNotNull())
     live = ~history & F.col("review_reason").isNull()
     return j.select(
-        "part", "customer", "date", "unit", "first_row", F.when(~history, F.col("required")).alias("required"), F.when(~history, F.coalesce("supply", F.lit(0.0))).alias("supply"), "before", "allocated",
+        "part", "customer", "maker", "date", "unit", "first_row", F.when(~history, F.col("required")).alias("required"), F.when(~history, F.coalesce("supply", F.lit(0.0))).alias("supply"), "before", "allocated",
         F.when(~history, F.col("required") - F.col("allocated")).alias("shortage"), F.when(~history & (F.col("required") > 0), F.round(100 * F.col("allocated") / F.col("required"), 2)).alias("coverage"), kind.alias("kind"), action.alias("action"),
         F.col("supply").isNotNull().alias("exact_part"), (live & (F.col("before") > 0) & (F.col("required") > 0)).alias("usable"), (live & (F.col("before") == F.col("required")) & (F.col("required") > 0)).alias("exact_quantity"), warnings.alias("warnings"),
     )
@@ -108,6 +108,42 @@ def possible_matches(demand_rows: DataFrame, supply_rows: DataFrame) -> DataFram
     return open_.join(s, "review").filter("part <> supply_part").select("part", "supply_part", "review").distinct()
 
 
+#: Kinds of results, as the summary counts them.
+KINDS = ("full_sale", "partial_sale", "sourcing_needed", "excess_resale", "supplier_offer_match", "supply_without_demand", "historical_signal", "review_required")
+
+
 def summary(results: DataFrame) -> DataFrame:
     n = lambda k: F.count_if(F.col("kind") == k).alias(k)
     return results.agg(F.count("*").alias("results"), *[n(k) for k in ("full_sale", "partial_sale", "sourcing_needed", "review_required")], F.sum("allocated").alias("allocated"), F.sum("shortage").alias("shortage"), F.countDistinct(F.when(F.col("usable"), F.col("part"))).alias("usable_parts"), F.count_if("exact_quantity").alias("exact_quantity"))
+
+
+def full_summary(demand_rows: DataFrame, supply_rows: DataFrame, role: str = "stock") -> DataFrame:
+    """All counters of a comparison, with parts that only one side has and rows that couldn't be used."""
+    history = role in HISTORY_ROLES
+    results = match(demand_rows, supply_rows, role).select("part", "kind", "usable", "exact_quantity")
+    if not history:
+        results = results.unionByName(supply_only(demand_rows, supply_rows).select("part", F.lit("supply_without_demand").alias("kind"), F.lit(False).alias("usable"), F.lit(False).alias("exact_quantity")))
+    parts = demand_rows.select("part", F.lit(1).alias("side")).unionByName(supply_rows.select("part", F.lit(2).alias("side"))).groupBy("part").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+    found = results.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in KINDS], F.countDistinct(F.when(F.col("usable"), F.col("part"))).alias("usable_parts"), F.count_if("exact_quantity").alias("exact_quantity"))
+    both = parts.agg(F.count("*").alias("analyzed_parts"), F.count_if(F.col("lo") < F.col("hi")).alias("exact_parts"))
+    bad = demand_rows.select("invalid").unionByName(supply_rows.select("invalid")).agg(F.count_if("invalid").alias("invalid_quantity_rows"))
+    near = possible_matches(demand_rows, supply_rows).agg(F.count("*").alias("possible_matches"))
+    return found.crossJoin(both).crossJoin(bad).crossJoin(near)  # one row each
+
+
+def filter_results(results: DataFrame, text: str = "", maker: str = "", context: str = "", kind: str | None = None, shortage: bool = False, usable: bool = False, exact: bool = False) -> DataFrame:
+    """Results that fit a form: part number, manufacturer and customer contain the texts; flags narrow further."""
+    out = results
+    if text.strip():
+        out = out.filter(F.col("part").contains(normalize_mpn(F.lit(text))))
+    for column, wanted in (("maker", maker), ("customer", context)):
+        if wanted.strip():
+            out = out.filter(contains_text(F.col(column), wanted.strip()))
+    if kind is not None:
+        out = out.filter(F.col("kind") == kind)
+    return out.filter((F.col("shortage") > 0) if shortage else F.lit(True)).filter(F.col("usable") if usable else F.lit(True)).filter(F.col("exact_part") if exact else F.lit(True))
+
+
+def without_old_units(results: DataFrame, version: str, current: str) -> DataFrame:
+    """Results of an earlier version don't show units: it didn't read them safely."""
+    return results if version == current else results.withColumn("unit", F.lit(None).cast("string"))

@@ -85,3 +85,9 @@ def alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
     hit = events.join(rules.filter("enabled"), events["action"] == rules["event_type"]).filter(met)
     to = F.when(F.size("recipients") > 0, F.col("recipients")).otherwise(F.array(F.lit("no-recipient")))
     return hit.select("id", "rule_id", F.explode(to).alias("recipient"))
+
+
+def event_union(page_views: DataFrame, system: DataFrame) -> DataFrame:
+    """Both logs as one, tagged with where an event is from; columns of one only are null in the other."""
+    tag = lambda df, name: df.withColumn("source", F.lit(name))
+    return tag(page_views, "page_view").unionByName(tag(system, "system"), allowMissingColumns=True)

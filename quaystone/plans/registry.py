@@ -455,13 +455,13 @@ def sides(s, d):
 UPPER = lambda c: f"upper(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
 CLEAN = lambda c: f"nullif(case when {UPPER(c)} in ('TI', 'TEXAS INSTRUMENTS') then 'TEXASINSTRUMENTS' when {UPPER(c)} in ('ST', 'STM', 'ST MICRO') then 'STMICROELECTRONICS' else regexp_replace({UPPER(c)}, '[^A-Z0-9]', '', 'g') end, '')"
 FIND = f"""with dr as ({DEMAND_SQL}), sr as ({SUPPLY_SQL}),
-    dd as (select {MPN("mpn")} as part, trim(who) as customer, strftime(due, '%Y-%m-%d') as date, upper(uom) as unit, sum(case when q > 0 then q else 0 end) as required, min(source_row) as first_row, min(mfg) as maker, count(*) as demand_rows from dr group by 1, 2, 3, 4),
+    dd as (select {MPN("mpn")} as part, trim(who) as customer, strftime(due, '%Y-%m-%d') as date, upper(uom) as unit, sum(case when q > 0 then q else 0 end) as required, min(source_row) as first_row, min(trim(regexp_replace(mfg, '\\s+', ' ', 'g'))) as maker, count(*) as demand_rows from dr group by 1, 2, 3, 4),
     ss as (select {MPN("mpn")} as part, sum(case when q > 0 then q else 0 end) as supply, list(distinct {CLEAN("mfg")}) filter (mfg is not null) as makers, list(distinct upper(uom)) as units, bool_or(q <= 0) as invalid, bool_or(q < 0) as negative from sr group by 1),
     j as (select dd.*, supply, makers, units, invalid, negative, case when {CLEAN("maker")} is not null and len(makers) > 0 and len(list_filter(makers, lambda m: contains(m, {CLEAN("maker")}) or contains({CLEAN("maker")}, m))) = 0 then 'manufacturer' when unit is not null and len(units) > 0 and not list_contains(units, unit) then 'unit' when required <= 0 then 'quantity' end as review from dd left join ss using (part)),
     e as (select *, case when review is null then required else 0 end as eligible from j),
     b as (select *, greatest(coalesce(supply, 0) - coalesce(sum(eligible) over (partition by part order by date asc nulls last, first_row, customer asc nulls last, unit asc nulls last rows between unbounded preceding and 1 preceding), 0), 0) as before from e),
     r as (select *, least(eligible, before) as allocated from b),
-    res as (select part, customer, date, unit, first_row, required, coalesce(supply, 0) as supply, before, allocated, required - allocated as shortage, case when required > 0 then round(100 * allocated / required, 2) end as coverage,
+    res as (select part, customer, maker, date, unit, first_row, required, coalesce(supply, 0) as supply, before, allocated, required - allocated as shortage, case when required > 0 then round(100 * allocated / required, 2) end as coverage,
       case when review is not null then 'review_required' when allocated <= 0 then 'sourcing_needed' when allocated >= required then 'full_sale' else 'partial_sale' end as kind,
       case when review = 'manufacturer' then 'review_manufacturer' when review is not null then 'review_quantity' when allocated <= 0 then 'contact_supplier' when allocated >= required then 'offer_full_quantity' else 'offer_available_quantity' end as action,
       supply is not null as exact_part, review is null and before > 0 and required > 0 as usable, review is null and before = required and required > 0 as exact_quantity,
@@ -512,3 +512,5 @@ add(
     p as (select ev.key, ev.id, ev.ts, row_number() over (partition by ev.key, w.ts order by ev.ts, ev.id) as place from ev asof join w on ev.key = w.key and ev.ts >= w.ts)
     select key, id, ts, place <= 1 as allowed from p""",
 )
+
+from . import desk  # noqa: E402, F401  (registers its queries too)
