@@ -11,6 +11,7 @@ from ..operators import imports as I
 from ..operators import people as U
 from ..operators import traffic as T
 from ..sources import trade as R
+from ..sources import twofile as F2
 from ..streaming import rate
 from .registry import FIND, REQUESTS, TEXT, add, sides, table
 
@@ -146,3 +147,25 @@ add(
         e.ts >= w.blocked and (w.start + interval 1 day <= e.ts or w.c < 2) from w join e on e.key = w.key and e.n = w.n + 1)
     select key, id, ts, allowed from w""",
 )
+
+# ---- sheets of the finder ("requi" is a customer word, so "Required Qty" is one as well): a header at the top and another, with other columns, further down
+
+SHEET_ROWS = """select concat('planned demand ', cast(l_suppkey % 3 as string), '.csv') as file, case when l_linenumber % 2 = 0 then 'Requirements' else 'Other' end as sheet, l_orderkey * 8 + l_linenumber as row_index,
+  case when l_orderkey < 20000 then concat(' X-', cast(l_partkey as string), ';', case when l_linenumber = 3 then concat('(', cast(cast(l_quantity as bigint) as string), ')') when l_linenumber = 5 then 'n/a' else concat('1,', lpad(cast(cast(l_quantity as bigint) as string), 3, '0')) end, ';', case when l_partkey % 4 <> 0 then 'St  Micro' else '' end, ';ea;2024-01-0', cast(l_linenumber as string))
+  else concat('Acme;', cast(cast(l_quantity as bigint) as string), ';y', cast(l_partkey as string)) end as line from lineitem"""
+HEADS = " union all ".join(
+    f"select distinct file, sheet, {at} as row_index, '{line}' as line from ({SHEET_ROWS}) t" for at, line in ((0, "Part Cost (unit);Notes"), (1, "Mfg Part No;Required Qty;MFG;Unit;Required Date"), (160000, "Customer;Open QTY;MPN"))
+)
+SHEETS = f"select file, sheet, cast(row_index as int) as row_index, line from ({SHEET_ROWS}) r where row_index <> 160000 union all {HEADS}"
+CELLS = lambda s, d: R.frame(s, d, SHEETS).select("file", "sheet", "row_index", F.split("line", ";").alias("cells"))
+PARSED = f"""with r as ({SHEET_ROWS}), k as (select file, sheet, cast(row_index as int) as source_row, split(line, ';') as c, row_index < 160000 as early from r where row_index <> 160000 and row_index > 1),
+    p as (select file, sheet, source_row, case when early then trim(c[1]) else c[3] end as display, case when early then nullif(trim(regexp_replace(c[3], '\\s+', ' ', 'g')), '') end as maker, case when early then c[2] else 'Acme' end as customer, cast(null as varchar) as supplier,
+      case when early then c[5] end as date, case when early then 'EA' end as unit, try_cast(regexp_replace(regexp_replace(c[2], '^\\((.*)\\)$', '-\\1'), ',', '', 'g') as double) as qty from k)
+    select *, upper(display) as part, regexp_replace(upper(display), '[^A-Z0-9]', '', 'g') as review, qty is null or qty <= 0 as invalid, coalesce(qty < 0, false) as negative from p"""
+add("x_canonical_rows", lambda s, d: F2.canonical_rows(CELLS(s, d), "demand"), PARSED)
+add("x_parse_counts", lambda s, d: F2.parse_counts(CELLS(s, d), "demand"), f"select file, count(*) as canonical_rows, count(*) filter (qty is null) as unread_quantities, count(*) filter (negative) as negative_quantities from ({PARSED}) group by file")
+add(
+    "x_profiles",
+    lambda s, d: F2.profile(CELLS(s, d)).select("file", F.array_join("sheets", ",").alias("sheets"), "rows", "role", "points"),
+    f"select file, 'Other,Requirements' as sheets, count(*) as rows, 'demand' as role, 20 as points from ({SHEETS}) group by file",
+)

@@ -116,6 +116,12 @@ def map_fields(names: list[str]) -> dict[str, int]:
     return out
 
 
+def part_columns(names: list[str]) -> list[int]:
+    """Columns whose header has a part number's name in it, where nothing else told the part."""
+    wanted = [plain(a) for a in FIELD_ALIASES["mpn"]]
+    return [i for i, n in enumerate(names) if any(h == a or len(a) > 2 and a in h for a in wanted for h in (plain(n),))]
+
+
 def category(names: list[str], fields: dict[str, int]) -> tuple[str, float]:
     """The category of a sheet by its headers, and how sure that is."""
     headers = [plain(n) for n in names]

@@ -1,8 +1,8 @@
 """Spreadsheet and CSV files to records, and results to files.
 
 CSV is read by Spark's reader; one XLSX file is one task, which reads its parts
-as a stream.  The header row is found among a file's first rows, which are few
-and come to the driver; everything else stays in the cluster.
+as a stream.  The header row is found among a sheet's first rows, in a task,
+and joined back to its rows.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ import io
 import json
 import re
 import zipfile
-from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,10 +121,10 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
 
 
 def valid_signature(head: bytes, name: str) -> bool:
-    """Whether a file's first bytes fit its name: a zip for xlsx, no NUL in a csv; no macros."""
+    """Whether a file's bytes fit its name: a zip without macros for xlsx, no NUL at the beginning of a csv."""
     name = name.lower()
     if name.endswith(".xlsx"):
-        return head[:2] == b"PK"
+        return head[:2] == b"PK" and b"vbaProject.bin" not in head
     return name.endswith(".csv") and b"\0" not in head[:8192]
 
 
@@ -140,20 +140,30 @@ def valid_upload(name: str, mime: str, size: int, most: int = 64 << 20) -> list[
     return out
 
 
-def profile(cells: DataFrame) -> list[dict]:
-    """Each sheet's header, mapping and category, from its first rows (at most ``HEAD_ROWS`` a sheet)."""
+PROFILE = "header_row int, confidence double, names array<string>, fields map<string,int>, parts array<int>, category string, category_confidence double"
+
+
+def profile(cells: DataFrame) -> DataFrame:
+    """(file, sheet, ``PROFILE``): each sheet's header, mapping and category, from its first rows.
+
+    At most ``HEAD_ROWS`` rows of a sheet come together, in a task; nothing comes to the driver.
+    """
     place = F.row_number().over(Window.partitionBy("file", "sheet").orderBy("row_index"))
-    heads: dict[tuple, list] = {}
-    for r in cells.withColumn("place", place).filter(F.col("place") <= HEAD_ROWS).orderBy("file", "sheet", "row_index").collect():
-        heads.setdefault((r.file, r.sheet), []).append(r)
-    out = []
-    for (file, sheet), rows in heads.items():
-        at, sure = layout.find_header([r.cells for r in rows])
-        names = layout.unique_names(rows[at].cells)
-        fields = layout.map_fields(names)
-        kind, kind_sure = layout.category(names, fields)
-        out.append({"file": file, "sheet": sheet, "header_row": rows[at].row_index, "confidence": sure, "names": names, "fields": fields, "category": kind, "category_confidence": kind_sure})
-    return out
+    heads = cells.withColumn("place", place).filter(F.col("place") <= HEAD_ROWS).groupBy("file", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_index", "cells"))).alias("rows"))
+
+    @F.arrow_udf(PROFILE)
+    def read(sheets: pa.Array) -> pa.Array:
+        out = []
+        for rows in sheets.to_pylist():
+            at, sure = layout.find_header([r["cells"] for r in rows])
+            names = layout.unique_names(rows[at]["cells"])
+            fields = layout.map_fields(names)
+            kind, kind_sure = layout.category(names, fields)
+            out.append({"header_row": rows[at]["row_index"], "confidence": sure, "names": names, "fields": list(fields.items()), "parts": layout.part_columns(names), "category": kind, "category_confidence": kind_sure})
+        texts = pa.list_(pa.string())
+        return pa.array(out, pa.struct([("header_row", pa.int32()), ("confidence", pa.float64()), ("names", texts), ("fields", pa.map_(pa.string(), pa.int32())), ("parts", pa.list_(pa.int32())), ("category", pa.string()), ("category_confidence", pa.float64())]))
+
+    return heads.select("file", "sheet", read("rows").alias("p")).select("file", "sheet", "p.*")
 
 
 def _field(name: str, cell: Column) -> tuple[Column, Column]:
@@ -175,32 +185,22 @@ def _field(name: str, cell: Column) -> tuple[Column, Column]:
     return S.sanitize_scalar(clean), formula
 
 
-def normalize(cells: DataFrame, sheet: dict, selected: str = "Auto Detect") -> DataFrame:
-    """A sheet's rows below its header as typed records with issues."""
-    names, fields = sheet["names"], sheet["fields"]
-    rows = cells.filter((F.col("file") == sheet["file"]) & (F.col("sheet") == sheet["sheet"]) & (F.col("row_index") > sheet["header_row"]))
-    cell = lambda i: F.get("cells", F.lit(i))
-    values, problems = [], []
-    for name in layout.FIELD_ALIASES:
-        if name in fields:
-            value, issue = _field(name, cell(fields[name]))
-        else:
-            value, issue = F.lit(None).cast("double" if name in layout.NUMERIC else "date" if name in layout.DATES else "string"), None
-        values.append(value.alias(name))
-        problems += [issue] * (issue is not None)
-    raw = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[S.sanitize_scalar(cell(i)) for i in range(len(names))]))
-    none = F.array().cast("array<struct<type:string,severity:string,column:string,raw:string>>")
-    issues = F.filter(F.array(*problems), lambda x: x.isNotNull()) if problems else none
-    kind = layout.chosen_category(selected, sheet["category"])
-    out = rows.select("file", "sheet", "row_index", F.lit(kind).alias("category"), raw.alias("raw_data"), *values, issues.alias("issues"))
-    text = F.lower(F.concat_ws(" ", "category", F.array_join(F.map_values("raw_data"), " ")))
-    return out.withColumn("mpn", F.coalesce("mpn", "mpn_quoted")).withColumn("searchable_text", F.substring(text, 1, 8000)).withColumn("has_errors", F.size("issues") > 0)
-
+def ingest(cells: DataFrame, selected: str = "Auto Detect") -> DataFrame:
+    """All sheets of the files as one table of typed records with issues, in one scan.
 
-def ingest(cells: DataFrame, selected: str = "Auto Detect") -> DataFrame | None:
-    """All sheets of the files as one table of records; None if there are no rows."""
-    parts = [normalize(cells, p, selected) for p in profile(cells)]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    Each row meets its sheet's profile, which says in which cell every field is.
+    """
+    p = profile(cells).withColumnsRenamed({"file": "its_file", "sheet": "its_sheet"})
+    rows = cells.join(p, (cells["file"] == p["its_file"]) & (cells["sheet"] == p["its_sheet"])).filter("row_index > header_row")
+    cell = lambda at: F.get("cells", at)
+    fields = {name: _field(name, cell(F.col("fields")[name])) for name in layout.FIELD_ALIASES}
+    issues = F.filter(F.array(*[issue for _, issue in fields.values()]), lambda x: x.isNotNull())
+    raw = F.map_from_arrays("names", F.transform("names", lambda _, i: S.sanitize_scalar(cell(i))))
+    kind = F.col("category") if selected in ("", "Auto Detect") else F.lit(layout.chosen_category(selected, ""))
+    out = S.settled(rows, "file", "sheet", "row_index", kind.alias("category"), raw.alias("raw_data"), *[value.alias(name) for name, (value, _) in fields.items()], issues.alias("issues"), F.transform("parts", lambda i: F.when(~F.upper(F.trim(cell(i))).isin(*FORMULA_ERRORS), S.sanitize_scalar(cell(i)))).alias("__parts"))
+    text = F.lower(F.concat_ws(" ", "category", F.array_join(F.map_values("raw_data"), " ")))
+    other = F.get(F.filter("__parts", lambda c: c.isNotNull()), F.lit(0))
+    return out.withColumn("mpn", F.coalesce("mpn", "mpn_quoted", other)).withColumn("searchable_text", text).withColumn("has_errors", F.size("issues") > 0).drop("__parts")
 
 
 def forward_headers(cells: DataFrame, is_header) -> DataFrame:
@@ -222,9 +222,31 @@ def replace_batch(df: DataFrame, path: str, by: str = "upload_batch_id") -> None
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """All cells quoted, lines ending in CR LF."""
-    df.write.mode("overwrite").csv(path, header=True, quoteAll=True, lineSep="\r\n", escape='"')
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """All cells quoted, lines ending in CR LF; with ``bom``, every file begins with a byte order mark, as spreadsheets like it."""
+    if not bom:
+        df.write.mode("overwrite").csv(path, header=True, quoteAll=True, lineSep="\r\n", escape='"')
+        return
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    head = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+
+    def headed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        yield from batches
+
+    lines = df.select(F.concat_ws(",", *[quoted(F.col(f"`{c}`").cast("string")) for c in df.columns]).alias("value"))
+    lines.mapInArrow(headed, "value string").write.mode("overwrite").text(path, lineSep="\r\n")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, kept: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of the same key; ``kept`` columns stay as they were."""
+    was = old.select(F.col(key).alias("its_key"), *[F.col(c).alias(f"was_{c}") for c in kept])
+    fresh = new.join(was, new[key] == was["its_key"], "left").select(*[F.coalesce(f"was_{c}", c).alias(c) if c in kept else F.col(c) for c in new.columns])
+    return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
+
+
+def write_json_store(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
 
 
 def read_json_store(spark: SparkSession, path: str, part: str) -> DataFrame:

@@ -35,13 +35,21 @@ def check(records):
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(CSV.encode())
     cells = sheets.read_csv(spark, f"file://{tmp_path}/a.csv")
-    (sheet,) = sheets.profile(cells)
+    (sheet,) = sheets.profile(cells).collect()
     assert sheet["header_row"] == 2 and sheet["sheet"] == "CSV"
     check(sheets.ingest(cells))
     again = sheets.forward_headers(cells, F.array_contains("cells", "MPN"))
     assert again.count() == 4 and again.first().header[:2] == ["Customer", "MPN"]
 
 
+def test_files_of_different_layout_in_one_scan(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Customer,MPN,Qty\nAnn,,5\nBob,b-1,6\n")
+    (tmp_path / "b.csv").write_text("note\nQty,Clean MPN,Part Number,Customer\n7,c-9,,Cy\n")
+    got = {r.customer: (r.mpn, r.qty, r.row_index, r.raw_data) for r in sheets.ingest(sheets.read_csv(spark, f"file://{tmp_path}/*.csv")).collect()}
+    assert got["Ann"][:3] == (None, 5.0, 2) and got["Bob"][:3] == ("b-1", 6.0, 3)
+    assert got["Cy"] == ("c-9", 7.0, 3, {"Qty": "7", "Clean MPN": "c-9", "Part Number": None, "Customer": "Cy"})
+
+
 def test_csv_of_any_width(spark, tmp_path):
     wide = [f"v{i}" for i in range(150)]
     wide[3], wide[149] = "a, b\nc", 'last "q", end'
@@ -67,7 +75,7 @@ def workbook(path):
 def test_xlsx(spark, tmp_path):
     workbook(tmp_path / "b.xlsx")
     cells = sheets.read_xlsx(spark, f"file://{tmp_path}/b.xlsx")
-    (sheet,) = sheets.profile(cells)
+    (sheet,) = sheets.profile(cells).collect()
     assert sheet["header_row"] == 3 and sheet["sheet"] == "S1"
     check(sheets.ingest(cells))
     assert sheets.valid_signature((tmp_path / "b.xlsx").read_bytes(), "b.xlsx") and not sheets.valid_signature(b"a\0b", "a.csv")
@@ -83,6 +91,12 @@ def test_sinks(spark, tmp_path):
     sheets.write_csv(df.coalesce(1), f"file://{tmp_path}/csv")
     (part,) = (tmp_path / "csv").glob("*.csv")
     assert part.read_bytes().startswith(b'"upload_batch_id","x"\r\n"1","a ""q"""\r\n')
+    sheets.write_csv(df.coalesce(1), f"file://{tmp_path}/bom", bom=True)
+    (part,) = (tmp_path / "bom").glob("*.txt")
+    assert part.read_bytes() == '\ufeff"upload_batch_id","x"\r\n"1","a ""q"""\r\n"2",""\r\n'.encode()
+    old = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id int, x string, created_at int")
+    new = spark.createDataFrame([(2, "B", 99), (3, "c", 30)], "id int, x string, created_at int")
+    assert sorted(map(tuple, sheets.upsert(old, new, "id").collect())) == [(1, "a", 10), (2, "B", 20), (3, "c", 30)]
     (tmp_path / "s.json").write_text(json.dumps({"records": [{"a": 1}, {"a": 2}], "uploads": []}))
     assert sheets.read_json_store(spark, f"file://{tmp_path}/s.json", "records").count() == 2
     assert sheets.ingest_key("a", "b") != sheets.ingest_key("ab") and len(sheets.ingest_key("a")) == 64
