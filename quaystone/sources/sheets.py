@@ -232,7 +232,8 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
 
     def headed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
 
     lines = df.select(F.concat_ws(",", *[quoted(F.col(f"`{c}`").cast("string")) for c in df.columns]).alias("value"))
     lines.mapInArrow(headed, "value string").write.mode("overwrite").text(path, lineSep="\r\n")
