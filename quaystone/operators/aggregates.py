@@ -22,7 +22,8 @@ def group_count(df: DataFrame, value: Column, empty: str = UNSPECIFIED, top: int
 
 
 def money_sum(c: Column) -> Column:
-    return F.round(F.sum(F.coalesce(c, F.lit(0.0))), 2)
+    """The sum in whole cents, so that it doesn't depend on the order of rows."""
+    return F.sum(F.round(F.coalesce(c, F.lit(0.0)) * 100).cast("long")) / 100
 
 
 def mean_nonzero(c: Column, digits: int = 4) -> Column:
@@ -70,13 +71,14 @@ def breakdowns(active: DataFrame, profiles: DataFrame, top: int = 10) -> DataFra
     Rows are counted once by all dimensions together (partial sums before the
     shuffle), and only these counts are spread over the dimensions.
     """
-    people = F.broadcast(profiles.select(F.col("id").alias("uploaded_by"), F.col("full_name").alias("uploader"), "department", "region"))
+    people = F.broadcast(profiles.select(F.col("id").alias("uploaded_by"), F.col("full_name").alias("uploader"), "department", "role", "region"))
     own = active.join(people, "uploaded_by", "left").select(
-        "category", "uploader", "department", "region",
+        "category", "uploader", "department", "role", "region", first_text(F.col("mpn"), F.col("mpn_quoted")).alias("mpn"),
         first_text(F.col("customer"), F.col("client")).alias("customer"), first_text(F.col("supplier"), F.col("supplier_name")).alias("supplier"), F.date_format("created_at", "yyyy-MM-dd").alias("day"),
     )
     each = own.select(F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(first_text(F.col(c)), F.lit(UNSPECIFIED)).alias("label")) for c in own.columns])).alias("x"))
-    counts = each.groupBy("x.dimension", "x.label").agg(F.count("*").alias("n"))
+    staff = profiles.filter("is_active").groupBy(F.lit("active_department").alias("dimension"), F.coalesce(first_text(F.col("department")), F.lit(UNSPECIFIED)).alias("label")).agg(F.count("*").alias("n"))
+    counts = each.groupBy("x.dimension", "x.label").agg(F.count("*").alias("n")).unionByName(staff)
     totals = counts.groupBy("dimension").agg(F.sum("n").alias("total"))
     w = Window.partitionBy("dimension").orderBy(F.desc("n"), "label")
     ranked = counts.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= top)

@@ -85,7 +85,7 @@ OLD = OLD.replace("l_shipmode", "o_orderpriority")
 add(
     "a_legacy_modules",
     lambda s, d: A.legacy_modules(R.frame(s, d, OLD), "category"),
-    f"with t as ({OLD}) select category, count(*) as records, round(sum(quantity), 2) as quantity, round(coalesce(avg(nullif(unit_cost, 0)), 0), 2) as average_unit_cost, round(coalesce(avg(nullif(margin, 0)), 0), 2) as average_margin, round(sum(total_sale), 2) as total_sale, round(sum(commission), 2) as commission, count(*) filter (lower(customs) like '%pending%') as customs_pending, count(*) filter (regexp_matches(lower(authenticity), 'suspicious|fail|counterfeit')) as suspicious from t group by category",
+    f"with t as ({OLD}) select category, count(*) as records, sum(cast(round(coalesce(quantity, 0) * 100) as bigint)) / 100.0 as quantity, round(coalesce(avg(nullif(unit_cost, 0)), 0), 2) as average_unit_cost, round(coalesce(avg(nullif(margin, 0)), 0), 2) as average_margin, sum(cast(round(coalesce(total_sale, 0) * 100) as bigint)) / 100.0 as total_sale, sum(cast(round(coalesce(commission, 0) * 100) as bigint)) / 100.0 as commission, count(*) filter (lower(customs) like '%pending%') as customs_pending, count(*) filter (regexp_matches(lower(authenticity), 'suspicious|fail|counterfeit')) as suspicious from t group by category",
 )
 add(
     "a_legacy_lists",

@@ -187,12 +187,12 @@ add(
     select * from top union all select 'Missing MPN', count(*), null from m where label is null having count(*) > 0""",
     "records",
 )
-MONEY = lambda c, n: f"round(sum(coalesce({c}, 0)), 2) as {n}"
+MONEY = lambda c, n: f"sum(cast(round(coalesce({c}, 0) * 100) as bigint)) / 100.0 as {n}"
 add(
     "a_platform_totals",
-    lambda s, d: A.platform_totals(R.active_records(s, d), R.uploads(s, d), R.profiles(s, d)).withColumns({c: F.round(F.col(c) / 1e5, 1) for c in ("total_qty", "total_potential_usd", "total_price", "gross_profit", "commission_total")}),
-    f"""select count(*) as total_records, count(distinct coalesce(category, 'Generic')) as categories_detected, round(sum(qty) / 1e5, 1) as total_qty, round(sum(potential_amount_usd) / 1e5, 1) as total_potential_usd, round(sum(total_price) / 1e5, 1) as total_price,
-    round(sum(gp) / 1e5, 1) as gross_profit, round(coalesce(avg(nullif(gp_rate, 0)), 0), 4) as average_gp_rate, round(sum(commission) / 1e5, 1) as commission_total, count(*) filter (has_errors) as records_with_errors,
+    lambda s, d: A.platform_totals(R.active_records(s, d), R.uploads(s, d), R.profiles(s, d)),
+    f"""select count(*) as total_records, count(distinct coalesce(category, 'Generic')) as categories_detected, {MONEY("qty", "total_qty")}, {MONEY("potential_amount_usd", "total_potential_usd")}, {MONEY("total_price", "total_price")},
+    {MONEY("gp", "gross_profit")}, round(coalesce(avg(nullif(gp_rate, 0)), 0), 4) as average_gp_rate, {MONEY("commission", "commission_total")}, count(*) filter (has_errors) as records_with_errors,
     count(*) filter ({CUSTOMER} is null or {SUPPLIER} is null or {TEXT("mpn", "mpn_quoted")} is null or coalesce(qty, req_qty) is null or coalesce(price, total_price) is null) as incomplete_records, count(*) filter ({TEXT("mpn", "mpn_quoted")} is null) as records_missing_mpn,
     (select count(*) from uploads where archived_at is null) as total_uploads, (select max(created_at) from uploads) as last_upload, (select count(*) from profiles where is_active) as active_employees from active""",
     "records", "uploads", "profiles",
@@ -200,16 +200,16 @@ add(
 add(
     "a_breakdowns",
     lambda s, d: A.breakdowns(R.active_records(s, d), R.profiles(s, d)),
-    f"""with own as (select category, full_name as uploader, department, region, {CUSTOMER} as customer, {TEXT("supplier", "supplier_name")} as supplier, strftime(created_at, '%Y-%m-%d') as day from active left join profiles on uploaded_by = profiles.id),
-    e as (select unnest(['category', 'uploader', 'department', 'region', 'customer', 'supplier', 'day']) as dimension, unnest([category, uploader, department, region, customer, supplier, day]) as label from own),
+    f"""with own as (select category, full_name as uploader, department, role, region, {TEXT("mpn", "mpn_quoted")} as mpn, {CUSTOMER} as customer, {TEXT("supplier", "supplier_name")} as supplier, strftime(created_at, '%Y-%m-%d') as day from active left join profiles on uploaded_by = profiles.id),
+    e as (select unnest(['category', 'uploader', 'department', 'role', 'region', 'mpn', 'customer', 'supplier', 'day']) as dimension, unnest([category, uploader, department, role, region, mpn, customer, supplier, day]) as label from own union all select 'active_department', department from profiles where is_active),
     c as (select dimension, coalesce(nullif(trim(label), ''), 'Unspecified') as label, count(*) as n from e group by 1, 2), r as (select *, sum(n) over (partition by dimension) as total, row_number() over (partition by dimension order by n desc, label) as position from c)
     select dimension, label, n, cast({ROUND} as bigint) as percent, position from r where position <= 10""",
     "records", "profiles",
 )
 add(
     "a_category_modules",
-    lambda s, d: A.category_modules(R.active_records(s, d)).select("module", "records", F.round(F.col("total_price") / 1e4, 1).alias("total_price"), F.round(F.col("gp") / 1e4, 1).alias("gp"), "qty", "gp_rate", "lead_time", "with_errors", "quoted_labels", "suppliers", "customers"),
-    f"""select coalesce(category, 'Generic') as module, count(*) as records, round(sum(total_price) / 1e4, 1) as total_price, round(sum(gp) / 1e4, 1) as gp, {MONEY("qty", "qty")}, round(coalesce(avg(nullif(gp_rate, 0)), 0), 4) as gp_rate,
+    lambda s, d: A.category_modules(R.active_records(s, d)).select("module", "records", "total_price", "gp", "qty", "gp_rate", "lead_time", "with_errors", "quoted_labels", "suppliers", "customers"),
+    f"""select coalesce(category, 'Generic') as module, count(*) as records, {MONEY("total_price", "total_price")}, {MONEY("gp", "gp")}, {MONEY("qty", "qty")}, round(coalesce(avg(nullif(gp_rate, 0)), 0), 4) as gp_rate,
     round(coalesce(avg(nullif(lead_time_weeks, 0)), 0), 2) as lead_time, count(*) filter (has_errors) as with_errors, count(distinct coalesce(nullif(trim(mpn_quoted), ''), 'Unspecified')) as quoted_labels, count(distinct {SUPPLIER}) as suppliers, count(distinct {CUSTOMER}) as customers from active group by 1""",
     "records",
 )
@@ -428,8 +428,8 @@ PROFILED = ["mpn", "customer", "supplier", "price", "gp_rate", "req_qty", "on_ha
 PROFILE = "with e as (" + " union all ".join(f"select category, '{c}' as \"column\", nullif(trim(cast({c} as varchar)), '') as v from active" for c in PROFILED) + ") "
 add(
     "o_structure_profile",
-    lambda s, d: C.structure_profile(R.active_records(s, d), PROFILED, "category").drop("distinct_values"),
-    PROFILE + """select category, "column", count(*) as rows, count(v) as filled, case when count(v) = 0 then 'empty' when count(*) filter (try_cast(v as double) is not null) = count(v) then 'number' else 'text' end as kind, round(count(v) / count(*), 4) as presence from e group by all""",
+    lambda s, d: C.structure_profile(R.active_records(s, d), PROFILED, "category"),
+    PROFILE + """select category, "column", count(*) as rows, count(v) as filled, count(distinct v) as distinct_values, case when count(v) = 0 then 'empty' when count(*) filter (try_cast(v as double) is not null) = count(v) then 'number' else 'text' end as kind, round(count(v) / count(*), 4) as presence from e group by all""",
     "records",
 )
 add(
