@@ -107,27 +107,12 @@ def low_margin(df: DataFrame, threshold: float = 0.15) -> DataFrame:
     return df.filter(F.col("gp_rate") < min(1.0, max(0.0, threshold)))
 
 
-def text_search(df: DataFrame, query: str, text: Column) -> DataFrame:
-    """Words that must all occur; ``"a b"`` is a phrase, ``or`` an alternative and ``-w`` must not occur."""
+def text_search(df: DataFrame, text: Column, groups: list[list[str]], without: list[str] = ()) -> DataFrame:
+    """Rows whose text has a term of every group and none of ``without``; a term of several words is a phrase."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    groups: list[Column] = []
-    joined = False
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
-        term = " ".join(re.findall(r"\w+", phrase or word))
-        if word == "or" and not minus:
-            joined = True
-            continue
-        if not term:
-            continue
-        hit = spaced.contains(f" {term} ") if " " in term else F.array_contains(words, term)
-        hit = ~hit if minus else hit
-        if joined and groups:
-            groups[-1] = groups[-1] | hit
-        else:
-            groups.append(hit)
-        joined = False
-    return df.filter(both(groups))
+    hit = lambda term: spaced.contains(f" {term.lower()} ") if " " in term else F.array_contains(words, term.lower())
+    return df.filter(both([either([hit(t) for t in g]) for g in groups] + [~hit(t) for t in without]))
 
 
 def visible(df: DataFrame, owner: str, profiles: DataFrame, me) -> DataFrame:

@@ -5,6 +5,8 @@ A query takes (spark, sf_dir) and applies one operator to whole tables.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -127,7 +129,7 @@ add(
 )
 add(
     "f_text_search",
-    lambda s, d: P.text_search(table(s, d, "part"), '"red widget" or bolt -small', F.concat_ws(" ", "p_name", "p_brand", "p_type")).select("p_partkey", "p_name"),
+    lambda s, d: P.text_search(table(s, d, "part"), F.concat_ws(" ", "p_name", "p_brand", "p_type"), [["red widget", "bolt"]], ["small"]).select("p_partkey", "p_name"),
     "select p_partkey, p_name from part where ((p_name || ' ') like '%red widget %' or regexp_matches(lower(concat_ws(' ', p_name, p_brand, p_type)), '\\bbolt\\b')) and not regexp_matches(lower(concat_ws(' ', p_name, p_brand, p_type)), '\\bsmall\\b')",
 )
 for me in (0, 1, 2):
@@ -153,13 +155,30 @@ add(
     "select id, route, created_at from logs where level = 'error' and route like '%/7%' and created_at >= timestamp '2024-01-10' and created_at < timestamp '2024-01-20'",
     "logs",
 )
-QUESTION = "rfq with qty over 30 and price under 1500 in 1998"
+FORM = search.Form(category="RFQ", since=date(1998, 1, 1), until=date(1998, 12, 31), numbers={"qty": ("gt", 30.0), "price": ("lt", 1500.0)})
 add(
     "p_executive_search",
-    lambda s, d: search.find(QUESTION, R.active_records(s, d)).select("id", "category", "qty", "price", "created_at"),
+    lambda s, d: search.records(R.active_records(s, d), R.profiles(s, d), FORM).select("id", "category", "qty", "price", "created_at"),
     "select id, category, qty, price, created_at from active where category = 'RFQ' and qty > 30 and price < 1500 and created_at >= timestamp '1998-01-01' and created_at < timestamp '1999-01-01'",
     "records",
 )
+STAFF_FORM = search.Form(supplier="supplier#", employee="nation_1", error="MISSING", since=date(1997, 1, 1), numbers={"lead_time_days": ("gte", 28.0), "gp_rate": ("lt", 0.05), "upload_errors": ("gt", 5)})
+add(
+    "p_search_everywhere",
+    lambda s, d: search.everywhere(STAFF_FORM, R.active_records(s, d), R.uploads(s, d).withColumn("error_count", F.col("orders")), A.issues(R.records(s, d)).select("id", "created_at", F.explode("issues").alias("i")).select("id", "created_at", "i.type", "i.column"), R.profiles(s, d)),
+    f"""with p as (select id from profiles where full_name ilike '%nation_1%' or email ilike '%nation_1%'), i as (select id, created_at, unnest(list_filter([case when {TEXT("mpn", "mpn_quoted")} is null then 'missing_mpn' end, case when qty is null and req_qty is null then 'missing_quantity' end, case when price is null then 'missing_price' end, case when gp_rate is null then 'missing_margin' end], lambda x: x is not null)) as type from records)
+    select 'record' as entity, id, created_at from active where (supplier ilike '%supplier#%' or supplier_name ilike '%supplier#%') and lead_time_weeks >= 4 and gp_rate < 0.05 and created_at >= timestamp '1997-01-01' and uploaded_by in (from p)
+    union all select 'upload', cast(id as varchar), created_at from uploads where orders > 5 and created_at >= timestamp '1997-01-01' and uploaded_by in (from p)
+    union all select 'error', id, created_at from i where created_at >= timestamp '1997-01-01' union all select 'person', cast(id as varchar), null from p""",
+    "records", "uploads", "profiles",
+)
+GROUPS = {"mpn": ("active", "mpn", 6), "customer": ("active", "customer", 6), "supplier": ("active", "supplier", 6), "po": ("active", "po", 6), "category": ("active", "category", 6), "description": ("active", "description", 6), "file": ("uploads", "original_file_name", 5), "person": ("profiles", "full_name", 5), "department": ("profiles", "department", 5)}
+add(
+    "p_all_suggestions",
+    lambda s, d: search.all_suggestions("o", R.active_records(s, d), R.uploads(s, d), R.profiles(s, d)),
+    " union all ".join(f"select * from (select '{k}' as kind, v as suggestion, row_number() over (order by k) as position from (select min(trim({c})) as v, lower(trim({c})) as k from {t} where {c} ilike '%o%' group by 2)) where position <= {n}" for k, (t, c, n) in GROUPS.items()),
+    "records", "uploads", "profiles",
+)
 add(
     "p_suggestions",
     lambda s, d: search.suggestions(R.active_records(s, d), "p1", {"mpn": "mpn", "customer": "customer", "supplier": "supplier", "po": "po"}, 6),

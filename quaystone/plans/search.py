@@ -1,125 +1,95 @@
-"""Questions in words to filters on records, and suggestions while typing."""
+"""One form searched over records, uploads, errors and people, and suggestions while typing.
+
+The form's fields become conditions on columns; nothing parses sentences here.
+"""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import contains_text
-from ..operators.filters import OPERATORS, both
-
-CATEGORIES = {"rfq": "RFQ", "quote": "RFQ", "cotizacion": "RFQ", "margin": "Sales Margin", "margen": "Sales Margin", "offer": "Supplier Offers", "oferta": "Supplier Offers", "logistics": "Logistics", "logistica": "Logistics"}
-FIELDS = {"price": "price", "precio": "price", "qty": "qty", "quantity": "qty", "cantidad": "qty", "margin": "gp_rate", "gp": "gp_rate", "cost": "cost", "costo": "cost", "lead": "lead_time_weeks"}
-WORDS = {"over": "gt", "above": "gt", "more than": "gt", "greater than": "gt", ">": "gt", "mayor a": "gt", "under": "lt", "below": "lt", "less than": "lt", "<": "lt", "menor a": "lt", "at least": "gte", ">=": "gte", "at most": "lte", "<=": "lte", "=": "eq"}
+from ..operators.filters import both, compare, either
 
 
 @dataclass
-class Parsed:
+class Form:
+    """``numbers``: column -> (operator, value); lead time is in days; ``until`` is included."""
+
+    mpn: str = ""
+    customer: str = ""
+    supplier: str = ""
+    po: str = ""
+    country: str = ""
+    employee: str = ""
+    error: str = ""
     category: str | None = None
-    numbers: list[tuple[str, str, float]] = field(default_factory=list)
+    has_errors: bool = False
+    missing_mpn: bool = False
     since: date | None = None
-    until: date | None = None  # exclusive
-    mpn: str | None = None
-    po: str | None = None
-    party: str | None = None
-    errors_only: bool = False
-    intent: str = "records"
-
-    @property
-    def confidence(self) -> float:
-        found = len(self.numbers) + sum(x is not None for x in (self.category, self.since, self.mpn, self.po, self.party)) + self.errors_only
-        return min(0.95, 0.35 + 0.1 * found)
-
-
-def dates(text: str, today: date) -> tuple[date | None, date | None]:
-    """A period named in words, as [first day, day after the last)."""
-    if re.search(r"\b(today|hoy)\b", text):
-        return today, today + timedelta(days=1)
-    if re.search(r"\b(yesterday|ayer)\b", text):
-        return today - timedelta(days=1), today
-    if re.search(r"\b(this week|esta semana)\b", text):
-        first = today - timedelta(days=today.weekday())
-        return first, first + timedelta(days=7)
-    if re.search(r"\b(this month|este mes)\b", text):
-        first = today.replace(day=1)
-        return first, (first + timedelta(days=32)).replace(day=1)
-    if m := re.search(r"\b(?:in|of|en|de) ((?:19|20)\d\d)\b", text):
-        return date(int(m[1]), 1, 1), date(int(m[1]) + 1, 1, 1)
-    return None, None
-
-
-def parse(question: str, today: date) -> Parsed:
-    text = " ".join(question.lower().split())
-    out = Parsed()
-    out.category = next((c for w, c in CATEGORIES.items() if re.search(rf"\b{w}s?\b", text)), None)
-    fields = "|".join(sorted(FIELDS, key=len, reverse=True))
-    words = "|".join(re.escape(w) for w in sorted(WORDS, key=len, reverse=True))
-    for m in re.finditer(rf"\b({fields})\b[^0-9<>=]{{0,20}}?({words})\s*\$?(\d[\d,]*\.?\d*)\s*(%?)", text):
-        value = float(m[3].replace(",", ""))
-        out.numbers.append((FIELDS[m[1]], WORDS[m[2]], value / 100 if m[4] and value > 1 else value))
-    out.since, out.until = dates(text, today)
-    if m := re.search(r"\b(?:mpn|part|parte)\s+([a-z0-9][a-z0-9./-]{2,})", text):
-        out.mpn = m[1].upper()
-    if m := re.search(r"\bpo\s*#?\s*([a-z]*\d+)", text):
-        out.po = m[1].upper()
-    if m := re.search(r"\b(?:customer|supplier|cliente|proveedor)\s+([a-z][\w#-]+)", text):
-        out.party = m[1]
-    out.errors_only = bool(re.search(r"\b(errors?|errores)\b", text))
-    out.intent = next((i for i, p in (("errors", r"\berror"), ("uploads", r"\b(upload|file|archivo)"), ("compare", r"\b(compare|comparar|best supplier)"), ("users", r"\b(who|user|quien)\b")) if re.search(p, text)), "records")
-    return out
-
-
-def conditions(p: Parsed) -> list[Column]:
-    out = [OPERATORS[op](F.col(c), v) for c, op, v in p.numbers]
-    out += [F.col("category") == p.category] * (p.category is not None)
-    out += [F.col("created_at") >= F.lit(p.since).cast("timestamp")] * (p.since is not None) + [F.col("created_at") < F.lit(p.until).cast("timestamp")] * (p.until is not None)
-    out += [contains_text(F.col("mpn"), p.mpn) | contains_text(F.col("mpn_quoted"), p.mpn)] if p.mpn else []
-    out += [contains_text(F.col("po"), p.po)] if p.po else []
-    out += [contains_text(F.col("customer"), p.party) | contains_text(F.col("supplier"), p.party) | contains_text(F.col("supplier_name"), p.party)] if p.party else []
-    out += [F.col("has_errors")] * p.errors_only
-    return out
-
-
-def find(question: str, records: DataFrame, today: date | None = None) -> DataFrame:
-    """Records that a question asks for; a question without any condition finds nothing."""
-    found = conditions(parse(question, today or date.today()))
-    return records.filter(both(found)) if found else records.limit(0)
+    until: date | None = None
+    numbers: dict[str, tuple[str, float]] = field(default_factory=dict)
+
+    def span(self) -> list[Column]:
+        low = [F.col("created_at") >= F.lit(self.since).cast("timestamp")] * (self.since is not None)
+        return low + [F.col("created_at") < F.date_add(F.lit(self.until), 1).cast("timestamp")] * (self.until is not None)
+
+
+def _in_any(text: str, *columns: str) -> list[Column]:
+    return [either([contains_text(F.col(c), text) for c in columns])] * bool(text)
+
+
+def _number(name: str, op: str, value: float) -> Column:
+    return compare("lead_time_weeks", op, round(value / 7, 3)) if name == "lead_time_days" else compare(name, op, value)
+
+
+def people(profiles: DataFrame, form: Form) -> DataFrame:
+    return profiles.filter(both(_in_any(form.employee, "full_name", "email"))) if form.employee else profiles.limit(0)
+
+
+def records(df: DataFrame, profiles: DataFrame, form: Form) -> DataFrame:
+    """Active records that fit; an employee that nobody is finds nothing."""
+    found = _in_any(form.mpn, "mpn", "mpn_quoted") + _in_any(form.customer, "customer", "client") + _in_any(form.supplier, "supplier", "supplier_name") + _in_any(form.po, "po") + _in_any(form.country, "shipping_point_country")
+    found += [F.col("category") == form.category] * (form.category is not None) + [F.col("has_errors")] * form.has_errors + [F.col("mpn").isNull()] * form.missing_mpn
+    out = df.filter(both(found + form.span() + [_number(k, *v) for k, v in form.numbers.items() if k != "upload_errors"]))
+    return out.join(people(profiles, form).select(F.col("id").alias("uploaded_by")), "uploaded_by", "left_semi") if form.employee else out
+
+
+def uploads(df: DataFrame, profiles: DataFrame, form: Form) -> DataFrame:
+    found = form.span() + [F.col("detected_category") == form.category] * (form.category is not None) + [compare("error_count", *v) for k, v in form.numbers.items() if k == "upload_errors"]
+    out = df.filter(both(found))
+    return out.join(people(profiles, form).select(F.col("id").alias("uploaded_by")), "uploaded_by", "left_semi") if form.employee else out
+
+
+def errors(df: DataFrame, form: Form) -> DataFrame:
+    return df.filter(both(form.span() + _in_any(form.error, "type", "column")))
+
+
+def everywhere(form: Form, active: DataFrame, sent: DataFrame, issues: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(entity, id, created_at) of all that fits the form in any of the four tables."""
+    tagged = lambda df, name: df.select(F.lit(name).alias("entity"), F.col("id").cast("string").alias("id"), "created_at")
+    staff = people(profiles, form).withColumn("created_at", F.lit(None).cast("timestamp"))
+    return tagged(records(active, profiles, form), "record").unionByName(tagged(uploads(sent, profiles, form), "upload")).unionByName(tagged(errors(issues, form), "error")).unionByName(tagged(staff, "person"))
 
 
 def suggestions(df: DataFrame, typed: str, columns: dict[str, str], each: int) -> DataFrame:
     """(kind, suggestion, position): distinct values that contain what was typed, a few of each kind."""
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.trim(c).alias("value")) for k, c in columns.items()])).alias("x")).select("x.*").filter(contains_text(F.col("value"), typed))
-    one = rows.groupBy("kind", F.lower("value").alias("key")).agg(F.min("value").alias("suggestion"))
-    w = Window.partitionBy("kind").orderBy("key")
-    return one.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= each).select("kind", "suggestion", "position")
-
-
-#: Tools of the assistant, tried in order.
-TOOLS = (
-    ("low_margin", r"\b(low|bajo).*(margin|gp|margen)"),
-    ("missing_parts", r"\b(missing|without|sin).*(mpn|part)"),
-    ("compare_suppliers", r"\b(compare|best|mejor).*(supplier|proveedor|mpn)"),
-    ("coverage", r"\b(stock|inventory|inventario|coverage|cobertura)"),
-    ("opportunities", r"\b(opportunit|oportunidad)"),
-    ("errors", r"\b(error)"),
-    ("uploads", r"\b(upload|file|archivo)"),
-    ("summary", r"\b(summary|dashboard|resumen|total)"),
-)
+    return _few(rows, each)
 
 
-def route(question: str) -> str:
-    """The name of the tool that answers a question; record search if none does."""
-    text = question.lower()
-    return next((name for name, pattern in TOOLS if re.search(pattern, text)), "records")
+def all_suggestions(typed: str, active: DataFrame, sent: DataFrame, profiles: DataFrame, each: int = 6, few: int = 5) -> DataFrame:
+    """The groups of a search box: parts, customers, suppliers, orders, categories, countries, files, people, departments."""
+    own = suggestions(active, typed, {"mpn": "mpn", "customer": "customer", "supplier": "supplier", "po": "po", "category": "category", "description": "description"}, each)
+    files = suggestions(sent, typed, {"file": "original_file_name"}, few)
+    staff = suggestions(profiles, typed, {"person": "full_name", "department": "department"}, few)
+    return own.unionByName(files).unionByName(staff)
 
 
-def threshold(question: str, default: float = 0.15) -> float:
-    m = re.search(r"(\d+(?:\.\d+)?)\s*(%?)", question)
-    if not m:
-        return default
-    value = float(m[1])
-    return value / 100 if m[2] or value > 1 else value
+def _few(rows: DataFrame, each: int) -> DataFrame:
+    one = rows.groupBy("kind", F.lower("value").alias("key")).agg(F.min("value").alias("suggestion"))
+    w = Window.partitionBy("kind").orderBy("key")
+    return one.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= each).select("kind", "suggestion", "position")

@@ -7,7 +7,6 @@ from quaystone.operators import filters, finder, parts, traffic, windows
 from quaystone.operators import bags as bags_of
 from quaystone.operators.bags import says_yes
 from quaystone.operators.coverage import status
-from quaystone.plans import search
 
 
 def values(spark, rows, expr):
@@ -33,14 +32,11 @@ def test_coverage_status(spark):
     assert values(spark, ["Yes", "not approved", "0", "-1", "2", " N ", "", None], says_yes) == [True, False, False, False, True, False, False, False]
 
 
-def test_questions():
-    today = date(2024, 5, 15)
-    p = search.parse("RFQs with price over $1,200 and margin under 15% this week for customer acme", today)
-    assert (p.category, p.since, p.until, p.party) == ("RFQ", date(2024, 5, 13), date(2024, 5, 20), "acme")
-    assert p.numbers == [("price", "gt", 1200.0), ("gp_rate", "lt", 0.15)] and 0.35 < p.confidence <= 0.95
-    assert search.parse("part AB-12 with errors yesterday", today).mpn == "AB-12" and search.route("what stock do we have") == "coverage"
-    assert search.threshold("below 12%") == 0.12 and search.threshold("low") == 0.15
-    assert traffic.range_of("30d", today) == (date(2024, 4, 16), today)
+def test_ranges_and_text_search(spark):
+    assert traffic.range_of("30d", date(2024, 5, 15)) == (date(2024, 4, 16), date(2024, 5, 15))
+    df = spark.createDataFrame([(1, "Red widget, small"), (2, "a red-widget"), (3, "BOLT"), (4, "bolts"), (5, None)], "i int, x string")
+    got = lambda *a: [r.i for r in filters.text_search(df, F.col("x"), *a).orderBy("i").collect()]
+    assert got([["red widget", "bolt"]]) == [1, 2, 3] and got([["red"], ["widget"]], ["small"]) == [2]
 
 
 def test_redaction(spark):
