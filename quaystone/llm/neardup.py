@@ -203,11 +203,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, s
     signed = written(signatures(docs, shingle, side, per_key), "signatures")
     some = signed.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "t", "a", "b")).alias("r")).select("s1", "s2", "n", F.col("r.doc_id").alias("rep"), "r.t", "r.a", "r.b")
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # ids are fixed by writing
-
-    # What a repeated doc_id links: its classes' documents.
     often = some.groupBy("doc_id").agg(F.count("*").alias("rows"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2", "n") for f in (F.min, F.max)]).filter("rows > 1")
     repeated = not often.isEmpty()
+    # A class's number is in the order of its document, so that all choose the same pivots; writing fixes it.
+    classes = classes.orderBy("rep", "t").withColumn("cid", F.monotonically_increasing_id()) if repeated else classes.withColumn("cid", F.col("rep"))
+    classes = written(classes, "classes")
+
+    # What a repeated doc_id links: its classes' documents.
     links, tried, labels = None, None, None
     if repeated:
         several = often.filter("s1_min < s1_max or s2_min < s2_max or n_min < n_max").select("doc_id")
