@@ -90,11 +90,6 @@ def round_half_up(c: Column, digits: int = 0) -> Column:
     return F.floor(c * scale + 0.5) / scale
 
 
-def positive_sum(c: Column) -> Column:
-    """The sum of what is above zero; null where there is no value at all."""
-    return F.sum(F.when(c.isNotNull(), F.greatest(c, F.lit(0.0))))
-
-
 def redact_diagnostic(c: Column) -> Column:
     """E-mail addresses, amounts, phone numbers and long numbers out of a message."""
     c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")

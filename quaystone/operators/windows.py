@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def content_hash(*bags: str) -> Column:
+    """md5 of bags that doesn't depend on the order of their keys."""
+    return F.md5(F.to_json(F.struct(*[F.array_sort(F.map_entries(b)).alias(f"b{i}") for i, b in enumerate(bags)]), {"ignoreNullFields": "false"}))
+
+
 def duplicates(df: DataFrame, keys: list[str], order: list[Column], id_: str = "id") -> DataFrame:
     """(``keys``, id, copies, keeper, position): rows with an equal key, the first by ``order`` being kept.
 

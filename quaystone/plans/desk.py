@@ -10,6 +10,7 @@ from ..operators import finder as X
 from ..operators import imports as I
 from ..operators import people as U
 from ..operators import traffic as T
+from ..operators import windows as D
 from ..sources import trade as R
 from ..sources import twofile as F2
 from ..streaming import rate
@@ -71,6 +72,18 @@ add(
     "records", "uploads",
 )
 
+# ---- equal contents
+
+SAME = lambda *c: "concat_ws('|', " + ", ".join(f"coalesce(cast({x} as varchar), '~')" for x in c) + ")"
+add(
+    "d_equal_bags",
+    lambda s, d: R.bags(s, d).groupBy("category", D.content_hash("raw_data").alias("hash")).agg(F.count("*").alias("copies")).groupBy("category", "copies").agg(F.count("*").alias("groups")),
+    f"""with k as (select category, case category when 'Generic' then {SAME("mpn", "on_hand", "supplier", "manufacturer")} when 'RFQ' then {SAME("mpn", "req_qty", "customer", "cast(created_at as date)")}
+      when 'Logistics' then {SAME("mpn", "qty", "line_status", "client")} when 'Supplier Offers' then {SAME("mpn", "case when return_flag = 'R' then on_hand end", "line_status = 'F'", "on_hand")} else description end as content from active),
+    g as (select category, content, count(*) as copies from k group by 1, 2) select category, copies, count(*) as groups from g group by 1, 2""",
+    "records",
+)
+
 # ---- totals of older modules, of the assistant and of a day
 
 add("a_created_on", lambda s, d: A.created_on(R.active_records(s, d), "1996-03-13"), "select count(*) filter (cast(created_at as date) = date '1996-03-13') as records_uploaded_today from active", "records")

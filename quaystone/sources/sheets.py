@@ -203,12 +203,6 @@ def ingest(cells: DataFrame, selected: str = "Auto Detect") -> DataFrame:
     return out.withColumn("mpn", F.coalesce("mpn", "mpn_quoted", other)).withColumn("searchable_text", text).withColumn("has_errors", F.size("issues") > 0).drop("__parts")
 
 
-def forward_headers(cells: DataFrame, is_header) -> DataFrame:
-    """``cells`` with the header that holds for each row: the last row above that ``is_header`` (rows before any are dropped)."""
-    w = Window.partitionBy("file", "sheet").orderBy("row_index").rowsBetween(Window.unboundedPreceding, 0)
-    return cells.withColumn("is_header", is_header).withColumn("header", F.last(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True).over(w)).filter("header is not null and not is_header").drop("is_header")
-
-
 # ---- sinks
 
 
