@@ -10,9 +10,10 @@ Indexing: captures are sorted by the key of their URL, whose host is reversed
 directory has one row a block: its first and last key and where it lies.
 ``lookup`` binary-searches the directory for each asked key, reads only the
 blocks that can hold it, binary-searches their lines and reads only the ranges
-of the records found.  ``read_back`` walks the whole index: each block's
-captures are dealt to stretches of the archives, and a stretch's records are
-read as few merged ranges.
+of the records found; ``look_up_all`` does so for the keys of a whole table.
+``read_back`` walks the whole index instead.  The captures found are dealt to
+stretches of the archives, and a stretch's records are read as few merged
+ranges.
 
 Files are opened with pyarrow's file systems, so the folder can be on any
 store they know.  What a lost task left behind is in no index and is ignored.
