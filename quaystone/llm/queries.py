@@ -8,9 +8,12 @@ from . import decontaminate as _dec
 from . import fingerprint as _print
 from . import lm as _lm
 from . import mainhtml as _html
+from . import manifest as _merkle
 from . import neardup as _near
+from . import periodic as _runs
 from . import pieces as _pieces
 from . import pii as _pii
+from . import simhash as _sim
 from . import tokencount as _count
 from . import toxicity as _tox
 from . import warc as _warc
@@ -84,6 +87,25 @@ def op3(spark, sf_dir):
     return _html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+@query("op11_simhash_neardup")
+def op11(spark, sf_dir):
+    return _sim.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    number = F.when(F.col("doc_id").isNotNull(), crc(F.col("doc_id")))
+    return _runs.digests(_runs.find_runs(docs.select("doc_id", _runs.with_repeats(F.col("text"), number).alias("text")), ["doc_id"]), ["doc_id"])
+
+
+@query("op13_merkle_manifest")
+def op13(spark, sf_dir):
+    tampered = F.when(crc(F.col("doc_id")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    found = _merkle.manifest(table(spark, sf_dir, "documents"), altered={"n_chars": tampered})
+    return found.select("doc_id", "leaf", "subroot", "root", _merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 ORACLES["op1_decontamination"] = """
 with words as (
   select doc_id, row_number() over () as r,
@@ -134,3 +156,69 @@ low as (select i, min(j) as m from reach group by i)
 select s.doc_id, len(s.s) as n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) as component_id, s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) as kept
 from sets s left join low on low.i = s.doc_id
 """
+
+# crc32 of a decimal id, a bit at a time.
+CRC_SQL = """
+crc_bits(doc_id, digits, done, c) as (
+  select distinct doc_id, cast(doc_id as varchar), 0, 4294967295::bigint from documents where doc_id is not null
+  union all
+  select doc_id, digits, done + 1, xor(v >> 1, (v & 1) * 3988292384)
+  from (select *, case when done % 8 = 0 then xor(c, ascii(digits[done // 8 + 1])::bigint) else c end as v from crc_bits where done < 8 * len(digits))),
+crcs as (select doc_id, xor(c, 4294967295::bigint) as h from crc_bits where done = 8 * len(digits))"""
+
+# Equal factors of six words q apart follow each other exactly where a run of period q is; shorter runs don't count.
+ORACLES["op12_periodic_runs"] = f"""
+with recursive {CRC_SQL},
+given as (
+  select row_number() over () as r, doc_id, coalesce(h, 1) as h, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents left join crcs using (doc_id)),
+sized as (select *, len(w) as n, h // 10 as g, case when len(w) > 0 then (h // 10) % len(w) end as a from given),
+texts as (
+  select r, doc_id, n, case when h % 10 = 0 and n > 0
+    then list_transform(range(n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] end) else w end as w
+  from sized),
+grams as (select r, i, array_to_string(w[i + 1 : i + 6], ' ') as s from texts, unnest(range(0, n - 5)) as t(i) where n >= 6),
+same as (select x.r, x.i, y.i - x.i as q from grams x join grams y on x.r = y.r and x.s = y.s and x.i < y.i),
+stretches as (select r, q, min(i) as start, max(i) - min(i) + 6 + q as length from (select *, i - row_number() over (partition by r, q order by i) as stretch from same) group by r, q, stretch),
+runs as (select r, start, length, min(q) as period from stretches where length >= greatest(12, 2 * q) group by r, start, length),
+lines as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as s from runs group by r),
+best as (select * from runs qualify row_number() over (partition by r order by length desc, start, period) = 1),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+held as (
+  select r, string_agg(word, ' ' order by i) as s
+  from (select r, unnest(range(n)) as i, unnest(w) as word from texts) x where not exists (select 1 from gone g where g.r = x.r and g.i = x.i) group by r)
+select doc_id, n as n_words, coalesce(n_runs, 0) as n_runs, start, length, period, 1000 * length // period as exponent_milli,
+  sha256(coalesce(lines.s, '')) as runs_sha256, sha256(coalesce(held.s, '')) as collapsed_sha256
+from texts left join lines using (r) left join best using (r) left join held using (r)
+"""
+
+_FIELDS = "case when {0} is null then '-' else octet_length(encode(cast({0} as varchar))) || ':' || {0} end"
+_LEAF = "sha256(" + " || ".join(_FIELDS.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+_LEVEL = "list_transform(range((len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"
+_BEFORE, _AFTER = "case when k % 2 = 1 then l[k] else '' end", "case when k % 2 = 0 then coalesce(l[k + 2], '') else '' end"
+_STEP = f"k // 2, sha256({_BEFORE} || acc || {_AFTER}), proof || {_BEFORE} || {_AFTER}"
+ORACLES["op13_merkle_manifest"] = f"""
+with recursive {CRC_SQL},
+leaves as (
+  select doc_id, lang, {_LEAF} as leaf, {_LEAF.replace("n_chars", "shown")} as presented
+  from (select documents.*, n_chars + case when h % 7 = 0 then 1 else 0 end as shown from documents left join crcs using (doc_id))),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as k from leaves),
+trees(lang, level, l) as (
+  select lang, 0, list(leaf order by k) from placed group by lang
+  union all select lang, level + 1, {_LEVEL} from trees where len(l) > 1),
+subroots as (select lang, l[1] as subroot, row_number() over (order by lang nulls first) - 1 as k from trees where len(l) = 1),
+top(level, l) as (
+  select 0, list(subroot order by k) from subroots
+  union all select level + 1, {_LEVEL} from top where len(l) > 1),
+own(doc_id, lang, leaf, level, k, acc, proof) as (
+  select doc_id, lang, leaf, 0, k, presented, '' from placed
+  union all
+  select doc_id, own.lang, leaf, level + 1, {_STEP} from own join trees using (level) where len(l) > 1 and own.lang is not distinct from trees.lang),
+whole(doc_id, leaf, subroot, level, k, acc, proof) as (
+  select doc_id, leaf, subroot, 0, s.k, acc, proof
+  from own join trees using (level) join subroots s on s.lang is not distinct from own.lang where own.lang is not distinct from trees.lang and len(l) = 1
+  union all
+  select doc_id, leaf, subroot, level + 1, {_STEP} from whole join top using (level) where len(l) > 1)
+select doc_id, leaf, subroot, l[1] as root, sha256(proof) as proof_sha256, acc as folded_root, acc = l[1] as verified
+from whole join top using (level) where len(l) = 1
+"""
