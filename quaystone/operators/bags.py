@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,52 +34,89 @@ PRICE_CONTEXT = ["PriceBook", "GlobalPrice", "ContractGlobalPrice", "USD Extende
 COVER_STOCK_QTY = ["STOCK QTY", "on_hand", "available qty", "available quantity"]
 
 
+#: Layouts beyond this many are joined by a shuffle instead of being sent to all tasks.
+LAYOUTS = 10_000
+
+
 def plain_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(fold_accents(c), "[^a-zA-Z0-9]", ""))
 
 
-def with_cells(df: DataFrame, *bags: str) -> DataFrame:
-    """``df`` with ``cells`` in place of its bags: (bag, key, value) of every value that isn't blank, by plain names.
+def names(aliases: list[str]) -> list[str]:
+    return list(dict.fromkeys("".join(c for c in a.lower() if c.isalnum()) for a in aliases))
 
-    Of a bag's names that become equal, the last counts.  Names are made plain
-    once a row; everything else then looks through these few cells.
-    """
-    keys = settled(df, *[c for c in df.columns if c not in bags], *[F.coalesce(F.transform(F.map_keys(b), plain_key), F.array()).cast("array<string>").alias(f"__k{i}") for i, b in enumerate(bags)], *[F.coalesce(F.map_values(b), F.array()).cast("array<string>").alias(f"__v{i}") for i, b in enumerate(bags)])
 
-    def own(i: int) -> Column:
-        k = F.col(f"__k{i}")
-        cell = F.transform(k, lambda key, at: F.when((F.array_position(F.slice(k, at + 2, F.size(k)), key) == 0), F.struct(F.lit(i).alias("bag"), key.alias("key"), F.get(F.col(f"__v{i}"), at).alias("value"))))
-        return F.filter(cell, lambda c: c.isNotNull() & (F.trim(c["value"]) != ""))
+class Field(NamedTuple):
+    """What goes by any of some names, in one bag or in both; ``placed`` takes values in the order of cells, not of names."""
 
-    return settled(keys, *[c for c in df.columns if c not in bags], F.concat(*map(own, range(len(bags)))).alias("cells"))
+    aliases: list[str]
+    bag: int | None = None
+    placed: bool = False
 
 
-def names(aliases: list[str]) -> list[str]:
-    return list(dict.fromkeys("".join(c for c in a.lower() if c.isalnum()) for a in aliases))
+def _last(keys: str, name: Column) -> Column:
+    """Where a name stands in an array, the last time; -1 if nowhere."""
+    return F.when(F.array_contains(keys, name), F.size(keys) - F.array_position(F.reverse(keys), name)).otherwise(-1).cast("int")
 
 
-def among(aliases: list[str], bag: int | None = None) -> Column:
-    """The cells under any of the names (of one bag only)."""
-    return F.filter("cells", lambda c: c["key"].isin(names(aliases)) & (F.lit(True) if bag is None else c["bag"] == bag))
+def resolve(layouts: DataFrame, fields: dict[str, Field]) -> DataFrame:
+    """Layouts (``keys0``, ``keys1``: the keys of both bags) with ``places``: where in a row's values each field's are.
 
+    A place is (at, over): the value's number in both bags together and, in
+    the second bag, that of the first's value by the same name, which hides it.
+    Of a bag's names that become equal when plain, the last counts.
+    """
+    plain = layouts.select("keys0", "keys1", *[F.transform(f"keys{b}", plain_key).alias(f"plain{b}") for b in (0, 1)])
 
-def first_value(aliases: list[str], bag: int | None = None) -> Column:
-    """The first value: bag by bag, name by name."""
-    order = F.array(*[F.lit(a) for a in names(aliases)])
-    return F.array_min(F.transform(among(aliases, bag), lambda c: F.struct(c["bag"].alias("bag"), F.array_position(order, c["key"]).alias("place"), c["value"].alias("value"))))["value"]
+    def own(field: Field) -> Column:
+        wanted = F.array(*[F.lit(n) for n in names(field.aliases)])
+        first = F.transform(wanted, lambda n: F.struct(_last("plain0", n).alias("at"), F.lit(-1).alias("over")))
+        second = F.transform(wanted, lambda n: F.struct((_last("plain1", n) + F.when(_last("plain1", n) >= 0, F.size("plain0")).otherwise(0)).cast("int").alias("at"), _last("plain0", n).alias("over")))
+        places = F.filter({0: first, 1: second}.get(field.bag, F.concat(first, second)), lambda p: p["at"] >= 0)
+        return F.array_sort(places) if field.placed else places
 
+    return plain.select("keys0", "keys1", F.struct(*[own(f).alias(n) for n, f in fields.items()]).alias("places"))
 
-def has(aliases: list[str], bag: int | None = None) -> Column:
-    return F.exists("cells", lambda c: c["key"].isin(names(aliases)) & (F.lit(True) if bag is None else c["bag"] == bag))
 
+def located(df: DataFrame, fields: dict[str, Field], bags: tuple[str, str] = ("raw_data", "normalized_data")) -> DataFrame:
+    """``df`` with ``held`` (all values of its bags, blank ones null) and ``places`` instead of the bags.
 
-def first_number(aliases: list[str], bag: int | None = None) -> Column:
-    c = F.trim(F.regexp_replace(first_value(aliases, bag), ",", ""))
+    Names are resolved once per layout, which is a distinct pair of key arrays;
+    rows only look up numbers.  Layouts are as many as there are kinds of
+    sheets: up to ``LAYOUTS`` are sent to all tasks, more are joined by their keys.
+    """
+    none = F.array().cast("array<string>")
+    keys = [F.coalesce(F.map_keys(b), none).alias(f"keys{i}") for i, b in enumerate(bags)]
+    held = F.transform(F.concat(*[F.coalesce(F.map_values(b), none) for b in bags]), lambda v: F.when(F.trim(v) != "", v))
+    kinds = df.select(*keys).distinct()
+    known = kinds.limit(LAYOUTS + 1).collect()
+    if len(known) <= LAYOUTS:
+        places = F.broadcast(resolve(df.sparkSession.createDataFrame(known, kinds.schema), fields))
+    else:
+        places = resolve(kinds, fields)
+    return df.select(*[c for c in df.columns if c not in bags], *keys, held.alias("held")).join(places, ["keys0", "keys1"]).drop("keys0", "keys1")
+
+
+def value(field: str) -> Column:
+    """A field's first value: bag by bag, name by name."""
+    p = F.col(f"places.{field}")
+    more = F.when(F.size(p) > 2, F.get(F.filter(F.transform(p, lambda x: F.get(F.col("held"), x["at"])), lambda v: v.isNotNull()), F.lit(0)))
+    return F.coalesce(*[F.get(F.col("held"), F.get(p, F.lit(i))["at"]) for i in (0, 1)], more)
+
+
+def number(field: str) -> Column:
+    c = F.trim(F.translate(value(field), ",", ""))
     return F.when(c.rlike(NUMBER), c.try_cast("double"))
 
 
-def joined(aliases: list[str]) -> Column:
-    return F.lower(F.array_join(F.transform(among(aliases), lambda c: c["value"]), " "))
+def shown(field: str) -> Column:
+    """A field's values, but for those that the first bag's value by the same name hides."""
+    seen = F.filter(F.col(f"places.{field}"), lambda p: F.get(F.col("held"), p["at"]).isNotNull() & ((p["over"] < 0) | F.get(F.col("held"), p["over"]).isNull()))
+    return F.transform(seen, lambda p: F.get(F.col("held"), p["at"]))
+
+
+def joined(field: str) -> Column:
+    return F.lower(F.array_join(shown(field), " "))
 
 
 def says_yes(c: Column) -> Column:
@@ -93,43 +132,52 @@ def template_of(records: DataFrame, uploads: DataFrame, profiles: DataFrame) ->
     return out.withColumn("template", F.lower(F.coalesce("detected_template", "detected_category", "category", F.lit("")))).drop("detected_category", "detected_template")
 
 
+COVER_FIELDS = {
+    "part": Field(PART), "stock": Field(COVER_STOCK_QTY, 0), "on_hand": Field(["on_hand"], 1), "need": Field(NEED_QTY, 0), "own_need": Field(["req_qty", "qty"], 1),
+    "context": Field([*NEED_CONTEXT, *PRICE_CONTEXT], 0), "customer": Field(CUSTOMER), "supplier": Field(SUPPLIER), "maker": Field(MAKER),
+}
+
+
 def stock_and_needs(df: DataFrame) -> DataFrame:
     """Each record's part, whether it is stock, a need or both, and its quantities; records that are neither are left out."""
-    t = F.col("template")
-    stock = t.contains("inventario") | has(COVER_STOCK_QTY, 0) | has(["on_hand"], 1)
-    has_qty = has(NEED_QTY, 0) | has(["req_qty", "qty"], 1)
-    need = ~t.contains("inventario") & has_qty & (has([*NEED_CONTEXT, *PRICE_CONTEXT], 0) | t.rlike("pricing|logistica|cotizacion"))
+    t, has = F.col("template"), lambda f: value(f).isNotNull()
+    stock = t.contains("inventario") | has("stock") | has("on_hand")
+    need = ~t.contains("inventario") & (has("need") | has("own_need")) & (has("context") | t.rlike("pricing|logistica|cotizacion"))
     out = settled(
-        with_cells(df, "raw_data", "normalized_data"), "id", "upload_batch_id", "created_at",
-        normalize_mpn(F.coalesce(first_value(PART), F.col("mpn"), F.col("mpn_quoted"))).alias("part"), stock.alias("is_stock"), need.alias("is_need"),
-        F.when(stock, F.coalesce(first_number(COVER_STOCK_QTY, 0), first_number(["on_hand"], 1), F.col("on_hand"))).alias("stock_qty"),
-        F.when(need, F.coalesce(first_number(NEED_QTY, 0), first_number(["req_qty", "qty"], 1), F.col("req_qty"), F.col("qty"))).alias("need_qty"),
-        first_text(first_value(CUSTOMER), F.col("customer"), F.col("client")).alias("customer"), first_text(first_value(SUPPLIER), F.col("supplier_name"), F.col("supplier")).alias("supplier"),
-        first_text(first_value(MAKER), F.col("manufacturer"), F.col("clean_mfg")).alias("maker"),
+        located(df, COVER_FIELDS), "id", "upload_batch_id", "created_at",
+        normalize_mpn(F.coalesce(value("part"), F.col("mpn"), F.col("mpn_quoted"))).alias("part"), stock.alias("is_stock"), need.alias("is_need"),
+        F.when(stock, F.coalesce(number("stock"), number("on_hand"), F.col("on_hand"))).alias("stock_qty"),
+        F.when(need, F.coalesce(number("need"), number("own_need"), F.col("req_qty"), F.col("qty"))).alias("need_qty"),
+        first_text(value("customer"), F.col("customer"), F.col("client")).alias("customer"), first_text(value("supplier"), F.col("supplier_name"), F.col("supplier")).alias("supplier"),
+        first_text(value("maker"), F.col("manufacturer"), F.col("clean_mfg")).alias("maker"),
     )
     return out.filter("is_stock or is_need").filter("part is not null")
 
 
+SIGNAL_FIELDS = {
+    "part": Field(PART), "stock": Field(STOCK_QTY), "need": Field(DEMAND_QTY), "excess": Field(EXCESS_QTY), "received": Field(RECEIVED_QTY), "context": Field(DEMAND_CONTEXT), "says_excess": Field(EXCESS_SIGNAL),
+    "excess_text": Field([*EXCESS_SIGNAL, *STATUS], placed=True), "required": Field([a for a in DEMAND_QTY if a.lower() not in ("quantity", "qty")]), "approved": Field(APPROVED), "approved_text": Field([*APPROVED, *STATUS], placed=True),
+    "customer": Field(CUSTOMER), "strict_customer": Field(CUSTOMER_STRICT), "supplier": Field(SUPPLIER), "maker": Field(MAKER),
+}
+
+
 def signals(df: DataFrame) -> DataFrame:
     """What each record says of its part: demand, stock, excess, receipts and approval, with quantities, parties and what is missing.
 
     A value in the raw bag hides the same name's in the normalized one.
     """
-    t = F.col("template")
-    shown = F.filter("cells", lambda c: (c["bag"] == 0) | ~F.exists("cells", lambda o: (o["bag"] == 0) & (o["key"] == c["key"])))
-    cells = with_cells(df, "raw_data", "normalized_data")
+    t, has = F.col("template"), lambda f: value(f).isNotNull()
     own = settled(
-        settled(cells, *[c for c in cells.columns if c != "cells"], shown.alias("cells")),
-        "id", "upload_batch_id", "created_at", normalize_mpn(F.coalesce(first_value(PART), F.col("mpn"), F.col("mpn_quoted"))).alias("part"),
-        F.coalesce(first_number(STOCK_QTY), F.col("on_hand")).alias("stock_qty"), F.coalesce(first_number(DEMAND_QTY), F.col("req_qty"), F.col("qty")).alias("need_qty"),
-        first_number(EXCESS_QTY).alias("told_excess"), first_number(RECEIVED_QTY).alias("received_qty"), t.alias("template"),
-        (has(DEMAND_CONTEXT) | t.rlike("pricing|logistica|logistics|cotizacion|quotation|rfq|demand|need|planned")).alias("asked"),
-        (has(STOCK_QTY) | F.col("on_hand").isNotNull() | t.rlike("inventario|inventory|stock")).alias("kept"),
-        (has(EXCESS_SIGNAL) | F.concat_ws(" ", t, joined([*EXCESS_SIGNAL, *STATUS])).rlike(r"\b(excess|surplus|overstock)\b")).alias("is_excess"),
-        has([a for a in DEMAND_QTY if a.lower() not in ("quantity", "qty")]).alias("says_required"),
-        (F.exists(among(APPROVED), lambda c: says_yes(c["value"])) | joined([*APPROVED, *STATUS]).rlike(r"\b(approved|avl|aml|source\s*controlled?|sourcecontrol)\b")).alias("approved"),
-        first_value(CUSTOMER).alias("any_customer"), first_value(CUSTOMER_STRICT).alias("strict_customer"), first_text(F.col("customer"), F.col("client")).alias("own_customer"),
-        first_text(first_value(SUPPLIER), F.col("supplier_name"), F.col("supplier")).alias("supplier"), first_text(first_value(MAKER), F.col("manufacturer"), F.col("clean_mfg")).alias("maker"),
+        located(df, SIGNAL_FIELDS), "id", "upload_batch_id", "created_at", normalize_mpn(F.coalesce(value("part"), F.col("mpn"), F.col("mpn_quoted"))).alias("part"),
+        F.coalesce(number("stock"), F.col("on_hand")).alias("stock_qty"), F.coalesce(number("need"), F.col("req_qty"), F.col("qty")).alias("need_qty"),
+        number("excess").alias("told_excess"), number("received").alias("received_qty"), t.alias("template"),
+        (has("context") | t.rlike("pricing|logistica|logistics|cotizacion|quotation|rfq|demand|need|planned")).alias("asked"),
+        (has("stock") | F.col("on_hand").isNotNull() | t.rlike("inventario|inventory|stock")).alias("kept"),
+        (has("says_excess") | F.concat_ws(" ", t, joined("excess_text")).rlike(r"\b(excess|surplus|overstock)\b")).alias("is_excess"),
+        has("required").alias("says_required"),
+        (F.exists(shown("approved"), says_yes) | joined("approved_text").rlike(r"\b(approved|avl|aml|source\s*controlled?|sourcecontrol)\b")).alias("approved"),
+        value("customer").alias("any_customer"), value("strict_customer").alias("strict_customer"), first_text(F.col("customer"), F.col("client")).alias("own_customer"),
+        first_text(value("supplier"), F.col("supplier_name"), F.col("supplier")).alias("supplier"), first_text(value("maker"), F.col("manufacturer"), F.col("clean_mfg")).alias("maker"),
     )
     demand = F.coalesce((F.col("need_qty") > 0) & ~F.col("template").rlike("inventario|inventory") & (F.col("says_required") | F.col("asked") | ~F.col("kept")), F.lit(False))
     stock = F.coalesce((F.col("stock_qty") > 0) & F.col("kept"), F.lit(False))

@@ -27,7 +27,8 @@ def test_coverage_status(spark):
     df = spark.createDataFrame(rows, "r double, s double, want string")
     assert df.filter(status(F.col("r"), F.col("s")) != F.col("want")).count() == 0
     bags = spark.sql("select map('Stock QTY', ' ', 'On-Hand', '1,007.5', 'ON HAND', '7', 'Código', 'x') as m, cast(null as map<string,string>) as n")
-    r = bags_of.with_cells(bags, "n", "m").select(bags_of.first_value(["stock qty", "on hand"]).alias("v"), bags_of.first_number(["On Hand"]).alias("q"), bags_of.first_value(["codigo"]).alias("c"), bags_of.first_value(["nothing"]).alias("none"), bags_of.has(["on hand"], 0).alias("in_n")).first()
+    f = {"v": bags_of.Field(["stock qty", "on hand"]), "q": bags_of.Field(["On Hand"]), "c": bags_of.Field(["codigo"]), "none": bags_of.Field(["nothing"]), "in_n": bags_of.Field(["on hand"], 0)}
+    r = bags_of.located(bags, f, ("n", "m")).select(bags_of.value("v").alias("v"), bags_of.number("q").alias("q"), bags_of.value("c").alias("c"), bags_of.value("none").alias("none"), bags_of.value("in_n").isNotNull().alias("in_n")).first()
     assert (r.v, r.q, r.c, r.none, r.in_n) == ("7", 7.0, "x", None, False)
     assert values(spark, ["Yes", "not approved", "0", "-1", "2", " N ", "", None], says_yes) == [True, False, False, False, True, False, False, False]
 
