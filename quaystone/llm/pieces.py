@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import applied, released
+from .text import portions
 from .vocabulary import MODEL, SPACE, Vocabulary, chunks, load, trim
 
 #: Characters indexed at once.
 INDEXED = 500_000
-#: Texts encoded at once.
-ROWS = 1000
 #: Most pairs of pieces whose agreement is remembered.
 PAIRS = 1_000_000
 UNKNOWN = -2
@@ -287,8 +286,8 @@ def encode(docs: DataFrame, keep: list[str], path: str = MODEL, digests: bool =
         own = _encoder(shared, path)
         for column in batches:
             n, coded, decoded, same, flat = [], [], [], [], []
-            for at in range(0, len(column), ROWS):
-                texts = column.slice(at, ROWS).to_pylist()
+            for part in portions(column):
+                texts = part.to_pylist()
                 for text, raw in zip(texts, own.encode(texts)):
                     numbers = np.frombuffer(raw, np.int32)
                     n.append(len(numbers))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; working arrays take about forty times this.
 SLICE_BYTES = 2 << 20
@@ -78,6 +79,17 @@ def slices(column, limit: int = SLICE_BYTES):
         first = last
 
 
+def portions(column: pa.Array, rows: int = 1000, limit: int = SLICE_BYTES):
+    """Cut an array of texts into arrays of at most ``rows`` rows and about ``limit`` bytes; one longer text is alone."""
+    sizes = np.cumsum(pc.coalesce(pc.binary_length(column), pa.scalar(0, pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(column):
+        before = sizes[first - 1] if first else 0
+        last = min(max(first + 1, int(np.searchsorted(sizes, before + limit, side="right"))), first + rows, len(column))
+        yield column.slice(first, last - first)
+        first = last
+
+
 class Words:
     """The words of a slice: byte starts and ends, and ``bounds``: each document's first word."""
 

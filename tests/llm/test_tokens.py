@@ -3,11 +3,13 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quaystone.llm import pieces, tokencount, vocabulary
 from quaystone.llm.queries import QUERIES, table
+from quaystone.llm.text import portions
 
 pytestmark = pytest.mark.skipif(not os.path.exists(vocabulary.MODEL), reason="no vocabulary file")
 EDGES = [None, "", "a", "  a  b   ", "\n\n x\ny\n", "Hello wörld 日本 ☃𐍈\x00 z", "▁a▁▁b", "a\t\tb\r\n", " lead", "trail ", "x" * 5000, "ab" * 3000, "w " * 20000]
@@ -86,3 +88,11 @@ def test_edges_in_frames(spark):
     assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(EDGES)}
     assert pieces.encode(df.limit(0), ["doc_id"]).count() == tokencount.count_tokens(df.limit(0), ["doc_id"]).count() == 0
     assert tokencount.count_tokens(df, ["doc_id"]).filter("doc_id < 2").agg(F.sum("n_tokens")).first()[0] == 0
+
+
+def test_portions_are_bounded_by_bytes():
+    column = pa.array(["ab", None, "", "x" * 50, "y", "z" * 9, "ü" * 4] * 3)
+    parts = list(portions(column, rows=4, limit=10))
+    assert [t for p in parts for t in p.to_pylist()] == column.to_pylist()
+    assert all(len(p) <= 4 and (len(p) == 1 or sum(len((t or "").encode()) for t in p.to_pylist()) <= 10) for p in parts)
+    assert [p.to_pylist() for p in portions(column.slice(3, 2), limit=10)] == [["x" * 50], ["y"]] and list(portions(column.slice(0, 0))) == []
