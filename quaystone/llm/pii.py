@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from .shared import applied, quoted, released
 from .tagger import Tagger, codes
+from .text import portions
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, REACH = 96, 48, 40
 SAMPLE_WINDOWS = 1200
 CACHE = 50_000
-#: Texts read at once.
-ROWS = 1000
+#: Stretches of text, and characters of them (but for a longer one), tagged at once.
+TAGGED, TAGGED_CHARS = 2000, 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -233,7 +234,11 @@ def _valid(kind: str, s: str) -> bool:
 
 
 def _tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The tagger's spans in stretches of text."""
+    """The tagger's spans in stretches of text.
+
+    The tagger sees codes, in which all digits are one, so windows of tables of
+    numbers are few different ones; each is read once.
+    """
     cut, owner, starts = [], [], []
     for i, t in enumerate(texts):
         for a in range(0, max(1, len(t) - WINDOW + STRIDE), STRIDE):
@@ -242,11 +247,15 @@ def _tagged(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]
             starts.append(a)
     total = [np.zeros((len(t), 1 + 2 * len(KINDS)), np.float32) for t in texts]
     times = [np.zeros((len(t), 1), np.float32) for t in texts]
-    for i in range(0, len(cut), 256):
-        e = model.emissions(codes(cut[i : i + 256], WINDOW))
-        for j, t in enumerate(cut[i : i + 256]):
-            o, a = owner[i + j], starts[i + j]
-            total[o][a : a + len(t)] += e[j, : len(t)]
+    ids = codes(cut, WINDOW)
+    _, first, which = np.unique(ids, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(which, kind="stable")  # windows by what they are
+    bounds = np.searchsorted(which[order], np.arange(len(first) + 1))
+    for i in range(0, len(first), 256):
+        e = model.emissions(ids[first[i : i + 256]])
+        for k in order[bounds[i] : bounds[min(i + 256, len(first))]].tolist():
+            o, a, t = owner[k], starts[k], cut[k]
+            total[o][a : a + len(t)] += e[which[k] - i, : len(t)]
             times[o][a : a + len(t)] += 1
     out = []
     for tags in model.decode([s / n for s, n in zip(total, times)]):
@@ -287,9 +296,10 @@ def spans_of(texts: list[str | None], model: Tagger | None, cache: dict) -> list
         if model is not None:
             asked += [(i, a, t[a:b]) for a, b in stretches(t)]
     fresh = sorted({s for _, _, s in asked if s not in cache}, key=lambda s: (len(s), s))
-    for k in range(0, len(fresh), 2000):
-        part = fresh[k : k + 2000]
-        cache.update(zip(part, _tagged(model, part)))
+    while fresh:
+        n = max(1, int(np.searchsorted(np.cumsum([len(s) for s in fresh[:TAGGED]]), TAGGED_CHARS, side="right")))
+        cache.update(zip(fresh[:n], _tagged(model, fresh[:n])))
+        fresh = fresh[n:]
     for i, at, s in asked:
         for kind, a, b in cache[s]:
             a, b = _trimmed(kind, s, a, b)
@@ -312,8 +322,8 @@ def find(docs: DataFrame, model: Tagger | None, keep: list[str]) -> DataFrame:
         cache: dict = {}
         for texts in batches:
             found = []
-            for at in range(0, len(texts), ROWS):
-                found += spans_of(texts.slice(at, ROWS).to_pylist(), shared.value, cache)
+            for part in portions(texts):
+                found += spans_of(part.to_pylist(), shared.value, cache)
             yield [pa.array([[dict(zip(("kind", "start", "end", "base"), s)) for s in x] for x in found], kind)]
         cache.clear()
         released()
@@ -350,8 +360,7 @@ def redact(docs: DataFrame, model: Tagger | None) -> DataFrame:
         cache: dict = {}
         for column in texts:
             done = []
-            for at in range(0, len(column), ROWS):
-                part = column.slice(at, ROWS).to_pylist()
+            for part in map(pa.Array.to_pylist, portions(column)):
                 done += map(clean, part, spans_of(part, shared.value, cache))
             yield pa.array(done, pa.string())
         cache.clear()

@@ -11,6 +11,10 @@ import numpy as np
 
 EMBED, HIDDEN = 12, 20
 PAD, OTHER = 0, 1
+#: Scores of sequences decoded together.
+DECODED = 4_000_000
+#: A sequence of more steps than this is decoded in blocks of so many.
+BLOCK = 1024
 
 
 def codes(texts: list[str], length: int) -> np.ndarray:
@@ -140,28 +144,81 @@ class Tagger:
                     self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of sequences of any lengths, by Viterbi over all of them together."""
+        """Best tags of sequences of any lengths, by Viterbi over some of like length together (``DECODED`` scores, but for a longer one)."""
         order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-        lengths = np.array([len(scores[i]) for i in order])
         out = [np.zeros(0, np.int64)] * len(scores)
-        if not len(order) or not lengths[0]:
-            return out
-        k = scores[order[0]].shape[1]
-        e = np.zeros((lengths[0], len(order), k), np.float32)
-        for j, i in enumerate(order):
-            e[: lengths[j], j] = scores[i]
-        best, back = e[0].copy(), np.zeros((lengths[0], len(order), k), np.int8)
+        while order and len(scores[order[0]]) > BLOCK:
+            i = order.pop(0)
+            out[i] = self._in_blocks(scores[i])
+        while order and len(scores[order[0]]):
+            n = max(1, DECODED // scores[order[0]].size)
+            for i, tags in zip(order[:n], self._viterbi([scores[i] for i in order[:n]])):
+                out[i] = tags
+            order = order[n:]
+        return out
+
+    def _in_blocks(self, scores: np.ndarray) -> np.ndarray:
+        """Viterbi over one long sequence, all its blocks side by side.
+
+        First each block's best score from every first to every last tag, then
+        the best way through the blocks, then the way inside each.
+        """
+        steps, k = scores.shape
+        blocks = -(-steps // BLOCK)
+        e = np.zeros((blocks * BLOCK, k))
+        e[:steps] = scores
+        e = e.reshape(blocks, BLOCK, k)
+        move = self.p["move"].astype(np.float64)
+        last = np.full(blocks, BLOCK - 1)
+        last[-1] = (steps - 1) % BLOCK
+        through = np.where(np.eye(k, dtype=bool), e[:, 0, None, :], -np.inf)  # block, first tag, last tag
+        for t in range(1, BLOCK):
+            live = slice(0, blocks if t <= last[-1] else blocks - 1)
+            through[live] = (through[live, :, :, None] + move).max(axis=2) + e[live, t, None, :]
+        best, firsts, before = through[0].max(axis=0), np.zeros((blocks, k), np.int64), np.zeros((blocks, k), np.int64)
+        firsts[0] = through[0].argmax(axis=0)
+        for b in range(1, blocks):
+            ways = best[:, None] + move
+            before[b] = ways.argmax(axis=0)
+            ways = ways.max(axis=0)[:, None] + through[b]
+            firsts[b] = ways.argmax(axis=0)
+            best = ways.max(axis=0)
+        first, now, tag = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64), int(best.argmax())
+        for b in range(blocks - 1, -1, -1):
+            now[b], first[b] = tag, firsts[b, tag]
+            tag = int(before[b, first[b]])
+        each = np.arange(blocks)
+        held = np.full((blocks, k), -np.inf)
+        held[each, first] = e[each, 0, first]
+        back = np.zeros((BLOCK, blocks, k), np.int8)
+        for t in range(1, BLOCK):
+            ways = held[:, :, None] + move
+            back[t] = ways.argmax(axis=1)
+            held = ways.max(axis=1) + e[:, t]
+        tags = np.zeros((blocks, BLOCK), np.int8)
+        for t in range(BLOCK - 1, -1, -1):
+            live = t <= last
+            tags[live, t] = now[live]
+            now = np.where(live, back[t, each, now], now)
+        return tags.ravel()[:steps]
+
+    def _viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The longest comes first."""
+        lengths = np.array([len(s) for s in scores])
+        k = scores[0].shape[1]
+        e = np.zeros((lengths[0], len(scores), k), np.float32)
+        for j, s in enumerate(scores):
+            e[: len(s), j] = s
+        best, back = e[0].copy(), np.zeros((lengths[0], len(scores), k), np.int8)
         for t in range(1, lengths[0]):
             live = int(np.searchsorted(-lengths, -t))  # those longer than t
             ways = best[:live, :, None] + self.p["move"]
             back[t, :live] = ways.argmax(axis=1)
             best[:live] = ways.max(axis=1) + e[t, :live]
-        tags = np.zeros((lengths[0], len(order)), np.int64)
+        tags = np.zeros((lengths[0], len(scores)), np.int8)
         now = best.argmax(axis=1)
         for t in range(lengths[0] - 1, -1, -1):
             live = int(np.searchsorted(-lengths, -t))
             tags[t, :live] = now[:live]
             now[:live] = back[t, np.arange(live), now[:live]]
-        for j, i in enumerate(order):
-            out[i] = tags[: lengths[j], j]
-        return out
+        return [tags[:n, j] for j, n in enumerate(lengths.tolist())]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaystone.llm import pii
+from quaystone.llm import pii, tagger
 from quaystone.llm.queries import QUERIES, table
 from quaystone.llm.tagger import Tagger
 
@@ -144,3 +144,29 @@ def test_edges_and_redaction(spark, model):
     assert clean == sorted(["None", "", "l [EMAIL] or [PHONE] now", "l [EMAIL] or [PHONE] now", "x" * 19 + " [IP]"])
     assert pii.train(df.limit(0)) is None
     assert pii.find(df.limit(0), None, ["doc_id"]).count() == 0
+
+
+def test_long_sequences_are_decoded_the_same_in_blocks(monkeypatch):
+    model, rng = Tagger(9), np.random.default_rng(3)
+    model.p["move"] = rng.normal(0, 2, (9, 9)).astype(np.float32)
+    for n in (1, 7, 8, 9, 40, 65):
+        scores = [rng.normal(0, 3, (n, 9)).astype(np.float32), rng.normal(0, 3, (3, 9)).astype(np.float32), np.zeros((0, 9), np.float32)]
+        monkeypatch.setattr(tagger, "BLOCK", 1 << 20)
+        plain = [x.tolist() for x in model.decode(scores)]
+        monkeypatch.setattr(tagger, "BLOCK", 8)
+        assert [x.tolist() for x in model.decode(scores)] == plain
+        monkeypatch.setattr(tagger, "DECODED", 1)
+        assert [x.tolist() for x in model.decode(scores)] == plain
+
+
+def test_very_long_texts_of_numbers(spark):
+    """One stretch from end to end: patterns' spans are all there, and what is seen of it is what is seen of a part."""
+    docs = spark.createDataFrame([(f"write to ana{i}@mail.example or call +1 918 555 {i:04}",) for i in range(200)], "text string")
+    model = pii.train(docs)
+    part = "12 34 56, " * 40
+    long = part * 150 + "ann@host.example 10.1.2.3 " + part * 150
+    found = pii.spans_of([long, part, None, ""], model, {})
+    at = len(part) * 150
+    assert [s[:3] for s in found[0] if s[3]] == [("email", at, at + 16), ("ip", at + 17, at + 25)]
+    assert found[2] == found[3] == []
+    assert len([s for s in found[0] if not s[3]]) <= 300 * len([s for s in found[1] if not s[3]]) + 4
