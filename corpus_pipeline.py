@@ -10,7 +10,9 @@ one's ``docs``.  All but the last return the columns of ``documents``.
 4. personal data: replaces spans in ``text`` and sets ``n_chars`` anew.
 5. encoding: token ids, checked by decoding them.
 
-Rows with a null doc_id pass stage 2 (they are in no group).  Documents whose
+Rows whose doc_id is null or can't be read as a number pass stage 2 (they are in
+no group); rows that repeat a doc_id are one document there and go or stay
+together.  Texts of any length are whole to every stage.  Documents whose
 text is null or empty are kept by every stage.  Columns that are not those of
 ``documents`` pass through the first four stages.
 """
@@ -32,8 +34,8 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(docs).filter("doc_id is not null")
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("any_kept")).filter("not any_kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.groupBy(F.col("doc_id").alias("gone")).agg(F.max("kept").alias("any_kept")).filter("not any_kept").select("gone")
+    return docs.join(gone, F.expr("try_cast(doc_id as bigint)") == gone["gone"], "left_anti")
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
