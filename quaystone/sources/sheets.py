@@ -1,7 +1,7 @@
 """Spreadsheet and CSV files to records, and results to files.
 
-CSV is read by Spark's reader; one XLSX file is one task, which reads its parts
-as a stream.  The header row is found among a sheet's first rows, in a task,
+CSV is read in splits; one XLSX file is one task, which reads its parts as a
+stream.  The header row is found among a sheet's first rows, in a task,
 and joined back to its rows.
 """
 
@@ -18,50 +18,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from . import layout
+from .csvsplits import read_csv as read_csv
 
 HEAD_ROWS = 30
-#: Most cells of a record the parser makes room for.
-ROOM = 1 << 20
-_QUOTED = r'(^|,)"(?:[^"]++|"")*+"(?=,|$)'
 #: Cells that a spreadsheet shows where a formula failed (fixed values).
 FORMULA_ERRORS = ("#REF!", "#VALUE!", "#DIV/0!", "#NAME?", "#N/A", "#NUM!", "#NULL!")
 
 CELLS = "file string, sheet string, row_index int, cells array<string>"
 
 
-def _widest(spark: SparkSession, path: str) -> int:
-    """What no record of the files has more cells than.
-
-    A record with other than one cell comes whole as the corrupt one; commas outside quoted cells are counted in it.
-    """
-    raw = spark.read.csv(path, schema="_c0 string, _record string", header=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", encoding="UTF-8", maxColumns=ROOM, columnNameOfCorruptRecord="_record")
-    bare = F.regexp_replace("_record", _QUOTED, "$1")
-    most = raw.agg(F.max(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))).alias("n"), F.count("_c0")).first().n
-    return max(2, (most or 0) + 1)
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV files: (file, sheet, row_index, cells).
-
-    Rows may have any number of cells; the widest is found in a pass before.  Row numbers are by position in the file
-    and count rows that are not blank.
-    """
-    width = _widest(spark, path)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True, mode="PERMISSIVE", encoding="UTF-8", maxColumns=max(20480, width))
-    columns = [F.col(f"_c{i}") for i in range(width)]
-    last = F.greatest(*[F.when(columns[i].isNotNull(), F.lit(i + 1)).otherwise(0) for i in range(width)])
-    own = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("__at"), F.slice(F.array(*columns), 1, F.greatest(last, F.lit(1))).alias("cells"), last.alias("__n")).filter("__n > 0")
-    # A multi-line file is read by one task in order, so a window over the file adds no wider exchange than that.
-    row = F.row_number().over(Window.partitionBy("file").orderBy("__at"))
-    bare = lambda cells: F.transform(cells, lambda c: F.regexp_replace(c, "^﻿", ""))
-    return own.select("file", F.lit("CSV").alias("sheet"), row.cast("int").alias("row_index"), bare(F.col("cells")).alias("cells"))
-
-
 def _column(ref: str) -> int:
     n = 0
     for c in re.match("[A-Z]+", ref)[0]:
