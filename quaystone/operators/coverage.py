@@ -134,14 +134,6 @@ def structure_profile(df: DataFrame, columns: list[str], by: str) -> DataFrame:
     )
 
 
-def template(profile: DataFrame, by: str) -> DataFrame:
-    """Which kind of file each group looks like, by the columns it fills (rules in order)."""
-    share = lambda c: F.coalesce(F.max(F.when(F.col("column") == c, F.col("presence"))), F.lit(0.0))
-    return profile.groupBy(by).agg(
-        F.when(share("on_hand") > 0.5, "inventory").when((share("price") > 0.5) & (share("gp_rate") > 0.5), "sales_margin").when(share("req_qty") > 0.4, "rfq").when(share("supplier") > 0.5, "supplier_offer").otherwise("generic").alias("template")
-    )
-
-
 def newest_uploads(uploads: DataFrame, n: int) -> DataFrame:
     """The ``n`` uploads that a view starts from, newest first."""
     return uploads.orderBy(F.desc_nulls_last("created_at"), "id").limit(n)

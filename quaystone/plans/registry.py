@@ -16,6 +16,7 @@ from ..operators import coverage as C
 from ..operators import filters as P
 from ..operators import finder as X
 from ..operators import parts as M
+from ..operators import structure as K
 from ..operators import traffic as T
 from ..operators import windows as D
 from ..sources import trade as R
@@ -451,13 +452,44 @@ add(
     PROFILE + """select category, "column", count(*) as rows, count(v) as filled, count(distinct v) as distinct_values, case when count(v) = 0 then 'empty' when count(*) filter (try_cast(v as double) is not null) = count(v) then 'number' else 'text' end as kind, round(count(v) / count(*), 4) as presence from e group by all""",
     "records",
 )
+# Worked out by hand: the columns of each category's bags (see the mapping of ``bags``), their fields and what follows.
+COLUMNS = """select * from (values
+    ('Generic', 'Mfg', 'mfg', 'fabricante', 'text', 'fabricante o marca', 1), ('Generic', 'Mfg Partno', 'mfg_partno', 'fabricante', 'text', 'fabricante o marca', 1), ('Generic', 'STOCK QTY', 'stock_qty', 'cantidad', 'number', 'cantidad', 1), ('Generic', 'Vendor', 'vendor', 'proveedor', 'text', 'proveedor', 1),
+    ('RFQ', 'Cliente', 'cliente', 'cliente', 'text', 'cliente', 1), ('RFQ', 'Part Number', 'part_number', 'mpn', 'text', 'numero de parte o MPN', 1), ('RFQ', 'REQUIRED QTY', 'required_qty', 'cantidad', 'number', 'cantidad', 2), ('RFQ', 'required_date', 'required_date', 'fecha', 'date', 'fecha', 1),
+    ('Logistics', 'BPName', 'bpname', 'mpn', 'text', 'numero de parte o MPN', 1), ('Logistics', 'Item', 'item', null, 'unknown', 'columna Item', 1), ('Logistics', 'RCPT Qty', 'rcpt_qty', 'cantidad', 'number', 'cantidad', 1), ('Logistics', 'estado', 'estado', 'estado', 'status', 'estado del registro', 1),
+    ('Supplier Offers', 'Approved', 'approved', null, 'unknown', 'columna Approved', 1), ('Supplier Offers', 'Available Qty', 'available_qty', 'cantidad', 'number', 'cantidad', 1), ('Supplier Offers', 'Excess Qty', 'excess_qty', 'cantidad', 'number', 'cantidad', 1), ('Supplier Offers', 'MPN', 'mpn', 'mpn', 'text', 'numero de parte o MPN', 1),
+    ('Sales Margin', 'Description', 'description', null, 'unknown', 'columna Description', 1)) as c(category, name, normalized_name, field, type, meaning, times)"""
+BY_CATEGORY = "case detected_category when 'RFQ' then 'cotizacion' when 'Logistics' then (case when n > 0 then 'cotizacion/logistica' else 'general' end) else 'general' end"
+CHOSEN = lambda s, d: R.uploads(s, d).select(F.col("id").alias("upload_batch_id"), "detected_category", F.lit(None).cast("string").alias("selected_category"))
+TEMPLATES = lambda s, d: K.templates(K.column_profile(R.bags(s, d)), CHOSEN(s, d))
+add(
+    "o_column_profile",
+    lambda s, d: K.column_profile(R.bags(s, d)),
+    f"select upload_batch_id, 'raw_data' as source, name, normalized_name, field, type, meaning, n * times as occurrences, 1.0::double as presence from (select upload_batch_id, category, count(*) as n from active group by all) join ({COLUMNS}) using (category)",
+    "records",
+)
 add(
     "o_templates",
-    lambda s, d: C.template(C.structure_profile(R.active_records(s, d), PROFILED, "upload_batch_id"), "upload_batch_id"),
-    """with p as (select upload_batch_id, round(count(on_hand) / count(*), 4) as o, round(count(price) / count(*), 4) as p, round(count(gp_rate) / count(*), 4) as g, round(count(req_qty) / count(*), 4) as r, round(count(supplier) / count(*), 4) as s from active group by 1)
-    select upload_batch_id, case when o > 0.5 then 'inventory' when p > 0.5 and g > 0.5 then 'sales_margin' when r > 0.4 then 'rfq' when s > 0.5 then 'supplier_offer' else 'generic' end as template from p""",
-    "records",
+    lambda s, d: TEMPLATES(s, d).withColumn("mappings", F.array_join(F.transform(F.map_entries("mappings"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")),
+    f"""with u as (select u.id as upload_batch_id, detected_category, count(a.id) as n from uploads u left join active a on a.upload_batch_id = u.id group by all)
+    select upload_batch_id, case when n = 0 then 0 when detected_category = 'Sales Margin' then 1 else 4 end as column_count, {BY_CATEGORY} as detected_template,
+      case when n = 0 then '' when detected_category = 'Generic' then 'cantidad=STOCK QTY;fabricante=Mfg;proveedor=Vendor' when detected_category = 'RFQ' then 'cantidad=REQUIRED QTY;cliente=Cliente;fecha=required_date;mpn=Part Number' when detected_category = 'Logistics' then 'cantidad=RCPT Qty;estado=estado;mpn=BPName' when detected_category = 'Supplier Offers' then 'cantidad=Available Qty;mpn=MPN' else '' end as mappings,
+      case when n = 0 then 0.35 when detected_category in ('Generic', 'Logistics') then 0.71 when detected_category = 'RFQ' then 0.78 when detected_category = 'Supplier Offers' then 0.64 else 0.5 end::double as confidence from u""",
+    "records", "uploads",
+)
+HEADERS = ["MFG;Part Number;Stock;Unit Cost", "Global Customer Name;MPN", "PriceBook;LeadTime", "Price;Qty", "Plant;Part", "Quotation No", "Sales Order", "Inventory list", "Foo;Bar"]
+HEADED = "select c_custkey as upload_batch_id, " + "case c_custkey % 9 " + " ".join(f"when {i} then '{h}'" for i, h in enumerate(HEADERS)) + " end as heads, c_custkey % 5 as total_rows from customer"
+add(
+    "o_templates_by_headers",
+    lambda s, d: K.templates(K.column_profile(R.bags(s, d).filter("1 = 0"), R.frame(s, d, HEADED).select("upload_batch_id", F.split("heads", ";").alias("headers"), "total_rows")), CHOSEN(s, d).withColumn("detected_category", F.lit(None).cast("string"))).select("upload_batch_id", "detected_template", "column_count"),
+    "select c_custkey as upload_batch_id, ['inventario', 'cotizacion/logistica', 'pricing/logistica', 'pricing', 'logistica', 'cotizacion', 'compras/ventas', 'inventario', 'general'][c_custkey % 9 + 1] as detected_template, [4, 2, 2, 2, 2, 1, 1, 1, 2][c_custkey % 9 + 1] as column_count from customer",
 )
+add(
+    "c_templates_detected",
+    lambda s, d: B.template_of(R.active_records(s, d), R.uploads(s, d), TEMPLATES(s, d)).groupBy("template").agg(F.count("*").alias("n")),
+    "select case detected_category when 'RFQ' then 'cotizacion' when 'Logistics' then 'cotizacion/logistica' else 'general' end as template, count(*) as n from active a join uploads u on u.id = a.upload_batch_id group by 1",
+    "records", "uploads",
+)
 
 # ---- two-file finder
 
