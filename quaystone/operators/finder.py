@@ -147,3 +147,38 @@ def filter_results(results: DataFrame, text: str = "", maker: str = "", context:
 def without_old_units(results: DataFrame, version: str, current: str) -> DataFrame:
     """Results of an earlier version don't show units: it didn't read them safely."""
     return results if version == current else results.withColumn("unit", F.lit(None).cast("string"))
+
+
+#: Columns of an export, in order.
+EXPORT = (
+    "Type", "MPN", "Exact MPN match", "Usable availability", "Exact quantity", "Manufacturer", "Customer", "Required", "Available", "Allocated", "Shortage", "Coverage", "Required date", "Unit",
+    "Demand source", "Supply source", "Reason", "Action", "Warnings",
+)
+#: Why a result is of its kind, but for those in review.
+REASONS = {
+    "full_sale": "full_coverage", "partial_sale": "partial_coverage", "sourcing_needed": "no_available_supply", "excess_resale": "excess_covers_demand", "supplier_offer_match": "supplier_offer_available",
+    "supply_without_demand": "supply_has_no_demand", "historical_signal": "historical_match_only",
+}
+
+
+def reason(results: DataFrame) -> Column:
+    """The code of why each of ``match``'s results is what it is."""
+    told = F.when(F.array_contains("warnings", "manufacturer_conflict"), "manufacturer_conflict").when(F.array_contains("warnings", "incompatible_unit"), "incompatible_unit").otherwise("invalid_quantity")
+    return F.when(F.col("kind") == "review_required", told).otherwise(F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])[F.col("kind")])
+
+
+def export_rows(results: DataFrame, demand_source: str, supply_source: str, labels: dict[str, str] | None = None) -> DataFrame:
+    """Results as people read them, in the nineteen columns of ``EXPORT``.
+
+    ``labels`` names codes (and yes and no) in another language; a code without a label is its own words.
+    """
+    table = F.create_map(*[F.lit(x) for kv in (labels or {}).items() for x in kv]).cast("map<string,string>")
+    words = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.replace(F.substring(c, 2, 99), F.lit("_"), F.lit(" ")))
+    label = lambda c: F.coalesce(F.try_element_at(table, c), words(c))
+    yes = lambda c: label(F.when(F.col(c), "yes").otherwise("no"))
+    columns = [
+        label(F.col("kind")), F.col("part"), yes("exact_part"), yes("usable"), yes("exact_quantity"), F.coalesce("maker", F.lit("")), F.coalesce("customer", F.lit("")), F.col("required"), F.col("supply"), F.col("allocated"), F.col("shortage"),
+        F.col("coverage"), F.coalesce("date", F.lit("")), F.coalesce("unit", F.lit("")), F.lit(demand_source), F.when(F.col("exact_part"), supply_source).otherwise(""), label(reason(results)), label(F.col("action")),
+        F.array_join(F.transform("warnings", label), "; "),
+    ]
+    return results.select(*[c.alias(n) for c, n in zip(columns, EXPORT)])

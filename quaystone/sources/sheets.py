@@ -12,7 +12,6 @@ import io
 import json
 import re
 import zipfile
-from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import layout
 from .csvsplits import read_csv as read_csv
+from .workbooks import shared_strings, sheet_rows, sheets_of
 
 HEAD_ROWS = 30
 #: Cells that a spreadsheet shows where a formula failed (fixed values).
@@ -30,49 +30,18 @@ FORMULA_ERRORS = ("#REF!", "#VALUE!", "#DIV/0!", "#NAME?", "#N/A", "#NUM!", "#NU
 CELLS = "file string, sheet string, row_index int, cells array<string>"
 
 
-def _column(ref: str) -> int:
-    n = 0
-    for c in re.match("[A-Z]+", ref)[0]:
-        n = 26 * n + ord(c) - 64
-    return n - 1
-
-
 def xlsx_rows(content: bytes):
-    """(sheet, row number, cells) of a workbook; formulas give what they were last computed to."""
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    """(sheet, row number, cells) of a workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        strings = []
-        if "xl/sharedStrings.xml" in names:
-            for _, e in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
-                if e.tag == ns + "si":
-                    strings.append("".join(t.text or "" for t in e.iter(ns + "t")))
-                    e.clear()
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in book.iter(ns + "sheet"):
-            target = links[sheet.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")].lstrip("/")
-            for _, e in ElementTree.iterparse(z.open(target if target.startswith("xl/") else f"xl/{target}")):
-                if e.tag != ns + "row":
-                    continue
-                cells: list[str | None] = []
-                for i, c in enumerate(e.iter(ns + "c")):
-                    at = _column(c.get("r")) if c.get("r") else i
-                    cells += [None] * (at + 1 - len(cells))
-                    v = c.find(ns + "v")
-                    if c.get("t") == "s" and v is not None:
-                        cells[at] = strings[int(v.text)]
-                    elif c.get("t") == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(ns + "t"))
-                    elif v is not None:
-                        cells[at] = {"1": "TRUE", "0": "FALSE"}.get(v.text) if c.get("t") == "b" else v.text
-                if any(c and c.strip() for c in cells):
-                    yield sheet.get("name"), int(e.get("r") or 0), cells
-                e.clear()
+        strings = shared_strings(z)
+        for name, part in sheets_of(z):
+            with z.open(part) as f:
+                for number, cells in sheet_rows(f, strings):
+                    yield name, number, cells
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of workbooks: (file, sheet, row_index, cells)."""
+    """Rows of workbooks: (file, sheet, row_index, cells), each read through Spark by one task (``workbooks`` has a task a sheet)."""
 
     def run(frames):
         for pdf in frames:
@@ -88,12 +57,17 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, CELLS)
 
 
-def valid_signature(head: bytes, name: str) -> bool:
-    """Whether a file's bytes fit its name: a zip without macros for xlsx, no NUL at the beginning of a csv."""
+def valid_signature(content: bytes, name: str) -> bool:
+    """Whether a file's bytes fit its name: a zip with a workbook and without macros for xlsx, no NUL at the beginning of a csv."""
     name = name.lower()
     if name.endswith(".xlsx"):
-        return head[:2] == b"PK" and b"vbaProject.bin" not in head
-    return name.endswith(".csv") and b"\0" not in head[:8192]
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                entries = [e.lower() for e in z.namelist()]
+        except zipfile.BadZipFile:
+            return False
+        return content[:2] == b"PK" and "xl/workbook.xml" in entries and not any(e.endswith("vbaproject.bin") for e in entries)
+    return name.endswith(".csv") and b"\0" not in content[:8192]
 
 
 def valid_upload(name: str, mime: str, size: int, most: int = 64 << 20) -> list[str]:
