@@ -166,10 +166,10 @@ add(
 SHEET_ROWS = """select concat('planned demand ', cast(l_suppkey % 3 as string), '.csv') as file, case when l_linenumber % 2 = 0 then 'Requirements' else 'Other' end as sheet, l_orderkey * 8 + l_linenumber as row_index,
   case when l_orderkey < 20000 then concat(' X-', cast(l_partkey as string), ';', case when l_linenumber = 3 then concat('(', cast(cast(l_quantity as bigint) as string), ')') when l_linenumber = 5 then 'n/a' else concat('1,', lpad(cast(cast(l_quantity as bigint) as string), 3, '0')) end, ';', case when l_partkey % 4 <> 0 then 'St  Micro' else '' end, ';ea;2024-01-0', cast(l_linenumber as string))
   else concat('Acme;', cast(cast(l_quantity as bigint) as string), ';y', cast(l_partkey as string)) end as line from lineitem"""
-HEADS = " union all ".join(
-    f"select distinct file, sheet, {at} as row_index, '{line}' as line from ({SHEET_ROWS}) t" for at, line in ((0, "Part Cost (unit);Notes"), (1, "Mfg Part No;Required Qty;MFG;Unit;Required Date"), (160000, "Customer;Open QTY;MPN"))
+HEADS = ", ".join(
+    f"('planned demand {k}.csv', '{sheet}', {at}, '{line}')" for k in range(3) for sheet in ("Requirements", "Other") for at, line in ((0, "Part Cost (unit);Notes"), (1, "Mfg Part No;Required Qty;MFG;Unit;Required Date"), (160000, "Customer;Open QTY;MPN"))
 )
-SHEETS = f"select file, sheet, cast(row_index as int) as row_index, line from ({SHEET_ROWS}) r where row_index <> 160000 union all {HEADS}"
+SHEETS = f"select file, sheet, cast(row_index as int) as row_index, line from ({SHEET_ROWS}) r where row_index <> 160000 union all select * from (values {HEADS}) h(file, sheet, row_index, line)"
 CELLS = lambda s, d: R.frame(s, d, SHEETS).select("file", "sheet", "row_index", F.split("line", ";").alias("cells"))
 PARSED = f"""with r as ({SHEET_ROWS}), k as (select file, sheet, cast(row_index as int) as source_row, split(line, ';') as c, row_index < 160000 as early from r where row_index <> 160000 and row_index > 1),
     p as (select file, sheet, source_row, case when early then trim(c[1]) else c[3] end as display, case when early then nullif(trim(regexp_replace(c[3], '\\s+', ' ', 'g')), '') end as maker, case when early then c[2] else 'Acme' end as customer, cast(null as varchar) as supplier,

@@ -126,6 +126,14 @@ def compatibility(one: str | None, two: str | None) -> tuple[str, str | None]:
 
 
 _LIKELY = "|".join(MPN)
+#: Letters that every part-number column's name has, whatever signs are between them, or letters beyond ASCII, which may become these.
+_MAYBE = r"(?i)m[^a-z0-9]*(p[^a-z0-9]*n|f[^a-z0-9]*[rg]|a[^a-z0-9]*n[^a-z0-9]*u)|[^\x00-\x7F]"
+
+
+def _likely(cells: str) -> Column:
+    """Whether a row holds a word of a part-number column; only rows with its letters are brought to plain form for that."""
+    text = F.concat_ws(" ", cells)
+    return text.rlike(_MAYBE) & F.regexp_replace(normalize_header(text), r"\bno\b", "number").rlike(_LIKELY)
 
 
 def headers(cells: DataFrame, role: str) -> DataFrame:
@@ -141,7 +149,7 @@ def headers(cells: DataFrame, role: str) -> DataFrame:
             found.append({"score": score, **columns} if columns else None)
         return pa.array(found, pa.struct([("score", pa.int32()), *[(c, pa.int32()) for c in COLUMNS]]))
 
-    likely = cells.filter(F.regexp_replace(normalize_header(F.concat_ws(" ", "cells")), r"\bno\b", "number").rlike(_LIKELY))
+    likely = cells.filter(_likely("cells"))
     out = likely.select("file", "sheet", "row_index", read("cells").alias("columns")).filter("columns is not null")
     return out.withColumn("until", F.lead("row_index").over(Window.partitionBy("file", "sheet").orderBy("row_index")))
 
