@@ -45,11 +45,19 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never part of the main text.
 ASIDE = frozenset("nav footer aside form button menu dialog fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+#: Those of them that may stand round a whole page: what they hold is the text if there is hardly any other.
+SOFT, SOFT_ROLES = frozenset("form fieldset dialog".split()), frozenset("form search dialog alertdialog".split())
 #: Words of class and id names that tell such parts.
 _ASIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|toolbar|widget|site-header|page-header|topbar|toc|tags)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Words that only say what shape such a part has; beside others, a name is of a topic (``related-work``, ``notice-period``).
+_SHAPES = re.compile(
+    r"(?:^|[\s_-])(?:area|articles?|bar|block|body|bottom|box|buttons?|cards?|center|col|column|container|content|footer|form|group|header|heading|holder|icons?|inner|items?|left|links?|list|main|module|outer|page|panel|posts?|reader|right|row|section|site|slot|stor(?:y|ies)|title|top|unit|user|wrap|wrapper|\d+)(?=$|[\s_-])",
+    re.IGNORECASE,
+)
+_READERS = re.compile("comment|disqus|repl(?:y|ies)|respond", re.IGNORECASE)
 _MAIN_NAMES = re.compile(r"article|body|content|entry|main|post|story|text", re.IGNORECASE)
 _ENDS_P = BLOCKS - {"body", "html"}
 #: An open element of the first kind ends where one of the second begins.
@@ -64,16 +72,16 @@ LITTLE = 140
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "points", "letters", "linked", "aside", "named")
+    __slots__ = ("tag", "names", "parent", "children", "points", "letters", "linked", "aside", "named", "soft")
 
     def __init__(self, tag: str, names: str, parent: Node | None, aside: bool):
-        self.tag, self.names, self.parent, self.aside, self.named = tag, names, parent, aside, False
+        self.tag, self.names, self.parent, self.aside, self.named, self.soft = tag, names, parent, aside, False, False
         self.children: list[Node | str] = []
         self.points, self.letters, self.linked = 0.0, 0, 0
 
 
-def _is_aside(tag: str, attributes: str, in_main: bool) -> tuple[bool, str, bool]:
-    """Whether an element is set aside for certain, its names, and whether it is set aside by them."""
+def _is_aside(tag: str, attributes: str, in_main: bool) -> tuple[bool, str, bool, bool]:
+    """Whether an element is set aside by what it is, its names, whether it is set aside by them, and whether it may be round a whole page."""
     names, hidden, role = "", False, ""
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
@@ -85,10 +93,17 @@ def _is_aside(tag: str, attributes: str, in_main: bool) -> tuple[bool, str, bool
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 hidden = True
     if tag in ASIDE or hidden or role in ROLES:
-        return True, names, False
+        return True, names, False, tag in SOFT or (hidden or role in SOFT_ROLES) and tag not in ASIDE
     if tag == "header" and not in_main:
-        return True, names, False
-    return False, names, bool(names and tag not in ("html", "body", "article", "main") and _ASIDE_NAMES.search(names))
+        return True, names, False, False
+    return False, names, bool(names and tag not in ("html", "body", "article", "main") and _ASIDE_NAMES.search(names)), False
+
+
+def _of_topic(names: str) -> bool:
+    """Whether each name that sets an element aside has another word in it that tells a topic."""
+    told = [n for n in names.split() if _ASIDE_NAMES.search(n)]
+    rest = (_SHAPES.sub(" ", _ASIDE_NAMES.sub("-", _ASIDE_NAMES.sub("-", n))) for n in told)
+    return bool(told) and not _READERS.search(names) and all(re.search("[A-Za-z]{3}", r) for r in rest)
 
 
 def _marks(page: str):
@@ -172,9 +187,9 @@ def tree(page: str) -> Node:
         if tag in HEADINGS and now.path[-1].tag in HEADINGS:
             now.cut(len(now.path) - 1)
         here = now.path[-1]
-        aside, names, named = _is_aside(tag, attributes, bool(now.depths.get("article") or now.depths.get("main")))
+        aside, names, named, soft = _is_aside(tag, attributes, bool(now.depths.get("article") or now.depths.get("main")))
         node = Node(tag, names, here, aside or named)
-        node.named = named
+        node.named, node.soft = named, soft
         here.children.append(node)
         if tag not in VOID and not empty or tag in BLOCKS and empty:
             now.push(node)
@@ -264,42 +279,53 @@ def _links(node: Node) -> float:
     return node.linked / node.letters if node.letters else 0.0
 
 
-def _held(top: Node) -> tuple[int, bool]:
-    """The unlinked letters of an element, and whether it holds the page's heading or main part."""
-    letters, heading, stack = 0, False, [top]
+def _held(top: Node) -> tuple[int, bool, int, int]:
+    """An element's unlinked letters, whether it holds the page's heading or main part, its linked letters, and the unlinked ones of long texts."""
+    letters, heading, linked, prose, stack = 0, top.tag in ("main", "article"), 0, 0, [(top, False)]
     while stack:
-        for c in stack.pop().children:
+        node, inside = stack.pop()
+        for c in node.children:
             if isinstance(c, str):
-                letters += len(_SPACE.sub(" ", c).strip())
-            elif not c.aside and c.tag != "a":
-                heading = heading or c.tag in ("h1", "main")
-                stack.append(c)
-    return letters, heading
+                n = len(_SPACE.sub(" ", c).strip())
+                linked += n * inside
+                letters += n * (not inside)
+                prose += n * (not inside and n >= 40)
+            elif not c.aside:
+                heading = heading or c.tag in ("h1", "main", "article")
+                stack.append((c, inside or c.tag == "a"))
+    return letters, heading, linked, prose
 
 
-def _named(root: Node) -> list[Node]:
-    """The elements that are set aside by their names, without those inside others."""
+def _set_aside(root: Node) -> list[Node]:
+    """The elements that are set aside by their names or may be round a whole page, without those inside others."""
     out, stack = [], [root]
     while stack:
         for c in stack.pop().children:
             if isinstance(c, Node):
                 if c.aside:
-                    out += [c] * c.named
+                    out += [c] * (c.named or c.soft)
                 else:
                     stack.append(c)
     return out
 
 
 def _measured(root: Node) -> list[Node]:
-    """Measure a page, taking back what was set aside by name though it holds the page's text."""
+    """Measure a page, taking back what was set aside though it holds the page's text, or unlinked prose under a name of a topic."""
     while True:
         order = _measure(root)
         left = root.letters - root.linked
-        found = [(*_held(n), n) for n in _named(root)]
-        held, heading, node = max(found, key=lambda x: x[:2], default=(0, False, root))
-        if not (held > left and heading or left < LITTLE and held > 4 * left):
+        back = []
+        for n in _set_aside(root):
+            held, heading, linked, prose = _held(n)
+            if held > left and heading or left < LITTLE and held > 4 * left or n.tag == "form" and prose > left:
+                back.append((2, held, n))
+            elif n.named and prose >= 80 and linked < 0.25 * held and _of_topic(n.names):
+                back.append((1, held, n))
+        if not back:
             return order
-        node.aside = False
+        most = max(back, key=lambda x: x[:2])
+        for kind, _, n in back:  # of those that hold the page's text one at a time
+            n.aside = n.aside and kind == 2 and n is not most[2]
         for n in order:
             n.points, n.letters, n.linked = 0.0, 0, 0
 
@@ -361,6 +387,12 @@ def main_text(page: str | None) -> str:
         if up.parent is None or 2 * (here.letters - here.linked) < up.letters - up.linked:
             break
         here = up
+    if best.tag == "article" and best.parent is not None:  # others beside it that are as much of an article
+        own = best.letters - best.linked
+        full = [c for c in best.parent.children if isinstance(c, Node) and c.tag == "article" and not c.aside and c is not best and _links(c) < 0.25 and c.letters - c.linked >= max(250, own / 4)]
+        at = {id(c): i for i, c in enumerate(best.parent.children)}
+        before = [[c] for c in full if at[id(c)] < at[id(best)]] + before
+        after += [[c] for c in full if at[id(c)] > at[id(best)]]
     out: list[str] = []
     for part in [*before, [best], *after]:
         _read(part, out)

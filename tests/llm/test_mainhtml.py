@@ -102,3 +102,52 @@ def test_a_megabyte_of_broken_markup_takes_seconds(piece):
     began = time.perf_counter()
     mainhtml.main_text(f"<article><p>{PROSE}</p>" + piece * (1_000_000 // len(piece)) + "</span>" * 1000)
     assert time.perf_counter() - began < 20
+
+
+def _p(i):
+    return f"<p>Paragraph number {i} says something of some length, with commas, and goes on for a while so that it counts as prose.</p>"
+
+
+ARTICLE = "<h1>Heading</h1>" + "".join(map(_p, range(4)))
+BOX = "<div class=x><p>A small box beside it all that holds more than one hundred and forty letters in sum, which is no part of any main text and is rather dull.</p></div>"
+WHOLE = {
+    "form round the body": f"<form id=f><input name=q><label>Search</label><div class=content>{ARTICLE}</div></form>",
+    "form round an article": f"<nav><a href=x>Home</a></nav><form><article>{ARTICLE}</article></form><footer>foot</footer>",
+    "form that never ends": f"<form class=search action=/s><input>{ARTICLE}",
+    "form and a box": f"{BOX}<form><div class=content>{ARTICLE}</div></form>",
+    "fieldset": f"<fieldset><legend>x</legend><article>{ARTICLE}</article></fieldset>",
+    "dialog": f"<div role=dialog><article>{ARTICLE}</article></div>",
+    "shown by script": f"<div style='display:none'><article>{ARTICLE}</article></div>",
+    "section of related work": f"<article>{_p(0)}<section class=related-work>{_p(1)}{_p(2)}</section>{_p(3)}</article>",
+    "notice period": f"<article>{_p(0)}<div class='notice-period'>{_p(1)}{_p(2)}</div>{_p(3)}</article>",
+    "social impact": f"<article>{_p(0)}<section id=social-impact>{_p(1)}{_p(2)}</section>{_p(3)}</article>",
+    "two articles": f"<article>{_p(0)}{_p(1)}{_p(0)}</article><article>{_p(2)}{_p(3)}{_p(2)}</article>",
+}
+PART = {
+    "readers": f"<article>{_p(0)}{_p(1)}</article><section class=reader-comments>{_p(2)}</section>",
+    "comments inside": f"<article>{_p(0)}{_p(1)}<div class=comment-list>{_p(2)}</div></article>",
+    "comments as articles": f"<article>{_p(0)}{_p(1)}</article><article id=div-comment-7 class=comment-body>{_p(2)}{_p(3)}{_p(2)}</article>",
+    "cookies": f"<div class=cookie-notice>{_p(2)}</div><article>{_p(0)}{_p(1)}</article>",
+    "newsletter": f"<article>{_p(0)}{_p(1)}<div class=newsletter-signup-box>{_p(2)}</div></article>",
+    "other posts": f"<article>{_p(0)}{_p(1)}<div class=related-posts><a href=x>{_p(2)}</a></div></article>",
+    "links of a topic": f"<article>{_p(0)}{_p(1)}<div class=related-reading><ul><li><a href=x>{_p(2)}</a></li></ul></div></article>",
+    "form beside": f"<article>{_p(0)}{_p(1)}</article><form>{_p(2)}</form>",
+    "dialog beside": f"<article>{_p(0)}{_p(1)}</article><div role=dialog>{_p(2)}</div>",
+    "adverts": f"<article>{_p(0)}{_p(1)}<div class=ad-slot-2>{_p(2)}</div></article>",
+    "teasers": f"<article>{_p(0)}{_p(1)}</article><article class=card><a href=x>{_p(2)}</a></article><article class=card>Short one.</article>",
+}
+
+
+def _seen(html):
+    text = mainhtml.main_text(f"<html><body>{html}</body></html>")
+    return [i for i in range(4) if f"number {i} " in text]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_nothing_of_an_article_is_lost(name):
+    assert _seen(WHOLE[name]) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("name", PART)
+def test_what_is_beside_stays_out(name):
+    assert _seen(PART[name]) == [0, 1]
