@@ -317,7 +317,7 @@ def _measured(root: Node) -> list[Node]:
         back = []
         for n in _set_aside(root):
             held, heading, linked, prose = _held(n)
-            if held > left and heading or left < LITTLE and held > 4 * left or n.tag == "form" and prose > left:
+            if held > left and heading or left < LITTLE and held > 4 * left or n.tag == "form" and prose > 2 * left:
                 back.append((2, held, n))
             elif n.named and prose >= 80 and linked < 0.25 * held and _of_topic(n.names):
                 back.append((1, held, n))
