@@ -99,8 +99,10 @@ def redact_diagnostic(c: Column) -> Column:
 
 
 def mask_email(c: Column) -> Column:
-    """First letter and domain of an address."""
-    return F.when(c.contains("@"), F.concat(F.substring(c, 1, 1), F.lit("***@"), F.substring_index(c, "@", -1)))
+    """The first two letters and the domain of an address; what is none stays."""
+    parts = F.split(c, "@", 3)
+    name, domain = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    return F.when((name != "") & (F.coalesce(domain, F.lit("")) != ""), F.concat(F.substring(name, 1, 2), F.lit("***@"), domain)).otherwise(c)
 
 
 def contains_text(c: Column, text: str) -> Column:

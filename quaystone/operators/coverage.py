@@ -5,7 +5,7 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import contains_text, normalize_mpn
@@ -48,18 +48,18 @@ def coverage_filter(cov: DataFrame, text: str = "", statuses: list[str] | None =
     return out
 
 
-def opportunity_groups(signals: DataFrame) -> DataFrame:
-    """The signals of every record (``bags.signals``) summed by part number.
+def opportunity_groups(signals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The signals of every record (``bags.signals``) summed by part number, within the columns ``by``.
 
     Names are the newest record's that has one.  Flags: missing customer,
     missing supplier or manufacturer, approved, received, several manufacturers.
     """
     zero = F.lit(0.0)
     named = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c)
-    each = signals.groupBy("part", "upload_batch_id").agg(
+    each = signals.groupBy(*by, "part", "upload_batch_id").agg(
         *[F.sum(c).alias(c) for c in ("demand", "stock", "excess")], *[F.max(c).alias(c) for c in ("approved", "received", "no_customer", "no_party")], *[named(c) for c in ("customer", "supplier", "maker")], F.min("maker").alias("least"), F.max("maker").alias("most"),
     )
-    g = each.groupBy("part").agg(
+    g = each.groupBy(*by, "part").agg(
         *[F.coalesce(F.sum(c), zero).alias(c) for c in ("demand", "stock", "excess")], *[F.max(c).alias(c) for c in ("approved", "received", "no_customer", "no_party")], *[F.max(c)[c].alias(c) for c in ("customer", "supplier", "maker")],
         F.coalesce(F.min("least") < F.max("most"), F.lit(False)).alias("mixed_makers"), F.count("*").alias("sources"),
     )
@@ -67,9 +67,9 @@ def opportunity_groups(signals: DataFrame) -> DataFrame:
     return g.withColumn("flags", flags)
 
 
-def opportunities(signals: DataFrame) -> DataFrame:
-    """One row for each kind of opportunity of each part, scored and labelled."""
-    g = opportunity_groups(signals)
+def opportunities(signals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each kind of opportunity of each part (within the columns ``by``), scored and labelled."""
+    g = opportunity_groups(signals, by)
     d, s, e = F.col("demand"), F.col("stock"), F.col("excess")
     kinds = F.array(
         F.when((d > 0) & (s >= d), "immediate_sale").when((d > 0) & (s > 0), "partial_sale").when((d > 0) & (e <= 0), "sourcing_needed"),
@@ -86,16 +86,20 @@ def opportunities(signals: DataFrame) -> DataFrame:
     )
     out = out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score)))
     label = F.when(F.col("score") >= 75, "high").when(F.col("score") >= 50, "medium").otherwise("low")
-    return out.select("part", "kind", F.nullif("demand", F.lit(0.0)).alias("demand"), F.nullif("stock", F.lit(0.0)).alias("stock"), F.nullif("excess", F.lit(0.0)).alias("excess"), "shortage", "customer", "supplier", "maker", "mixed_makers", "sources", "flags", "score", label.alias("confidence"))
+    return out.select(*by, "part", "kind", F.nullif("demand", F.lit(0.0)).alias("demand"), F.nullif("stock", F.lit(0.0)).alias("stock"), F.nullif("excess", F.lit(0.0)).alias("excess"), "shortage", "customer", "supplier", "maker", "mixed_makers", "sources", "flags", "score", label.alias("confidence"))
 
 
 def opportunity_totals(opp: DataFrame) -> DataFrame:
     return opp.groupBy("kind").agg(F.count("*").alias("n"), F.sum("demand").alias("demand"), F.sum("shortage").alias("shortage"), F.count_if(F.col("confidence") == "high").alias("high"))
 
 
+def top_order() -> list[Column]:
+    kind = F.array_position(F.array(*[F.lit(k) for k in ("immediate_sale", "partial_sale", "excess_resale", "sourcing_needed", "stock_without_demand")]), F.col("kind"))
+    return [kind, F.desc_nulls_last("demand"), F.desc_nulls_last("shortage"), F.col("part")]
+
+
 def top_opportunities(opp: DataFrame, n: int = 50) -> DataFrame:
-    order = F.array_position(F.array(*[F.lit(k) for k in ("immediate_sale", "partial_sale", "excess_resale", "sourcing_needed", "stock_without_demand")]), F.col("kind"))
-    return opp.orderBy(order, F.desc_nulls_last("demand"), F.desc_nulls_last("shortage"), "part").limit(n)
+    return opp.orderBy(*top_order()).limit(n)
 
 
 def opportunity_filter(opp: DataFrame, part: str = "", mpn: str = "", customer: str = "", supplier: str = "", maker: str = "", kind: str | None = None) -> DataFrame:
@@ -111,11 +115,36 @@ def opportunity_filter(opp: DataFrame, part: str = "", mpn: str = "", customer:
 
 
 def confidence_totals(opp: DataFrame, size: int | None = None) -> DataFrame:
-    """How many opportunities of each confidence; with ``size``, of the first page of that many, and whether there are more."""
-    shown = opp if size is None else top_opportunities(opp, size)
-    count = lambda label: F.count_if(F.col("confidence") == label).alias(label)
-    evaluated = shown.agg(F.count("*").alias("evaluated"), count("high"), count("medium"), count("low"))
-    return evaluated.crossJoin(opp.agg(F.count("*").alias("total"))).withColumn("truncated", F.col("total") > F.col("evaluated"))
+    """How many opportunities of each confidence; with ``size``, of the first page of that many, and whether there are more.
+
+    A page and the count of all come from one run: rows are counted as they
+    pass on their way to the page, which is all that comes to the driver.
+    """
+    if size is None:
+        count = lambda label: F.count_if(F.col("confidence") == label).alias(label)
+        return opp.agg(F.count("*").alias("evaluated"), count("high"), count("medium"), count("low"), F.count("*").alias("total")).withColumn("truncated", F.lit(False))
+    rows, total = page(opp, top_order(), size)
+    labels = [r.confidence for r in rows.collect()]
+    found = (len(labels), *[labels.count(k) for k in ("high", "medium", "low")], total, total > len(labels))
+    return opp.sparkSession.createDataFrame([found], "evaluated long, high long, medium long, low long, total long, truncated boolean")
+
+
+def page(df: DataFrame, order: list[Column], size: int, offset: int = 0) -> tuple[DataFrame, int]:
+    """Rows ``offset`` to ``offset + size`` of an order and the number of all, in one run over ``df``."""
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(offset + size).toArrow()
+    return df.sparkSession.createDataFrame(rows.slice(offset)) if len(rows) > offset else df.sparkSession.createDataFrame([], df.schema), seen.get["n"]
+
+
+def client_opportunities(signals: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Per client account: opportunities, those of high confidence, and their parts, over the uploads that ``assignments`` (client, upload_batch_id) gives it.
+
+    An upload may be several clients'; parts are summed by client in the same
+    two steps as without, so a large client is no single group before that.
+    """
+    own = signals.join(assignments.select("client", "upload_batch_id").distinct(), "upload_batch_id")
+    found = opportunities(own, ("client",))
+    return found.groupBy("client").agg(F.count("*").alias("opportunities"), F.count_if(F.col("confidence") == "high").alias("high_confidence"), F.countDistinct("part").alias("parts"))
 
 
 def account_clients(opp_sources: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -69,6 +69,15 @@ def retained(logs: DataFrame, cutoff: str, always: list[str]) -> DataFrame:
     return logs.filter((F.col("created_at") >= F.lit(cutoff).cast("timestamp")) | F.col("action").isin(always))
 
 
+#: How long the finder keeps its jobs and their files.
+FINDER_JOBS, FINDER_FILES = "14 days", "72 hours"
+
+
+def expired(df: DataFrame, kept: str, now: str) -> DataFrame:
+    """Rows that were made so long before ``now`` that they go."""
+    return df.filter(F.col("created_at") + F.expr(f"interval {kept}") <= F.lit(now).cast("timestamp"))
+
+
 def alerts(events: DataFrame, rules: DataFrame) -> DataFrame:
     """(event, rule, recipient) for each rule that fires: enabled, of the event's type, its condition met.
 

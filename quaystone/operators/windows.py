@@ -33,6 +33,24 @@ def cleanup_plan(dups: DataFrame, keys: list[str]) -> DataFrame:
     return dups.groupBy(*keys).agg((n - 1).alias("removable"), F.max("keeper").alias("keeper"), F.when(n > 10, "low").when(n > 3, "medium").otherwise("high").alias("confidence"))
 
 
+def cleanup_summary(active: DataFrame, dups: DataFrame, declared: DataFrame, by: str = "upload_batch_id") -> DataFrame:
+    """Per upload: what a clean-up of exact duplicates would leave, and how safe it is.
+
+    ``dups`` are those of ``duplicates``; ``declared`` has (``by``, counters...),
+    of which the greatest is what should be left.
+    """
+    counters = [c for c in declared.columns if c != by]
+    expected = declared.select(by, F.coalesce(F.greatest(*counters) if len(counters) > 1 else F.col(counters[0]), F.lit(0)).alias("expected"))
+    d = dups.groupBy(by).agg(F.count_if(F.col("position") > 1).alias("to_archive"), F.max("copies").alias("largest"))
+    n = active.groupBy(by).agg(F.count("*").alias("active")).join(d, by, "left").join(expected, by, "left").na.fill(0, ["to_archive", "largest", "expected"])
+    left = F.col("active") - F.col("to_archive")
+    some, large, huge, off = F.col("to_archive") > 0, F.col("largest") > 3, F.col("largest") > 10, F.col("residual") != 0
+    out = n.withColumn("remaining", left).withColumn("residual", left - F.col("expected"))
+    confidence = F.when(~some, "high").when(huge, "low").when(large, "medium").otherwise("high")
+    risk = F.when(huge, "high").when(large | off, "medium").otherwise("low")
+    return out.select(by, "active", "to_archive", "largest", "expected", "remaining", "residual", off.alias("mismatch"), confidence.alias("confidence"), (some & ~huge).alias("safe"), risk.alias("risk"))
+
+
 def business_key_duplicates(df: DataFrame, id_: str = "id") -> DataFrame:
     """Rows whose customer, supplier, part, order and quantity agree (three parts at least): issues each gains.
 

@@ -75,7 +75,7 @@ add(
 add(
     "i_redact_text",
     lambda s, d: table(s, d, "customer").select("c_custkey", S.redact_diagnostic(F.concat(F.lit("row of "), "c_name", F.lit(" <a"), "c_custkey", F.lit("@mail.com> owes $1,250.50, call +1 (918) 555-0001"))).alias("safe"), S.mask_email(F.concat(F.lit("a"), "c_custkey", F.lit("@mail.com"))).alias("masked")),
-    "select c_custkey, concat('row of ', regexp_replace(regexp_replace(c_name, '\\+?\\d[\\d ()-]{7,}\\d', '[phone]', 'g'), '\\d{8,}', '[number]', 'g'), ' <[email]> owes [amount], call [phone]') as safe, 'a***@mail.com' as masked from customer",
+    "select c_custkey, concat('row of ', regexp_replace(regexp_replace(c_name, '\\+?\\d[\\d ()-]{7,}\\d', '[phone]', 'g'), '\\d{8,}', '[number]', 'g'), ' <[email]> owes [amount], call [phone]') as safe, concat('a', substr(cast(c_custkey as varchar), 1, 1), '***@mail.com') as masked from customer",
 )
 add(
     "i_issue_rollup",
@@ -491,6 +491,55 @@ add(
     "records", "uploads",
 )
 
+ASSIGNED = "select c_custkey as upload_batch_id, concat('account ', cast(c_custkey % 12 as string)) as client from customer union select c_custkey, concat('account ', cast(c_custkey % 7 as string)) from customer where c_custkey % 3 = 0"
+OPP_BY_CLIENT = OPP.replace("    g as (select part,", f"    own2 as (select sig.*, client from sig join ({ASSIGNED}) using (upload_batch_id)),\n    g as (select client, part,").replace("from sig group by part)", "from own2 group by client, part)").replace("f as (select part,", "f as (select client, part,")
+add(
+    "a_client_opportunities",
+    lambda s, d: C.client_opportunities(B.signals(R.bags(s, d)), R.frame(s, d, ASSIGNED)),
+    f"{OPP_BY_CLIENT} select client, count(*) as opportunities, count(*) filter (confidence = 'high') as high_confidence, count(distinct part) as parts from z group by client",
+    "records",
+)
+DECLARED = "select c_custkey as upload_batch_id, c_custkey % 40 as total_rows, case when c_custkey % 4 = 0 then c_custkey % 50 end as imported, case when c_custkey % 5 = 0 then null else 20 end as valid from customer"
+add(
+    "d_cleanup_summary",
+    lambda s, d: D.cleanup_summary(R.active_records(s, d), D.duplicates(R.active_records(s, d), KEYS, ORDER()), R.frame(s, d, DECLARED)),
+    f"""{DUPS}, n as (select upload_batch_id, count(*) as active, count(*) filter (copies > 1 and position > 1) as to_archive, coalesce(max(copies) filter (copies > 1), 0) as largest from g group by 1),
+    e as (select n.*, coalesce(greatest(total_rows, imported, valid), 0) as expected, active - to_archive as remaining from n left join ({DECLARED}) using (upload_batch_id)), f as (select *, remaining - expected as residual from e)
+    select *, residual <> 0 as mismatch, case when to_archive = 0 then 'high' when largest > 10 then 'low' when largest > 3 then 'medium' else 'high' end as confidence, to_archive > 0 and largest <= 10 as safe,
+      case when largest > 10 then 'high' when largest > 3 or residual <> 0 then 'medium' else 'low' end as risk from f""",
+    "records",
+)
+FORM_RECORDS = "*, concat('L', row_index) as line_id, case when row_index % 2 = 0 then 'Viet Nam' else 'Chile' end as shipping_point_country, concat_ws(' ', category, mpn, description, supplier) as searchable_text"
+FORM = {"line_id": "l2", "country": "viet", "query": "rfq small", "department": "Sales", "qty": (2.0, None), "uploaded_by": None}
+add(
+    "f_records_by_form",
+    lambda s, d: P.filter_records(s.sql(f"select {FORM_RECORDS}, department from {{r}} left join {{p}} on uploaded_by = p_id", r=R.active_records(s, d), p=R.profiles(s, d).select(F.col("id").alias("p_id"), "department")), FORM).select("id", "line_id", "qty"),
+    f"""with f as (select {FORM_RECORDS} from active) select f.id, line_id, qty from f left join profiles p on p.id = uploaded_by where lower(line_id) like '%l2%' and lower(shipping_point_country) like '%viet%'
+    and list_has_all(regexp_split_to_array(lower(searchable_text), '[^a-z0-9]+'), ['rfq', 'small']) and department = 'Sales' and coalesce(qty, req_qty) >= 2""",
+    "records", "profiles",
+)
+LOG_MORE = "*, case when action = 'error' then 'import' else 'web' end as module, concat('t', cast(id % 1000 as string)) as trace_id, cast(user_id % 10 as int) as upload_batch_id, concat('user', cast(user_id as string), '@example.com') as user_email, concat(action, ' took long') as message"
+add(
+    "f_log_explorer",
+    lambda s, d: P.filter_logs(s.sql(f"select {LOG_MORE} from {{logs}}", logs=R.logs(s, d)), module="import", upload=3, email="USER1", query="Took", until="2024-01-25").select("id", "trace_id")
+    .unionByName(P.filter_logs(s.sql(f"select {LOG_MORE} from {{logs}}", logs=R.logs(s, d)), trace="t7").select("id", "trace_id")),
+    f"""with l as (select {LOG_MORE} from logs) select id, trace_id from l where module = 'import' and upload_batch_id = 3 and user_email ilike '%user1%' and (action ilike '%took%' or message ilike '%took%') and created_at < timestamp '2024-01-25'
+    union all select id, trace_id from l where trace_id = 't7'""",
+    "logs",
+)
+add(
+    "t_finder_expired",
+    lambda s, d: T.expired(R.uploads(s, d), T.FINDER_JOBS, "1995-01-20").select("id", F.lit("job").alias("what")).unionByName(T.expired(R.uploads(s, d), T.FINDER_FILES, "1995-01-20").select("id", F.lit("files").alias("what"))),
+    "select id, 'job' as what from uploads where created_at + interval 14 days <= timestamp '1995-01-20' union all select id, 'files' from uploads where created_at + interval 72 hours <= timestamp '1995-01-20'",
+    "uploads",
+)
+add(
+    "f_sanitized_logs",
+    lambda s, d: P.sanitize(s.sql("select event_id, struct(event_type as action, map('api_key', 'k', 'user', concat('user', cast(user_id as string), '@example.com'), 'rawData', 'x', 'note', repeat('ab', 300)) as details, array(array(concat('u', cast(user_id as string), '@a.b'))) as who, sequence(1, 30) as many) as props from {e}", e=table(s, d, "events")), "props")
+    .select("event_id", F.to_json("props.details").alias("details"), F.col("props.who")[0][0].alias("who"), F.size("props.many").alias("many")),
+    """select event_id, '{"api_key":"<redacted>","user":"us***@example.com","rawData":"<raw-data-redacted>","note":"' || repeat('ab', 250) || '...<truncated>"}' as details, 'u' || substr(cast(user_id as varchar), 1, 1) || '***@a.b' as who, 20 as many from events""",
+)
+
 # ---- two-file finder
 
 DEMAND_SQL = "select concat(case when l_partkey % 9 = 0 then 'x ' else 'X-' end, cast(l_partkey as string)) as mpn, case when l_linenumber < 6 then l_quantity * 3 end as q, case when l_partkey % 7 = 1 then 'st  micro' when l_partkey % 7 = 2 then 'TI' when l_partkey % 4 <> 0 then p_brand end as mfg, c_name as who, l_shipdate as due, case when l_linenumber <> 4 then 'ea' end as uom, l_orderkey * 10 + l_linenumber as source_row from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join part on l_partkey = p_partkey where l_linestatus = 'O' and l_returnflag = 'N'"

@@ -15,6 +15,7 @@ import zipfile
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .workbooks import shared_strings, sheet_rows, sheets_of
 
 HEAD_ROWS = 30
 #: Cells that a spreadsheet shows where a formula failed (fixed values).
-FORMULA_ERRORS = ("#REF!", "#VALUE!", "#DIV/0!", "#NAME?", "#N/A", "#NUM!", "#NULL!")
+FORMULA_ERRORS = ("#VALUE!", "#REF!", "#DIV/0!", "#N/A", "#NAME?", "#NUM!", "#NULL!")
 
 CELLS = "file string, sheet string, row_index int, cells array<string>"
 
@@ -140,7 +141,7 @@ def ingest(cells: DataFrame, selected: str = "Auto Detect") -> DataFrame:
     raw = F.map_from_arrays("names", F.transform("names", lambda _, i: S.sanitize_scalar(cell(i))))
     kind = F.col("category") if selected in ("", "Auto Detect") else F.lit(layout.chosen_category(selected, ""))
     out = S.settled(rows, "file", "sheet", "row_index", kind.alias("category"), raw.alias("raw_data"), *[value.alias(name) for name, (value, _) in fields.items()], issues.alias("issues"), F.transform("parts", lambda i: F.when(~F.upper(F.trim(cell(i))).isin(*FORMULA_ERRORS), S.sanitize_scalar(cell(i)))).alias("__parts"))
-    text = F.lower(F.concat_ws(" ", "category", F.array_join(F.map_values("raw_data"), " ")))
+    text = F.lower(F.concat_ws(" ", "category", F.array_join(F.map_values("raw_data"), " "), *[F.col(name).cast("string") for name in layout.FIELD_ALIASES]))
     other = F.get(F.filter("__parts", lambda c: c.isNotNull()), F.lit(0))
     return out.withColumn("mpn", F.coalesce("mpn", "mpn_quoted", other)).withColumn("searchable_text", text).withColumn("has_errors", F.size("issues") > 0).drop("__parts")
 
@@ -182,10 +183,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str, kept: tuple[str, ...] = ("c
     return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
 
 
-def write_json_store(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json_store(parts: dict[str, DataFrame], path: str) -> None:
+    """Write named lists as a store: a folder of JSON lines each, so that no list is one task's."""
+    for name, df in parts.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
 
 
 def read_json_store(spark: SparkSession, path: str, part: str) -> DataFrame:
-    """One list of a JSON document of lists."""
+    """One list of a store, or of a single JSON document of lists."""
+    try:
+        return spark.read.json(f"{path.rstrip('/')}/{part}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     return spark.read.json(path, multiLine=True).select(F.explode(part).alias("x")).select("x.*")

@@ -93,6 +93,7 @@ def classify(file: str, sheets: list[str], headers: list[str]) -> tuple[str, int
     named = lambda pattern: any(re.search(pattern, n) for n in names)
     excess = has(*PRIMARY_MPN) and has("maker") and has(*QUANTITY["excess"])
     offer = has(*OFFER_MPN) and has(*QUANTITY["supplier_offer"])
+    # Points, words and patterns; in the last ones ``\b`` bounds only the outer words, as it must.
     evidence = [
         ("stock", 18, has(*PRIMARY_MPN) and has(*QUANTITY["stock"])), ("stock", 6, has("mfg") and has(*QUANTITY["stock"])), ("stock", 3, named(r"\bstock|inventory\b")),
         ("excess", 24 if re.search(r"\bexcess|surplus|overstock\b", file) else 6, excess),

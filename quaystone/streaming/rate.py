@@ -81,28 +81,31 @@ def batch_limit(events: DataFrame, seconds: float, most: int, block: float | Non
     return own.repartition("key").sortWithinPartitions("key", "ts", "id").mapInPandas(run, f"key {kind['key']}, id {kind['id']}, ts timestamp, allowed boolean")
 
 
-def stream_limit(events: DataFrame, seconds: float, most: int, late: str = "1 minute") -> DataFrame:
-    """The same over a stream: state per key, dropped when event time has passed the end of its window.
+def stream_limit(events: DataFrame, seconds: float, most: int, late: str = "1 minute", block: float | None = None) -> DataFrame:
+    """The same over a stream: state per key, dropped when event time has passed the end of its window and block.
 
     A trigger's requests of a key are put in order of time before any is
     decided; requests later than ``late`` are dropped, as the watermark says,
     and one that comes in a later trigger counts in the window that is open.
     """
-    window = round(seconds * 1e6)
+    window, pause = round(seconds * 1e6), None if block is None else round(block * 1e6)
 
     def run(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
         pdf = pd.concat(list(frames)).sort_values(["ts", "id"], ignore_index=True)
-        allowed, held = decide(_micros(pdf["ts"]), state.get if state.exists else None, window, most)
+        times, held = _micros(pdf["ts"]), state.get if state.exists else None
+        allowed, held = decide(times, held, window, most) if pause is None else decide_blocking(times, held, window, most, pause)
         state.update(held)
-        state.setTimeoutTimestamp(max(held[0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        over = held[0] if pause is None else max(held[0] + window, held[2])
+        state.setTimeoutTimestamp(max(over // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"key": key[0], "id": pdf["id"], "ts": pdf["ts"], "allowed": allowed})
 
     kind = dict(events.dtypes)
     own = events.filter("key is not null and ts is not null").select("key", "id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return own.groupBy("key").applyInPandasWithState(run, f"key {kind['key']}, id {kind['id']}, ts timestamp, allowed boolean", "ends long, count long", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "ends long, count long" if pause is None else "start long, count long, blocked long"
+    return own.groupBy("key").applyInPandasWithState(run, f"key {kind['key']}, id {kind['id']}, ts timestamp, allowed boolean", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling(stream: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

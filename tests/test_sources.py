@@ -97,6 +97,9 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, sheets.upsert(old, new, "id").collect())) == [(1, "a", 10), (2, "B", 20), (3, "c", 30)]
     (tmp_path / "s.json").write_text(json.dumps({"records": [{"a": 1}, {"a": 2}], "uploads": []}))
     assert sheets.read_json_store(spark, f"file://{tmp_path}/s.json", "records").count() == 2
+    sheets.write_json_store({"records": df, "uploads": df.limit(1)}, f"file://{tmp_path}/store")
+    assert sorted(map(tuple, sheets.read_json_store(spark, f"file://{tmp_path}/store", "records").select("upload_batch_id", "x").collect())) == [(1, 'a "q"'), (2, None)]
+    assert sheets.read_json_store(spark, f"file://{tmp_path}/store", "uploads").count() == 1
     assert sheets.ingest_key("a", "b") != sheets.ingest_key("ab") and len(sheets.ingest_key("a")) == 64
 
 
@@ -151,6 +154,21 @@ def test_limit_with_block(spark):
     assert [got[i] for i in range(10)] == [True, True, False, False, False, False, True, True, False, True]
 
 
+def test_stream_limit_with_block_in_any_triggers(spark, tmp_path):
+    """Cut into triggers anywhere, a stream decides as the batch does."""
+    times = [0, 1, 2, 3, 14, 21, 22, 23, 24, 50]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)], "key string, id int, t int").select("key", "id", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("ts"))
+    want = {r.id: r.allowed for r in rate.batch_limit(df, 10, 2, block=20).collect()}
+    for n, cuts in enumerate(([5], [3, 6])):
+        bounds = [0, *cuts, 10]
+        for a, b in zip(bounds, bounds[1:]):
+            df.filter((F.col("id") >= a) & (F.col("id") < b)).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/ev{n}")
+            stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/ev{n}")
+            q = rate.stream_limit(stream, 10, 2, block=20).writeStream.format("parquet").option("path", f"file://{tmp_path}/out{n}").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp{n}").start()
+            assert q.awaitTermination(60)
+        assert {r.id: r.allowed for r in spark.read.parquet(f"file://{tmp_path}/out{n}").collect()} == want
+
+
 def test_tumbling_batch_equals_stream(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     batch = {tuple(r) for r in rate.tumbling(events).selectExpr("start", "event_type", "n").collect()}
