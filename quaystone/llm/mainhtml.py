@@ -57,6 +57,8 @@ _SHAPES = re.compile(
     r"(?:^|[\s_-])(?:area|articles?|bar|block|body|bottom|box|buttons?|cards?|center|col|column|container|content|footer|form|group|header|heading|holder|icons?|inner|items?|left|links?|list|main|module|outer|page|panel|posts?|reader|right|row|section|site|slot|stor(?:y|ies)|title|top|unit|user|wrap|wrapper|\d+)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names of articles that are a reader's.
+_READER_ARTICLE = re.compile(r"(?:^|\s)(?:div-)?(?:comment|reply)(?:-(?:body|content|entry|item|\d+))?(?=\s|$)", re.IGNORECASE)
 _READERS = re.compile("comment|disqus|repl(?:y|ies)|respond", re.IGNORECASE)
 _MAIN_NAMES = re.compile(r"article|body|content|entry|main|post|story|text", re.IGNORECASE)
 _ENDS_P = BLOCKS - {"body", "html"}
@@ -94,7 +96,7 @@ def _is_aside(tag: str, attributes: str, in_main: bool) -> tuple[bool, str, bool
                 hidden = True
     if tag in ASIDE or hidden or role in ROLES:
         return True, names, False, tag in SOFT or (hidden or role in SOFT_ROLES) and tag not in ASIDE
-    if tag == "header" and not in_main:
+    if tag == "header" and not in_main or tag == "article" and _READER_ARTICLE.search(names):
         return True, names, False, False
     return False, names, bool(names and tag not in ("html", "body", "article", "main") and _ASIDE_NAMES.search(names)), False
 
