@@ -155,6 +155,12 @@ def headers(cells: DataFrame, role: str) -> DataFrame:
     return out.withColumn("until", F.lead("row_index").over(Window.partitionBy("file", "sheet").orderBy("row_index")))
 
 
+def _name(path: str) -> Column:
+    """A file's name; paths that Spark gives have spaces and signs written as codes."""
+    last = F.substring_index(path, "/", -1)
+    return F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
+
+
 def profile(cells: DataFrame) -> DataFrame:
     """(file, sheets, rows, role, points): what each file is, by the header rows among the first ones of each sheet."""
     counts = cells.groupBy("file", "sheet").agg(F.count("*").alias("rows"))
@@ -173,7 +179,7 @@ def profile(cells: DataFrame) -> DataFrame:
         rows = zip(file.to_pylist(), sheets.to_pylist(), headers.to_pylist())
         return pa.array([dict(zip(("role", "points"), classify(f, s, [w for h in hs or [] if (w := word(h))]))) for f, s, hs in rows], pa.struct([("role", pa.string()), ("points", pa.int32())]))
 
-    return files.select("file", "sheets", "rows", judge(F.substring_index("file", "/", -1), "sheets", "headers").alias("k")).select("file", "sheets", "rows", "k.role", "k.points")
+    return files.select("file", "sheets", "rows", judge(_name("file"), "sheets", "headers").alias("k")).select("file", "sheets", "rows", "k.role", "k.points")
 
 
 def parse_quantity(c: Column) -> Column:
