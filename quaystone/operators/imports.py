@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import aggregates
+from .windows import business_key_duplicates
+
 WARNED, DONE = "completed_with_warnings", "completed"
 
 
@@ -65,3 +68,25 @@ def from_legacy(df: DataFrame, numbers: list[str], kept_zero: tuple[str, ...] =
     for old, new in LEGACY_CATEGORIES.items():
         renamed = renamed.when(kind == old, new)
     return df.withColumns({"category": renamed.otherwise(kind), **{c: F.nullif(F.col(c), F.lit(0.0)) for c in numbers if c not in kept_zero}})
+
+
+def marked(rows: DataFrame, within: str = "file", place: tuple[str, ...] = ("sheet", "row_index")) -> DataFrame:
+    """Rows of an import with an issue more for each other row of the same file that says the same (``business_key_duplicates``).
+
+    The first row, by ``place``, gains one for each of the others.  Which rows
+    these are is known only when all are read, so it is a second pass: repeated
+    keys are found by their hashes, and only their rows meet.
+    """
+    own = rows.withColumn("__row", F.struct(within, *place))
+    extra = business_key_duplicates(own, "__row", within, place).select("__row", F.col("key").alias("__key"), F.col("issues").alias("__more"))
+    kind = rows.schema["issues"].dataType.elementType
+    told = {"type": F.lit("duplicate_record"), "severity": F.lit("medium"), "raw": F.col("__key")}
+    issue = F.struct(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
+    more = F.when(F.col("__more").isNull(), F.col("issues")).otherwise(F.concat("issues", F.array_repeat(issue, F.col("__more").cast("int"))))
+    return own.join(extra, "__row", "left").withColumn("issues", more).withColumn("has_errors", F.size("issues") > 0).select(*dict.fromkeys([*rows.columns, "has_errors"]))
+
+
+def summary(rows: DataFrame, by: str = "file", admit: Column | None = None) -> DataFrame:
+    """Per file of marked rows: counters, how the import ended, and both scores."""
+    counted = row_counters(rows, by, admitted() if admit is None else admit).withColumn("status", import_status())
+    return counted.join(aggregates.quality_scores(rows, by).drop("records"), by)

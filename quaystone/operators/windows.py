@@ -51,9 +51,12 @@ def cleanup_summary(active: DataFrame, dups: DataFrame, declared: DataFrame, by:
     return out.select(by, "active", "to_archive", "largest", "expected", "remaining", "residual", off.alias("mismatch"), confidence.alias("confidence"), (some & ~huge).alias("safe"), risk.alias("risk"))
 
 
-def business_key_duplicates(df: DataFrame, id_: str = "id") -> DataFrame:
+def business_key_duplicates(df: DataFrame, id_: str = "id", within: str | None = None, order: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """Rows whose customer, supplier, part, order and quantity agree (three parts at least): issues each gains.
 
+    With ``within``, only rows equal in that column are compared.  The first by
+    ``order`` gains an issue for each of the others, which gain one.
+
     Supplier, part and quantity fall back to the supplier's name, the quoted
     part and the requested quantity; blanks and a quantity of zero are no part.
     Rows are counted by a 64-bit hash of the key before any is shuffled, and
@@ -62,11 +65,12 @@ def business_key_duplicates(df: DataFrame, id_: str = "id") -> DataFrame:
     qty = F.coalesce("qty", "req_qty")
     number = F.when(qty == F.floor(qty), F.floor(qty).cast("string")).otherwise(qty.cast("string"))
     parts = F.filter(F.array("customer", F.coalesce("supplier", "supplier_name"), F.coalesce("mpn", "mpn_quoted"), "po", F.when(qty != 0, number)), lambda x: x.isNotNull() & (x != ""))
-    keyed = df.select(id_, "created_at", F.lower(F.array_join(parts, "|")).alias("key")).withColumn("hash", F.when(F.size(F.split("key", r"\|")) >= 3, F.xxhash64("key")))
+    group = [within] * (within is not None)
+    keyed = df.select(id_, *group, *[c for c in order if c != id_ and c not in group], F.lower(F.array_join(parts, "|")).alias("key")).withColumn("hash", F.when(F.size(F.split("key", r"\|")) >= 3, F.xxhash64("key", *group)))
     again = keyed.groupBy("hash").agg(F.count("hash").alias("n")).filter("n > 1").select("hash")
     rows = keyed.join(again, "hash")
-    w = Window.partitionBy("key")
-    out = rows.withColumn("copies", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("created_at", id_))).filter("copies > 1")
+    w = Window.partitionBy(*group, "key")
+    out = rows.withColumn("copies", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(*order, id_))).filter("copies > 1")
     return out.select(id_, "key", "copies", F.when(F.col("place") == 1, F.col("copies") - 1).otherwise(F.lit(1)).alias("issues"))
 
 

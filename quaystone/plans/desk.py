@@ -14,7 +14,7 @@ from ..operators import windows as D
 from ..sources import trade as R
 from ..sources import twofile as F2
 from ..streaming import rate
-from .registry import FIND, REQUESTS, TEXT, add, sides, table
+from .registry import FIND, NUMBER, REQUESTS, TEXT, add, sides, table
 
 # ---- imports
 
@@ -40,6 +40,19 @@ add(
     "with r as (select upload_batch_id, category, id from records union all select -1, category, id from records), c as (select upload_batch_id, category, count(*) as n, min(id) as first from r group by 1, 2), b as (select upload_batch_id, category from c where category <> 'Generic' qualify row_number() over (partition by upload_batch_id order by n desc, first) = 1) select upload_batch_id, coalesce(b.category, 'Generic') as category from (select distinct upload_batch_id from r) left join b using (upload_batch_id)",
     "records",
 )
+add(
+    "i_marked_imports",
+    lambda s, d: I.summary(I.marked(A.issues(R.active_records(s, d)), "upload_batch_id", ("row_index", "id")), "upload_batch_id"),
+    f"""with k as (select *, {TEXT("mpn", "mpn_quoted")} is null as no_mpn, qty is null and req_qty is null as no_qty, price is null as no_price, gp_rate is null as no_gp,
+      list_filter([customer, coalesce(supplier, supplier_name), coalesce(mpn, mpn_quoted), po, {NUMBER}], lambda x: x is not null and x <> '') as parts from active),
+    w as (select *, count(*) over g as copies, row_number() over (partition by upload_batch_id, lower(array_to_string(parts, '|')) order by row_index, id) as place from k window g as (partition by upload_batch_id, lower(array_to_string(parts, '|')))),
+    x as (select *, case when len(parts) < 3 or copies = 1 then 0 when place = 1 then copies - 1 else 1 end as same from w),
+    y as (select *, no_mpn::int + no_qty::int + no_price::int + no_gp::int + same as warned, least(60, 20 * no_mpn::int + 10 * no_qty::int + 10 * no_price::int + 3 * no_gp::int + 30 * has_errors::int + 10 * same) as penalty from x),
+    c as (select upload_batch_id, count(*) as total_rows, count(*) filter (not has_errors) as imported, count(*) filter (has_errors) as invalid, count(*) filter (has_errors or warned > 0) as with_issues, sum(warned) as warnings, count(*) filter (has_errors) as technical_errors,
+      count(*) filter (no_mpn) as missing_mpn, min(gp_rate) as lowest_gp_rate, cast(floor(100 - 100.0 * sum(penalty) / (60 * count(*)) + 0.5) as bigint) as workbook_score, floor(1000.0 * count(*) filter (penalty = 0) / count(*) + 0.5) / 10 as worker_score from y group by 1)
+    select *, case when warnings > 0 or technical_errors > 0 or invalid > 0 then 'completed_with_warnings' else 'completed' end as status from c""",
+    "records",
+)
 JOBS = "select c_custkey as upload_batch_id, case when c_custkey % 3 = 0 then null else c_custkey % 50 end as declared_total, c_custkey % 4 * 10 as declared_imported, case when c_custkey % 5 = 0 then 3 end as declared_with_warnings, case when c_custkey % 7 = 0 then 1 else 0 end as technical_errors from customer"
 add(
     "i_diagnose",

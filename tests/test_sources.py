@@ -4,6 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quaystone.operators import imports
 from quaystone.sources import layout, sheets
 from quaystone.streaming import ingest, rate
 
@@ -48,6 +49,19 @@ def test_files_of_different_layout_in_one_scan(spark, tmp_path):
     assert got["Cy"] == ("c-9", 7.0, 3, {"Qty": "7", "Clean MPN": "c-9", "Part Number": None, "Customer": "Cy"})
 
 
+def test_marking_after_ingest(spark, tmp_path):
+    """Rows that say the same gain issues within their file; counters, status and scores follow."""
+    same = "Ann,b-1,PO1,5,2\n"
+    (tmp_path / "a.csv").write_text("Customer,MPN,PO,Qty,Price\n" + same + "Ann,B-1,po1,5.0,3\nBob,c,,1,1\n" + same + "Ann,b-1,,,\nAnn,b-1,,,\n")
+    (tmp_path / "b.csv").write_text("Customer,MPN,PO,Qty,Price\n" + same)
+    rows = imports.marked(sheets.ingest(sheets.read_csv(spark, f"file://{tmp_path}/*.csv")))
+    got = {(r.file[-5], r.row_index): [i.type for i in r.issues] for r in rows.collect()}
+    assert got == {("a", 2): ["duplicate_record"] * 2, ("a", 3): ["duplicate_record"], ("a", 4): [], ("a", 5): ["duplicate_record"], ("a", 6): [], ("a", 7): [], ("b", 2): []}
+    (a, b) = imports.summary(rows).orderBy("file").collect()
+    assert (a.total_rows, a.imported, a.with_issues, a.warnings, a.status, a.workbook_score, a.worker_score) == (6, 6, 3, 4, "completed_with_warnings", 89, 50.0)
+    assert (b.total_rows, b.status, b.workbook_score, b.worker_score) == (1, "completed", 100, 100.0)
+
+
 def test_csv_of_any_width(spark, tmp_path):
     wide = [f"v{i}" for i in range(150)]
     wide[3], wide[149] = "a, b\nc", 'last "q", end'
