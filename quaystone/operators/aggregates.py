@@ -95,6 +95,27 @@ def category_modules(active: DataFrame) -> DataFrame:
     )
 
 
+def module_groups(active: DataFrame, own: dict[str, dict[str, Column]], top: int = 8) -> DataFrame:
+    """(module, list, label, n, percent, position): the most frequent labels of each category's lists.
+
+    Every module lists customers, suppliers and part numbers; ``own`` adds
+    lists to some.  Records without a part number come last, without percent.
+    Labels are counted before any shuffle and ranked by a limit within each
+    task; totals are one row a list.
+    """
+    label = lambda *c: F.coalesce(first_text(*[F.col(x) for x in c]), F.lit(UNSPECIFIED))
+    module, item = F.coalesce("category", F.lit("Generic")), lambda name, c: F.struct(F.lit(name).alias("list"), c.alias("label"))
+    items = [item("customer", label("customer", "client")), item("supplier", label("supplier_name", "supplier")), item("mpn", F.coalesce(first_text(F.col("mpn"), F.col("mpn_quoted")), F.lit(MISSING)))]
+    items += [F.when(module == m, item(name, F.coalesce(first_text(c.cast("string")), F.lit(UNSPECIFIED)))) for m, lists in own.items() for name, c in lists.items()]
+    each = active.select(module.alias("module"), F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("x"))
+    counts = each.groupBy("module", "x.list", "x.label").agg(F.count("*").alias("n")).withColumn("missing", (F.col("list") == "mpn") & (F.col("label") == MISSING))
+    totals = counts.filter("not missing").groupBy("module", "list").agg(F.sum("n").alias("total"))
+    place = F.row_number().over(Window.partitionBy("module", "list").orderBy("missing", F.desc("n"), "label"))
+    ranked = counts.withColumn("position", place).filter(F.col("position") <= top)
+    percent = F.when(~F.col("missing"), round_half_up(100.0 * F.col("n") / F.col("total")).cast("long"))
+    return ranked.join(F.broadcast(totals), ["module", "list"], "left").select("module", "list", "label", "n", percent.alias("percent"), "position")
+
+
 def activity_directory(profiles: DataFrame, uploads: DataFrame, active: DataFrame) -> DataFrame:
     """Per employee: uploads, active records and the last upload; both sides are summed before the join."""
     u = uploads.groupBy("uploaded_by").agg(F.count("*").alias("uploads"), F.max("created_at").alias("last_upload"))

@@ -239,6 +239,21 @@ add(
     """select p.id, full_name, role, department, (select count(*) from uploads u where u.uploaded_by = p.id) as uploads, (select count(*) from active a where a.uploaded_by = p.id) as records, (select max(created_at) from uploads u where u.uploaded_by = p.id) as last_upload from profiles p""",
     "records", "uploads", "profiles",
 )
+add(
+    "a_module_groups",
+    lambda s, d: A.module_groups(R.active_records(s, d), {
+        "Sales Margin": {"formula errors": F.when(F.col("has_errors"), "Formula error").otherwise("Clean")}, "RFQ": {"generic": F.col("description")}, "Supplier Offers": {"date codes": F.date_format("created_at", "yyyy")},
+        "Logistics": {"countries": F.when(F.col("row_index") > 2, "Chile"), "delivery points": F.col("line_status")}, "Generic": {"missing values": F.when(F.col("req_qty").isNull(), "Has missing values").otherwise("Complete")},
+    }),
+    f"""with m as (select *, coalesce(category, 'Generic') as module from active),
+    e as (select module, 'customer' as list, coalesce({CUSTOMER}, 'Unspecified') as label from m union all select module, 'supplier', coalesce({SUPPLIER}, 'Unspecified') from m union all select module, 'mpn', coalesce({TEXT("mpn", "mpn_quoted")}, 'Missing MPN') from m
+      union all select module, 'formula errors', case when has_errors then 'Formula error' else 'Clean' end from m where module = 'Sales Margin' union all select module, 'generic', coalesce(nullif(trim(description), ''), 'Unspecified') from m where module = 'RFQ'
+      union all select module, 'date codes', strftime(created_at, '%Y') from m where module = 'Supplier Offers' union all select module, 'countries', case when row_index > 2 then 'Chile' else 'Unspecified' end from m where module = 'Logistics'
+      union all select module, 'delivery points', line_status from m where module = 'Logistics' union all select module, 'missing values', case when req_qty is null then 'Has missing values' else 'Complete' end from m where module = 'Generic'),
+    c as (select module, list, label, count(*) as n, list = 'mpn' and label = 'Missing MPN' as missing from e group by all), w as (select *, sum(n) filter (not missing) over (partition by module, list) as total, row_number() over (partition by module, list order by missing, n desc, label) as position from c)
+    select module, list, label, n, case when not missing then cast(floor(100.0 * n / total + 0.5) as bigint) end as percent, position from w where position <= 8""",
+    "records",
+)
 add(
     "a_client_metrics",
     lambda s, d: A.client_metrics(R.active_records(s, d)),
