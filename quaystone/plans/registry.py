@@ -342,16 +342,22 @@ add(
     "select rank, email from (select 1 as rank, email from profiles where is_active union select 0, concat('NATION_', uploaded_by, '@EXAMPLE.com') from uploads where status = 'failed') qualify row_number() over (partition by lower(email) order by rank, email) = 1",
     "profiles", "uploads",
 )
-add("s_part_sets", lambda s, d: (lambda a, b: a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.exceptAll(b).distinct().withColumn("side", F.lit("first"))).unionByName(b.subtract(a).withColumn("side", F.lit("second"))))(table(s, d, "lineitem").filter("l_returnflag = 'A' and l_linenumber = 1").select("l_partkey").distinct(), table(s, d, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 2").select("l_partkey").distinct()),
-    "with a as (select distinct l_partkey from lineitem where l_returnflag = 'A' and l_linenumber = 1), b as (select distinct l_partkey from lineitem where l_returnflag = 'R' and l_linenumber = 2) select l_partkey, case when l_partkey in (from a) and l_partkey in (from b) then 'both' when l_partkey in (from a) then 'first' else 'second' end as side from (from a union from b)")
+OFFERED = lambda s, d, side: table(s, d, "lineitem").filter({"open": "l_linestatus = 'O'", "returned": "l_returnflag <> 'N'"}[side]).select("l_partkey", "l_suppkey")
+add(
+    "s_part_sets",
+    lambda s, d: OFFERED(s, d, "open").intersect(OFFERED(s, d, "returned")).withColumn("side", F.lit("both"))
+    .unionByName(OFFERED(s, d, "open").subtract(OFFERED(s, d, "returned")).withColumn("side", F.lit("open"))).unionByName(OFFERED(s, d, "returned").subtract(OFFERED(s, d, "open")).withColumn("side", F.lit("returned"))),
+    """with a as (select distinct l_partkey, l_suppkey from lineitem where l_linestatus = 'O'), b as (select distinct l_partkey, l_suppkey from lineitem where l_returnflag <> 'N')
+    select *, 'both' as side from (from a intersect from b) union all select *, 'open' from (from a except from b) union all select *, 'returned' from (from b except from a)""",
+)
 
 # ---- part numbers
 
 add("m_normalize", lambda s, d: R.records(s, d).select("id", S.normalize_mpn(F.col("mpn")).alias("part"), S.review_key(F.col("mpn")).alias("review")), f"select id, {MPN('mpn')} as part, nullif(regexp_replace({MPN('mpn')}, '[^A-Z0-9]', '', 'g'), '') as review from records", "records")
 add(
     "m_lookup",
-    lambda s, d: M.lookup(R.active_records(s, d), table(s, d, "part").filter("p_size < 5").select(F.concat(F.when(F.col("p_partkey") % 17 == 0, F.lit("q-")).otherwise(F.lit("p-")), "p_partkey").alias("mpn"))).select("id", "part", "matched"),
-    f"""with want as (select distinct upper(concat(case when p_partkey % 17 = 0 then 'q-' else 'p-' end, p_partkey)) as part from part where p_size < 5), e as (select id, part, 'mpn' as matched from (select id, {MPN("mpn")} as part from active) join want using (part))
+    lambda s, d: M.lookup(R.active_records(s, d), table(s, d, "part").select(F.concat(F.when(F.col("p_partkey") % 17 == 0, F.lit("q-")).otherwise(F.lit("p-")), "p_partkey").alias("mpn"))).select("id", "part", "matched"),
+    f"""with want as (select distinct upper(concat(case when p_partkey % 17 = 0 then 'q-' else 'p-' end, p_partkey)) as part from part), e as (select id, part, 'mpn' as matched from (select id, {MPN("mpn")} as part from active) join want using (part))
     select * from e union all select id, part, 'mpn_quoted' from (select id, {MPN("mpn_quoted")} as part from active) join want using (part) where part not in (select part from e)""",
     "records",
 )
