@@ -54,7 +54,7 @@ def supplier_ranking(df: DataFrame) -> DataFrame:
     A supplier counts with its best offer: lowest price, fastest lead, highest
     quantity; data is clean if any of its offers has no errors.
     """
-    return _scored(df).select("part", "supplier", "offers", "price", "lead", "quantity", F.round("gp", 4).alias("average_gp"), "score", "position")
+    return _scored(df).select("part", "supplier", "offers", "price", "lead", "quantity", F.round(F.round("gp", 10), 4).alias("average_gp"), "score", "position")
 
 
 def offer_summary(df: DataFrame) -> DataFrame:

@@ -365,7 +365,7 @@ add("m_suggest", lambda s, d: M.suggest(R.active_records(s, d), "p-10"), f"selec
 RANKED = f"""with own as (select {PART} as part, coalesce({SUPPLIER}, 'Unknown supplier') as supplier, price, lead_time_weeks as l, coalesce(on_hand, qty, 0) as q, gp_rate, has_errors from active where {PART} is not null),
     s as (select part, supplier, count(*) as offers, min(price) as price, min(l) as lead, max(q) as quantity, avg(gp_rate) as gp, count(*) filter (not coalesce(has_errors, false)) as clean from own group by all),
     w as (select *, min(price) over (partition by part) as best, min(lead) over (partition by part) as fast, max(quantity) over (partition by part) as most from s),
-    c as (select part, supplier, offers, price, lead, quantity, round(gp, 4) as average_gp, floor(100 * ((case when price is null then 0 when price <= best then 45 else greatest(0, 35 - 35 * (price - best) / greatest(best, 1)) end) + (case when lead is null then 0 when lead <= fast then 20 else greatest(0, 15 - (lead - fast)) end)
+    c as (select part, supplier, offers, price, lead, quantity, round(round(gp, 10), 4) as average_gp, floor(100 * ((case when price is null then 0 when price <= best then 45 else greatest(0, 35 - 35 * (price - best) / greatest(best, 1)) end) + (case when lead is null then 0 when lead <= fast then 20 else greatest(0, 15 - (lead - fast)) end)
       + (case when most > 0 then least(20, 20 * quantity / most) else 0 end) + least(10, greatest(0, 20 * coalesce(gp, 0))) + (case when clean = 0 then 0 else 5 end)) + 0.5) / 100 as score,
       concat_ws(',', case when price <= best then 'price' end, case when lead <= fast then 'lead' end, case when quantity >= most and most > 0 then 'quantity' end) as best_at from w),
     r as (select *, row_number() over (partition by part order by score desc, price asc nulls last, supplier) as position from c)"""
@@ -531,10 +531,10 @@ add(
     "records",
 )
 FORM_RECORDS = "*, concat('L', row_index) as line_id, case when row_index % 2 = 0 then 'Viet Nam' else 'Chile' end as shipping_point_country, concat_ws(' ', category, mpn, description, supplier) as searchable_text"
-FORM = {"line_id": "l2", "country": "viet", "query": "rfq small", "department": "Sales", "qty": (2.0, None), "uploaded_by": None}
+RECORD_FORM = {"line_id": "l2", "country": "viet", "query": "rfq small", "department": "Sales", "qty": (2.0, None), "uploaded_by": None}
 add(
     "f_records_by_form",
-    lambda s, d: P.filter_records(s.sql(f"select {FORM_RECORDS}, department from {{r}} left join {{p}} on uploaded_by = p_id", r=R.active_records(s, d), p=R.profiles(s, d).select(F.col("id").alias("p_id"), "department")), FORM).select("id", "line_id", "qty"),
+    lambda s, d: P.filter_records(s.sql(f"select {FORM_RECORDS}, department from {{r}} left join {{p}} on uploaded_by = p_id", r=R.active_records(s, d), p=R.profiles(s, d).select(F.col("id").alias("p_id"), "department")), RECORD_FORM).select("id", "line_id", "qty"),
     f"""with f as (select {FORM_RECORDS} from active) select f.id, line_id, qty from f left join profiles p on p.id = uploaded_by where lower(line_id) like '%l2%' and lower(shipping_point_country) like '%viet%'
     and list_has_all(regexp_split_to_array(lower(searchable_text), '[^a-z0-9]+'), ['rfq', 'small']) and department = 'Sales' and coalesce(qty, req_qty) >= 2""",
     "records", "profiles",
