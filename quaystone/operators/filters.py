@@ -5,12 +5,13 @@ from __future__ import annotations
 import operator
 import re
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import ACCENTED, PLAIN, contains_text, fold_accents, mask_email
+from ..functions.scalars import ACCENTED, PLAIN, contains_text, fold_accents, mask_email, settled
 
 OPERATORS = {"eq": operator.eq, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 
@@ -68,14 +69,18 @@ def hidden(name: str, role: str) -> bool:
 
 
 def hidden_key(key: Column, role: str) -> Column:
-    """The same for names that are data."""
-    key = F.lower(F.regexp_replace(fold_accents(key), "[^a-zA-Z0-9]", ""))
-    group = F.when(key.isin(*SAFE_NAMES), "")
-    for g, names in SENSITIVE_NAMES.items():
-        group = group.when(key.isin(*names), g)
-    for g, pattern in SENSITIVE_PATTERNS.items():
-        group = group.when(key.rlike(pattern), g)
-    return ~group.otherwise("").isin("", *VISIBLE.get(role, ()))
+    """The same for names that are data; a name is brought to plain form once, and groups that a role sees alike are looked for together."""
+    seen = VISIBLE.get(role, ())
+    group = {n: g for g, names in reversed(SENSITIVE_NAMES.items()) for n in names}
+    secret, shown = ([n for n, g in group.items() if (g in seen) is is_seen] for is_seen in (False, True))
+
+    def judged(name: Column) -> Column:
+        out = F.when(name.isin(*SAFE_NAMES, *shown), False).when(name.isin(*secret), True)
+        for is_seen, groups in groupby(SENSITIVE_PATTERNS, key=lambda g: g in seen):
+            out = out.when(name.rlike("|".join(SENSITIVE_PATTERNS[g] for g in groups)), not is_seen)
+        return out.otherwise(False)
+
+    return F.get(F.transform(F.array(F.lower(F.regexp_replace(fold_accents(key), "[^a-zA-Z0-9]", ""))), judged), F.lit(0))
 
 
 #: Texts of a filter form and the columns that may contain them.
@@ -153,6 +158,7 @@ def redact(df: DataFrame, role: str) -> DataFrame:
     """Fields that a role can't see become null: columns, fields of structs and values of maps, at any depth.
 
     Names are compared without case, signs and accents (``Unit Price`` is ``unitprice``).
+    Nested values are cleaned once a row, whatever is asked of them later.
     """
 
     def clean(c: Column, kind) -> Column:
@@ -165,7 +171,9 @@ def redact(df: DataFrame, role: str) -> DataFrame:
             return F.transform_values(c, lambda k, v: F.when(~hidden_key(k.cast("string"), role), clean(v, kind.valueType)))
         return c
 
-    return df.select(*[(F.lit(None).cast(f.dataType) if hidden(f.name, role) else clean(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema])
+    nested = any(isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) for f in df.schema)
+    columns = [(F.lit(None).cast(f.dataType) if hidden(f.name, role) else clean(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema]
+    return settled(df, *columns) if nested else df.select(*columns)
 
 
 def forbidden_columns(df: DataFrame) -> list[str]:
