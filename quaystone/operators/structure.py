@@ -9,8 +9,9 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.scalars import fold_accents
 
@@ -70,22 +71,29 @@ def field_of(text: Column, name: Column) -> Column:
 def column_profile(records: DataFrame, sheets: DataFrame | None = None, by: str = "upload_batch_id") -> DataFrame:
     """(``by``, source, name, normalized_name, field, type, meaning, occurrences, presence) of each column.
 
-    ``records`` has two bags, ``raw_data`` and ``normalized_data``; ``sheets``
-    has (``by``, headers, total_rows).  Names that become equal are one column
+    ``records`` has two bags, ``raw_data`` and ``normalized_data``, or the arrays
+    of their names; ``sheets`` has (``by``, headers, total_rows).  Names that become equal are one column
     of a source, called by the least of them.  Normalized names count only
     where an upload has no others.
     """
-    total = records.groupBy(by).agg(F.count("*").alias("records"))
-    bag = lambda source: records.select(by, F.lit(source).alias("source"), F.explode(F.map_keys(source)).alias("key")).groupBy(by, "source", "key").agg(F.count("*").alias("n"))
-    normalized = bag("normalized_data").filter(plain_name(F.col("key")).isin(*NORMALIZED_FIELDS) & (F.col("key") == plain_name(F.col("key"))) | F.col("key").isin(*FIELD_ALIASES))
-    own = bag("raw_data").unionByName(normalized)
+    names = lambda bag: F.col(bag) if isinstance(records.schema[bag].dataType, ArrayType) else F.map_keys(bag)
+    said = lambda bag: F.transform(F.coalesce(names(bag), F.array().cast("array<string>")), lambda k: F.struct(F.lit(bag).alias("source"), k.alias("key")))
+    # A row without a source stands for each record: records and names are counted in one pass, by upload and layout before names are told apart.
+    none = F.array(F.struct(F.lit("").alias("source"), F.lit("").alias("key")))
+    own = records.select(by, F.concat(none, said("raw_data"), said("normalized_data")).alias("all")).groupBy(by, "all").agg(F.count("*").alias("n"))
+    own = own.select(by, F.explode("all").alias("x"), "n").select(by, "x.source", "x.key", "n")
     if sheets is not None:
         head = sheets.select(by, F.lit("sheet").alias("source"), F.explode("headers").alias("key"), F.greatest(F.coalesce("total_rows", F.lit(1)), F.lit(1)).alias("n"))
-        own = own.unionByName(head.groupBy(by, "source", "key").agg(F.sum("n").alias("n")))
-    named = own.withColumn("key", F.trim("key")).filter((F.col("key") != "") & (F.char_length("key") <= LONGEST)).withColumns({"text": plain_text(F.col("key")), "normalized_name": plain_name(F.col("key"))})
+        own = own.unionByName(head)
+    own = own.groupBy(by, "source", "key").agg(F.sum("n").alias("n"))
+    bare = F.col("source") == ""
+    normalized = plain_name(F.col("key")).isin(*NORMALIZED_FIELDS) & (F.col("key") == plain_name(F.col("key"))) | F.col("key").isin(*FIELD_ALIASES)
+    own = own.filter(bare | (F.col("source") != "normalized_data") | normalized).withColumn("key", F.trim("key")).filter(bare | (F.col("key") != "") & (F.char_length("key") <= LONGEST))
+    named = own.withColumns({"text": plain_text(F.col("key")), "normalized_name": plain_name(F.col("key"))})
     each = named.groupBy(by, "source", "normalized_name").agg(F.min(F.struct("key", "text")).alias("first"), F.sum("n").alias("occurrences"))
-    others = each.filter("source <> 'normalized_data'").select(F.col(by).alias("its")).distinct()
-    kept = each.join(others, each[by] == others["its"], "left").filter("source <> 'normalized_data' or its is null").join(total, by, "left")
+    its = Window.partitionBy(by)
+    others, records_of = F.max(~bare & (F.col("source") != "normalized_data")).over(its), F.max(F.when(bare, F.col("occurrences"))).over(its)
+    kept = each.withColumns({"others": others, "records": records_of}).filter(~bare & ((F.col("source") != "normalized_data") | ~F.col("others")))
     name, field = F.col("first.key"), F.col("field")
     out = kept.withColumn("field", field_of(F.col("first.text"), F.col("normalized_name")))
     kind = F.when(field.isNotNull(), F.coalesce(_looked_up(TYPES, field), F.lit("text"))).when(F.lower(name).rlike("id|code|number|mpn|po"), "text").otherwise("unknown")
