@@ -78,23 +78,26 @@ def resolve(layouts: DataFrame, fields: dict[str, Field]) -> DataFrame:
     return plain.select("keys0", "keys1", F.struct(*[own(f).alias(n) for n, f in fields.items()]).alias("places"))
 
 
-def located(df: DataFrame, fields: dict[str, Field], bags: tuple[str, str] = ("raw_data", "normalized_data")) -> DataFrame:
+def located(df: DataFrame, fields: dict[str, Field], bags: tuple[str, str] = ("raw_data", "normalized_data"), layouts: DataFrame | None = None) -> DataFrame:
     """``df`` with ``held`` (all values of its bags, blank ones null) and ``places`` instead of the bags.
 
     Names are resolved once per layout, which is a distinct pair of key arrays;
     rows only look up numbers.  Layouts are as many as there are kinds of
     sheets: up to ``LAYOUTS`` are sent to all tasks, more are joined by their keys.
+    Where they are known beforehand, ``layouts`` has bags of each and ``df`` is
+    read once, not twice; a row of another layout is an error then.
     """
     none = F.array().cast("array<string>")
     keys = [F.coalesce(F.map_keys(b), none).alias(f"keys{i}") for i, b in enumerate(bags)]
     held = F.transform(F.concat(*[F.coalesce(F.map_values(b), none) for b in bags]), lambda v: F.when(F.trim(v) != "", v))
-    kinds = df.select(*keys).distinct()
+    kinds = (df if layouts is None else layouts).select(*keys).distinct()
     known = kinds.limit(LAYOUTS + 1).collect()
     if len(known) <= LAYOUTS:
         places = F.broadcast(resolve(df.sparkSession.createDataFrame(known, kinds.schema), fields))
     else:
         places = resolve(kinds, fields)
-    return df.select(*[c for c in df.columns if c not in bags], *keys, held.alias("held")).join(places, ["keys0", "keys1"]).drop("keys0", "keys1")
+    out = df.select(*[c for c in df.columns if c not in bags], *keys, held.alias("held")).join(places, ["keys0", "keys1"], "inner" if layouts is None else "left").drop("keys0", "keys1")
+    return out if layouts is None else out.withColumn("places", F.when(F.col("places").isNull(), F.raise_error("bags of a layout that is not among the given ones")).otherwise(F.col("places")))
 
 
 def value(field: str) -> Column:
@@ -138,13 +141,13 @@ COVER_FIELDS = {
 }
 
 
-def stock_and_needs(df: DataFrame) -> DataFrame:
+def stock_and_needs(df: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """Each record's part, whether it is stock, a need or both, and its quantities; records that are neither are left out."""
     t, has = F.col("template"), lambda f: value(f).isNotNull()
     stock = t.contains("inventario") | has("stock") | has("on_hand")
     need = ~t.contains("inventario") & (has("need") | has("own_need")) & (has("context") | t.rlike("pricing|logistica|cotizacion"))
     out = settled(
-        located(df, COVER_FIELDS), "id", "upload_batch_id", "created_at",
+        located(df, COVER_FIELDS, layouts=layouts), "id", "upload_batch_id", "created_at",
         normalize_mpn(F.coalesce(value("part"), F.col("mpn"), F.col("mpn_quoted"))).alias("part"), stock.alias("is_stock"), need.alias("is_need"),
         F.when(stock, F.coalesce(number("stock"), number("on_hand"), F.col("on_hand"))).alias("stock_qty"),
         F.when(need, F.coalesce(number("need"), number("own_need"), F.col("req_qty"), F.col("qty"))).alias("need_qty"),
@@ -161,14 +164,14 @@ SIGNAL_FIELDS = {
 }
 
 
-def signals(df: DataFrame) -> DataFrame:
+def signals(df: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """What each record says of its part: demand, stock, excess, receipts and approval, with quantities, parties and what is missing.
 
     A value in the raw bag hides the same name's in the normalized one.
     """
     t, has = F.col("template"), lambda f: value(f).isNotNull()
     own = settled(
-        located(df, SIGNAL_FIELDS), "id", "upload_batch_id", "created_at", normalize_mpn(F.coalesce(value("part"), F.col("mpn"), F.col("mpn_quoted"))).alias("part"),
+        located(df, SIGNAL_FIELDS, layouts=layouts), "id", "upload_batch_id", "created_at", normalize_mpn(F.coalesce(value("part"), F.col("mpn"), F.col("mpn_quoted"))).alias("part"),
         F.coalesce(number("stock"), F.col("on_hand")).alias("stock_qty"), F.coalesce(number("need"), F.col("req_qty"), F.col("qty")).alias("need_qty"),
         number("excess").alias("told_excess"), number("received").alias("received_qty"), t.alias("template"),
         (has("context") | t.rlike("pricing|logistica|logistics|cotizacion|quotation|rfq|demand|need|planned")).alias("asked"),

@@ -25,8 +25,8 @@ def coverage(rows: DataFrame) -> DataFrame:
     the newest row's that has them (of equally new ones the greatest name).
     """
     amount = lambda when, c: F.sum(F.when(F.col(when) & F.col(c).isNotNull(), F.greatest(c, F.lit(0.0))))
-    # First by part and upload: what is left is summed without a distinct count of uploads, which would copy every row.
-    each = rows.groupBy("part", "upload_batch_id").agg(amount("is_need", "need_qty").alias("required"), amount("is_stock", "stock_qty").alias("stock"), F.count("*").alias("rows"), *[F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c) for c in ("customer", "supplier", "maker")])
+    # First by part and upload, without a distinct count of uploads, which would copy every row. Both steps find a part's rows in one partition, so they are dealt out and ordered once.
+    each = rows.repartition("part").groupBy("part", "upload_batch_id").agg(amount("is_need", "need_qty").alias("required"), amount("is_stock", "stock_qty").alias("stock"), F.count("*").alias("rows"), *[F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c) for c in ("customer", "supplier", "maker")])
     g = each.groupBy("part").agg(F.sum("required").alias("required"), F.sum("stock").alias("stock"), *[F.max(c)[c].alias(c) for c in ("customer", "supplier", "maker")], F.count("*").alias("sources"), F.sum("rows").alias("rows"))
     shortage = F.when(F.col("required").isNotNull(), F.greatest(F.col("required") - F.coalesce("stock", F.lit(0.0)), F.lit(0.0)))
     return g.withColumn("status", status(F.col("required"), F.col("stock"))).withColumn("shortage", shortage)
@@ -56,7 +56,8 @@ def opportunity_groups(signals: DataFrame, by: tuple[str, ...] = ()) -> DataFram
     """
     zero = F.lit(0.0)
     named = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c)
-    each = signals.groupBy(*by, "part", "upload_batch_id").agg(
+    # Both steps find a part's rows in one partition, so they are dealt out and ordered once.
+    each = signals.repartition(*by, "part").groupBy(*by, "part", "upload_batch_id").agg(
         *[F.sum(c).alias(c) for c in ("demand", "stock", "excess")], *[F.max(c).alias(c) for c in ("approved", "received", "no_customer", "no_party")], *[named(c) for c in ("customer", "supplier", "maker")], F.min("maker").alias("least"), F.max("maker").alias("most"),
     )
     g = each.groupBy(*by, "part").agg(

@@ -414,8 +414,8 @@ COVER = f"""{NEEDS},
       (max(row(created_at, maker)) filter (maker is not null))[2] as maker, count(distinct upload_batch_id) as sources, count(*) as rows from n group by part),
     c as (select *, case when coalesce(required, 0) <= 0 then (case when coalesce(stock, 0) > 0 then 'overstock' else 'unknown' end) when coalesce(stock, 0) <= 0 then 'no_stock' when stock < required then 'partial_stock' when stock > required then 'overstock' else 'in_stock' end as status,
       case when required is not null then greatest(required - coalesce(stock, 0), 0) end as shortage from g)"""
-COVERED = lambda s, d: C.coverage(B.stock_and_needs(R.bags(s, d)))
-add("c_stock_and_needs", lambda s, d: B.stock_and_needs(R.bags(s, d)), f"{NEEDS} select * from n", "records")
+COVERED = lambda s, d: C.coverage(B.stock_and_needs(R.bags(s, d), R.layouts(s, d)))
+add("c_stock_and_needs", lambda s, d: B.stock_and_needs(R.bags(s, d), R.layouts(s, d)), f"{NEEDS} select * from n", "records")
 add("c_coverage", COVERED, f"{COVER} select * from c", "records")
 add("c_coverage_totals", lambda s, d: C.coverage_totals(COVERED(s, d)), f"{COVER} select count(*) as parts, " + ", ".join(f"count(*) filter (status = '{k}') as {k}" for k in ("in_stock", "partial_stock", "no_stock", "overstock", "unknown")) + ", sum(required) as required, sum(stock) as stock, sum(shortage) as shortage from c", "records")
 add("c_coverage_filter", lambda s, d: C.coverage_filter(COVERED(s, d), text="p-1", statuses=["partial_stock", "overstock"], party="brand#3").select("part", "status", "maker"), f"{COVER} select part, status, maker from c where part like '%P-1%' and status in ('partial_stock', 'overstock') and (lower(supplier) = 'brand#3' or lower(maker) = 'brand#3')", "records")
@@ -424,9 +424,9 @@ SIGNALS = f"""with own as (select *, {BAG_PART} as part, coalesce(req_qty, qty)
     t as (select id, upload_batch_id, created_at, part, coalesce(needed > 0 and category is distinct from 'Generic' and (req_qty is not null or asked or on_hand is null), false) as is_demand, coalesce(on_hand > 0, false) as is_stock, is_excess, approved, received, needed, on_hand,
       coalesce(customer, client) as customer, coalesce(supplier, supplier_name) as supplier, coalesce(manufacturer, clean_mfg) as maker from own),
     sig as (select * exclude (needed, on_hand), case when is_demand then needed end as demand, case when is_stock then on_hand end as stock, case when is_excess then greatest(on_hand, 0) end as excess, is_demand and customer is null as no_customer, (is_stock or is_excess) and supplier is null and maker is null as no_party from t)"""
-add("o_signals", lambda s, d: B.signals(R.bags(s, d)), f"{SIGNALS} select * from sig", "records")
+add("o_signals", lambda s, d: B.signals(R.bags(s, d), R.layouts(s, d)), f"{SIGNALS} select * from sig", "records")
 for name, sql in (("demand", "is_demand"), ("stock", "is_stock"), ("excess", "is_excess and excess > 0"), ("approved", "approved"), ("received", "received")):
-    add(f"o_view_{name}", lambda s, d, name=name: B.view(B.signals(R.bags(s, d)), name).select("id", "part", "demand", "stock", "excess"), f"{SIGNALS} select id, part, demand, stock, excess from sig where {sql}", "records")
+    add(f"o_view_{name}", lambda s, d, name=name: B.view(B.signals(R.bags(s, d), R.layouts(s, d)), name).select("id", "part", "demand", "stock", "excess"), f"{SIGNALS} select id, part, demand, stock, excess from sig where {sql}", "records")
 OPP = f"""{SIGNALS},
     g as (select part, coalesce(sum(demand), 0) as d, coalesce(sum(stock), 0) as s, coalesce(sum(excess), 0) as e, bool_or(approved) as approved, bool_or(received) as received, (max(row(created_at, customer)) filter (customer is not null))[2] as customer, (max(row(created_at, supplier)) filter (supplier is not null))[2] as supplier,
       (max(row(created_at, maker)) filter (maker is not null))[2] as maker, count(distinct maker) > 1 as mixed_makers, count(distinct upload_batch_id) as sources,
@@ -437,7 +437,7 @@ OPP = f"""{SIGNALS},
       greatest(0, least(100, 40 + (case when d > 0 then 10 else 0 end) + (case when s > 0 or e > 0 then 10 else 0 end) + (case when shortage > 0 then 5 else 0 end) + (case when customer is not null then 10 else 0 end) + (case when supplier is not null or maker is not null then 5 else 0 end)
       + (case when approved then 10 else 0 end) + (case when received then 5 else 0 end) + (case when sources > 1 then 5 else 0 end) - least(flags * 5, 20))) as score from h),
     z as (select *, case when score >= 75 then 'high' when score >= 50 then 'medium' else 'low' end as confidence from f)"""
-FOUND = lambda s, d: C.opportunities(B.signals(R.bags(s, d)))
+FOUND = lambda s, d: C.opportunities(B.signals(R.bags(s, d), R.layouts(s, d)))
 add("o_opportunities", FOUND, f"{OPP} select * from z", "records")
 add("o_opportunity_totals", lambda s, d: C.opportunity_totals(FOUND(s, d)), f"{OPP} select kind, count(*) as n, sum(demand) as demand, sum(shortage) as shortage, count(*) filter (confidence = 'high') as high from z group by kind", "records")
 add(
@@ -482,10 +482,10 @@ COLUMNS = """select * from (values
     ('Sales Margin', 'Description', 'description', null, 'unknown', 'columna Description', 1)) as c(category, name, normalized_name, field, type, meaning, times)"""
 BY_CATEGORY = "case detected_category when 'RFQ' then 'cotizacion' when 'Logistics' then (case when n > 0 then 'cotizacion/logistica' else 'general' end) else 'general' end"
 CHOSEN = lambda s, d: R.uploads(s, d).select(F.col("id").alias("upload_batch_id"), "detected_category", F.lit(None).cast("string").alias("selected_category"))
-TEMPLATES = lambda s, d: K.templates(K.column_profile(R.bags(s, d)), CHOSEN(s, d))
+TEMPLATES = lambda s, d: K.templates(K.column_profile(R.bag_names(s, d)), CHOSEN(s, d))
 add(
     "o_column_profile",
-    lambda s, d: K.column_profile(R.bags(s, d)),
+    lambda s, d: K.column_profile(R.bag_names(s, d)),
     f"select upload_batch_id, 'raw_data' as source, name, normalized_name, field, type, meaning, n * times as occurrences, 1.0::double as presence from (select upload_batch_id, category, count(*) as n from active group by all) join ({COLUMNS}) using (category)",
     "records",
 )
@@ -516,7 +516,7 @@ ASSIGNED = "select c_custkey as upload_batch_id, concat('account ', cast(c_custk
 OPP_BY_CLIENT = OPP.replace("    g as (select part,", f"    own2 as (select sig.*, client from sig join ({ASSIGNED}) using (upload_batch_id)),\n    g as (select client, part,").replace("from sig group by part)", "from own2 group by client, part)").replace("f as (select part,", "f as (select client, part,")
 add(
     "a_client_opportunities",
-    lambda s, d: C.client_opportunities(B.signals(R.bags(s, d)), R.frame(s, d, ASSIGNED)),
+    lambda s, d: C.client_opportunities(B.signals(R.bags(s, d), R.layouts(s, d)), R.frame(s, d, ASSIGNED)),
     f"{OPP_BY_CLIENT} select client, count(*) as opportunities, count(*) filter (confidence = 'high') as high_confidence, count(distinct part) as parts from z group by client",
     "records",
 )
