@@ -20,7 +20,8 @@ def settled(df: DataFrame, *columns: Column | str) -> DataFrame:
     A one-element generator stands between: conditions on these columns aren't
     pushed below it, where they would work out costly expressions again.
     """
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    rows = df.select(*columns)
+    return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
 
 
 def fold_accents(c: Column) -> Column:

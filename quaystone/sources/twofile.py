@@ -17,6 +17,8 @@ from ..functions.scalars import NUMBER, normalize_header, normalize_mpn, parse_d
 from .layout import plain
 
 PROFILE_ROWS = 40
+#: Header rows beyond this many are joined by a shuffle instead of being sent to all tasks.
+HEADERS = 10_000
 HISTORY = ("received_history", "sales_history")
 # Header words of each column.
 PRIMARY_MPN = ["mpn", "manufacturer part number", "mfr part number", "mfg part number", "mfg partno"]
@@ -189,8 +191,13 @@ def parse_quantity(c: Column) -> Column:
 
 
 def canonical_rows(cells: DataFrame, role: str) -> DataFrame:
-    """Rows below their headers in the shape that the matcher takes; rows before any header and without a part number are left out."""
-    h = headers(cells, role).select(F.col("file").alias("hf"), F.col("sheet").alias("hs"), F.col("row_index").alias("after"), "until", "columns")
+    """Rows below their headers in the shape that the matcher takes; rows before any header and without a part number are left out.
+
+    Up to ``HEADERS`` header rows are sent to all tasks, so that rows stay where they lie; more are joined by file and sheet.
+    """
+    found = headers(cells, role).select(F.col("file").alias("hf"), F.col("sheet").alias("hs"), F.col("row_index").alias("after"), "until", "columns")
+    known = found.limit(HEADERS + 1).collect()
+    h = F.broadcast(cells.sparkSession.createDataFrame(known, found.schema)) if len(known) <= HEADERS else found
     inside = (cells["file"] == h["hf"]) & (cells["sheet"] == h["hs"]) & (cells["row_index"] > h["after"]) & (h["until"].isNull() | (cells["row_index"] < h["until"]))
     at = lambda name: F.get("cells", F.col(f"columns.{name}"))
     text = lambda name: F.nullif(F.trim(F.regexp_replace(at(name), r"\s+", " ")), F.lit(""))
