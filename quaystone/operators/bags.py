@@ -38,6 +38,10 @@ COVER_STOCK_QTY = ["STOCK QTY", "on_hand", "available qty", "available quantity"
 LAYOUTS = 10_000
 
 
+#: How all text begins that a cast to double reads, by a digit, a point, or as infinity or NaN.
+NUMERAL = r"^[\x00-\x20]*[+-]?[\d.iInN]"
+
+
 def plain_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(fold_accents(c), "[^a-zA-Z0-9]", ""))
 
@@ -62,8 +66,9 @@ def _last(keys: str, name: Column) -> Column:
 def resolve(layouts: DataFrame, fields: dict[str, Field]) -> DataFrame:
     """Layouts (``keys0``, ``keys1``: the keys of both bags) with ``places``: where in a row's values each field's are.
 
-    A place is (at, over): the value's number in both bags together and, in
-    the second bag, that of the first's value by the same name, which hides it.
+    A field has two arrays, since rows carry them: by its name the values'
+    numbers in both bags together and, as ``<name>_over``, in the second bag
+    that of the first's value by the same name, which hides it (else -1).
     Of a bag's names that become equal when plain, the last counts.
     """
     plain = layouts.select("keys0", "keys1", *[F.transform(f"keys{b}", plain_key).alias(f"plain{b}") for b in (0, 1)])
@@ -75,11 +80,12 @@ def resolve(layouts: DataFrame, fields: dict[str, Field]) -> DataFrame:
         places = F.filter({0: first, 1: second}.get(field.bag, F.concat(first, second)), lambda p: p["at"] >= 0)
         return F.array_sort(places) if field.placed else places
 
-    return plain.select("keys0", "keys1", F.struct(*[own(f).alias(n) for n, f in fields.items()]).alias("places"))
+    found = plain.select("keys0", "keys1", *[own(f).alias(n) for n, f in fields.items()])
+    return found.select("keys0", "keys1", F.struct(*[c for n in fields for c in (F.col(f"{n}.at").alias(n), F.col(f"{n}.over").alias(f"{n}_over"))]).alias("places"))
 
 
 def located(df: DataFrame, fields: dict[str, Field], bags: tuple[str, str] = ("raw_data", "normalized_data"), layouts: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``held`` (all values of its bags, blank ones null) and ``places`` instead of the bags.
+    """``df`` with ``held`` (all values of its bags) and ``places`` instead of the bags.
 
     Names are resolved once per layout, which is a distinct pair of key arrays;
     rows only look up numbers.  Layouts are as many as there are kinds of
@@ -89,7 +95,7 @@ def located(df: DataFrame, fields: dict[str, Field], bags: tuple[str, str] = ("r
     """
     none = F.array().cast("array<string>")
     keys = [F.coalesce(F.map_keys(b), none).alias(f"keys{i}") for i, b in enumerate(bags)]
-    held = F.transform(F.concat(*[F.coalesce(F.map_values(b), none) for b in bags]), lambda v: F.when(F.trim(v) != "", v))
+    held = F.concat(*[F.coalesce(F.map_values(b), none) for b in bags])
     kinds = (df if layouts is None else layouts).select(*keys).distinct()
     known = kinds.limit(LAYOUTS + 1).collect()
     if len(known) <= LAYOUTS:
@@ -100,11 +106,17 @@ def located(df: DataFrame, fields: dict[str, Field], bags: tuple[str, str] = ("r
     return out if layouts is None else out.withColumn("places", F.when(F.col("places").isNull(), F.raise_error("bags of a layout that is not among the given ones")).otherwise(F.col("places")))
 
 
+def cell(at: Column) -> Column:
+    """The value with a number among those held; null if blank."""
+    v = F.get(F.col("held"), at)
+    return F.when(F.trim(v) != "", v)
+
+
 def value(field: str) -> Column:
     """A field's first value: bag by bag, name by name."""
     p = F.col(f"places.{field}")
-    more = F.when(F.size(p) > 2, F.get(F.filter(F.transform(p, lambda x: F.get(F.col("held"), x["at"])), lambda v: v.isNotNull()), F.lit(0)))
-    return F.coalesce(*[F.get(F.col("held"), F.get(p, F.lit(i))["at"]) for i in (0, 1)], more)
+    more = F.when(F.size(p) > 2, F.get(F.filter(F.transform(p, cell), lambda v: v.isNotNull()), F.lit(0)))
+    return F.coalesce(*[cell(F.get(p, F.lit(i))) for i in (0, 1)], more)
 
 
 def number(field: str) -> Column:
@@ -114,8 +126,9 @@ def number(field: str) -> Column:
 
 def shown(field: str) -> Column:
     """A field's values, but for those that the first bag's value by the same name hides."""
-    seen = F.filter(F.col(f"places.{field}"), lambda p: F.get(F.col("held"), p["at"]).isNotNull() & ((p["over"] < 0) | F.get(F.col("held"), p["over"]).isNull()))
-    return F.transform(seen, lambda p: F.get(F.col("held"), p["at"]))
+    over = lambda i: F.get(F.col(f"places.{field}_over"), i)
+    seen = F.filter(F.col(f"places.{field}"), lambda at, i: cell(at).isNotNull() & ((over(i) < 0) | cell(over(i)).isNull()))
+    return F.transform(seen, cell)
 
 
 def joined(field: str) -> Column:
@@ -124,7 +137,9 @@ def joined(field: str) -> Column:
 
 def says_yes(c: Column) -> Column:
     """Whether a cell means yes: neither blank nor a no, none or zero."""
-    return F.coalesce(~F.lower(F.trim(c)).isin("", "false", "no", "n", "0", "none", "null", "not approved") & ~F.coalesce(c.try_cast("double") <= 0, F.lit(False)), F.lit(False))
+    # What can't begin a number isn't cast: a failing cast costs an exception a row.
+    zero = F.when(c.rlike(NUMERAL), F.coalesce(c.try_cast("double") <= 0, F.lit(False))).otherwise(False)
+    return F.coalesce(~F.lower(F.trim(c)).isin("", "false", "no", "n", "0", "none", "null", "not approved") & ~zero, F.lit(False))
 
 
 def template_of(records: DataFrame, uploads: DataFrame, profiles: DataFrame) -> DataFrame:

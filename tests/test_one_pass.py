@@ -68,3 +68,17 @@ def test_columns_are_worked_out_below_the_generator(spark):
     out = plan(settled(spark.range(3), "id", normalize_mpn(F.col("id").cast("string")).alias("part")).filter("part is not null"))
     generate = next(line for line in out.splitlines() if "Generate " in line)
     assert "regexp_replace" not in generate and "regexp_replace" in out
+
+
+def test_rows_carry_numbers_of_places(spark):
+    known = spark.createDataFrame([({"Approved": None, "Qty": None}, {"AVL": None})], "raw_data map<string,string>, normalized_data map<string,string>")
+    values = ["Infinity", " -inf", "-Infinity", "NaN", "nan", "-1", " +0.0 ", "-.5", ".0", "1d", "-1d", "0x", "Yes", "open", "no", "none", "Not Approved", "nil", "\t0", " ", "", None]
+    rows = spark.createDataFrame([({"Approved": v, "Qty": "1"}, {"AVL": v}) for v in values], "raw_data map<string,string>, normalized_data map<string,string>")
+    out = B.located(rows, {"approved": B.Field(B.APPROVED)}, layouts=known)
+    assert {f.dataType.simpleString() for f in out.schema["places"].dataType.fields} == {"array<int>"}
+    shown = out.select(F.size(B.shown("approved")).alias("n"), B.value("approved").alias("v")).collect()
+    assert sorted((r.n, r.v) for r in shown if r.v is not None) == sorted((2, v) for v in values if v and v.strip(" "))
+    c = F.col("c")
+    plain = F.coalesce(~F.lower(F.trim(c)).isin("", "false", "no", "n", "0", "none", "null", "not approved") & ~F.coalesce(c.try_cast("double") <= 0, F.lit(False)), F.lit(False))
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    assert df.filter(plain != B.says_yes(c)).count() == 0
