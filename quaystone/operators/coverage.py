@@ -17,16 +17,21 @@ def status(required: Column, stock: Column) -> Column:
     return F.when(~needs & has, "overstock").when(~needs, "unknown").when(~has, "no_stock").when(stock < required, "partial_stock").when(stock > required, "overstock").otherwise("in_stock")
 
 
-def coverage(rows: DataFrame) -> DataFrame:
+def dealt(partitions: int | None) -> list[int]:
+    return [] if partitions is None else [partitions]
+
+
+def coverage(rows: DataFrame, partitions: int | None = None) -> DataFrame:
     """Per part number: what is needed, what is in stock, and how they compare.
 
     ``rows`` are those of ``bags.stock_and_needs``.  Needs and stock are sums
     of what is not negative, null where no row has a quantity.  Attributes are
     the newest row's that has them (of equally new ones the greatest name).
+    Rows are dealt into so many ``partitions``; without, into as many as Spark sees fit.
     """
     amount = lambda when, c: F.sum(F.when(F.col(when) & F.col(c).isNotNull(), F.greatest(c, F.lit(0.0))))
     # First by part and upload, without a distinct count of uploads, which would copy every row. Both steps find a part's rows in one partition, so they are dealt out and ordered once.
-    each = rows.repartition("part").groupBy("part", "upload_batch_id").agg(amount("is_need", "need_qty").alias("required"), amount("is_stock", "stock_qty").alias("stock"), F.count("*").alias("rows"), *[F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c) for c in ("customer", "supplier", "maker")])
+    each = rows.repartition(*dealt(partitions), "part").groupBy("part", "upload_batch_id").agg(amount("is_need", "need_qty").alias("required"), amount("is_stock", "stock_qty").alias("stock"), F.count("*").alias("rows"), *[F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c) for c in ("customer", "supplier", "maker")])
     g = each.groupBy("part").agg(F.sum("required").alias("required"), F.sum("stock").alias("stock"), *[F.max(c)[c].alias(c) for c in ("customer", "supplier", "maker")], F.count("*").alias("sources"), F.sum("rows").alias("rows"))
     shortage = F.when(F.col("required").isNotNull(), F.greatest(F.col("required") - F.coalesce("stock", F.lit(0.0)), F.lit(0.0)))
     return g.withColumn("status", status(F.col("required"), F.col("stock"))).withColumn("shortage", shortage)
@@ -48,16 +53,17 @@ def coverage_filter(cov: DataFrame, text: str = "", statuses: list[str] | None =
     return out
 
 
-def opportunity_groups(signals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def opportunity_groups(signals: DataFrame, by: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
     """The signals of every record (``bags.signals``) summed by part number, within the columns ``by``.
 
     Names are the newest record's that has one.  Flags: missing customer,
     missing supplier or manufacturer, approved, received, several manufacturers.
+    ``partitions`` is as in ``coverage``.
     """
     zero = F.lit(0.0)
     named = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("created_at", c))).alias(c)
     # Both steps find a part's rows in one partition, so they are dealt out and ordered once.
-    each = signals.repartition(*by, "part").groupBy(*by, "part", "upload_batch_id").agg(
+    each = signals.repartition(*dealt(partitions), *by, "part").groupBy(*by, "part", "upload_batch_id").agg(
         *[F.sum(c).alias(c) for c in ("demand", "stock", "excess")], *[F.max(c).alias(c) for c in ("approved", "received", "no_customer", "no_party")], *[named(c) for c in ("customer", "supplier", "maker")], F.min("maker").alias("least"), F.max("maker").alias("most"),
     )
     g = each.groupBy(*by, "part").agg(
@@ -68,9 +74,9 @@ def opportunity_groups(signals: DataFrame, by: tuple[str, ...] = ()) -> DataFram
     return g.withColumn("flags", flags)
 
 
-def opportunities(signals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def opportunities(signals: DataFrame, by: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
     """One row for each kind of opportunity of each part (within the columns ``by``), scored and labelled."""
-    g = opportunity_groups(signals, by)
+    g = opportunity_groups(signals, by, partitions)
     d, s, e = F.col("demand"), F.col("stock"), F.col("excess")
     kinds = F.array(
         F.when((d > 0) & (s >= d), "immediate_sale").when((d > 0) & (s > 0), "partial_sale").when((d > 0) & (e <= 0), "sourcing_needed"),
@@ -137,14 +143,14 @@ def page(df: DataFrame, order: list[Column], size: int, offset: int = 0) -> tupl
     return df.sparkSession.createDataFrame(rows.slice(offset)) if len(rows) > offset else df.sparkSession.createDataFrame([], df.schema), seen.get["n"]
 
 
-def client_opportunities(signals: DataFrame, assignments: DataFrame) -> DataFrame:
+def client_opportunities(signals: DataFrame, assignments: DataFrame, partitions: int | None = None) -> DataFrame:
     """Per client account: opportunities, those of high confidence, and their parts, over the uploads that ``assignments`` (client, upload_batch_id) gives it.
 
     An upload may be several clients'; parts are summed by client in the same
     two steps as without, so a large client is no single group before that.
     """
     own = signals.join(assignments.select("client", "upload_batch_id").distinct(), "upload_batch_id")
-    found = opportunities(own, ("client",))
+    found = opportunities(own, ("client",), partitions)
     return found.groupBy("client").agg(F.count("*").alias("opportunities"), F.count_if(F.col("confidence") == "high").alias("high_confidence"), F.countDistinct("part").alias("parts"))
 
 

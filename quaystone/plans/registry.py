@@ -414,7 +414,7 @@ COVER = f"""{NEEDS},
       (max(row(created_at, maker)) filter (maker is not null))[2] as maker, count(distinct upload_batch_id) as sources, count(*) as rows from n group by part),
     c as (select *, case when coalesce(required, 0) <= 0 then (case when coalesce(stock, 0) > 0 then 'overstock' else 'unknown' end) when coalesce(stock, 0) <= 0 then 'no_stock' when stock < required then 'partial_stock' when stock > required then 'overstock' else 'in_stock' end as status,
       case when required is not null then greatest(required - coalesce(stock, 0), 0) end as shortage from g)"""
-COVERED = lambda s, d: C.coverage(B.stock_and_needs(R.bags(s, d), R.layouts(s, d)))
+COVERED = lambda s, d: C.coverage(B.stock_and_needs(R.bags(s, d), R.layouts(s, d)), R.partitions(s, d))
 add("c_stock_and_needs", lambda s, d: B.stock_and_needs(R.bags(s, d), R.layouts(s, d)), f"{NEEDS} select * from n", "records")
 add("c_coverage", COVERED, f"{COVER} select * from c", "records")
 add("c_coverage_totals", lambda s, d: C.coverage_totals(COVERED(s, d)), f"{COVER} select count(*) as parts, " + ", ".join(f"count(*) filter (status = '{k}') as {k}" for k in ("in_stock", "partial_stock", "no_stock", "overstock", "unknown")) + ", sum(required) as required, sum(stock) as stock, sum(shortage) as shortage from c", "records")

@@ -1,8 +1,11 @@
 """Records of large tables are joined without ordering the lines and dealt into shares of bounded size."""
 
+from pyspark.sql import functions as F
+
+from quaystone.operators import coverage as C
 from quaystone.plans.registry import QUERIES
 from quaystone.sources import trade as R
-from tests.test_one_pass import plan
+from tests.test_one_pass import ROWS, plan
 
 
 def large(monkeypatch):
@@ -27,3 +30,18 @@ def test_views_of_large_tables_order_nothing(spark, sf, monkeypatch):
     out = QUERIES["o_view_stock"](spark, sf)
     assert "Sort" not in plan(out)
     assert sorted(out.collect()) == sorted(small.collect())
+
+
+def test_totals_of_large_tables_are_the_same(spark, sf, monkeypatch):
+    key = lambda df: sorted(map(str, df.collect()))
+    names = ("c_coverage", "o_opportunities")
+    small = [key(QUERIES[n](spark, sf)) for n in names]
+    large(monkeypatch)
+    assert [key(QUERIES[n](spark, sf)) for n in names] == small
+
+
+def test_parts_are_dealt_into_given_partitions(spark):
+    rows = spark.createDataFrame([], ROWS)
+    signals = rows.withColumns({c: F.lit(True) for c in ("approved", "received", "no_customer", "no_party")}).withColumns({c: F.lit(1.0) for c in ("demand", "stock", "excess")})
+    for out in (C.coverage(rows, 7), C.opportunity_groups(signals, partitions=7)):
+        assert plan(out).count("Exchange hashpartitioning") == 1 and ", 7), REPARTITION_BY_NUM" in plan(out)
