@@ -437,7 +437,7 @@ OPP = f"""{SIGNALS},
       greatest(0, least(100, 40 + (case when d > 0 then 10 else 0 end) + (case when s > 0 or e > 0 then 10 else 0 end) + (case when shortage > 0 then 5 else 0 end) + (case when customer is not null then 10 else 0 end) + (case when supplier is not null or maker is not null then 5 else 0 end)
       + (case when approved then 10 else 0 end) + (case when received then 5 else 0 end) + (case when sources > 1 then 5 else 0 end) - least(flags * 5, 20))) as score from h),
     z as (select *, case when score >= 75 then 'high' when score >= 50 then 'medium' else 'low' end as confidence from f)"""
-FOUND = lambda s, d: C.opportunities(B.signals(R.bags(s, d), R.layouts(s, d)))
+FOUND = lambda s, d: C.opportunities(B.signals(R.bags(s, d), R.layouts(s, d)), partitions=R.partitions(s, d))
 add("o_opportunities", FOUND, f"{OPP} select * from z", "records")
 add("o_opportunity_totals", lambda s, d: C.opportunity_totals(FOUND(s, d)), f"{OPP} select kind, count(*) as n, sum(demand) as demand, sum(shortage) as shortage, count(*) filter (confidence = 'high') as high from z group by kind", "records")
 add(
@@ -516,7 +516,7 @@ ASSIGNED = "select c_custkey as upload_batch_id, concat('account ', cast(c_custk
 OPP_BY_CLIENT = OPP.replace("    g as (select part,", f"    own2 as (select sig.*, client from sig join ({ASSIGNED}) using (upload_batch_id)),\n    g as (select client, part,").replace("from sig group by part)", "from own2 group by client, part)").replace("f as (select part,", "f as (select client, part,")
 add(
     "a_client_opportunities",
-    lambda s, d: C.client_opportunities(B.signals(R.bags(s, d), R.layouts(s, d)), R.frame(s, d, ASSIGNED)),
+    lambda s, d: C.client_opportunities(B.signals(R.bags(s, d), R.layouts(s, d)), R.frame(s, d, ASSIGNED), R.partitions(s, d)),
     f"{OPP_BY_CLIENT} select client, count(*) as opportunities, count(*) filter (confidence = 'high') as high_confidence, count(distinct part) as parts from z group by client",
     "records",
 )

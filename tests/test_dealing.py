@@ -45,3 +45,10 @@ def test_parts_are_dealt_into_given_partitions(spark):
     signals = rows.withColumns({c: F.lit(True) for c in ("approved", "received", "no_customer", "no_party")}).withColumns({c: F.lit(1.0) for c in ("demand", "stock", "excess")})
     for out in (C.coverage(rows, 7), C.opportunity_groups(signals, partitions=7)):
         assert plan(out).count("Exchange hashpartitioning") == 1 and ", 7), REPARTITION_BY_NUM" in plan(out)
+
+
+def test_parts_of_large_tables_are_dealt_by_size(spark, sf, monkeypatch):
+    large(monkeypatch)
+    n = R.partitions(spark, sf)
+    for name in ("c_coverage_totals", "o_filtered", "o_top_opportunities"):
+        assert any("Exchange hashpartitioning(part#" in line and f", {n}), REPARTITION_BY_NUM" in line for line in plan(QUERIES[name](spark, sf)).splitlines())
