@@ -151,16 +151,24 @@ def issue_rollup(with_issues: DataFrame) -> DataFrame:
     return with_issues.select("row_index", "id", F.explode("issues").alias("i")).groupBy("i.type", "i.severity").agg(F.count("*").alias("n"), F.min("row_index").alias("first_row"), F.countDistinct("id").alias("records"))
 
 
-def quality_scores(with_issues: DataFrame, by: str) -> DataFrame:
-    """Two scores a group: 100 less mean penalties by severity (60 at most a row), and the share of rows without any issue."""
+def weight() -> Column:
+    """The penalties of a row's ``issues`` by severity."""
     weigh = lambda a, i: a + F.when(i["severity"] == "critical", 30).when(i["severity"] == "high", 20).when(i["severity"] == "medium", 10).otherwise(3)
-    penalty = F.least(F.lit(60), F.aggregate("issues", F.lit(0), weigh))
+    return F.aggregate("issues", F.lit(0), weigh)
+
+
+def scores(weight: Column, flawed: Column) -> list[Column]:
+    """Two scores of a group: 100 less mean penalties (60 at most a row), and the share of rows without any issue."""
     n = F.count("*")
-    return with_issues.groupBy(by).agg(
-        n.alias("records"),
-        round_half_up(100 - 100.0 * F.sum(penalty) / (60 * n)).cast("long").alias("workbook_score"),
-        (round_half_up(1000.0 * (n - F.count_if(F.size("issues") > 0)) / n) / 10).alias("worker_score"),
-    )
+    return [
+        round_half_up(100 - 100.0 * F.sum(F.least(F.lit(60), weight)) / (60 * n)).cast("long").alias("workbook_score"),
+        (round_half_up(1000.0 * (n - F.count_if(flawed)) / n) / 10).alias("worker_score"),
+    ]
+
+
+def quality_scores(with_issues: DataFrame, by: str) -> DataFrame:
+    """The ``scores`` of each group by the rows' issues."""
+    return with_issues.groupBy(by).agg(F.count("*").alias("records"), *scores(weight(), F.size("issues") > 0))
 
 
 def created_on(df: DataFrame, day: str) -> DataFrame:

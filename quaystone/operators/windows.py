@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .coverage import dealt
+
 
 def content_hash(*bags: str) -> Column:
     """md5 of bags that doesn't depend on the order of their keys."""
@@ -51,29 +53,51 @@ def cleanup_summary(active: DataFrame, dups: DataFrame, declared: DataFrame, by:
     return out.select(by, "active", "to_archive", "largest", "expected", "remaining", "residual", off.alias("mismatch"), confidence.alias("confidence"), (some & ~huge).alias("safe"), risk.alias("risk"))
 
 
-def business_key_duplicates(df: DataFrame, id_: str = "id", within: str | None = None, order: tuple[str, ...] = ("created_at",)) -> DataFrame:
-    """Rows whose customer, supplier, part, order and quantity agree (three parts at least): issues each gains.
-
-    With ``within``, only rows equal in that column are compared.  The first by
-    ``order`` gains an issue for each of the others, which gain one.
+def business_key() -> Column:
+    """Customer, supplier, part, order and quantity of a row as one text in lower case; null where there are fewer than three.
 
     Supplier, part and quantity fall back to the supplier's name, the quoted
     part and the requested quantity; blanks and a quantity of zero are no part.
-    Rows are counted by a 64-bit hash of the key before any is shuffled, and
-    only those with a repeated hash meet by their key.
     """
     qty = F.coalesce("qty", "req_qty")
     number = F.when(qty == F.floor(qty), F.floor(qty).cast("string")).otherwise(qty.cast("string"))
     parts = F.filter(F.array("customer", F.coalesce("supplier", "supplier_name"), F.coalesce("mpn", "mpn_quoted"), "po", F.when(qty != 0, number)), lambda x: x.isNotNull() & (x != ""))
-    group = [within] * (within is not None)
-    keyed = df.select(id_, *group, *[c for c in order if c != id_ and c not in group], F.lower(F.array_join(parts, "|")).alias("key")).withColumn("hash", F.when(F.size(F.split("key", r"\|")) >= 3, F.xxhash64("key", *group)))
+    key = F.lower(F.array_join(parts, "|"))
+    return F.when(F.size(F.split(key, r"\|")) >= 3, key)
+
+
+def business_key_duplicates(df: DataFrame, id_: str = "id", order: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """Rows of an equal ``business_key``: issues each gains.
+
+    The first by ``order`` gains an issue for each of the others, which gain one.
+    Rows are counted by a 64-bit hash of the key before any is shuffled, and
+    only those with a repeated hash meet by their key.
+    """
+    keyed = df.select(id_, *[c for c in order if c != id_], business_key().alias("key")).withColumn("hash", F.when(F.col("key").isNotNull(), F.xxhash64("key")))
     again = keyed.groupBy("hash").agg(F.count("hash").alias("n")).filter("n > 1").select("hash")
     rows = keyed.join(again, "hash")
-    w = Window.partitionBy(*group, "key")
+    w = Window.partitionBy("key")
     out = rows.withColumn("copies", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(*order, id_))).filter("copies > 1")
     return out.select(id_, "key", "copies", F.when(F.col("place") == 1, F.col("copies") - 1).otherwise(F.lit(1)).alias("issues"))
 
 
+def repeats(df: DataFrame, within: str, key: str, place: tuple[str | Column, ...], partitions: int | None = None) -> DataFrame:
+    """Adds ``repeats``: how many issues a row gains for the others of the same ``within`` and ``key``.
+
+    The first by ``place`` gains one for each of the others, which gain one; a
+    row without a key gains none.  Rows are read, dealt out and ordered once,
+    into so many ``partitions`` (without, into as many as Spark sees fit), so
+    ``df`` should have no more columns than are needed.
+    """
+    # Rows without a key are dealt by their place, so they aren't all in one task.
+    alone = F.when(F.col(key).isNull(), F.xxhash64(*place))
+    keyed = df.withColumn("__alone", alone).repartition(*dealt(partitions), within, key, "__alone")
+    w = Window.partitionBy(within, key, "__alone").orderBy(*place)
+    copies = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    gained = F.when(F.row_number().over(w) == 1, copies - 1).otherwise(F.lit(1))
+    return keyed.withColumn("repeats", F.when(F.col(key).isNull(), F.lit(0)).otherwise(gained)).drop("__alone")
+
+
 def archive(df: DataFrame, doomed: DataFrame, id_: str, at: Column) -> DataFrame:
     """``archived_at`` set on the rows of ``doomed``; what was archived stays as it was."""
     marks = doomed.select(F.col(id_).alias("__id")).distinct().withColumn("__hit", F.lit(True))
